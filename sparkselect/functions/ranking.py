@@ -136,7 +136,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     """Exact quantiles as (column, prob, value).
 
     ``cont``: linear interpolation at position (n-1)p (DuckDB quantile_cont,
-    pandas default); ``disc``: the value at 0-based position floor((n-1)p)
+    pandas default); ``disc``: the value at 0-based position max(ceil(n p) - 1, 0)
     (DuckDB quantile_disc). Work is one grouped count per distinct value,
     a sliced running total over the distinct values and one broadcast range
     join against the few wanted positions; no task ever holds a whole column.
@@ -147,15 +147,19 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     n = vc.groupBy("column").agg(F.sum("cnt").alias("n"))
     # columns x probs rows: tiny, broadcast below
     want = n.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    want = want.withColumn("h", (F.col("n") - 1) * F.col("prob")) \
-        .withColumn("pos_lo", F.floor("h")).withColumn("pos_hi", F.ceil("h"))
-    pos = want.select("column", "prob", "h", "pos_lo", "pos_hi", F.explode(F.array(
+    if method == "disc":
+        # 0-based position ceil(n p) - 1, at least 0 (DuckDB quantile_disc)
+        want = want.withColumn("h", F.greatest(F.ceil(F.col("n") * F.col("prob")) - 1, F.lit(0)).cast("double"))
+    else:
+        want = want.withColumn("h", (F.col("n") - 1) * F.col("prob"))
+    want = want.withColumn("pos_lo", F.floor("h")).withColumn("pos_hi", F.ceil("h"))
+    pos = want.select(F.col("column").alias("__pc"), "prob", "h", "pos_lo", F.explode(F.array(
         F.struct(F.lit("lo").alias("side"), F.col("pos_lo").alias("pos")),
         F.struct(F.lit("hi").alias("side"), F.col("pos_hi").alias("pos")))).alias("p")
-    ).select("column", "prob", "h", "pos_lo", "p.side", "p.pos")
-    hit = cum.join(F.broadcast(pos), (cum["column"] == pos["column"])
-                   & (pos["pos"] >= cum["__lo"]) & (pos["pos"] < cum["__hi"]), "inner") \
-        .select(pos["column"], "prob", "h", "pos_lo", "side", cum["value"])
+    ).select("__pc", "prob", "h", "pos_lo", "p.side", "p.pos")
+    hit = cum.join(F.broadcast(pos), (F.col("column") == F.col("__pc"))
+                   & (F.col("pos") >= F.col("__lo")) & (F.col("pos") < F.col("__hi")), "inner") \
+        .select("column", "prob", "h", "pos_lo", "side", "value")
     wide = hit.groupBy("column", "prob", "h", "pos_lo").agg(
         F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("v_lo"),
         F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("v_hi"))

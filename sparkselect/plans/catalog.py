@@ -6,9 +6,6 @@ full, so its work grows with the scale factor.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkselect.functions.metrics import classification_metrics, metric_table
@@ -20,17 +17,7 @@ from sparkselect.plans.common import assemble, finish, p1
 from sparkselect.plans.tasks import t1_events
 from sparkselect.sources.io import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+from sparkselect.plans.registry import ORACLE, QUERIES, query  # noqa: F401
 
 
 M = O.METRIC_COLS

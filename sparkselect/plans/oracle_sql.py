@@ -73,3 +73,18 @@ def rounded(cols: list[str], digits: int = 6) -> str:
 
 
 METRIC_COLS = ["accuracy", "auc", "recall", "precision", "f1", "kappa", "mcc"]
+
+ORDERS_NULLS = """onl AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus,
+         CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
+         o_orderdate,
+         CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+  FROM orders)"""
+
+T4 = """t4 AS (SELECT o.*, c.c_nationkey, c.c_acctbal, c.c_mktsegment
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
+
+
+def union_per_column(cols: list[str], template: str) -> str:
+    """``template`` formatted with {c} for each column, joined by UNION ALL."""
+    return "\nUNION ALL\n".join(template.format(c=c) for c in cols)

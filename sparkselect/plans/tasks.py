@@ -56,3 +56,14 @@ def t4_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     return o.join(c, o["o_custkey"] == c["c_custkey"], "inner").drop("c_custkey")
+
+
+# Null-injection rules for T4 (same text in the oracle).
+def orders_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with nulls by rule: price when key % 7 = 0, priority when key % 11 = 0."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        "o_orderkey", "o_custkey", "o_orderstatus",
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
+        "o_orderdate",
+        F.when(F.col("o_orderkey") % 11 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
