@@ -81,7 +81,8 @@ def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column | s
     """Add running sums ``sum(expr) over (partition by P order by O rows unbounded preceding)``.
 
     ``order_by`` must give a total order inside each partition (end it with a
-    key); ties would make the result depend on the slice boundaries.
+    key); ties would make the result depend on the slice boundaries. Items
+    are ascending column expressions (use ``-x`` for a descending number).
     With ``inclusive=False`` the current row is left out (sums of earlier rows).
     """
     parts = list(partition_by)

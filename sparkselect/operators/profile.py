@@ -68,7 +68,7 @@ def profile_overview(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ D2
 def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
-                    counts: DataFrame | None = None) -> DataFrame:
+                    counts: DataFrame | None = None, with_mad: bool = True) -> DataFrame:
     """Count, missing, distinct, zeros, negatives, min, max, mean, sum, std, variance,
     cv, skewness (population), kurtosis (population, excess) and MAD
     (median absolute deviation from the median), one row per column."""
@@ -87,8 +87,11 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
     wide = _long(df.agg(*aggs), cols, stats)
     vc = counts if counts is not None else value_counts_long(df, cols)
     distinct = vc.groupBy("column").agg(F.count("*").alias("distinct"))
-    mad = median_abs_deviation(vc)
-    return wide.join(distinct, "column", "left").join(mad, "column", "left").select(
+    if with_mad:
+        wide = wide.join(median_abs_deviation(vc), "column", "left")
+    else:
+        wide = wide.withColumn("mad", F.lit(None).cast("double"))
+    return wide.join(distinct, "column", "left").select(
         "column", F.col("count").cast("bigint"), F.col("missing").cast("bigint"),
         F.coalesce(F.col("distinct"), F.lit(0)).cast("bigint").alias("distinct"),
         F.col("zeros").cast("bigint"), F.col("negatives").cast("bigint"), "min", "max", "mean", "sum", "std",
@@ -376,7 +379,7 @@ def profile_alerts(df: DataFrame, numeric: Sequence[str] | None = None,
         alerts.append(ent.where((F.col("__k") > 1) & (1 - F.col("h") / F.log(F.col("__k")) > IMBALANCE_LIMIT))
                       .select("column", F.lit("imbalanced").alias("alert")))
     if num:
-        st = profile_numeric(df, num).select("column", "zeros", "skewness")
+        st = profile_numeric(df, num, with_mad=False).select("column", "zeros", "skewness")
         alerts.append(st.where(F.col("zeros") > ZEROS_SHARE * n).select("column", F.lit("zeros").alias("alert")))
         alerts.append(st.where(F.abs("skewness") > SKEW_LIMIT).select("column", F.lit("skewed").alias("alert")))
         if len(num) > 1:
