@@ -134,6 +134,8 @@ def class_moments(df: DataFrame, features_col: str, label_col: str, weight: Colu
                 a[1] += len(idx)
                 a[2] += wi @ Xi
                 a[3] += (Xi * wi[:, None]).T @ Xi
+        if not acc:  # empty partition: emit nothing (an empty frame has no list types)
+            return
         yield pd.DataFrame({"l": list(acc), "w": [a[0] for a in acc.values()],
                             "n": [a[1] for a in acc.values()],
                             "s": [a[2].tolist() for a in acc.values()],

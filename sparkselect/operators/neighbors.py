@@ -56,7 +56,7 @@ def knn_candidates(queries: DataFrame, base: DataFrame, k: int, qkey: str, bkey:
 
     def block(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or bpdf.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
+            return pd.DataFrame({f.name: pd.Series([], dtype=object) for f in schema.fields})
         Xq = np.stack(qpdf["x"].to_numpy()).astype(float)
         Xb = np.stack(bpdf["x"].to_numpy()).astype(float)
         bk = bpdf["bk"].to_numpy()
