@@ -356,3 +356,19 @@ class StackingModel(CustomModel):
         out = self.meta_model.transform(self.assembler.transform(cur))
         drop = [c for c in out.columns if c.startswith("__s")] + ["__meta"]
         return out.drop(*drop)
+
+
+def vote(df: DataFrame, pred_cols: list[str], name: str = "vote") -> DataFrame:
+    """G7 over finished predictions: majority label across columns, ties to the lower label."""
+    arr = F.array(*[F.col(f"`{c}`").cast("double") for c in pred_cols])
+    levels = F.array_sort(F.array_distinct(F.filter(arr, lambda x: x.isNotNull())))
+    counts = F.transform(levels, lambda v: F.size(F.filter(arr, lambda x: x == v)))
+    pos = F.array_position(counts, F.array_max(counts))
+    return df.withColumn(name, F.element_at(levels, pos.cast("int")))
+
+
+def soft_vote(df: DataFrame, prob_cols: list[str], name: str = "vote") -> DataFrame:
+    """G7 soft form over probability arrays/vectors of equal length: argmax of the mean."""
+    arrs = [vector_to_array(c) if dict(df.dtypes)[c] != "array<double>" else F.col(c) for c in prob_cols]
+    mean = F.transform(arrs[0], lambda v, i: sum((a[i] for a in arrs[1:]), v) / F.lit(float(len(arrs))))
+    return df.withColumn(name, (F.array_position(mean, F.array_max(mean)) - 1).cast("double"))

@@ -61,3 +61,164 @@ FROM pk JOIN nb ON nb.q = pk.doc_id AND nb.nr = pk.pick JOIN mn b ON b.doc_id =
 def e14_smote(spark, sf):
     t2 = t2_documents(spark, sf)
     return finish(smote(t2, "y", "doc_id", _SMOTE_F, k=5, categorical=["lang"]))
+
+
+# ------------------------------------------------------------------ built-in menu members (rows-only)
+from sparkselect.operators import ensembles as EN  # noqa: E402
+from sparkselect.operators import select as G  # noqa: E402
+from sparkselect.plans.catalog import NB_SQL, RULES, _RULES_SQL, _rules  # noqa: E402
+from sparkselect.plans.tasks import t1_events  # noqa: E402
+from sparkselect.functions.hashing import SESSION_SEED  # noqa: E402
+
+
+def _t1_xy(spark, sf, cols=("value", "k", "h")):
+    df = assemble(t1_events(spark, sf), list(cols)).withColumn("label", F.col("y").cast("double"))
+    return S.holdout(df, "event_id")
+
+
+def _menu_query(code, **params):
+    def q(spark, sf):
+        tr, te = _t1_xy(spark, sf)
+        m = make_estimator(code, **params).fit(tr)
+        out = m.transform(te)
+        cols = [F.col("event_id"), F.col("prediction").cast("bigint").alias("prediction")]
+        if "probability" in out.columns:
+            from pyspark.ml.functions import vector_to_array
+            cols.append(vector_to_array("probability")[1].alias("p1"))
+        return finish(out.select(*cols))
+    return q
+
+
+for _code, _params in {"f1_logistic_regression": ("lr", {}), "f4_random_forest": ("rf", {"numTrees": 50}),
+                       "f6_extra_trees": ("et", {"numTrees": 10}), "f7_gradient_boosting": ("gbc", {"maxIter": 30}),
+                       "f8_light_gradient_boosting": ("lightgbm", {"maxIter": 30}),
+                       "f9_ada_boost": ("ada", {"numRounds": 10}), "f11_decision_tree": ("dt", {}),
+                       "f13_linear_svm": ("svm", {})}.items():
+    query(_code)(_menu_query(_params[0], **_params[1]))
+
+
+@query("f7_gbc_multiclass_ovr")
+def f7_gbc_multiclass_ovr(spark, sf):
+    df = t3_embeddings(spark, sf).withColumn("label", (F.col("y") % 3).cast("double"))
+    tr, te = S.holdout(df, "vec_id")
+    m = make_estimator("gbc", n_classes=3, maxIter=5).fit(tr)
+    return finish(m.transform(te).select("vec_id", F.col("prediction").cast("bigint")))
+
+
+# ------------------------------------------------------------------ G1 cross-validation of NB (exact)
+G1_SQL = f"""
+WITH {O.T1},
+fo AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(concat('123:', CAST(event_id AS VARCHAR))), event_id) - 1) % 3 AS fold FROM t1),
+tr AS (SELECT f.f AS fo, t.* FROM fo t, range(3) f(f) WHERE t.fold <> f.f),
+cls AS (SELECT fo, y, count(*) AS n, avg(value) AS mv, var_pop(value) AS vv, avg(k) AS mk, var_pop(k) AS vk,
+               avg(h) AS mh, var_pop(h) AS vh FROM tr GROUP BY fo, y),
+g AS (SELECT fo, count(*) AS nt, 1e-9 * greatest(var_pop(value), var_pop(k), var_pop(h)) AS e FROM tr GROUP BY fo),
+ll AS (SELECT t.event_id, t.fold, t.y AS yt, c.y,
+              ln(c.n / g.nt)
+              - 0.5 * ln(2 * pi() * (vv + e)) - (t.value - mv) ^ 2 / (2 * (vv + e))
+              - 0.5 * ln(2 * pi() * (vk + e)) - (t.k - mk) ^ 2 / (2 * (vk + e))
+              - 0.5 * ln(2 * pi() * (vh + e)) - (t.h - mh) ^ 2 / (2 * (vh + e)) AS s
+       FROM fo t JOIN cls c ON c.fo = t.fold JOIN g ON g.fo = t.fold),
+pr AS (SELECT fold, yt, y AS yhat, row_number() OVER (PARTITION BY event_id ORDER BY s DESC, y) AS r FROM ll),
+src AS (SELECT CAST(fold AS BIGINT) AS fold, yt AS y, yhat FROM pr WHERE r = 1),
+{O.metrics_from('src', by='fold')}
+SELECT fold, n, {O.rounded(O.METRIC_COLS)} FROM met"""
+
+
+@query("g1_cross_validate", G1_SQL)
+def g1_cross_validate(spark, sf):
+    df = assemble(t1_events(spark, sf), ["value", "k", "h"]).withColumn("label", F.col("y").cast("double"))
+    f = S.stratified_folds(df, "y", "event_id", 3)
+    per, _ = G.cross_validate(make_estimator("nb"), f, "label", "fold", name="nb")
+    return finish(per.withColumn("fold", F.col("fold").cast("bigint")))
+
+
+@query("g2_g3_compare_models")
+def g2_g3_compare_models(spark, sf):
+    tr, _ = _t1_xy(spark, sf)
+    f = S.stratified_folds(tr, "y", "event_id", 3)
+    _, board, _ = G.compare_models({c: make_estimator(c) for c in ["nb", "dummy", "lda", "qda", "ridge", "dt"]},
+                                   f, "Accuracy", 3)
+    return finish(board)
+
+
+@query("g4_tune")
+def g4_tune(spark, sf):
+    tr, _ = _t1_xy(spark, sf)
+    f = S.stratified_folds(tr, "y", "event_id", 3)
+    _, table_, _ = G.tune(make_estimator("dt"), "dt", f, "F1", n_iter=3)
+    return finish(table_)
+
+
+_POIS = " ".join(f"WHEN u < exp(-1) * ({' + '.join(f'1.0 / {__import__('math').factorial(j)}' for j in range(k + 1))}) THEN {k}"
+                 for k in range(10))
+
+
+@query("g5_bootstrap_weights", f"""
+SELECT event_id, CAST(CASE {_POIS} ELSE 10 END AS BIGINT) AS copies
+FROM (SELECT event_id, {O.bucket('event_id', 123000)} / 4294967296.0 AS u FROM events)""")
+def g5_bootstrap_weights(spark, sf):
+    from sparkselect.sources.io import table
+    ev = table(spark, sf, "events").select("event_id")
+    return finish(ev.select("event_id", EN.poisson_weight("event_id", SESSION_SEED * 1000).alias("copies")))
+
+
+@query("g5_bagging")
+def g5_bagging(spark, sf):
+    tr, te = _t1_xy(spark, sf)
+    m = EN.BaggingClassifier(base=make_estimator("dt", maxDepth=5), n=5, keyCol="event_id").fit(tr)
+    return finish(m.transform(te).select("event_id", F.col("prediction").cast("bigint")))
+
+
+@query("g6_boosting")
+def g6_boosting(spark, sf):
+    tr, te = _t1_xy(spark, sf)
+    m = EN.AdaBoostClassifier(numRounds=5, base=make_estimator("dt", maxDepth=2)).fit(tr)
+    return finish(m.transform(te).select("event_id", F.col("prediction").cast("bigint")))
+
+
+_VOTE_ORDER = list(RULES)
+
+
+@query("g7_blend_vote", f"""
+WITH {O.T1}, rl AS (SELECT event_id, {_RULES_SQL} FROM t1),
+lg AS ({' UNION ALL '.join(f"SELECT event_id, CAST({m} AS DOUBLE) AS v FROM rl" for m in _VOTE_ORDER)}),
+c AS (SELECT event_id, v, count(*) AS n FROM lg GROUP BY ALL),
+r AS (SELECT event_id, v, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, v) AS rk FROM c)
+SELECT event_id, v AS vote FROM r WHERE rk = 1""")
+def g7_blend_vote(spark, sf):
+    df = _rules(t1_events(spark, sf))
+    return finish(EN.vote(df, _VOTE_ORDER).select("event_id", "vote"))
+
+
+@query("g7_blend_models")
+def g7_blend_models(spark, sf):
+    tr, te = _t1_xy(spark, sf)
+    m = EN.blend([make_estimator(c).fit(tr) for c in ["nb", "lda", "qda"]], [0.0, 1.0])
+    return finish(m.transform(te).select("event_id", F.col("prediction").cast("bigint")))
+
+
+@query("g8_stacking")
+def g8_stacking(spark, sf):
+    tr, te = _t1_xy(spark, sf)
+    f = S.stratified_folds(tr, "y", "event_id", 3)
+    m = EN.StackingClassifier(bases=[make_estimator(c) for c in ["nb", "lda", "ridge"]], foldCol="fold").fit(f)
+    return finish(m.transform(te).select("event_id", F.col("prediction").cast("bigint")))
+
+
+@query("g9_best_of_session", f"""
+WITH {O.T1}, rl AS (SELECT y, {_RULES_SQL} FROM t1),
+src AS ({' UNION ALL '.join(f"SELECT '{m}' AS model, y, {m} AS yhat FROM rl" for m in RULES)}),
+{O.metrics_from('src')}
+SELECT arg_max(model, mcc) AS model, round(max(mcc), 6) AS mcc FROM met""")
+def g9_best_of_session(spark, sf):
+    from sparkselect.functions.metrics import metric_table
+    board = metric_table(_rules(t1_events(spark, sf)), "y", {m: m for m in RULES})
+    return finish(G.best_of_session(board, "MCC"))
+
+
+@query("g12_score")
+def g12_score(spark, sf):
+    tr, te = _t1_xy(spark, sf)
+    m = make_estimator("lr").fit(tr)
+    return finish(G.score(m, te.select("event_id", "features")).select("event_id", "Label", "Score"))
