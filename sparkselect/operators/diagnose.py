@@ -192,3 +192,230 @@ def ks_table(scored: DataFrame, y: str, score: str) -> DataFrame:
     mx = c.agg(F.max("gap").alias("ks"))
     return _one(c).join(F.broadcast(_one(mx)), "__k").select(
         "threshold", "cum_pos", "cum_neg", "gap", "ks", (F.col("gap") == F.col("ks")).cast("bigint").alias("is_max"))
+
+
+# ------------------------------------------------------------------ model tables
+import numpy as _np  # noqa: E402
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler  # noqa: E402
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+
+from sparkselect.functions.hashing import hash_small, hash_unit  # noqa: E402
+
+
+def interpret_linear(df: DataFrame, coef: dict[str, float], key: str) -> tuple[DataFrame, DataFrame]:
+    """I1 for linear models: contribution = coef x (x - mean x) per row and feature,
+    and the mean absolute contribution per feature."""
+    means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in coef]).first()
+    long = df.select(F.col(key), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"),
+                 (F.lit(float(w)) * (F.col(f"`{c}`") - F.lit(means[c]))).alias("contribution"))
+        for c, w in coef.items()])).alias("s")).select(key, "s.feature", "s.contribution")
+    summary = long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
+    return long, summary
+
+
+def model_coefficients(model, features: list[str]) -> dict[str, float] | None:
+    """Linear coefficients of a fitted model (binary), if it has them."""
+    for attr in ("coefficients",):
+        if hasattr(model, attr):
+            try:
+                v = getattr(model, attr)
+                arr = v.toArray() if hasattr(v, "toArray") else _np.asarray(v)
+                if arr.ndim == 2:
+                    arr = arr[-1] - arr[0]
+                return dict(zip(features, arr.tolist()))
+            except Exception:  # noqa: BLE001
+                return None
+    return None
+
+
+def interpret_shapley(model, df: DataFrame, features: list[str], key: str, draws: int = 16,
+                      background: int = 100, seed: int = 123, positive: int = 1) -> DataFrame:
+    """I1 for any model: sampled Shapley values (Strumbelj & Kononenko 2014).
+
+    For row x, feature j and draw m: a random order of the features and a
+    background row z (both from key hashes); x+ takes x on the features up to
+    and including j in that order and z elsewhere, x- the same without j. The
+    value is the mean over draws of f(x+) - f(x-), f = probability of the
+    positive class (or the label). The background is a hash-chosen sample of
+    ``background`` rows (bounded, broadcast); scoring is one batched transform.
+    """
+    p = len(features)
+    bg = df.select(*features).withColumn("__h", hash_unit(F.to_json(F.struct(*features)), seed)) \
+        .orderBy("__h").limit(background).withColumn("__bi", F.row_number().over(Window.orderBy("__h")) - 1)
+    nbg = bg.count()
+    base = df.select(F.col(key), *[F.col(f).cast("double").alias(f) for f in features])
+    ex = base.withColumn("feature_idx", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))) \
+        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    tag = F.concat_ws(":", F.col(key).cast("string"), F.col("feature_idx").cast("string"), F.col("draw").cast("string"))
+    ex = ex.withColumn("__bi", (hash_small(tag, seed, 8) % F.lit(nbg)).cast("int"))
+    # position of every feature in this draw's random order: rank of hash(tag, f)
+    ranks = [hash_small(F.concat(tag, F.lit(f":{i}")), seed + 1, 8) for i in range(p)]
+    ex = ex.join(F.broadcast(bg.select("__bi", *[F.col(f).cast("double").alias(f"__z_{f}") for f in features])), "__bi")
+    mine = F.element_at(F.array(*ranks), F.col("feature_idx") + 1)
+    plus, minus = [], []
+    for i, f in enumerate(features):
+        before = ranks[i] < mine
+        is_j = F.col("feature_idx") == i
+        plus.append(F.when(before | is_j, F.col(f)).otherwise(F.col(f"__z_{f}")))
+        minus.append(F.when(before, F.col(f)).otherwise(F.col(f"__z_{f}")))
+    feats_col = model.getOrDefault("featuresCol") if model.hasParam("featuresCol") else "features"
+    both = ex.select(key, "feature_idx", "draw", F.explode(F.array(
+        F.struct(F.lit(1.0).alias("sign"), array_to_vector(F.array(*plus)).alias(feats_col)),
+        F.struct(F.lit(-1.0).alias("sign"), array_to_vector(F.array(*minus)).alias(feats_col)))).alias("s")) \
+        .select(key, "feature_idx", "draw", "s.sign", f"s.{feats_col}")
+    scored = model.transform(both)
+    f_val = vector_to_array("probability")[positive] if "probability" in scored.columns else F.col("prediction")
+    contrib = scored.groupBy(key, "feature_idx").agg((F.sum(F.col("sign") * f_val) / F.lit(float(draws))).alias("shap"))
+    names = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("feature_idx") + 1)
+    return contrib.select(key, names.alias("feature"), "shap")
+
+
+def feature_importance(model, features: list[str]) -> DataFrame | None:
+    """(feature, importance, rank) from featureImportances or |coefficients|."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    imp = None
+    if hasattr(model, "featureImportances"):
+        imp = model.featureImportances.toArray()
+    else:
+        co = model_coefficients(model, features)
+        if co is not None:
+            imp = _np.abs(_np.array([co[f] for f in features]))
+    if imp is None:
+        return None
+    rows = sorted(zip(features, [float(x) for x in imp]), key=lambda r: (-r[1], r[0]))
+    return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(rows)],
+                                 "feature string, importance double, rank bigint")
+
+
+def permutation_importance(model, df: DataFrame, features: list[str], label: str, key: str, metric: str = "accuracy",
+                           seed: int = 123) -> DataFrame:
+    """I11 fallback: drop in the metric when one feature is replaced by its value on a
+    hash-chosen other row (a shuffle by key order, done with a join on a rank)."""
+    from sparkselect.functions.metrics import classification_metrics
+    from sparkselect.functions.ranking import row_number_exact
+    va = VectorAssembler(inputCols=features, outputCol="features")
+    base_m = classification_metrics(model.transform(va.transform(df)), label, "prediction").first()[metric]
+    n = df.count()
+    ranked = row_number_exact(df, [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)],
+                              name="__r")
+    rows = []
+    for f in features:
+        donor = ranked.select((F.col("__r") % n + 1).alias("__r"), F.col(f).alias("__d"))
+        perm = ranked.join(donor, "__r").withColumn(f, F.col("__d")).drop("__d", "__r")
+        m = classification_metrics(model.transform(va.transform(perm)), label, "prediction").first()[metric]
+        rows.append((f, float(base_m - m)))
+    rows.sort(key=lambda r: (-r[1], r[0]))
+    return df.sparkSession.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(rows)],
+                                           "feature string, importance double, rank bigint")
+
+
+def rfe_table(estimator, df: DataFrame, features: list[str], label: str = "label", fold: str = "fold",
+              metric: str = "accuracy", min_features: int = 1) -> DataFrame:
+    """I8: recursive elimination; at each step cross-validate, then drop the least important feature."""
+    from sparkselect.operators.select import cross_validate
+    cur, rows = list(features), []
+    while len(cur) >= min_features:
+        va = VectorAssembler(inputCols=cur, outputCol="__rfe")
+        est = estimator.copy({estimator.featuresCol: "__rfe"})
+        data = va.transform(df)
+        _, s = cross_validate(est, data, label, fold, name="rfe")
+        score_ = s.first()[metric]
+        model = est.fit(data)
+        imp = feature_importance(model, cur)
+        if imp is None:
+            order = list(cur)
+        else:
+            order = [r["feature"] for r in imp.orderBy("rank").collect()]
+        rows.append((len(cur), score_, ",".join(cur), order[-1] if len(cur) > min_features else None))
+        if len(cur) == min_features:
+            break
+        cur = [c for c in cur if c != order[-1]]
+    return df.sparkSession.createDataFrame(rows, "n_features bigint, score double, features string, dropped string")
+
+
+# Training-size steps of the learning curve.
+LEARNING_STEPS = [0.1, 0.325, 0.55, 0.775, 1.0]
+
+
+def learning_table(estimator, df: DataFrame, key: str, label: str = "label", fold: str = "fold",
+                   metric: str = "accuracy", steps=LEARNING_STEPS, seed: int = 123) -> DataFrame:
+    """Train rows, train metric and CV metric at nested hash samples of the training folds."""
+    from sparkselect.functions.metrics import classification_metrics
+    u = hash_unit(key, seed)
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    rows = []
+    for s in steps:
+        parts, trains, sizes = [], [], []
+        for f in folds:
+            train = df.where((F.col(fold) != f) & (u < F.lit(float(s))))
+            held = df.where(F.col(fold) == f)
+            m = estimator.copy().fit(train)
+            parts.append(m.transform(held).select(F.col(label).alias("y"), F.col("prediction").alias("yhat")))
+            trains.append(m.transform(train).select(F.col(label).alias("y"), F.col("prediction").alias("yhat")))
+            sizes.append(train.count())
+        cv = parts[0]
+        for p in parts[1:]:
+            cv = cv.unionByName(p)
+        tr = trains[0]
+        for p in trains[1:]:
+            tr = tr.unionByName(p)
+        rows.append((float(s), int(_np.mean(sizes)), classification_metrics(tr, "y", "yhat").first()[metric],
+                     classification_metrics(cv, "y", "yhat").first()[metric]))
+    return df.sparkSession.createDataFrame(rows, "share double, train_rows bigint, train_score double, cv_score double")
+
+
+def validation_table(estimator, param: str, values: list, df: DataFrame, label: str = "label", fold: str = "fold",
+                     metric: str = "accuracy") -> DataFrame:
+    """Train and CV metric for each value of one parameter."""
+    from sparkselect.functions.metrics import classification_metrics
+    from sparkselect.operators.select import cross_validate
+    rows = []
+    for v in values:
+        est = estimator.copy({estimator.getParam(param): v})
+        _, s = cross_validate(est, df, label, fold, name=str(v))
+        m = est.fit(df)
+        tr = classification_metrics(m.transform(df), label, "prediction").first()[metric]
+        rows.append((str(v), tr, s.first()[metric]))
+    return df.sparkSession.createDataFrame(rows, "value string, train_score double, cv_score double")
+
+
+def dimension_table(df: DataFrame, features: list[str], label: str, key: str, k: int = 2):
+    """Standardised PCA to k components: (key, pc1.., class) and explained variance shares."""
+    va = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
+    sc = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True)
+    x = va.transform(df)
+    scm = sc.fit(x)
+    z = scm.transform(x)
+    pca = PCA(k=k, inputCol="__z", outputCol="__pc").fit(z)
+    arr = vector_to_array("__pc")
+    rows = pca.transform(z).select(F.col(key), *[arr[i].alias(f"pc{i + 1}") for i in range(k)],
+                                   F.col(label).alias("class"))
+    var = df.sparkSession.createDataFrame([(i + 1, float(v)) for i, v in enumerate(pca.explainedVariance.toArray())],
+                                          "component bigint, explained_variance double")
+    return rows, var, (scm, pca)
+
+
+def boundary_table(model, df: DataFrame, features: list[str], steps: int = 50) -> DataFrame:
+    """Predicted class over a steps x steps grid of the first two standardised
+    principal components, mapped back to feature space (grid bounded by ``steps``)."""
+    va = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
+    x = va.transform(df)
+    scm = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True).fit(x)
+    z = scm.transform(x)
+    pca = PCA(k=2, inputCol="__z", outputCol="__pc").fit(z)
+    arr = vector_to_array("__pc")
+    r = pca.transform(z).select(arr[0].alias("a"), arr[1].alias("b")).agg(F.min("a"), F.max("a"), F.min("b"), F.max("b")).first()
+    spark = df.sparkSession
+    grid = spark.range(steps).select(F.col("id").alias("i")).select(
+        "i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("j"))
+    g1 = F.lit(r[0]) + F.col("i") * F.lit((r[1] - r[0]) / max(steps - 1, 1))
+    g2 = F.lit(r[2]) + F.col("j") * F.lit((r[3] - r[2]) / max(steps - 1, 1))
+    pcs = pca.pc.toArray()
+    mean, std = scm.mean.toArray(), scm.std.toArray()
+    feats_col = model.getOrDefault("featuresCol") if model.hasParam("featuresCol") else "features"
+    back = [F.lit(float(mean[d])) + F.lit(float(std[d])) * (g1 * F.lit(float(pcs[d, 0])) + g2 * F.lit(float(pcs[d, 1])))
+            for d in range(len(features))]
+    pts = grid.select(g1.alias("grid_x"), g2.alias("grid_y"), array_to_vector(F.array(*back)).alias(feats_col))
+    return model.transform(pts).select("grid_x", "grid_y", F.col("prediction").alias("predicted"))

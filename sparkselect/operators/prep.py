@@ -542,3 +542,125 @@ class CountEncoderModel(_FittedModel):
             out = out.withColumn(o, F.coalesce(F.col(f"__cnt_{c}"), F.lit(0)).cast("bigint")) \
                 .drop(f"__lv_{c}", f"__cnt_{c}")
         return out
+
+
+# ------------------------------------------------------------------ E5 feature selection
+def feature_scores(df: DataFrame, features: list[str], label: str, seed: int = 123) -> DataFrame:
+    """E5 scores: mean of three shares per feature: random-forest importance, boosted-tree
+    importance and |corr with the target|, each normalised to sum 1; features ordered by
+    score with the cumulative share."""
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    x = VectorAssembler(inputCols=features, outputCol="__fs", handleInvalid="skip").transform(df)
+    rf = RandomForestClassifier(featuresCol="__fs", labelCol=label, numTrees=50, seed=seed).fit(x)
+    n_cls = x.select(label).distinct().count()
+    if n_cls <= 2:
+        gbt = GBTClassifier(featuresCol="__fs", labelCol=label, maxIter=20, seed=seed).fit(x)
+        g = gbt.featureImportances.toArray()
+    else:
+        g = rf.featureImportances.toArray()
+    r = rf.featureImportances.toArray()
+    _, t = correlation_matrix(df, features, label)
+    c = np.abs(np.nan_to_num(t))
+    share = lambda v: v / v.sum() if v.sum() > 0 else np.zeros_like(v)
+    score = (share(r) + share(g) + share(c)) / 3.0
+    rows = sorted(zip(features, share(r), share(g), share(c), score), key=lambda z: (-z[4], z[0]))
+    cum, out = 0.0, []
+    for f, a, b, cc, s in rows:
+        cum += s
+        out.append((f, float(a), float(b), float(cc), float(s), float(cum)))
+    return df.sparkSession.createDataFrame(out, "feature string, rf double, gbt double, corr double, score double, cumulative double")
+
+
+def correlation_shares(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """The |corr| share part of E5 alone (exact)."""
+    _, t = correlation_matrix(df, features, label)
+    c = np.abs(np.nan_to_num(t))
+    tot = c.sum()
+    return df.sparkSession.createDataFrame([(f, float(v / tot if tot else 0.0)) for f, v in zip(features, c)],
+                                           "feature string, corr_share double")
+
+
+class FeatureSelector(Estimator, _Stage):
+    """E5: keep the highest-scoring features until their cumulative share first reaches
+    ``threshold`` (0.8)."""
+
+    threshold = Param(Params._dummy(), "threshold", "cumulative share", TypeConverters.toFloat)
+    labelCol = Param(Params._dummy(), "labelCol", "label", TypeConverters.toString)
+
+    def __init__(self, inputCols=None, labelCol="label", threshold=0.8):
+        super().__init__()
+        self._setDefault(threshold=0.8, labelCol="label")
+        self._init(inputCols, None, labelCol=labelCol, threshold=threshold)
+
+    def _fit(self, df):
+        sc = feature_scores(df, self._ins(), self.getOrDefault(self.labelCol)).collect()
+        keep = []
+        for r in sc:
+            keep.append(r["feature"])
+            if r["cumulative"] >= self.getOrDefault(self.threshold):
+                break
+        return FeatureSelectorModel.of(self, {"keep": keep, "drop": [f for f in self._ins() if f not in keep]})
+
+
+class FeatureSelectorModel(_FittedModel):
+    threshold = FeatureSelector.threshold
+    labelCol = FeatureSelector.labelCol
+
+    def dropped(self) -> list[str]:
+        return self._state()["drop"]
+
+    def _transform(self, df):
+        return df.drop(*self.dropped())
+
+
+# ------------------------------------------------------------------ E11 cluster feature
+class ClusterFeature(Estimator, _Stage):
+    """K-means cluster id as a new categorical column; k in 2..8 chosen by the best
+    silhouette, maxIter 20 (cluster_iter)."""
+
+    outputCol = Param(Params._dummy(), "outputCol", "cluster column", TypeConverters.toString)
+    maxIter = Param(Params._dummy(), "maxIter", "k-means iterations", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
+
+    def __init__(self, inputCols=None, outputCol="cluster", maxIter=20, seed=123, ks=(2, 3, 4, 5, 6, 7, 8)):
+        super().__init__()
+        self._setDefault(outputCol="cluster", maxIter=20, seed=123)
+        self._init(inputCols, None, outputCol=outputCol, maxIter=maxIter, seed=seed)
+        self.ks = list(ks)
+
+    def _fit(self, df):
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.evaluation import ClusteringEvaluator
+        from pyspark.ml.feature import StandardScaler, VectorAssembler
+        va = VectorAssembler(inputCols=self._ins(), outputCol="__cx", handleInvalid="keep")
+        sc = StandardScaler(inputCol="__cx", outputCol="__cz", withMean=True, withStd=True)
+        x = va.transform(df)
+        scm = sc.fit(x)
+        z = scm.transform(x).cache()
+        best = None
+        for k in self.ks:
+            km = KMeans(featuresCol="__cz", predictionCol="__cl", k=k, maxIter=self.getOrDefault(self.maxIter),
+                        seed=self.getOrDefault(self.seed)).fit(z)
+            sil = ClusteringEvaluator(featuresCol="__cz", predictionCol="__cl").evaluate(km.transform(z))
+            if best is None or sil > best[0]:
+                best = (sil, k, km)
+        z.unpersist()
+        centers = [c.tolist() for c in best[2].clusterCenters()]
+        return ClusterFeatureModel.of(self, {"k": best[1], "silhouette": best[0], "centers": centers,
+                                             "mean": scm.mean.toArray().tolist(), "std": scm.std.toArray().tolist()})
+
+
+class ClusterFeatureModel(_FittedModel):
+    outputCol = ClusterFeature.outputCol
+    maxIter = ClusterFeature.maxIter
+    seed = ClusterFeature.seed
+
+    def _transform(self, df):
+        st = self._state()
+        z = [(F.col(f"`{c}`").cast("double") - F.lit(m)) / F.lit(s if s else 1.0)
+             for c, m, s in zip(self._ins(), st["mean"], st["std"])]
+        d = [sum(((zi - F.lit(ci)) * (zi - F.lit(ci)) for zi, ci in zip(z, cen)), F.lit(0.0)) for cen in st["centers"]]
+        arr = F.array(*d)
+        return df.withColumn(self.getOrDefault(self.outputCol),
+                             (F.array_position(arr, F.array_min(arr)) - 1).cast("string"))

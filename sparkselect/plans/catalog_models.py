@@ -222,3 +222,105 @@ def g12_score(spark, sf):
     tr, te = _t1_xy(spark, sf)
     m = make_estimator("lr").fit(tr)
     return finish(G.score(m, te.select("event_id", "features")).select("event_id", "Label", "Score"))
+
+
+# ------------------------------------------------------------------ I1, I8-I11, I13, I14, E5, E11
+from sparkselect.operators import diagnose as D  # noqa: E402
+from sparkselect.operators import prep as P  # noqa: E402
+
+_COEF = {"value": 0.02, "k": 0.03, "h": -0.01}
+
+
+@query("i1_interpret_linear", f"""
+WITH {O.T1}, m AS (SELECT avg(value) AS mv, avg(k) AS mk, avg(h) AS mh FROM t1)
+SELECT 'value' AS feature, round(avg(abs(0.02 * (value - mv))), 6) AS mean_abs_contribution FROM t1, m
+UNION ALL SELECT 'k', round(avg(abs(0.03 * (k - mk))), 6) FROM t1, m
+UNION ALL SELECT 'h', round(avg(abs(-0.01 * (h - mh))), 6) FROM t1, m""")
+def i1_interpret_linear(spark, sf):
+    _, summary = D.interpret_linear(t1_events(spark, sf), _COEF, "event_id")
+    return finish(summary)
+
+
+@query("i1_interpret_shapley")
+def i1_interpret_shapley(spark, sf):
+    tr, te = _t1_xy(spark, sf)
+    m = make_estimator("nb").fit(tr)
+    shap = D.interpret_shapley(m, te, ["value", "k", "h"], "event_id", draws=8, background=50)
+    return finish(shap.groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap")))
+
+
+@query("i8_rfe")
+def i8_rfe(spark, sf):
+    tr, _ = _t1_xy(spark, sf)
+    f = S.stratified_folds(tr, "y", "event_id", 3)
+    return finish(D.rfe_table(make_estimator("dt", maxDepth=5), f, ["value", "k", "h"], "label", "fold"))
+
+
+@query("i9_learning_curve")
+def i9_learning_curve(spark, sf):
+    tr, _ = _t1_xy(spark, sf)
+    f = S.stratified_folds(tr, "y", "event_id", 3)
+    return finish(D.learning_table(make_estimator("nb"), f, "event_id", "label", "fold"))
+
+
+@query("i10_validation_curve")
+def i10_validation_curve(spark, sf):
+    tr, _ = _t1_xy(spark, sf)
+    f = S.stratified_folds(tr, "y", "event_id", 3)
+    return finish(D.validation_table(make_estimator("dt"), "maxDepth", [1, 2, 4, 8], f, "label", "fold"))
+
+
+@query("i11_feature_importance")
+def i11_feature_importance(spark, sf):
+    tr, _ = _t1_xy(spark, sf)
+    return finish(D.feature_importance(make_estimator("rf", numTrees=20).fit(tr), ["value", "k", "h"]))
+
+
+@query("i11_permutation_importance")
+def i11_permutation_importance(spark, sf):
+    tr, te = _t1_xy(spark, sf)
+    m = make_estimator("nb").fit(tr)
+    return finish(D.permutation_importance(m, te.drop("features"), ["value", "k", "h"], "label", "event_id"))
+
+
+@query("i13_dimension_variance", f"""
+WITH {O.T1}, r AS (SELECT abs(corr(value, k)) AS r FROM t1)
+SELECT CAST(1 AS BIGINT) AS component, round((1 + r) / 2, 6) AS explained_variance FROM r
+UNION ALL SELECT CAST(2 AS BIGINT), round((1 - r) / 2, 6) FROM r""")
+def i13_dimension_variance(spark, sf):
+    _, var, _ = D.dimension_table(t1_events(spark, sf), ["value", "k"], "y", "event_id", 2)
+    return finish(var)
+
+
+@query("i13_dimension_rows")
+def i13_dimension_rows(spark, sf):
+    rows, _, _ = D.dimension_table(t1_events(spark, sf), ["value", "k", "h"], "y", "event_id", 2)
+    return finish(rows)
+
+
+@query("i14_boundaries")
+def i14_boundaries(spark, sf):
+    tr, _ = _t1_xy(spark, sf)
+    m = make_estimator("nb").fit(tr)
+    return finish(D.boundary_table(m, tr, ["value", "k", "h"], steps=30))
+
+
+@query("e5_feature_selection")
+def e5_feature_selection(spark, sf):
+    tr, _ = _t1_xy(spark, sf)
+    return finish(P.feature_scores(tr, ["value", "k", "h"], "label"))
+
+
+@query("e5_correlation_shares", f"""
+WITH {O.T1}, c AS (SELECT abs(corr(value, y)) AS a, abs(corr(k, y)) AS b, abs(corr(h, y)) AS d FROM t1)
+SELECT 'value' AS feature, round(a / (a + b + d), 6) AS corr_share FROM c
+UNION ALL SELECT 'k', round(b / (a + b + d), 6) FROM c UNION ALL SELECT 'h', round(d / (a + b + d), 6) FROM c""")
+def e5_correlation_shares(spark, sf):
+    return finish(P.correlation_shares(t1_events(spark, sf), ["value", "k", "h"], "y"))
+
+
+@query("e11_cluster_feature")
+def e11_cluster_feature(spark, sf):
+    t = t1_events(spark, sf)
+    m = P.ClusterFeature(["value", "k"], maxIter=20, ks=(2, 3, 4)).fit(t)
+    return finish(m.transform(t).groupBy("cluster").agg(F.count("*").alias("rows")))
