@@ -218,10 +218,10 @@ class AdaBoostModel(CustomModel):
         preds = []
         for i, m in enumerate(self.members):
             m2 = m.copy()
-            m2.setPredictionCol(f"__ap{i}")
+            m2._set(predictionCol=f"__ap{i}")
             for pc in ("probabilityCol", "rawPredictionCol"):
                 if m2.hasParam(pc):
-                    m2 = m2.copy({m2.getParam(pc): f"__ax{i}_{pc}"})
+                    m2._set(**{pc: f"__ax{i}_{pc}"})
             cur = m2.transform(cur)
             cur = cur.drop(*[c for c in cur.columns if c.startswith(f"__ax{i}_")])
             preds.append(f"__ap{i}")
