@@ -192,3 +192,41 @@ def j3_score_validation(spark, sf):
     val = assemble(df, ["value", "k", "h"])
     out = score_validation(model, val, keep=["event_id"])
     return finish(out.withColumn("Predictions", F.col("Predictions").cast("bigint")))
+
+
+# ------------------------------------------------------------------ streaming twins of J3 and H1-H7
+from sparkselect.streaming.score import run_to_table, running_metrics, score_stream, table_stream  # noqa: E402
+
+
+def _stream_t1(spark, sf):
+    from sparkselect.sources.io import table
+    schema = table(spark, sf, "events").schema
+    ev = table_stream(spark, sf, "events", schema)
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("double")
+    flip = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 2), 16, 10).cast("bigint")
+    t = ev.select("event_id", "value", k.alias("k"), F.hour("ts").alias("h"), flip.alias("__flip"))
+    t = t.withColumn("y", F.when((F.col("value") + F.col("k") > 90) != (F.col("__flip") < 20), 1).otherwise(0))
+    return assemble(t.drop("__flip"), ["value", "k", "h"])
+
+
+def _nb_model(spark, sf):
+    tr, _ = S.holdout(t1_events(spark, sf), "event_id")
+    return make_estimator("nb").fit(assemble(tr, ["value", "k", "h"]).withColumn("label", F.col("y").cast("double")))
+
+
+@query("st_stream_scoring", NB_SQL.replace(
+    f"te AS (SELECT * FROM t1 WHERE NOT {O.is_train('event_id')})", "te AS (SELECT * FROM t1)") + """
+SELECT event_id, CAST(prediction AS BIGINT) AS "Predictions" FROM nb WHERE r = 1""")
+def st_stream_scoring(spark, sf):
+    scored = score_stream(_nb_model(spark, sf), _stream_t1(spark, sf), ["event_id"])
+    return finish(run_to_table(scored).withColumn("Predictions", F.col("Predictions").cast("bigint")))
+
+
+@query("st_stream_running_metrics", NB_SQL.replace(
+    f"te AS (SELECT * FROM t1 WHERE NOT {O.is_train('event_id')})", "te AS (SELECT * FROM t1)") + f""",
+src AS (SELECT 'all' AS model, t1.y, nb.prediction AS yhat FROM nb JOIN t1 USING (event_id) WHERE r = 1),
+{O.metrics_from('src')}
+SELECT n, {O.rounded(M)} FROM met""")
+def st_stream_running_metrics(spark, sf):
+    scored = _nb_model(spark, sf).transform(_stream_t1(spark, sf))
+    return finish(running_metrics(scored, "y", "prediction"))
