@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sparkselect.functions.hashing import hash_unit
 from sparkselect.operators.estimators import CustomEstimator, CustomModel, with_scores
+from sparkselect.operators.persist import CompositePersistence
 from sparkselect.session import cut_lineage
 
 
@@ -63,13 +64,17 @@ def combine(df: DataFrame, members: list, classes: list[float], owner: CustomMod
     return out.drop(*drop)
 
 
-class _MemberModel(CustomModel):
-    """A model whose members are fitted Spark ML models (kept in memory)."""
+class _MemberModel(CompositePersistence, CustomModel):
+    """A model whose members are fitted Spark ML models; ``soft`` None = soft vote when
+    every member has probabilities, True/False forces it."""
 
     members: list = []
+    soft: bool | None = None
+    _sub_models = ("members",)
+    _sub_values = ("soft",)
 
     def _transform(self, df):
-        return combine(df, self.members, self.getOrDefault(self.classes), self)
+        return combine(df, self.members, self.getOrDefault(self.classes), self, soft=self.soft)
 
 
 # ------------------------------------------------------------------ F6
@@ -120,8 +125,9 @@ def _bin(df: DataFrame, feats: str, cuts: list[list[float]], out: str) -> DataFr
     return df.withColumn(out, array_to_vector(F.array(*idx)))
 
 
-class ExtraTreesModel(CustomModel):
+class ExtraTreesModel(CompositePersistence, CustomModel):
     trees: list = []
+    _sub_models = ("trees",)
 
     def _transform(self, df):
         cuts = self.fitted().tolist()  # trees x features x cut points
@@ -202,8 +208,9 @@ class AdaBoostClassifier(CustomEstimator):
         return model
 
 
-class AdaBoostModel(CustomModel):
+class AdaBoostModel(CompositePersistence, CustomModel):
     members: list = []
+    _sub_models = ("members",)
 
     def alphas(self) -> list[float]:
         return self.fitted()[0].tolist()
@@ -284,8 +291,7 @@ def blend(models: list, classes: list[float], soft: bool | None = None) -> Custo
     m = _MemberModel()
     m.set_fitted(classes, np.zeros(1))
     m.members = list(models)
-    if soft is False:
-        m._transform = lambda df: combine(df, m.members, classes, m, soft=False)  # type: ignore[method-assign]
+    m.soft = soft
     return m
 
 
@@ -341,11 +347,13 @@ class StackingClassifier(CustomEstimator):
         return m
 
 
-class StackingModel(CustomModel):
+class StackingModel(CompositePersistence, CustomModel):
     bases: list = []
     meta_model = None
     assembler = None
     k = 2
+    _sub_models = ("bases", "meta_model", "assembler")
+    _sub_values = ("k",)
 
     def _transform(self, df):
         cur = df

@@ -24,6 +24,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from sparkselect.functions.hashing import SESSION_SEED, hash_small, md5_order
 from sparkselect.functions.ranking import row_number_exact
 from sparkselect.operators.estimators import CustomEstimator, CustomModel
+from sparkselect.operators.persist import CompositePersistence
 
 BLOCK_ROWS = 50_000
 
@@ -119,9 +120,10 @@ class KNNClassifier(CustomEstimator):
         return m
 
 
-class KNNModel(CustomModel):
+class KNNModel(CompositePersistence, CustomModel):
     k = KNNClassifier.k
     base: DataFrame | None = None
+    _sub_frames = ("base",)
 
     def _transform(self, df):
         if self.base is None:

@@ -527,6 +527,16 @@ class CountEncoder(Estimator, _Stage):
 class CountEncoderModel(_FittedModel):
     broadcastRows = CountEncoder.broadcastRows
     levels: DataFrame | None = None
+    _sub_frames = ("levels",)
+
+    def write(self):
+        from sparkselect.operators.persist import CompositeWriter
+        return CompositeWriter(self)
+
+    @classmethod
+    def read(cls):
+        from sparkselect.operators.persist import CompositeReader
+        return CompositeReader(cls)
 
     def _transform(self, df):
         if self.levels is None:
