@@ -283,3 +283,49 @@ def e15_count_encode(spark, sf):
     train, _ = S.holdout(o, "o_orderkey")
     m = E.CountEncoder(["o_custkey"], ["custkey_count"]).fit(train)
     return finish(m.transform(o).select("o_orderkey", "custkey_count"))
+
+
+# ------------------------------------------------------------------ K1 / K2 regression
+from sparkselect.functions.metrics import regression_metrics  # noqa: E402
+from sparkselect.operators.regression import make_regressor  # noqa: E402
+from sparkselect.plans.common import assemble  # noqa: E402
+
+
+@query("k1_linear_regression", """
+SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS value FROM lineitem
+UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 4) FROM lineitem""")
+def k1_linear_regression(spark, sf):
+    li = assemble(table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice"), ["l_quantity"])
+    m = make_regressor("lr", label="l_extendedprice").fit(li)
+    rows = [("intercept", float(m.intercept)), ("l_quantity", float(m.coefficients[0]))]
+    return spark.createDataFrame(rows, "term string, value double").select("term", F.round("value", 4).alias("value"))
+
+
+@query("k2_regression_metrics", """
+WITH p AS (SELECT l_returnflag, l_extendedprice AS y, l_quantity * 1500.0 AS yhat FROM lineitem)
+SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(avg(abs(yhat - y)), 4) AS mae,
+       round(avg((yhat - y) * (yhat - y)), 2) AS mse, round(sqrt(avg((yhat - y) * (yhat - y))), 4) AS rmse,
+       round(1 - avg((yhat - y) * (yhat - y)) / var_pop(y), 6) AS r2,
+       round(avg(CASE WHEN y <> 0 THEN abs((yhat - y) / y) END), 6) AS mape
+FROM p GROUP BY l_returnflag""")
+def k2_regression_metrics(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("y"),
+                                             (F.col("l_quantity") * 1500.0).alias("yhat"))
+    m = regression_metrics(li, "y", "yhat", ["l_returnflag"])
+    return m.select("l_returnflag", "n", F.round("mae", 4).alias("mae"), F.round("mse", 2).alias("mse"),
+                    F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"), F.round("mape", 6).alias("mape"))
+
+
+@query("k1_regressor_menu")
+def k1_regressor_menu(spark, sf):
+    li = assemble(table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax",
+                                                      "l_extendedprice"), ["l_quantity", "l_discount", "l_tax"])
+    tr, te = S.holdout(li, "l_orderkey")
+    outs = []
+    for code in ("lr", "rf", "gbr"):
+        m = make_regressor(code, label="l_extendedprice", numTrees=20, maxIter=20).fit(tr)
+        outs.append(regression_metrics(m.transform(te), "l_extendedprice", "prediction").withColumn("model", F.lit(code)))
+    out = outs[0]
+    for o in outs[1:]:
+        out = out.unionByName(o)
+    return finish(out)
