@@ -21,6 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SLICE = "__slice"
+#: at or below this many rows one slice is used: a window over a proven-small table
+#: (override with SPARKSELECT_SINGLE_SLICE_ROWS, e.g. 0 to always slice)
+SINGLE_SLICE_ROWS = 1_000_000
+
+
+def _single_slice_rows() -> int:
+    import os
+    return int(os.environ.get("SPARKSELECT_SINGLE_SLICE_ROWS", SINGLE_SLICE_ROWS))
 
 
 def _cols(xs) -> list:
@@ -41,8 +49,9 @@ def _sort_key(row):
     return tuple((v is not None, v) for v in row)
 
 
-def range_slice(df: DataFrame, keys: list, slices: int) -> Column:
-    """A deterministic range-slice number (0 .. slices-1) of each row's key.
+def range_slice(df: DataFrame, keys: list, slices: int, single_rows: int | None = None) -> Column | None:
+    """A deterministic range-slice number (0 .. slices-1) of each row's key, or None
+    when one slice is enough (at most ``SINGLE_SLICE_ROWS`` rows, counted).
 
     Cut points come from a hash-chosen sample of about 64 rows per slice
     (bounded, independent of the table size), so every evaluation of the
@@ -52,14 +61,16 @@ def range_slice(df: DataFrame, keys: list, slices: int) -> Column:
     named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
     key = F.struct(*named)
     if slices <= 1:
-        return F.lit(0)
+        return None
     types = [f.dataType for f in df.select(*named).schema.fields]
     n = df.count()
+    if n <= (_single_slice_rows() if single_rows is None else single_rows):
+        return None
     every = max(1, n // (64 * slices))
     pick = F.abs(F.xxhash64(*named)) % every == 0 if every > 1 else F.lit(True)
     sample = sorted({tuple(r) for r in df.select(*named).where(pick).collect()}, key=_sort_key)
     if len(sample) < 2:
-        return F.lit(0)
+        return None
     m = min(slices, len(sample)) - 1
     cuts = [sample[(i + 1) * len(sample) // (m + 1)] for i in range(m)]
     cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
@@ -91,7 +102,16 @@ def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column | s
     base = df
     for k, v in names.items():
         base = base.withColumn(f"__v_{k}", v)
-    sl = range_slice(base, [*_cols(parts), *order], _slices(df, slices))
+    # an explicit slice count always slices (tests); otherwise small inputs use one slice
+    sl = range_slice(base, [*_cols(parts), *order], _slices(df, slices), 0 if slices else None)
+    if sl is None:
+        # proven small (<= SINGLE_SLICE_ROWS rows): the plain window is the cheaper plan
+        frame = Window.partitionBy(*parts).orderBy(*order)
+        frame = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        out = base
+        for k in names:
+            out = out.withColumn(k, F.coalesce(F.sum(f"__v_{k}").over(frame), F.lit(0)))
+        return out.drop(*[f"__v_{k}" for k in names])
     ranged = base.withColumn(_SLICE, sl)
     frame = Window.partitionBy(_SLICE, *parts).orderBy(*order)
     frame = frame.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
