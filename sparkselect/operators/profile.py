@@ -233,8 +233,8 @@ def with_average_ranks(df: DataFrame, columns: Sequence[str], broadcast_limit: i
     (AQE splits a hot value on the row side).
     """
     vc = value_counts_long(df, columns)
-    ranks = average_ranks(vc).cache()
-    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    ranks = average_ranks(vc)
+    sizes = {r["column"]: r["n"] for r in vc.groupBy("column").agg(F.count("*").alias("n")).collect()}
     out = df
     for c in columns:
         rt = ranks.where(F.col("column") == c).select(F.col("value").alias("__rv"), F.col("avg_rank").alias(f"{c}__rank"))
@@ -269,49 +269,52 @@ def level_index(df: DataFrame, column: str, max_levels: int) -> tuple[Column, bo
     return F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * max_levels) + 1, F.lit(max_levels)).cast("int"), False
 
 
-def kendall_tau_b(df: DataFrame, a: str, b: str, max_levels: int = 64) -> DataFrame:
-    """D11 for one pair: tau-b from the (a, b) contingency table.
+def profile_kendall(df: DataFrame, columns: Sequence[str] | None = None, max_levels: int = 64) -> DataFrame:
+    """Tau-b for every pair of numeric columns, all pairs in one plan.
 
     Concordant and discordant pair counts come from 2-D running sums over a
-    grid of at most max_levels^2 cells (exact when both columns have few
-    distinct values, otherwise over equal-width bins, flagged ``exact``=0).
+    grid of at most max_levels^2 cells per pair (exact when both columns have
+    few distinct values, otherwise over equal-width bins, flagged ``exact``=0).
     """
-    ia, ea = level_index(df, a, max_levels)
-    ib, eb = level_index(df, b, max_levels)
-    cells = df.select(ia.alias("ia"), ib.alias("ib")).where("ia is not null and ib is not null") \
-        .groupBy("ia", "ib").agg(F.count("*").cast("double").alias("n"))
-    dims = cells.agg(F.max("ia").alias("ma"), F.max("ib").alias("mb"))
-    grid = dims.select(F.explode(F.sequence(F.lit(1), F.col("ma"))).alias("ia"), "mb") \
-        .select("ia", F.explode(F.sequence(F.lit(1), F.col("mb"))).alias("ib"))
-    g = grid.join(cells, ["ia", "ib"], "left").fillna(0.0, ["n"])
-    row_below = Window.partitionBy("ia").orderBy("ib").rowsBetween(Window.unboundedPreceding, -1)
-    row_above = Window.partitionBy("ia").orderBy("ib").rowsBetween(1, Window.unboundedFollowing)
+    cols = list(columns or numeric_columns(df))
+    idx = {c: level_index(df, c, max_levels) for c in cols}
+    pairs = list(combinations(cols, 2))
+    keys = ["column_a", "column_b"]
+    cells = df.select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), idx[a][0].alias("ia"), idx[b][0].alias("ib"))
+        for a, b in pairs])).alias("s")).select("s.*").where("ia is not null and ib is not null") \
+        .groupBy(*keys, "ia", "ib").agg(F.count("*").cast("double").alias("n"))
+    dims = cells.groupBy(*keys).agg(F.max("ia").alias("ma"), F.max("ib").alias("mb"))
+    grid = dims.select(*keys, F.explode(F.sequence(F.lit(1), F.col("ma"))).alias("ia"), "mb") \
+        .select(*keys, "ia", F.explode(F.sequence(F.lit(1), F.col("mb"))).alias("ib"))
+    g = grid.join(cells, [*keys, "ia", "ib"], "left").fillna(0.0, ["n"])
+    row_below = Window.partitionBy(*keys, "ia").orderBy("ib").rowsBetween(Window.unboundedPreceding, -1)
+    row_above = Window.partitionBy(*keys, "ia").orderBy("ib").rowsBetween(1, Window.unboundedFollowing)
     g = g.withColumn("rb", F.coalesce(F.sum("n").over(row_below), F.lit(0.0))) \
          .withColumn("ra", F.coalesce(F.sum("n").over(row_above), F.lit(0.0)))
-    col_before = Window.partitionBy("ib").orderBy("ia").rowsBetween(Window.unboundedPreceding, -1)
+    col_before = Window.partitionBy(*keys, "ib").orderBy("ia").rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("ll", F.coalesce(F.sum("rb").over(col_before), F.lit(0.0))) \
          .withColumn("lg", F.coalesce(F.sum("ra").over(col_before), F.lit(0.0)))
-    cd = g.agg(F.sum(F.col("n") * F.col("ll")).alias("c"), F.sum(F.col("n") * F.col("lg")).alias("d"),
-               F.sum("n").alias("total"))
-    ta = cells.groupBy("ia").agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"))
-    tb = cells.groupBy("ib").agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2"))
-    one = F.lit(1)
-    m = cd.withColumn("__k", one).join(ta.withColumn("__k", one), "__k").join(tb.withColumn("__k", one), "__k")
+    cd = g.groupBy(*keys).agg(F.sum(F.col("n") * F.col("ll")).alias("c"), F.sum(F.col("n") * F.col("lg")).alias("d"),
+                              F.sum("n").alias("total"))
+    ta = cells.groupBy(*keys, "ia").agg(F.sum("n").alias("t")).groupBy(*keys).agg(
+        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"))
+    tb = cells.groupBy(*keys, "ib").agg(F.sum("n").alias("t")).groupBy(*keys).agg(
+        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2"))
+    m = cd.join(ta, keys).join(tb, keys)
     n0 = F.col("total") * (F.col("total") - 1) / 2
     den = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
-    return m.select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                    F.when(den > 0, (F.col("c") - F.col("d")) / den).alias("tau_b"),
-                    F.lit(int(ea and eb)).cast("bigint").alias("exact"))
+    exact = F.lit(0)
+    for a, b in pairs:
+        if idx[a][1] and idx[b][1]:
+            exact = F.when((F.col("column_a") == a) & (F.col("column_b") == b), F.lit(1)).otherwise(exact)
+    return m.select(*keys, F.when(den > 0, (F.col("c") - F.col("d")) / den).alias("tau_b"),
+                    exact.cast("bigint").alias("exact"))
 
 
-def profile_kendall(df: DataFrame, columns: Sequence[str] | None = None, max_levels: int = 64) -> DataFrame:
-    """Tau-b for every pair of numeric columns."""
-    cols = list(columns or numeric_columns(df))
-    parts = [kendall_tau_b(df, a, b, max_levels) for a, b in combinations(cols, 2)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def kendall_tau_b(df: DataFrame, a: str, b: str, max_levels: int = 64) -> DataFrame:
+    """D11 for one pair."""
+    return profile_kendall(df, [a, b], max_levels)
 
 
 # ------------------------------------------------------------------ D12
