@@ -419,3 +419,29 @@ def boundary_table(model, df: DataFrame, features: list[str], steps: int = 50) -
             for d in range(len(features))]
     pts = grid.select(g1.alias("grid_x"), g2.alias("grid_y"), array_to_vector(F.array(*back)).alias(feats_col))
     return model.transform(pts).select("grid_x", "grid_y", F.col("prediction").alias("predicted"))
+
+
+def best_split_table(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """F11 companion: for each feature the exact best binary split ``x <= threshold`` by
+    Gini decrease over all distinct values (binary label 0/1; ties to the lower threshold).
+    Built from per-value class counts and sliced running totals, so a feature with
+    billions of distinct values is not held by one task."""
+    from sparkselect.functions.ranking import running_totals, top_k_per_group
+    pos = (F.col(label) == 1).cast("double")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
+                                         for f in features])).alias("s"), pos.alias("__p")) \
+        .select("s.feature", "s.value", "__p").where("value is not null")
+    vc = long.groupBy("feature", "value").agg(F.sum("__p").alias("p"), F.sum(1 - F.col("__p")).alias("q"))
+    cum = running_totals(vc, ["value"], {"lp": "p", "lq": "q"}, ["feature"])
+    tot = vc.groupBy("feature").agg(F.sum("p").alias("__tp"), F.sum("q").alias("__tq"))
+    c = cum.join(F.broadcast(tot), "feature")
+    L = F.col("lp") + F.col("lq")
+    N = F.col("__tp") + F.col("__tq")
+    R = N - L
+    rp, rq = F.col("__tp") - F.col("lp"), F.col("__tq") - F.col("lq")
+    gini = lambda a, b, n: F.lit(1.0) - (a * a + b * b) / (n * n)
+    gain = gini(F.col("__tp"), F.col("__tq"), N) - (L / N) * gini(F.col("lp"), F.col("lq"), L) - (R / N) * gini(rp, rq, R)
+    splits = c.where(R > 0).select("feature", F.col("value").alias("threshold"), gain.alias("gain"),
+                                   L.cast("bigint").alias("left_rows"), R.cast("bigint").alias("right_rows"))
+    best = top_k_per_group(splits, ["feature"], [F.col("gain").desc(), F.col("threshold").asc()], 1)
+    return best.drop("rank")

@@ -324,3 +324,24 @@ def e11_cluster_feature(spark, sf):
     t = t1_events(spark, sf)
     m = P.ClusterFeature(["value", "k"], maxIter=20, ks=(2, 3, 4)).fit(t)
     return finish(m.transform(t).groupBy("cluster").agg(F.count("*").alias("rows")))
+
+
+def _split_sql(f):
+    return f"""SELECT feature, threshold, gain, left_rows, right_rows FROM (
+  SELECT '{f}' AS feature, v AS threshold, lr AS left_rows, n - lr AS right_rows,
+         (1 - (P * P + Q * Q) / (n * n)) - (lr / n) * (1 - (lp * lp + lq * lq) / (lr * lr))
+         - ((n - lr) / n) * (1 - ((P - lp) * (P - lp) + (Q - lq) * (Q - lq)) / ((n - lr) * (n - lr))) AS gain,
+         row_number() OVER (ORDER BY
+           (1 - (P * P + Q * Q) / (n * n)) - (lr / n) * (1 - (lp * lp + lq * lq) / (lr * lr))
+           - ((n - lr) / n) * (1 - ((P - lp) * (P - lp) + (Q - lq) * (Q - lq)) / ((n - lr) * (n - lr))) DESC, v) AS rk
+  FROM (SELECT v, sum(p) OVER (ORDER BY v) AS lp, sum(q) OVER (ORDER BY v) AS lq,
+               sum(p + q) OVER (ORDER BY v) AS lr, sum(p) OVER () AS P, sum(q) OVER () AS Q, sum(p + q) OVER () AS n
+        FROM (SELECT CAST({f} AS DOUBLE) AS v, CAST(sum(y) AS DOUBLE) AS p, CAST(sum(1 - y) AS DOUBLE) AS q
+              FROM t1 GROUP BY 1)) WHERE n - lr > 0) WHERE rk = 1"""
+
+
+@query("f11_best_split", f"WITH {O.T1} SELECT feature, round(threshold, 6) AS threshold, round(gain, 6) AS gain, "
+       "CAST(left_rows AS BIGINT) AS left_rows, CAST(right_rows AS BIGINT) AS right_rows FROM ("
+       + " UNION ALL ".join(f"({_split_sql(f)})" for f in ["value", "k", "h"]) + ")")
+def f11_best_split(spark, sf):
+    return finish(D.best_split_table(t1_events(spark, sf), ["value", "k", "h"], "y"))

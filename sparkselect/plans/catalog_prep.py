@@ -329,3 +329,62 @@ def k1_regressor_menu(spark, sf):
     for o in outs[1:]:
         out = out.unionByName(o)
     return finish(out)
+
+
+# ------------------------------------------------------------------ A1 / A2 / A4 / B8 / B9
+from sparkselect.sources.io import preview, read_table, read_validation  # noqa: E402
+from sparkselect.plans.catalog import FLAG_MODELS  # noqa: E402
+
+
+@query("a1_read_table", "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice FROM orders")
+def a1_read_table(spark, sf):
+    o = read_table(spark, f"{sf}/orders.parquet")
+    return finish(o.select("o_orderkey", "o_orderstatus", "o_totalprice"))
+
+
+@query("a2_read_validation", "SELECT event_id, event_type, round(value, 6) AS value FROM events")
+def a2_read_validation(spark, sf):
+    like = table(spark, sf, "events")
+    v = read_validation(spark, f"{sf}/events.parquet", like)
+    return finish(v.select("event_id", "event_type", "value"))
+
+
+@query("a4_preview", """
+SELECT o_orderkey, round(o_totalprice, 6) AS o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5""")
+def a4_preview(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return finish(preview(o, [F.col("o_totalprice").desc(), F.col("o_orderkey")], 5))
+
+
+_B8 = ["nb", "lda", "dummy"]
+
+
+@query("b8_add_prediction", f"""
+SELECT p_nb.event_id, CAST(p_nb.prediction AS DOUBLE) AS pred_nb, CAST(p_lda.prediction AS DOUBLE) AS pred_lda,
+       CAST(p_dummy.prediction AS DOUBLE) AS pred_dummy
+FROM ({FLAG_MODELS['nb'][1]}) p_nb JOIN ({FLAG_MODELS['lda'][1]}) p_lda USING (event_id)
+JOIN ({FLAG_MODELS['dummy'][1]}) p_dummy USING (event_id)""")
+def b8_add_prediction(spark, sf):
+    from sparkselect.operators.models import make_estimator
+    from sparkselect.plans.common import assemble
+    t = t1_events(spark, sf)
+    tr, te = S.holdout(t, "event_id")
+    tr = tr.withColumn("label", F.col("y").cast("double"))
+    scored = te.select("event_id", "value", "k", "h")
+    for code in _B8:
+        cols = FLAG_MODELS[code][0]
+        est = make_estimator(code, features=f"f_{code}")
+        model = Pipeline(stages=[__import__("pyspark.ml.feature", fromlist=["VectorAssembler"]).VectorAssembler(
+            inputCols=cols, outputCol=f"f_{code}"), est]).fit(tr)
+        scored = B.add_prediction(scored, model, f"pred_{code}")
+    return finish(scored.select("event_id", *[f"pred_{c}" for c in _B8]))
+
+
+@query("b9_project_label", f"SELECT CAST(prediction AS DOUBLE) AS \"Label\" FROM ({FLAG_MODELS['nb'][1]}) p")
+def b9_project_label(spark, sf):
+    from sparkselect.operators.models import make_estimator
+    from sparkselect.plans.common import assemble
+    t = t1_events(spark, sf)
+    tr, te = S.holdout(t, "event_id")
+    m = make_estimator("nb").fit(assemble(tr, ["value", "k", "h"]).withColumn("label", F.col("y").cast("double")))
+    return finish(B.project_label(m.transform(assemble(te, ["value", "k", "h"]))))
