@@ -154,7 +154,7 @@ class IterativeImputer(Estimator, _Stage):
         work = work.select(*[F.coalesce(F.col(c), F.lit(means[c])).alias(c) for c in cols],
                            *[f"__m_{c}" for c in order])
         chain = []
-        for _ in range(self.getOrDefault(self.rounds)):
+        for _ in range(self.getOrDefault(self.rounds) if order else 0):
             for c in order:
                 others = [o for o in cols if o != c]
                 va = VectorAssembler(inputCols=others, outputCol="__x")
@@ -227,18 +227,20 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def _grid(center: float | None) -> list[float]:
-    if center is None:
-        return [(i - 20) / 10.0 for i in range(41)]
-    return [center + (j - 10) / 100.0 for j in range(21)]
+def yeo_johnson_col(x: Column, lam: Column) -> Column:
+    """The same transform with lambda taken from a column."""
+    pos = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    neg = F.when(F.abs(lam - 2) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
+    return F.when(x >= 0, pos).otherwise(neg)
 
 
 class YeoJohnson(Estimator, _Stage):
     """Lambda per column by maximum log-likelihood, first on -2..2 step 0.1, then on a
     step-0.01 grid of +-0.1 around the best (ties to the smaller lambda).
 
-    LL(l) = -n/2 ln var_pop(yj(x, l)) + (l - 1) sum sign(x) ln(1 + |x|). All grid
-    points of all columns are one aggregation per stage.
+    LL(l) = -n/2 ln var_pop(yj(x, l)) + (l - 1) sum sign(x) ln(1 + |x|). Columns are
+    stacked and each value is paired with the grid by a generator (no join), so one
+    grouped aggregation with (columns x grid) groups scores every lambda of every column.
     """
 
     def __init__(self, inputCols=None, outputCols=None):
@@ -247,26 +249,36 @@ class YeoJohnson(Estimator, _Stage):
 
     def _fit(self, df):
         cols = self._ins()
-        best: dict[str, float | None] = {c: None for c in cols}
-        for _stage in range(2):
-            grids = {c: _grid(best[c]) for c in cols}
-            aggs = [F.count("*").alias("__n")]
-            for ci, c in enumerate(cols):
-                x = F.col(f"`{c}`").cast("double")
-                aggs.append(F.count(x).alias(f"n{ci}"))
-                aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"s{ci}"))
-                aggs += [F.var_pop(yeo_johnson(x, lam)).alias(f"v{ci}_{li}") for li, lam in enumerate(grids[c])]
-            row = df.agg(*aggs).first()
-            for ci, c in enumerate(cols):
-                n, s = row[f"n{ci}"], row[f"s{ci}"] or 0.0
-                scored = []
-                for li, lam in enumerate(grids[c]):
-                    v = row[f"v{ci}_{li}"]
-                    if v is None or v <= 0:
-                        continue
-                    scored.append((-(n / 2.0) * np.log(v) + (lam - 1) * s, -lam, lam))
-                best[c] = max(scored)[2] if scored else 1.0
-        return YeoJohnsonModel.of(self, {"lambdas": best})
+        long = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols
+        ])).alias("s")).select("s.column", "s.x").where(F.col("x").isNotNull())
+        base = {r["column"]: (r["n"], r["sl"] or 0.0) for r in long.groupBy("column").agg(
+            F.count("*").alias("n"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("sl")).collect()}
+        best: dict[str, float] = {}
+        # stage 1: the same 41 lambdas for every column
+        g1 = long.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(40)))) \
+            .withColumn("lam", (F.col("j") - 20) / F.lit(10.0))
+        rows1 = g1.groupBy("column", "lam").agg(F.var_pop(yeo_johnson_col(F.col("x"), F.col("lam"))).alias("v")).collect()
+        best = _pick(rows1, base)
+        # stage 2: 21 lambdas of step 0.01 around each column's best
+        centers = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(float(best.get(c, 1.0))))])
+        g2 = long.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(20)))) \
+            .withColumn("lam", F.element_at(centers, F.col("column")) + (F.col("j") - 10) / F.lit(100.0))
+        rows2 = g2.groupBy("column", "lam").agg(F.var_pop(yeo_johnson_col(F.col("x"), F.col("lam"))).alias("v")).collect()
+        best2 = _pick(rows2, base)
+        lambdas = {c: best2.get(c, best.get(c, 1.0)) for c in cols}
+        return YeoJohnsonModel.of(self, {"lambdas": lambdas})
+
+
+def _pick(rows, base) -> dict[str, float]:
+    """Best lambda per column from (column, lam, var_pop) rows; ties to the smaller lambda."""
+    scored: dict[str, list] = {}
+    for r in rows:
+        n, s = base.get(r["column"], (0, 0.0))
+        if r["v"] is None or r["v"] <= 0 or n == 0:
+            continue
+        scored.setdefault(r["column"], []).append((-(n / 2.0) * np.log(r["v"]) + (r["lam"] - 1) * s, -r["lam"], r["lam"]))
+    return {c: max(v)[2] for c, v in scored.items()}
 
 
 class YeoJohnsonModel(_FittedModel):

@@ -345,3 +345,31 @@ def _split_sql(f):
        + " UNION ALL ".join(f"({_split_sql(f)})" for f in ["value", "k", "h"]) + ")")
 def f11_best_split(spark, sf):
     return finish(D.best_split_table(t1_events(spark, sf), ["value", "k", "h"], "y"))
+
+
+# ------------------------------------------------------------------ E17 setup and the whole run (rows-only)
+from sparkselect.operators.roles import Roles  # noqa: E402
+from sparkselect.plans import auto as A  # noqa: E402
+
+
+def _t1_cfg(**kw):
+    return A.AutoConfig(roles=Roles(target="y", numeric=["value", "k", "h"], categorical=["event_type"]), **kw)
+
+
+@query("e17_setup_summary")
+def e17_setup_summary(spark, sf):
+    df = t1_events(spark, sf).withColumn("y", F.col("y").cast("string"))
+    tr, _ = S.holdout(df, "event_id")
+    _, summary = A.setup(tr, _t1_cfg())
+    return finish(summary)
+
+
+@query("auto_run_t1")
+def auto_run_t1(spark, sf):
+    """The whole path of SURVEY 3.3 on T1 with a short menu: the final comparison table."""
+    df = t1_events(spark, sf).withColumn("y", F.col("y").cast("string"))
+    cfg = _t1_cfg(models=["nb", "dummy", "lda", "qda", "ridge"], folds=3, n_select=2, tune_iter=1, ensemble_n=3,
+                  flags={"imputation": "simple", "normalize": True, "transformation": True,
+                         "combine_rare_levels": True, "rare_level_threshold": 0.1, "remove_perfect_collinearity": True})
+    out = A.run(df, None, cfg, key="event_id")
+    return finish(out["metric_table"])
