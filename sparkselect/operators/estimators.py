@@ -102,22 +102,48 @@ def with_scores(df: DataFrame, model: CustomModel, raw: list[Column], probs: boo
     return out.drop("__raw")
 
 
+_MOMENTS_CACHE: dict | None = None
+
+
+class shared_moments:
+    """Context in which ``class_moments`` results are reused for identical inputs
+    (same analysed plan, columns and weights), e.g. LDA, QDA and ridge fitted on
+    one training table share one pass."""
+
+    def __enter__(self):
+        global _MOMENTS_CACHE
+        self._prev = _MOMENTS_CACHE
+        _MOMENTS_CACHE = {}
+        return self
+
+    def __exit__(self, *exc):
+        global _MOMENTS_CACHE
+        _MOMENTS_CACHE = self._prev
+        return False
+
+
 def class_moments(df: DataFrame, features_col: str, label_col: str, weight: Column | None = None):
     """Per class: weight sum, row count, mean and centred scatter matrix.
 
-    One cheap pass takes a global shift; a second pass forms partial sums per
-    (partition, class) with NumPy inside the tasks, and Spark adds them up by
-    class. Nothing larger than classes x p^2 numbers reaches the driver.
+    Values are shifted by one data row (read with a one-row limit) to keep the
+    sums well conditioned; one pass forms partial sums per (partition, class)
+    with NumPy inside the tasks, and Spark adds them up by class. Nothing
+    larger than classes x p^2 numbers reaches the driver.
     Returns (classes, wsum, count, means[K,p], scatter[K,p,p]).
     """
     base = df.select(F.col(label_col).cast("double").alias("l"),
                      (weight if weight is not None else F.lit(1.0)).alias("w"),
                      vector_to_array(F.col(features_col), "float64").alias("x")) \
         .where(F.col("l").isNotNull())
-    first = base.select(Summarizer.mean(array_to_vector("x")).alias("m")).first()
-    if first is None or first["m"] is None:
+    key = None
+    if _MOMENTS_CACHE is not None:
+        key = base.semanticHash()
+        if key in _MOMENTS_CACHE:
+            return _MOMENTS_CACHE[key]
+    first = base.where(~F.exists("x", lambda v: F.isnan(v))).select("x").first()
+    if first is None:
         raise ValueError("no rows to fit")
-    shift = np.asarray(first["m"].toArray(), dtype=float)
+    shift = np.asarray(first["x"], dtype=float)
     p = len(shift)
 
     def partial(it):
@@ -156,4 +182,7 @@ def class_moments(df: DataFrame, features_col: str, label_col: str, weight: Colu
         d = s / wsum[i]
         means[i] = d + shift
         scat[i] = ss - wsum[i] * np.outer(d, d)
-    return classes, wsum, cnt, means, scat
+    out = (classes, wsum, cnt, means, scat)
+    if key is not None:
+        _MOMENTS_CACHE[key] = out
+    return out

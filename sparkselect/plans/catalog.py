@@ -266,14 +266,16 @@ SELECT model, n, {O.rounded(M)}, CAST(CASE WHEN r = 1 THEN 1 ELSE 0 END AS BIGIN
 def t1_model_selection(spark, sf):
     """Flagship: hash split of T1, five closed-form models fitted
     on train, test rows scored, one-pass metric table, winner by accuracy."""
+    from sparkselect.operators.estimators import shared_moments
     df = t1_events(spark, sf)
     tr, te = S.holdout(df, "event_id")
     tr = tr.withColumn("label", F.col("y").cast("double"))
     scored = te.select("event_id", "value", "k", "h", "y")
-    for code, (cols, _) in FLAG_MODELS.items():
-        model = make_estimator(code, features=f"f_{code}").fit(assemble(tr, cols, f"f_{code}"))
-        scored = model.transform(assemble(scored, cols, f"f_{code}")) \
-            .withColumn(f"p_{code}", F.col("prediction")).drop("prediction", "probability", "rawPrediction", f"f_{code}")
+    with shared_moments():  # LDA, QDA and ridge share one pass of class moments
+        for code, (cols, _) in FLAG_MODELS.items():
+            model = make_estimator(code).fit(assemble(tr, cols))
+            scored = model.transform(assemble(scored, cols)) \
+                .withColumn(f"p_{code}", F.col("prediction")).drop("prediction", "probability", "rawPrediction", "features")
     table_ = metric_table(scored, "y", {m: f"p_{m}" for m in FLAG_MODELS})
     ranked = select_best_flag(table_, "Accuracy", list(FLAG_MODELS))
     return finish(ranked)
