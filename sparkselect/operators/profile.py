@@ -442,8 +442,9 @@ def profile_datetime(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     summ = df.agg(F.min(c).alias("min"), F.max(c).alias("max")).select(
         F.lit(column).alias("column"), F.date_format("min", "yyyy-MM-dd HH:mm:ss").alias("min"),
         F.date_format("max", "yyyy-MM-dd HH:mm:ss").alias("max"),
-        ((F.unix_timestamp(F.col("max").cast("timestamp")) - F.unix_timestamp(F.col("min").cast("timestamp")))
-         / 86400.0).alias("span_days"))
+        # difference of wall-clock values: independent of the session time zone
+        (F.timestamp_diff("MICROSECOND", F.col("min").cast("timestamp_ntz"), F.col("max").cast("timestamp_ntz"))
+         / 86400e6).alias("span_days"))
     per = df.where(c.isNotNull()).groupBy(F.date_format(F.date_trunc("month", c), "yyyy-MM").alias("month")) \
         .agg(F.count("*").cast("bigint").alias("rows"))
     return summ, per
