@@ -52,7 +52,7 @@ def d1_profile_overview_dups(spark, sf):
 _D2 = """SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS count, CAST(count(*) - count({c}) AS BIGINT) AS missing,
   CAST(count(DISTINCT {c}) AS BIGINT) AS distinct, CAST(sum(CASE WHEN {c} = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros,
   CAST(sum(CASE WHEN {c} < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives,
-  round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(avg({c}), 6) AS mean, round(sum({c}), 6) AS sum,
+  round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(avg({c}), 9) AS mean, round(sum({c}), 6) AS sum,
   round(stddev_samp({c}), 6) AS std, round(var_samp({c}), 6) AS variance,
   round(stddev_samp({c}) / avg({c}), 6) AS cv,
   round(avg(power({c} - m, 3)) / power(var_pop({c}), 1.5), 6) AS skewness,
@@ -66,7 +66,7 @@ FROM lineitem, (SELECT avg({c}) AS m FROM lineitem) a,
 @query("d2_profile_numeric", U(LNUM, _D2))
 def d2_profile_numeric(spark, sf):
     li = table(spark, sf, "lineitem")
-    return finish(P.profile_numeric(li, LNUM))
+    return finish(P.profile_numeric(li, LNUM), overrides={"mean": 9})
 
 
 _D2N = """SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS count, CAST(count(*) - count({c}) AS BIGINT) AS missing,

@@ -10,12 +10,16 @@ from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, Long
 INTS = (ByteType, ShortType, IntegerType, LongType)
 
 
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round floats and widen integers so results hash the same in any engine."""
+def finish(df: DataFrame, digits: int = 6, overrides: dict[str, int] | None = None) -> DataFrame:
+    """Round floats and widen integers so results hash the same in any engine.
+
+    ``overrides`` gives other digit counts per column (e.g. a mean whose exact value
+    ends in a 5 at the seventh decimal, where engines round a half differently)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            d = (overrides or {}).get(f.name, digits)
+            out.append(F.round(F.col(f.name).cast("double"), d).alias(f.name))
         elif isinstance(f.dataType, INTS):
             out.append(F.col(f.name).cast("bigint").alias(f.name))
         else:
