@@ -109,9 +109,23 @@ def median_abs_deviation(counts: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ D3
 def profile_quantiles(df: DataFrame, columns: Sequence[str] | None = None, probs: Sequence[float] = PROBS,
-                      counts: DataFrame | None = None) -> DataFrame:
-    """D3: interpolated quantiles (5/25/50/75/95%), range and IQR per column."""
+                      counts: DataFrame | None = None, approx: bool = False,
+                      accuracy: int = 10000) -> DataFrame:
+    """D3: interpolated quantiles (5/25/50/75/95%), range and IQR per column.
+
+    ``approx=True`` uses ``percentile_approx`` (one aggregation, bounded sketch
+    per column) instead of the exact sliced method."""
     cols = list(columns or numeric_columns(df))
+    if approx:
+        names = [f"p{int(round(p * 100)):02d}" for p in probs]
+        row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), list(probs), accuracy).alias(f"{c}__q")
+                       for c in cols], *[F.min(F.col(f"`{c}`")).alias(f"{c}__lo") for c in cols],
+                     *[F.max(F.col(f"`{c}`")).alias(f"{c}__hi") for c in cols])
+        out = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
+                                                      *[F.col(f"`{c}__q`")[i].alias(n) for i, n in enumerate(names)],
+                                                      (F.col(f"`{c}__hi`") - F.col(f"`{c}__lo`")).cast("double").alias("range"))
+                                             for c in cols])).alias("s")).select("s.*")
+        return out.withColumn("iqr", F.col("p75") - F.col("p25")) if "p75" in names and "p25" in names else out
     vc = counts if counts is not None else value_counts_long(df, cols)
     q = exact_quantiles(None, [], probs, counts=vc)
     names = {p: f"p{int(round(p * 100)):02d}" for p in probs}
@@ -163,9 +177,20 @@ def profile_categorical(df: DataFrame, columns: Sequence[str] | None = None, top
         (F.col("cnt") / F.col("__n")).alias("share"), "rank")
 
 
-def profile_distinct(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct values, values seen once, and whether the column is unique (exact)."""
+def profile_distinct(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """Distinct values, values seen once, and whether the column is unique (exact).
+
+    ``approx=True``: HyperLogLog distinct counts in one aggregation (seen_once is
+    then null and is_unique compares the estimate with the non-null count)."""
     cols = list(columns or df.columns)
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"{c}__d") for c in cols],
+                     *[F.count(F.col(f"`{c}`")).alias(f"{c}__n") for c in cols])
+        return row.select(F.explode(F.array(*[F.struct(
+            F.lit(c).alias("column"), F.col(f"`{c}__d`").cast("bigint").alias("distinct"),
+            F.lit(None).cast("bigint").alias("seen_once"),
+            (F.col(f"`{c}__d`") >= F.col(f"`{c}__n`")).cast("bigint").alias("is_unique")) for c in cols])).alias("s")) \
+            .select("s.*")
     lc = level_counts(df, cols)
     out = lc.groupBy("column").agg(F.count("*").cast("bigint").alias("distinct"),
                                    F.sum((F.col("cnt") == 1).cast("long")).cast("bigint").alias("seen_once"),

@@ -56,3 +56,14 @@ def test_running_totals_vs_cumsum(spark, xs, slices):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id long, x long")
     got = [r["s"] for r in running_totals(df, ["id"], {"s": "x"}, slices=slices).orderBy("id").collect()]
     assert got == list(np.cumsum(xs))
+
+
+def test_approx_profiles_close(spark):
+    from sparkselect.operators.profile import profile_distinct, profile_quantiles
+    from sparkselect.sources.io import table
+    li = table(spark, "/root/testdata/sf0.001", "lineitem")
+    ex = {r["column"]: r for r in profile_quantiles(li, ["l_quantity"]).collect()}
+    ap = {r["column"]: r for r in profile_quantiles(li, ["l_quantity"], approx=True).collect()}
+    assert abs(ex["l_quantity"]["p50"] - ap["l_quantity"]["p50"]) <= 1.0
+    d = profile_distinct(li, ["l_quantity"], approx=True).first()
+    assert abs(d["distinct"] - 50) <= 3
