@@ -170,8 +170,12 @@ def smote(df: DataFrame, label: str, key: str, features: list[str], k: int = 5,
     if need <= 0 or m < 2:
         return df.limit(0)
     kk = min(k, m - 1)
-    mino = VectorAssembler(inputCols=features, outputCol="__x").transform(df.where(F.col(label) == minority))
-    ranked = row_number_exact(mino, [md5_order(key, seed), F.col(key)], name="__r")
+    from sparkselect.session import materialize
+    cats = list(categorical or [])
+    mino = VectorAssembler(inputCols=features, outputCol="__x").transform(
+        df.where(F.col(label) == minority).select(key, *features, *cats, label))
+    # the minority rows are read by several passes: materialise them once
+    ranked = materialize(row_number_exact(mino, [md5_order(key, seed), F.col(key)], name="__r"))
     per, extra = divmod(need, m)
     ranked = ranked.withColumn("__copies", F.lit(per) + F.when(F.col("__r") <= extra, 1).otherwise(0))
     cand = knn_candidates(ranked, ranked, kk, key, key, "__x", "__x", exclude_self=True) \
@@ -184,7 +188,6 @@ def smote(df: DataFrame, label: str, key: str, features: list[str], k: int = 5,
     nbx = ranked.select(F.col(key).alias("__nb"), *[F.col(c).alias(f"__nb_{c}") for c in features])
     joined = copies.join(cand, (copies[key] == cand["__q"]) & (copies["__pick"] == cand["nb_rank"]), "inner") \
         .join(nbx, "__nb", "inner")
-    cats = list(categorical or [])
     out = joined.select(
         F.concat(F.col(key).cast("string"), F.lit("#"), F.col("copy").cast("string")).alias(key), "copy",
         *[(F.col(c) + F.col("__gap") * (F.col(f"__nb_{c}") - F.col(c))).alias(c) for c in features],

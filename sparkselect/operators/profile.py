@@ -17,6 +17,12 @@ from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, Ti
 
 from sparkselect.functions.ranking import (average_ranks, exact_quantiles, running_totals, top_k_per_group,
                                            value_counts_long)
+from sparkselect.session import materialize
+
+
+def _counts(df: DataFrame, cols: list[str], counts: DataFrame | None) -> DataFrame:
+    """(column, value, cnt), computed once and materialised for the several passes that read it."""
+    return counts if counts is not None else materialize(value_counts_long(df, cols))
 
 # Quantiles of the profile and alert thresholds.
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -85,7 +91,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
     stats = ["count", "missing", "zeros", "negatives", "min", "max", "mean", "sum", "std", "variance",
              "skewness", "kurtosis"]
     wide = _long(df.agg(*aggs), cols, stats)
-    vc = counts if counts is not None else value_counts_long(df, cols)
+    vc = _counts(df, cols, counts)
     distinct = vc.groupBy("column").agg(F.count("*").alias("distinct"))
     if with_mad:
         wide = wide.join(median_abs_deviation(vc), "column", "left")
@@ -102,8 +108,8 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
 def median_abs_deviation(counts: DataFrame) -> DataFrame:
     """(column, mad) from a (column, value, cnt) table: exact, two quantile passes over distinct values."""
     med = exact_quantiles(None, [], [0.5], counts=counts).select("column", F.col("value").alias("__med"))
-    dev = counts.join(F.broadcast(med), "column").groupBy(
-        "column", F.abs(F.col("value") - F.col("__med")).alias("value")).agg(F.sum("cnt").alias("cnt"))
+    dev = materialize(counts.join(F.broadcast(med), "column").groupBy(
+        "column", F.abs(F.col("value") - F.col("__med")).alias("value")).agg(F.sum("cnt").alias("cnt")))
     return exact_quantiles(None, [], [0.5], counts=dev).select("column", F.col("value").alias("mad"))
 
 
@@ -126,7 +132,7 @@ def profile_quantiles(df: DataFrame, columns: Sequence[str] | None = None, probs
                                                       (F.col(f"`{c}__hi`") - F.col(f"`{c}__lo`")).cast("double").alias("range"))
                                              for c in cols])).alias("s")).select("s.*")
         return out.withColumn("iqr", F.col("p75") - F.col("p25")) if "p75" in names and "p25" in names else out
-    vc = counts if counts is not None else value_counts_long(df, cols)
+    vc = _counts(df, cols, counts)
     q = exact_quantiles(None, [], probs, counts=vc)
     names = {p: f"p{int(round(p * 100)):02d}" for p in probs}
     wide = q.groupBy("column").agg(*[F.max(F.when(F.abs(F.col("prob") - p) < 1e-12, F.col("value"))).alias(n)
@@ -144,7 +150,7 @@ def profile_histogram(df: DataFrame, columns: Sequence[str] | None = None, bins:
     """Equal-width bins between min and max; the last bin includes the max.
     Every bin is listed (count 0 when empty)."""
     cols = list(columns or numeric_columns(df))
-    vc = counts if counts is not None else value_counts_long(df, cols)
+    vc = _counts(df, cols, counts)
     rng = vc.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     b = F.when(F.col("hi") > F.col("lo"),
                F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1,
@@ -257,8 +263,8 @@ def with_average_ranks(df: DataFrame, columns: Sequence[str], broadcast_limit: i
     that count is known to be small, else joined by a shuffle on the value
     (AQE splits a hot value on the row side).
     """
-    vc = value_counts_long(df, columns)
-    ranks = average_ranks(vc)
+    vc = materialize(value_counts_long(df, columns))
+    ranks = materialize(average_ranks(vc))
     sizes = {r["column"]: r["n"] for r in vc.groupBy("column").agg(F.count("*").alias("n")).collect()}
     out = df
     for c in columns:
@@ -374,7 +380,7 @@ def profile_extremes(df: DataFrame, columns: Sequence[str] | None = None, n: int
                      counts: DataFrame | None = None) -> DataFrame:
     """The n smallest and n largest distinct values per column, with counts."""
     cols = list(columns or numeric_columns(df))
-    vc = counts if counts is not None else value_counts_long(df, cols)
+    vc = _counts(df, cols, counts)
     low = top_k_per_group(vc, ["column"], [F.col("value").asc()], n, salt_col=F.abs(F.xxhash64("value")) % 16)
     high = top_k_per_group(vc, ["column"], [F.col("value").desc()], n, salt_col=F.abs(F.xxhash64("value")) % 16)
     return low.select("column", F.lit("min").alias("side"), "rank", "value", F.col("cnt").cast("bigint").alias("count")) \
@@ -478,7 +484,7 @@ def profile_datetime(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 def profile(df: DataFrame, key: str | None = None) -> dict[str, DataFrame]:
     """All sections as lazy DataFrames (A6 writes them)."""
     num, cat = numeric_columns(df), categorical_columns(df)
-    vc = value_counts_long(df, num) if num else None
+    vc = materialize(value_counts_long(df, num)) if num else None
     out = {"overview": profile_overview(df), "distinct": profile_distinct(df),
            "missing": profile_missing(df)[0], "alerts": profile_alerts(df, num, cat)}
     if num:

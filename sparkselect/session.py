@@ -61,3 +61,10 @@ def cut_lineage(df):
     """Reliable checkpoint (never a local one): survives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df):
+    """Write a derived table (typically an aggregate reused several times) to the
+    checkpoint folder once, so later passes read it instead of rescanning and
+    recomputing the source; also survives lost executors."""
+    return cut_lineage(df)
