@@ -17,6 +17,7 @@ from sparkselect.plans.catalog import NB_SQL, SPLIT
 from sparkselect.plans.common import assemble, finish
 from sparkselect.plans.registry import query
 from sparkselect.plans.tasks import t1_events
+from sparkselect.streaming.score import run_to_table, running_metrics, score_stream, table_stream
 
 M = O.METRIC_COLS
 SCORED = f"""{O.T1}, s AS (SELECT event_id, event_type, y, floor(value + k) / 600.0 AS score,
@@ -195,7 +196,6 @@ def j3_score_validation(spark, sf):
 
 
 # ------------------------------------------------------------------ streaming twins of J3 and H1-H7
-from sparkselect.streaming.score import run_to_table, running_metrics, score_stream, table_stream  # noqa: E402
 
 
 def _stream_t1(spark, sf):

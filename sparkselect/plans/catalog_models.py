@@ -11,6 +11,15 @@ from sparkselect.plans import oracle_sql as O
 from sparkselect.plans.common import assemble, finish
 from sparkselect.plans.registry import query
 from sparkselect.plans.tasks import t2_documents, t3_embeddings
+from sparkselect.operators import ensembles as EN
+from sparkselect.operators import select as G
+from sparkselect.plans.catalog import NB_SQL, RULES, _RULES_SQL, _rules
+from sparkselect.plans.tasks import t1_events
+from sparkselect.functions.hashing import SESSION_SEED
+from sparkselect.operators import diagnose as D
+from sparkselect.operators import prep as P
+from sparkselect.operators.roles import Roles
+from sparkselect.plans import auto as A
 
 DIST = ("list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), "
         "lambda x: (x[1] - x[2]) * (x[1] - x[2])))")
@@ -64,11 +73,6 @@ def e14_smote(spark, sf):
 
 
 # ------------------------------------------------------------------ built-in menu members (rows-only)
-from sparkselect.operators import ensembles as EN  # noqa: E402
-from sparkselect.operators import select as G  # noqa: E402
-from sparkselect.plans.catalog import NB_SQL, RULES, _RULES_SQL, _rules  # noqa: E402
-from sparkselect.plans.tasks import t1_events  # noqa: E402
-from sparkselect.functions.hashing import SESSION_SEED  # noqa: E402
 
 
 def _t1_xy(spark, sf, cols=("value", "k", "h")):
@@ -225,8 +229,6 @@ def g12_score(spark, sf):
 
 
 # ------------------------------------------------------------------ I1, I8-I11, I13, I14, E5, E11
-from sparkselect.operators import diagnose as D  # noqa: E402
-from sparkselect.operators import prep as P  # noqa: E402
 
 _COEF = {"value": 0.02, "k": 0.03, "h": -0.01}
 
@@ -348,8 +350,6 @@ def f11_best_split(spark, sf):
 
 
 # ------------------------------------------------------------------ E17 setup and the whole run (rows-only)
-from sparkselect.operators.roles import Roles  # noqa: E402
-from sparkselect.plans import auto as A  # noqa: E402
 
 
 def _t1_cfg(**kw):

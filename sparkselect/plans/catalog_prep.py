@@ -14,6 +14,11 @@ from sparkselect.plans.common import finish
 from sparkselect.plans.registry import query
 from sparkselect.plans.tasks import orders_with_nulls, t1_events
 from sparkselect.sources.io import null_if, table
+from sparkselect.functions.metrics import regression_metrics
+from sparkselect.operators.regression import make_regressor
+from sparkselect.plans.common import assemble
+from sparkselect.sources.io import preview, read_table, read_validation
+from sparkselect.plans.catalog import FLAG_MODELS
 
 T1N = f"""{O.T1}, t1n AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value, k, h, y FROM t1)"""
 
@@ -286,9 +291,6 @@ def e15_count_encode(spark, sf):
 
 
 # ------------------------------------------------------------------ K1 / K2 regression
-from sparkselect.functions.metrics import regression_metrics  # noqa: E402
-from sparkselect.operators.regression import make_regressor  # noqa: E402
-from sparkselect.plans.common import assemble  # noqa: E402
 
 
 @query("k1_linear_regression", """
@@ -332,8 +334,6 @@ def k1_regressor_menu(spark, sf):
 
 
 # ------------------------------------------------------------------ A1 / A2 / A4 / B8 / B9
-from sparkselect.sources.io import preview, read_table, read_validation  # noqa: E402
-from sparkselect.plans.catalog import FLAG_MODELS  # noqa: E402
 
 
 @query("a1_read_table", "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice FROM orders")
