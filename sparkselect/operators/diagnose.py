@@ -85,11 +85,13 @@ def threshold_table(scored: DataFrame, y: str, score: str, steps: int = 100) ->
     is_pos = (F.col(y) == 1).cast("double")
     per = scored.where(F.col(score).isNotNull()).groupBy(b.alias("b")).agg(
         F.sum(is_pos).alias("pos"), F.count("*").cast("double").alias("cnt"))
-    grid = per.sparkSession.range(0, steps + 1).select(F.col("id").cast("int").alias("i"))
-    # (steps + 1) x (steps + 2) bounded pairs: buckets at or above each threshold
     tot = per.agg(F.sum("pos").alias("P"), F.sum("cnt").alias("n"))
-    j = grid.join(F.broadcast(per), F.col("b") >= F.col("i"), "left").groupBy("i").agg(
-        F.coalesce(F.sum("pos"), F.lit(0.0)).alias("tp"), F.coalesce(F.sum("cnt"), F.lit(0.0)).alias("pp"))
+    # steps + 1 thresholds, each joined to its own bucket; counts at or above a
+    # threshold are a running sum from the top over these steps + 1 rows
+    grid = per.sparkSession.range(0, steps + 1).select(F.col("id").cast("int").alias("i"))
+    j = grid.join(F.broadcast(per), F.col("i") == F.col("b"), "left").fillna(0.0, ["pos", "cnt"])
+    top = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    j = j.select("i", F.sum("pos").over(top).alias("tp"), F.sum("cnt").over(top).alias("pp"))
     j = _one(j).join(F.broadcast(_one(tot)), "__k")
     prec = F.when(F.col("pp") > 0, F.col("tp") / F.col("pp")).otherwise(F.lit(0.0))
     rec = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(F.lit(0.0))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkselect.functions.hashing import hash_unit
-from sparkselect.operators.estimators import CustomEstimator, CustomModel, with_scores
+from sparkselect.operators.estimators import CustomEstimator, CustomModel, label_classes, with_scores
 from sparkselect.operators.persist import CompositePersistence
 from sparkselect.session import cut_lineage
 
@@ -100,7 +100,7 @@ class ExtraTreesClassifier(CustomEstimator):
         p = df.select(F.size(arr)).first()[0]
         ext = df.select(*[F.min(arr[i]).alias(f"lo{i}") for i in range(p)],
                         *[F.max(arr[i]).alias(f"hi{i}") for i in range(p)]).first()
-        classes = sorted(r[0] for r in df.select(F.col(label).cast("double")).distinct().collect())
+        classes = label_classes(df, label)
         trees, cuts = [], []
         for t in range(self.getOrDefault(self.numTrees)):
             rng = np.random.default_rng(self.getSeed() + t)
@@ -165,7 +165,7 @@ class AdaBoostClassifier(CustomEstimator):
 
     def _fit(self, df):
         feats, label = self.getFeaturesCol(), self.getLabelCol()
-        classes = sorted(r[0] for r in df.select(F.col(label).cast("double")).distinct().collect())
+        classes = label_classes(df, label)
         k = max(len(classes), 2)
         w0 = self._weight()
         cur = df.select(F.col(feats).alias("__f"), F.col(label).cast("double").alias("__y"), w0.alias("__w"))
@@ -270,7 +270,7 @@ class BaggingClassifier(CustomEstimator):
 
     def _fit(self, df):
         label = self.getLabelCol()
-        classes = sorted(r[0] for r in df.select(F.col(label).cast("double")).distinct().collect())
+        classes = label_classes(df, label)
         key = F.col(self.getOrDefault(self.keyCol)) if self.isDefined(self.keyCol) else \
             F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != self.getFeaturesCol()],
                                       vector_to_array(self.getFeaturesCol()))), 256)
@@ -325,7 +325,7 @@ class StackingClassifier(CustomEstimator):
 
     def _fit(self, df):
         label, fold = self.getLabelCol(), self.getOrDefault(self.foldCol)
-        classes = sorted(r[0] for r in df.select(F.col(label).cast("double")).distinct().collect())
+        classes = label_classes(df, label)
         k = len(classes)
         folds = sorted(r[0] for r in df.select(fold).distinct().collect())
         parts = []

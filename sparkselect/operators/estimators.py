@@ -66,6 +66,19 @@ class CustomModel(Model, _ClassifierParams, _FittedParams, DefaultParamsReadable
         return vector_to_array(F.col(self.getFeaturesCol()), "float64")
 
 
+MAX_CLASSES = 10_000
+
+
+def label_classes(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> list[float]:
+    """Sorted distinct label values; refuses a label with more than ``max_classes`` values
+    (it is not a class label), so the driver never receives an unbounded list."""
+    vals = [r[0] for r in df.select(F.col(label).cast("double").alias("l")).where("l is not null")
+            .distinct().limit(max_classes + 1).collect()]
+    if len(vals) > max_classes:
+        raise ValueError(f"label {label!r} has more than {max_classes} distinct values")
+    return sorted(vals)
+
+
 def dot(arr: Column, coef) -> Column:
     """Dot product of an array column with a literal vector."""
     lit = F.array(*[F.lit(float(c)) for c in coef])

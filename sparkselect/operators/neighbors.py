@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from sparkselect.functions.hashing import SESSION_SEED, hash_small, md5_order
 from sparkselect.functions.ranking import row_number_exact
-from sparkselect.operators.estimators import CustomEstimator, CustomModel
+from sparkselect.operators.estimators import CustomEstimator, CustomModel, label_classes
 from sparkselect.operators.persist import CompositePersistence
 
 BLOCK_ROWS = 50_000
@@ -107,7 +107,7 @@ class KNNClassifier(CustomEstimator):
 
     def _fit(self, df):
         label = self.getLabelCol()
-        classes = sorted(r[0] for r in df.select(F.col(label).cast("double")).distinct().collect())
+        classes = label_classes(df, label)
         key = self.getOrDefault(self.baseKeyCol) if self.isDefined(self.baseKeyCol) else None
         bk = F.col(key) if key else F.sha2(F.to_json(F.struct(vector_to_array(F.col(self.getFeaturesCol())),
                                                               F.col(label))), 256)
