@@ -126,65 +126,111 @@ class SimpleImputerModel(_FittedModel):
 
 # ------------------------------------------------------------------ E1 iterative imputer
 class IterativeImputer(Estimator, _Stage):
-    """Chained equations. Start from the mean; then for ``rounds`` rounds, for each
-    column with missing values (fewest missing first) fit least squares of the column on
-    all other columns over its observed rows and refill its missing rows.
+    """Chained equations (van Buuren & Groothuis-Oudshoorn 2011). Start from the mean
+    (numeric) or most frequent level (``categoricalCols``); then for ``rounds`` rounds, for
+    each column with missing values (fewest missing first) fit, over its observed rows,
+    least squares on all numeric columns (numeric target) or a decision tree on them
+    (categorical target), and refill its missing rows.
 
     Each round's table is cut from its lineage with a reliable checkpoint. The
-    model keeps every round's coefficients and replays the chain on new rows.
+    model keeps every round's coefficients and trees and replays the chain on new rows.
     """
 
     rounds = Param(Params._dummy(), "rounds", "rounds", TypeConverters.toInt)
+    categoricalCols = Param(Params._dummy(), "categoricalCols", "categorical columns", TypeConverters.toListString)
 
-    def __init__(self, inputCols=None, rounds=5):
+    def __init__(self, inputCols=None, rounds=5, categoricalCols=None):
         super().__init__()
-        self._setDefault(rounds=5)
-        self._init(inputCols, None, rounds=rounds)
+        self._setDefault(rounds=5, categoricalCols=[])
+        self._init(inputCols, None, rounds=rounds, categoricalCols=list(categoricalCols or []))
 
     def _fit(self, df):
+        from pyspark.ml.classification import DecisionTreeClassifier
+        from pyspark.ml.feature import StringIndexer, VectorAssembler
         from pyspark.ml.regression import LinearRegression
-        from pyspark.ml.feature import VectorAssembler
         from sparkselect.session import cut_lineage
         cols = self._ins()
-        miss = df.agg(*[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(c) for c in cols]).first()
-        order = sorted([c for c in cols if miss[c] > 0], key=lambda c: (miss[c], cols.index(c)))
-        means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in cols]).first()
-        work = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols],
+        cats = self.getOrDefault(self.categoricalCols)
+        allc = cols + cats
+        miss = df.agg(*[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(c) for c in allc]).first()
+        order = sorted([c for c in allc if miss[c] > 0], key=lambda c: (miss[c], allc.index(c)))
+        means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in cols]).first() if cols else {}
+        modes = SimpleImputer(cats, strategy="mode").fit(df)._state()["fill"] if cats else {}
+        work = df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(means[c])).alias(c) for c in cols],
+                         *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(modes.get(c))).alias(c) for c in cats],
                          *[F.col(f"`{c}`").isNull().alias(f"__m_{c}") for c in order])
-        work = work.select(*[F.coalesce(F.col(c), F.lit(means[c])).alias(c) for c in cols],
-                           *[f"__m_{c}" for c in order])
-        chain = []
+        chain, trees = [], []
         for _ in range(self.getOrDefault(self.rounds) if order else 0):
             for c in order:
                 others = [o for o in cols if o != c]
+                if not others:
+                    continue
                 va = VectorAssembler(inputCols=others, outputCol="__x")
                 obs = va.transform(work.where(~F.col(f"__m_{c}")))
-                lr = LinearRegression(featuresCol="__x", labelCol=c, solver="normal", regParam=0.0).fit(obs)
-                coef = [float(v) for v in lr.coefficients]
-                icpt = float(lr.intercept)
-                chain.append({"col": c, "others": others, "coef": coef, "icpt": icpt})
-                pred = F.lit(icpt) + sum((F.col(o) * F.lit(w) for o, w in zip(others, coef)), F.lit(0.0))
-                work = work.withColumn(c, F.when(F.col(f"__m_{c}"), pred).otherwise(F.col(c)))
+                if c in cols:
+                    lr = LinearRegression(featuresCol="__x", labelCol=c, solver="normal", regParam=0.0).fit(obs)
+                    coef, icpt = [float(v) for v in lr.coefficients], float(lr.intercept)
+                    chain.append({"col": c, "kind": "num", "others": others, "coef": coef, "icpt": icpt})
+                    pred = F.lit(icpt) + sum((F.col(o) * F.lit(w) for o, w in zip(others, coef)), F.lit(0.0))
+                    work = work.withColumn(c, F.when(F.col(f"__m_{c}"), pred).otherwise(F.col(c)))
+                else:
+                    si = StringIndexer(inputCol=c, outputCol="__ci", stringOrderType="alphabetAsc").fit(obs)
+                    dt = DecisionTreeClassifier(featuresCol="__x", labelCol="__ci", maxDepth=5, seed=123) \
+                        .fit(si.transform(obs))
+                    dt = dt.copy()
+                    dt._set(predictionCol="__cp", probabilityCol="__cpr", rawPredictionCol="__cr")
+                    chain.append({"col": c, "kind": "cat", "others": others, "labels": list(si.labels),
+                                  "tree": len(trees)})
+                    trees.append(dt)
+                    labels = F.array(*[F.lit(x) for x in si.labels])
+                    scored = dt.transform(va.transform(work)).drop("__x", "__cpr", "__cr")
+                    work = scored.withColumn(c, F.when(F.col(f"__m_{c}"),
+                                                       F.element_at(labels, F.col("__cp").cast("int") + 1))
+                                             .otherwise(F.col(c))).drop("__cp")
             work = cut_lineage(work)
-        return IterativeImputerModel.of(self, {"means": {c: means[c] for c in cols}, "chain": chain})
+        m = IterativeImputerModel.of(self, {"means": {c: means[c] for c in cols}, "modes": modes, "chain": chain})
+        m.trees = trees
+        return m
 
 
 class IterativeImputerModel(_FittedModel):
     rounds = IterativeImputer.rounds
+    categoricalCols = IterativeImputer.categoricalCols
+    trees: list = []
+    _sub_models = ("trees",)
+
+    def write(self):
+        from sparkselect.operators.persist import CompositeWriter
+        return CompositeWriter(self)
+
+    @classmethod
+    def read(cls):
+        from sparkselect.operators.persist import CompositeReader
+        return CompositeReader(cls)
 
     def _transform(self, df):
+        from pyspark.ml.feature import VectorAssembler
         st = self._state()
         cols = self._ins()
-        cur = {c: F.col(f"`{c}`").cast("double") for c in cols}
-        isnull = {c: F.col(f"`{c}`").isNull() for c in cols}
-        filled = {c: F.coalesce(cur[c], F.lit(st["means"][c])) for c in cols}
+        cats = self.getOrDefault(self.categoricalCols)
+        flags = {c: f"__m_{c}" for c in cols + cats}
+        cur = df.select("*", *[F.col(f"`{c}`").isNull().alias(flags[c]) for c in cols + cats])
+        cur = _replace(cur, {**{c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(st["means"][c])) for c in cols},
+                             **{c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(st["modes"].get(c)))
+                                for c in cats}})
         for step in st["chain"]:
             c = step["col"]
-            pred = F.lit(step["icpt"]) + sum((filled[o] * F.lit(w) for o, w in zip(step["others"], step["coef"])),
-                                             F.lit(0.0))
-            filled[c] = F.when(isnull[c], pred).otherwise(cur[c])
-        # materialise the replayed chain once per row
-        return _replace(df, {c: filled[c] for c in cols})
+            if step["kind"] == "num":
+                pred = F.lit(step["icpt"]) + sum((F.col(f"`{o}`") * F.lit(w) for o, w in zip(step["others"], step["coef"])),
+                                                 F.lit(0.0))
+                cur = cur.withColumn(c, F.when(F.col(flags[c]), pred).otherwise(F.col(f"`{c}`")))
+            else:
+                va = VectorAssembler(inputCols=step["others"], outputCol="__x")
+                labels = F.array(*[F.lit(x) for x in step["labels"]])
+                scored = self.trees[step["tree"]].transform(va.transform(cur)).drop("__x", "__cpr", "__cr")
+                cur = scored.withColumn(c, F.when(F.col(flags[c]), F.element_at(labels, F.col("__cp").cast("int") + 1))
+                                        .otherwise(F.col(f"`{c}`"))).drop("__cp")
+        return cur.drop(*flags.values())
 
 
 # ------------------------------------------------------------------ E2 robust scaler

@@ -56,3 +56,22 @@ def test_generated_feature_count(spark):
     g = P.FeatureGenerator(["a", "b", "c"])
     assert len(g.generated()) == 3 + 6 + 3
     assert g.transform(df).first()["a_div_c"] == 0.0
+
+
+def test_iterative_imputer_categorical_and_persist(spark, tmp_path_factory):
+    from pyspark.ml import Pipeline, PipelineModel
+    rows = []
+    for i in range(400):
+        x = float(i % 40)
+        c = "hi" if x >= 20 else "lo"
+        rows.append((i, x, x * 2 + 1 if i % 9 else None, None if i % 7 == 0 else c))
+    df = spark.createDataFrame(rows, "id long, x double, z double, c string")
+    pm = Pipeline(stages=[P.IterativeImputer(["x", "z"], rounds=2, categoricalCols=["c"])]).fit(df)
+    out = pm.transform(df)
+    assert out.where("c is null or z is null").count() == 0
+    wrong = out.where("(x >= 20 and c <> 'hi') or (x < 20 and c <> 'lo')").count()
+    assert wrong == 0
+    path = str(tmp_path_factory.mktemp("ii"))
+    pm.write().overwrite().save(path)
+    back = PipelineModel.load(path).transform(df)
+    assert sorted(back.select("id", "c", "z").collect()) == sorted(out.select("id", "c", "z").collect())
