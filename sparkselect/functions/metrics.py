@@ -26,6 +26,14 @@ def metric_name(name: str) -> str:
     return METRIC_ALIASES[key]
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson r over rows where both are present: covar_pop / (sd_pop sd_pop); null (not an
+    ANSI division error) when a column is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    aa, bb = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(aa, bb), F.stddev_pop(aa) * F.stddev_pop(bb))
+
+
 def confusion_counts(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., y, yhat, cnt) over rows with both labels present."""
     return df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull()).groupBy(

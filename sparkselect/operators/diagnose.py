@@ -222,7 +222,8 @@ def model_coefficients(model, features: list[str]) -> dict[str, float] | None:
         if hasattr(model, attr):
             try:
                 v = getattr(model, attr)
-                arr = v.toArray() if hasattr(v, "toArray") else _np.asarray(v)
+                v = v() if callable(v) else v
+                arr = v.toArray() if hasattr(v, "toArray") else _np.asarray(v, dtype=float)
                 if arr.ndim == 2:
                     arr = arr[-1] - arr[0]
                 return dict(zip(features, arr.tolist()))

@@ -312,9 +312,9 @@ class StackingClassifier(CustomEstimator):
     def _meta_cols(self, scored: DataFrame, i: int, k: int) -> list[Column]:
         if "probability" in scored.columns:
             arr = vector_to_array("probability")
-            return [arr[j].alias(f"__s{i}_{j}") for j in range(1 if k == 2 else 0, k)]
+            return [arr[j].alias(f"__stk{i}_{j}") for j in range(1 if k == 2 else 0, k)]
         arr = vector_to_array("rawPrediction")
-        return [arr[j].alias(f"__s{i}_{j}") for j in range(1 if k == 2 else 0, k)]
+        return [arr[j].alias(f"__stk{i}_{j}") for j in range(1 if k == 2 else 0, k)]
 
     def _scores(self, models: list, df: DataFrame, k: int) -> DataFrame:
         cur = df
@@ -335,7 +335,7 @@ class StackingClassifier(CustomEstimator):
         oof = parts[0]
         for p in parts[1:]:
             oof = oof.unionByName(p)
-        meta_in = [c for c in oof.columns if c.startswith("__s")]
+        meta_in = [c for c in oof.columns if c.startswith("__stk")]
         va = VectorAssembler(inputCols=[*meta_in, self.getFeaturesCol()], outputCol="__meta")
         meta = (self.meta or LogisticRegression(maxIter=100, regParam=0.01)).copy()
         meta = meta.copy({meta.featuresCol: "__meta", meta.labelCol: label})
@@ -362,7 +362,7 @@ class StackingModel(CompositePersistence, CustomModel):
             cur = sc.select(*[F.col(f"`{c}`") for c in cur.columns],
                             *StackingClassifier._meta_cols(None, sc, i, self.k))  # type: ignore[arg-type]
         out = self.meta_model.transform(self.assembler.transform(cur))
-        drop = [c for c in out.columns if c.startswith("__s")] + ["__meta"]
+        drop = [c for c in out.columns if c.startswith("__stk")] + ["__meta"]
         return out.drop(*drop)
 
 

@@ -442,11 +442,11 @@ class RareLevelCombinerModel(_FittedModel):
 # ------------------------------------------------------------------ E10 / E13 correlation filters
 def correlation_matrix(df: DataFrame, cols: list[str], target: str | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """p x p Pearson matrix (and correlations with the target) from one aggregation."""
-    aggs = [F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"{i}_{j}")
+    from sparkselect.functions.metrics import safe_corr
+    aggs = [safe_corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"{i}_{j}")
             for (i, a), (j, b) in combinations(list(enumerate(cols)), 2)]
     if target:
-        aggs += [F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{target}`").cast("double")).alias(f"t_{i}")
-                 for i, a in enumerate(cols)]
+        aggs += [safe_corr(F.col(f"`{a}`"), F.col(f"`{target}`")).alias(f"t_{i}") for i, a in enumerate(cols)]
     row = df.agg(*aggs).first() if aggs else None
     p = len(cols)
     r = np.eye(p)

@@ -249,8 +249,8 @@ def profile_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Pearson r for every pair of numeric columns, one aggregation."""
     cols = list(columns or numeric_columns(df))
     pairs = list(combinations(cols, 2))
-    row = df.agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"{a}__{b}")
-                   for a, b in pairs])
+    from sparkselect.functions.metrics import safe_corr
+    row = df.agg(*[safe_corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"{a}__{b}") for a, b in pairs])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
                                                    F.col(f"`{a}__{b}`").alias("r")) for a, b in pairs]))
                       .alias("s")).select("s.*")
