@@ -218,12 +218,12 @@ def profile_missing(df: DataFrame, columns: Sequence[str] | None = None) -> tupl
     # correlation of 0/1 flags from the sums; columns without nulls give null, not an error
     n_ = F.col("__n")
     for a, b in pairs:
-        ma, mb = F.col(f"`{a}__missing`") / n_, F.col(f"`{b}__missing`") / n_
-        cov = F.col(f"`{a}__{b}__both`") / n_ - ma * mb
+        ma, mb = F.try_divide(F.col(f"`{a}__missing`"), n_), F.try_divide(F.col(f"`{b}__missing`"), n_)
+        cov = F.try_divide(F.col(f"`{a}__{b}__both`"), n_) - ma * mb
         row = row.withColumn(f"{a}__{b}__corr", F.try_divide(cov, F.sqrt((ma - ma * ma) * (mb - mb * mb))))
     per = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                                   F.col(f"`{c}__missing`").cast("bigint").alias("missing"),
-                                                  (F.col(f"`{c}__missing`") / F.col("__n")).alias("share"))
+                                                  F.try_divide(F.col(f"`{c}__missing`"), F.col("__n")).alias("share"))
                                          for c in cols])).alias("r")).select("r.*")
     if not pairs:
         return per, per.limit(0)

@@ -67,3 +67,11 @@ def test_approx_profiles_close(spark):
     assert abs(ex["l_quantity"]["p50"] - ap["l_quantity"]["p50"]) <= 1.0
     d = profile_distinct(li, ["l_quantity"], approx=True).first()
     assert abs(d["distinct"] - 50) <= 3
+
+
+def test_empty_table_profiles(spark):
+    from sparkselect.operators.profile import profile_missing, profile_quantiles
+    df = spark.createDataFrame([], "x double, y double")
+    per, pairs = profile_missing(df, ["x", "y"])
+    assert per.count() == 2 and pairs.count() == 0
+    assert profile_quantiles(df, ["x"]).count() == 0
