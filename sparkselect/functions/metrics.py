@@ -93,8 +93,12 @@ def metrics_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def classification_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:
-    """H1-H7 per group of ``by`` for truth ``y`` and predicted label ``yhat``."""
-    return metrics_from_counts(confusion_counts(df, y, yhat, by), by)
+    """H1-H7 per group of ``by`` for truth ``y`` and predicted label ``yhat``.
+
+    The confusion counts (groups x classes^2 rows) are materialised once, so
+    the scored rows are read by a single pass however many tables follow."""
+    from sparkselect.session import materialize
+    return metrics_from_counts(materialize(confusion_counts(df, y, yhat, by)), by)
 
 
 def stack_predictions(df: DataFrame, y: str, pred_cols: dict[str, str], name: str = "model") -> DataFrame:

@@ -23,10 +23,12 @@ def _one(df: DataFrame) -> DataFrame:
 
 def score_counts(scored: DataFrame, y: str, score: str, by: Sequence[str] = (), positive=1) -> DataFrame:
     """(by..., score, pos, neg) per distinct score."""
+    from sparkselect.session import materialize
     is_pos = (F.col(y) == positive).cast("double")
-    return scored.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(
+    # one row per distinct score, read by several passes: materialised once
+    return materialize(scored.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(
         *by, F.col(score).cast("double").alias("score")
-    ).agg(F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg"))
+    ).agg(F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg")))
 
 
 def _cumulative_desc(sc: DataFrame, by: Sequence[str] = ()) -> DataFrame:

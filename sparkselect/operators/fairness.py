@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkselect.functions.metrics import METRICS, classification_metrics
+from sparkselect.functions.metrics import METRICS, classification_metrics, confusion_counts, metrics_from_counts
+from sparkselect.session import materialize
 
 
 def fairness(scored: DataFrame, y: str, yhat: str, sensitive: Sequence[str]) -> DataFrame:
@@ -21,8 +22,10 @@ def fairness(scored: DataFrame, y: str, yhat: str, sensitive: Sequence[str]) ->
                                                       F.col(f"`{c}`").cast("string").alias("level"))
                                              for c in sensitive])).alias("__s")) \
         .select("__y", "__yhat", "__s.column", "__s.level")
-    met = classification_metrics(long, "__y", "__yhat", ["column", "level"])
-    sel = long.groupBy("column", "level").agg(F.avg((F.col("__yhat") == 1).cast("double")).alias("selection_rate"))
+    counts = materialize(confusion_counts(long, "__y", "__yhat", ["column", "level"]))
+    met = metrics_from_counts(counts, ["column", "level"])
+    sel = counts.groupBy("column", "level").agg(
+        (F.sum(F.when(F.col("yhat") == 1, F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("selection_rate"))
     return met.join(sel, ["column", "level"]).select("column", "level", F.col("n").alias("rows"),
                                                      "selection_rate", *METRICS)
 

@@ -352,27 +352,26 @@ def kendall_tau_b(df: DataFrame, a: str, b: str, max_levels: int = 64) -> DataFr
 def profile_cramers_v(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Cramer's V (no bias correction) for every pair of categorical columns.
 
-    chi2 = n (sum n_ij^2 / (r_i c_j) - 1) needs only the non-empty cells.
+    chi2 = n (sum n_ij^2 / (r_i c_j) - 1) needs only the non-empty cells. All pairs
+    come from one pass: rows are stacked per pair, counted per cell, and the cell
+    table (materialised, small) gives the margins.
     """
     cols = list(columns or categorical_columns(df))
-    outs = []
-    for a, b in combinations(cols, 2):
-        sub = df.select(F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b")) \
-            .where("a is not null and b is not null")
-        cells = sub.groupBy("a", "b").agg(F.count("*").cast("double").alias("nij"))
-        ri = cells.groupBy("a").agg(F.sum("nij").alias("ri"))
-        cj = cells.groupBy("b").agg(F.sum("nij").alias("cj"))
-        s = cells.join(ri, "a").join(cj, "b").agg(
-            F.sum(F.col("nij") * F.col("nij") / (F.col("ri") * F.col("cj"))).alias("s"),
-            F.sum("nij").alias("n"), F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"))
-        k = F.least(F.col("r"), F.col("c")) - 1
-        chi2 = F.col("n") * (F.col("s") - 1)
-        outs.append(s.select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                             F.when(k > 0, F.sqrt(F.greatest(chi2, F.lit(0.0)) / F.col("n") / k)).alias("cramers_v")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    pairs = list(combinations(cols, 2))
+    keys = ["column_a", "column_b"]
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
+                 F.col(f"`{a}`").cast("string").alias("a"), F.col(f"`{b}`").cast("string").alias("b"))
+        for a, b in pairs])).alias("s")).select("s.*").where("a is not null and b is not null")
+    cells = materialize(stacked.groupBy(*keys, "a", "b").agg(F.count("*").cast("double").alias("nij")))
+    ri = cells.groupBy(*keys, "a").agg(F.sum("nij").alias("ri"))
+    cj = cells.groupBy(*keys, "b").agg(F.sum("nij").alias("cj"))
+    s = cells.join(ri, [*keys, "a"]).join(cj, [*keys, "b"]).groupBy(*keys).agg(
+        F.sum(F.col("nij") * F.col("nij") / (F.col("ri") * F.col("cj"))).alias("s"),
+        F.sum("nij").alias("n"), F.countDistinct("a").alias("r"), F.countDistinct("b").alias("c"))
+    k = F.least(F.col("r"), F.col("c")) - 1
+    chi2 = F.col("n") * (F.col("s") - 1)
+    return s.select(*keys, F.when(k > 0, F.sqrt(F.greatest(chi2, F.lit(0.0)) / F.col("n") / k)).alias("cramers_v"))
 
 
 # ------------------------------------------------------------------ D13
