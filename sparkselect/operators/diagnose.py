@@ -168,7 +168,8 @@ def deciles(scored: DataFrame, score: str, key: str, groups: int = 10, name: str
 
 def lift_table(scored: DataFrame, y: str, score: str, key: str, groups: int = 10) -> DataFrame:
     """Per decile of score (highest first): rows, positives, rate and lift over the base rate."""
-    d = deciles(scored.where(F.col(score).isNotNull()), score, key, groups)
+    from sparkselect.session import materialize
+    d = materialize(deciles(scored.where(F.col(score).isNotNull()).select(key, score, y), score, key, groups))
     per = d.groupBy("decile").agg(F.count("*").cast("bigint").alias("rows"),
                                   F.sum((F.col(y) == 1).cast("long")).cast("bigint").alias("positives"))
     base = d.agg(F.avg((F.col(y) == 1).cast("double")).alias("__base"))
