@@ -192,15 +192,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
 
 def top_k_per_group(df: DataFrame, group_by: Sequence[str], order_by: Sequence, k: int,
-                    name: str = "rank", salt_col: Column | None = None, salts: int = 16) -> DataFrame:
+                    name: str = "rank", salt_col: Column | None = None, salts: int | None = None) -> DataFrame:
     """Exact top-k rows per group with rank 1..k.
 
     A group may hold a third of all rows, so rows are first cut to the top k
-    inside (group, salt) pieces; the global top k is contained in the union of
-    those, which has at most salts x k rows per group.
+    inside (group, salt) pieces (salts default to the shuffle partition count,
+    so a piece is about group size / partitions); the global top k is contained
+    in the union of those, which has at most salts x k rows per group.
     """
     order = _cols(order_by)
-    salt = salt_col if salt_col is not None else F.abs(F.xxhash64(*[F.col(c) for c in df.columns])) % salts
+    n_salts = salts or max(16, _slices(df, None))
+    salt = salt_col if salt_col is not None else F.abs(F.xxhash64(*[F.col(c) for c in df.columns])) % n_salts
     pre = df.withColumn("__salt", salt)
     w1 = Window.partitionBy(*group_by, "__salt").orderBy(*order)
     pre = pre.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k).drop("__r", "__salt")

@@ -345,6 +345,19 @@ def rfe_table(estimator, df: DataFrame, features: list[str], label: str = "label
 LEARNING_STEPS = [0.1, 0.325, 0.55, 0.775, 1.0]
 
 
+def learning_sizes(df: DataFrame, key: str, fold: str = "fold", steps=None, seed: int = 123) -> DataFrame:
+    """I9 sample sizes: training rows per (step, fold) of the nested hash samples."""
+    steps = list(steps or LEARNING_STEPS)
+    u = hash_unit(key, seed)
+    folds = df.select(fold).distinct()
+    rows = df.select(F.col(fold).alias("__f"), u.alias("__u")).withColumn(
+        "share", F.explode(F.array(*[F.lit(float(s)) for s in steps]))).where(F.col("__u") < F.col("share"))
+    per = rows.groupBy("share", "__f").agg(F.count("*").alias("n"))
+    tot = per.groupBy("share").agg(F.sum("n").alias("all"))
+    return per.join(tot, "share").select("share", F.col("__f").alias("fold"),
+                                         (F.col("all") - F.col("n")).cast("bigint").alias("train_rows"))
+
+
 def learning_table(estimator, df: DataFrame, key: str, label: str = "label", fold: str = "fold",
                    metric: str = "accuracy", steps=LEARNING_STEPS, seed: int = 123) -> DataFrame:
     """Train rows, train metric and CV metric at nested hash samples of the training folds."""

@@ -380,8 +380,8 @@ def profile_extremes(df: DataFrame, columns: Sequence[str] | None = None, n: int
     """The n smallest and n largest distinct values per column, with counts."""
     cols = list(columns or numeric_columns(df))
     vc = _counts(df, cols, counts)
-    low = top_k_per_group(vc, ["column"], [F.col("value").asc()], n, salt_col=F.abs(F.xxhash64("value")) % 16)
-    high = top_k_per_group(vc, ["column"], [F.col("value").desc()], n, salt_col=F.abs(F.xxhash64("value")) % 16)
+    low = top_k_per_group(vc, ["column"], [F.col("value").asc()], n)
+    high = top_k_per_group(vc, ["column"], [F.col("value").desc()], n)
     return low.select("column", F.lit("min").alias("side"), "rank", "value", F.col("cnt").cast("bigint").alias("count")) \
         .unionByName(high.select("column", F.lit("max").alias("side"), "rank", "value",
                                  F.col("cnt").cast("bigint").alias("count")))

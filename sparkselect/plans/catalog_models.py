@@ -373,3 +373,16 @@ def auto_run_t1(spark, sf):
                          "combine_rare_levels": True, "rare_level_threshold": 0.1, "remove_perfect_collinearity": True})
     out = A.run(df, None, cfg, key="event_id")
     return finish(out["metric_table"])
+
+
+@query("i9_learning_sizes", f"""
+WITH {O.T1},
+fo AS (SELECT event_id, (row_number() OVER (PARTITION BY y ORDER BY md5(concat('123:', CAST(event_id AS VARCHAR))), event_id) - 1) % 3 AS fold,
+              {O.bucket('event_id', 123)} / 4294967296.0 AS u FROM t1),
+st AS (SELECT CAST(unnest([0.1, 0.325, 0.55, 0.775, 1.0]) AS DOUBLE) AS share),
+pf AS (SELECT share, fold, count(*) AS n FROM fo, st WHERE u < share GROUP BY ALL)
+SELECT share, CAST(fold AS BIGINT) AS fold,
+       CAST(sum(n) OVER (PARTITION BY share) - n AS BIGINT) AS train_rows FROM pf""")
+def i9_learning_sizes(spark, sf):
+    f = S.stratified_folds(t1_events(spark, sf), "y", "event_id", 3)
+    return finish(D.learning_sizes(f, "event_id", "fold"))
