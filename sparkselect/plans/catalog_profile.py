@@ -39,7 +39,7 @@ def d1_profile_overview(spark, sf):
 WITH d AS (SELECT coalesce(sum(cnt - 1), 0) AS dup FROM (
         SELECT count(*) AS cnt FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity HAVING count(*) > 1))
 SELECT CAST(count(*) AS BIGINT) AS rows, CAST(3 AS BIGINT) AS columns, CAST(0 AS BIGINT) AS missing_cells,
-       round(0.0, 6) AS missing_share, CAST(max(d.dup) AS BIGINT) AS duplicate_rows,
+       CAST(0.0 AS DOUBLE) AS missing_share, CAST(max(d.dup) AS BIGINT) AS duplicate_rows,
        round(max(d.dup) / count(*), 6) AS duplicate_share,
        CAST(1 AS BIGINT) AS numeric_columns, CAST(2 AS BIGINT) AS categorical_columns,
        CAST(0 AS BIGINT) AS datetime_columns
