@@ -147,6 +147,21 @@ class ExtraTreesModel(CompositePersistence, CustomModel):
 
 
 # ------------------------------------------------------------------ F9 / G6
+def samme_step(df: DataFrame, y: str, yhat: str, w: str, k: int) -> tuple[DataFrame, float | None, float | None]:
+    """One SAMME round given a learner's predictions: weighted error e,
+    alpha = ln((1-e)/e) + ln(K-1), and the new weights w exp(alpha [miss]) renormalised
+    to sum 1. Returns (rows with ``w_next``, e, alpha); alpha is None when e is 0 or
+    no better than chance (1 - 1/K)."""
+    miss = (F.col(yhat) != F.col(y)).cast("double")
+    e = df.agg(F.sum(F.col(w) * miss) / F.sum(w)).first()[0]
+    if e is None or e <= 0 or e >= 1.0 - 1.0 / k:
+        return df.withColumn("w_next", F.col(w)), e, None
+    alpha = math.log((1 - e) / e) + math.log(k - 1)
+    grown = df.withColumn("__g", F.col(w) * F.exp(F.lit(alpha) * miss))
+    tot = grown.agg(F.sum("__g")).first()[0]
+    return grown.withColumn("w_next", F.col("__g") / F.lit(tot)).drop("__g"), e, alpha
+
+
 class AdaBoostClassifier(CustomEstimator):
     """SAMME (Zhu et al. 2009). Round t fits the base learner (a depth-1 tree by
     default) with the current weights; e = weighted error; alpha = ln((1-e)/e) + ln(K-1);
@@ -180,26 +195,22 @@ class AdaBoostClassifier(CustomEstimator):
             if base.hasParam("seed"):
                 base = base.copy({base.getParam("seed"): self.getSeed() + t})
             m = base.fit(cur)
-            scored = m.transform(cur).select("__f", "__y", "__w", (F.col("prediction") != F.col("__y")).cast("double").alias("__miss"))
-            e = scored.agg(F.sum(F.col("__w") * F.col("__miss")) / F.sum("__w")).first()[0]
-            if e is None or e >= 1.0 - 1.0 / k:
-                if not members:  # keep one learner so the model can score
+            scored = m.transform(cur).select("__f", "__y", "__w", F.col("prediction").alias("__p"))
+            nxt, e, alpha = samme_step(scored, "__y", "__p", "__w", k)
+            if alpha is None:
+                if e is not None and e <= 0:  # perfect learner: keep it with a large weight and stop
+                    members.append(m)
+                    alphas.append(10.0 + math.log(k - 1))
+                    errors.append(0.0)
+                elif not members:  # keep one learner so the model can score
                     members.append(m)
                     alphas.append(1.0)
                     errors.append(e)
                 break
-            if e <= 0:
-                members.append(m)
-                alphas.append(10.0 + math.log(k - 1))
-                errors.append(0.0)
-                break
-            alpha = math.log((1 - e) / e) + math.log(k - 1)
             members.append(m)
             alphas.append(alpha)
             errors.append(e)
-            cur = scored.select("__f", "__y", (F.col("__w") * F.exp(F.lit(alpha) * F.col("__miss"))).alias("__w"))
-            tot = cur.agg(F.sum("__w")).first()[0]
-            cur = cur.withColumn("__w", F.col("__w") / F.lit(tot))
+            cur = nxt.select("__f", "__y", F.col("w_next").alias("__w"))
             if (t + 1) % self.getOrDefault(self.checkpointEvery) == 0:
                 cur = cut_lineage(cur)
         model = self._copy_io(AdaBoostModel())

@@ -386,3 +386,36 @@ SELECT share, CAST(fold AS BIGINT) AS fold,
 def i9_learning_sizes(spark, sf):
     f = S.stratified_folds(t1_events(spark, sf), "y", "event_id", 3)
     return finish(D.learning_sizes(f, "event_id", "fold"))
+
+
+@query("f9_samme_round", f"""
+WITH {O.T1},
+r AS (SELECT event_id, y, CASE WHEN value > 50 THEN 1 ELSE 0 END AS yhat, 1.0 / count(*) OVER () AS w FROM t1),
+e AS (SELECT sum(CASE WHEN y <> yhat THEN w ELSE 0 END) / sum(w) AS err FROM r),
+a AS (SELECT err, ln((1 - err) / err) + ln(2 - 1) AS alpha FROM e),
+g AS (SELECT event_id, w * exp(alpha * CASE WHEN y <> yhat THEN 1 ELSE 0 END) AS gw FROM r, a)
+SELECT event_id, round(gw / sum(gw) OVER () * count(*) OVER (), 6) AS w_next_scaled,
+       round((SELECT err FROM a), 6) AS err, round((SELECT alpha FROM a), 6) AS alpha FROM g""")
+def f9_samme_round(spark, sf):
+    t = t1_events(spark, sf).withColumn("yhat", F.when(F.col("value") > 50, 1).otherwise(0))
+    n = t.count()
+    t = t.withColumn("w", F.lit(1.0 / n))
+    out, e, alpha = EN.samme_step(t, "y", "yhat", "w", 2)
+    return finish(out.select("event_id", (F.col("w_next") * F.lit(float(n))).alias("w_next_scaled"),
+                             F.lit(e).alias("err"), F.lit(alpha).alias("alpha")))
+
+
+@query("a3_a5_write_read_csv", """
+SELECT event_id, event_type, round(value, 6) AS value, CAST(CASE WHEN value > 50 THEN 1 ELSE 0 END AS BIGINT) AS "Predictions"
+FROM events""")
+def a3_a5_write_read_csv(spark, sf):
+    """A3/A5 round trip: predictions written as CSV (header, no index) and read back."""
+    import uuid
+    from sparkselect.session import checkpoint_dir
+    from sparkselect.sources.io import read_table, table, write_predictions
+    ev = table(spark, sf, "events").select("event_id", "event_type", "value",
+                                           F.when(F.col("value") > 50, 1).otherwise(0).cast("bigint").alias("Predictions"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex[:10]}"
+    write_predictions(ev, path)
+    back = read_table(spark, path, schema=ev.schema, fmt="csv")
+    return finish(back)
