@@ -311,10 +311,11 @@ def profile_kendall(df: DataFrame, columns: Sequence[str] | None = None, max_lev
     idx = {c: level_index(df, c, max_levels) for c in cols}
     pairs = list(combinations(cols, 2))
     keys = ["column_a", "column_b"]
-    cells = df.select(F.explode(F.array(*[
+    # at most pairs x max_levels^2 cells, read by four branches: materialised once
+    cells = materialize(df.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), idx[a][0].alias("ia"), idx[b][0].alias("ib"))
-        for a, b in pairs])).alias("s")).select("s.*").where("ia is not null and ib is not null") \
-        .groupBy(*keys, "ia", "ib").agg(F.count("*").cast("double").alias("n"))
+        for a, b in pairs])).alias("s")).select("s.*").where("ia is not null and ib is not null")
+        .groupBy(*keys, "ia", "ib").agg(F.count("*").cast("double").alias("n")))
     dims = cells.groupBy(*keys).agg(F.max("ia").alias("ma"), F.max("ib").alias("mb"))
     grid = dims.select(*keys, F.explode(F.sequence(F.lit(1), F.col("ma"))).alias("ia"), "mb") \
         .select(*keys, "ia", F.explode(F.sequence(F.lit(1), F.col("mb"))).alias("ib"))
