@@ -85,8 +85,9 @@ def threshold_table(scored: DataFrame, y: str, score: str, steps: int = 100) ->
     c = F.when(F.lit(1.0) * (c + 1) / steps <= s, c + 1).when(F.lit(1.0) * c / steps > s, c - 1).otherwise(c)
     b = F.when(s < 0, F.lit(-1)).when(s >= 1, F.lit(steps)).otherwise(c).cast("int")
     is_pos = (F.col(y) == 1).cast("double")
-    per = scored.where(F.col(score).isNotNull()).groupBy(b.alias("b")).agg(
-        F.sum(is_pos).alias("pos"), F.count("*").cast("double").alias("cnt"))
+    from sparkselect.session import materialize
+    per = materialize(scored.where(F.col(score).isNotNull()).groupBy(b.alias("b")).agg(
+        F.sum(is_pos).alias("pos"), F.count("*").cast("double").alias("cnt")))
     tot = per.agg(F.sum("pos").alias("P"), F.sum("cnt").alias("n"))
     # steps + 1 thresholds, each joined to its own bucket; counts at or above a
     # threshold are a running sum from the top over these steps + 1 rows
