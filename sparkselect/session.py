@@ -29,6 +29,8 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SPARKSELECT_DRIVER_MEMORY", "16g"))
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+        # checkpoint files of materialised tables go away once nothing references them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -66,5 +68,7 @@ def cut_lineage(df):
 def materialize(df):
     """Write a derived table (typically an aggregate reused several times) to the
     checkpoint folder once, so later passes read it instead of rescanning and
-    recomputing the source; also survives lost executors."""
+    recomputing the source; also survives lost executors. Set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have the files removed
+    when the table is no longer referenced."""
     return cut_lineage(df)
