@@ -40,7 +40,3 @@ def hash_small(key: Column | str, seed: int, digits: int = 2) -> Column:
     """Integer from the first ``digits`` hex digits of md5(seed:key)."""
     return F.conv(F.substring(F.md5(_keystr(key, seed)), 1, digits), 16, 10).cast("bigint")
 
-
-def row_key(cols: list[str]) -> Column:
-    """Key for tables without one: sha2 of all values (callers add a duplicate number)."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256)

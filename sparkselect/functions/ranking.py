@@ -35,10 +35,6 @@ def _cols(xs) -> list:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _names(xs) -> list[str]:
-    return [x for x in xs if isinstance(x, str)]
-
-
 def _slices(df: DataFrame, slices: int | None) -> int:
     if slices:
         return int(slices)
