@@ -303,3 +303,18 @@ SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS month, CAST(count(
 FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""")
 def d18_rows_per_month(spark, sf):
     return finish(P.profile_datetime(table(spark, sf, "orders"), "o_orderdate")[1])
+
+
+@query("a6_write_profile")
+def a6_write_profile(spark, sf):
+    """Every profile section of ``part`` written as Parquet and read back: (section, rows)."""
+    import uuid
+
+    from sparkselect.session import checkpoint_dir
+    from sparkselect.sources.io import write_profile
+    part = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand", "p_type")
+    sections = P.profile(part, key="p_partkey")
+    base = f"{checkpoint_dir(spark).rstrip('/')}/profile-{uuid.uuid4().hex[:10]}"
+    paths = write_profile(sections, base)
+    counts = [(name, spark.read.parquet(p).count()) for name, p in zip(sections, paths)]
+    return spark.createDataFrame(counts, "section string, rows bigint")
