@@ -66,6 +66,8 @@ def range_slice(df: DataFrame, keys: list, slices: int, single_rows: int | None
     pick = F.abs(F.xxhash64(*named)) % every == 0 if every > 1 else F.lit(True)
     sample = sorted({tuple(r) for r in df.select(*named).where(pick).collect()}, key=_sort_key)
     if len(sample) < 2:
+        if n <= SINGLE_SLICE_ROWS:
+            return None
         # above the single-slice limit a total order always yields many distinct sample keys
         raise ValueError("range_slice: order keys are not distinct enough to slice; end the order with a key")
     m = min(slices, len(sample)) - 1
