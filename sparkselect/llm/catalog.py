@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import near_duplicates, quality_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,8 @@ def query(name: str, sql: str | None = None):
 @query("op5_quality_rules", quality_rules.OP5_SQL)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op5_frame(table(spark, sf_dir, "documents"))
+
+
+@query("op8_minhash_near_dedup")
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.op8_frame(table(spark, sf_dir, "documents"))
