@@ -99,6 +99,10 @@ def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Pieces that a group is numbered in; fixed, so that ranks don't depend on the cluster.
+RANK_BUCKETS = 512
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Number the rows of each key group from 0, without gaps, by (bucket, order).
 
@@ -107,9 +111,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str = "rank")
     earlier buckets are added. ``df`` should be a written table, as it is read twice.
     Rows equal in ``order`` get different ranks in any order.
     """
-    buckets = max(1, partitions(df.sparkSession))
     b, before = "_bucket", "_before"
-    rows = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    rows = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)).cast("int"))
     counts = rows.groupBy(*keys, b).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         before, F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
