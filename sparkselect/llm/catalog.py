@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates, quality_rules, substring_dedup
+from . import near_duplicates, packing, plane_files, quality_rules, source_mixing, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,18 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_substring_dedup")
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.op1_frame(table(spark, sf_dir, "documents"))
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op3_frame(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_plane_files")
+def op4_token_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plane_files.op4_frame(table(spark, sf_dir, "documents"))
+
+
+@query("op9_source_mixing")
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.op9_frame(table(spark, sf_dir, "documents"))
