@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates, packing, plane_files, quality_rules, source_mixing, substring_dedup
+from . import lattice_lm, near_duplicates, packing, plane_files, quality_rules, source_mixing, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op4_token_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_source_mixing")
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.op9_frame(table(spark, sf_dir, "documents"))
+
+
+@query("op7_lattice_likelihood")
+def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.op7_frame(table(spark, sf_dir, "documents"))
