@@ -2,7 +2,7 @@
 
 The pieces and scores of an existing vocabulary give a first unigram distribution over
 pieces (a piece's probability falls with its rank: 1 / (1 - score), as its scores are ranks);
-one expectation step over all words of the training documents re-estimates it: every
+expectation steps over all words of the training documents re-estimate it: every
 segmentation of a word counts with its posterior weight, by a forward and a backward
 recursion. A word is scored by the log-space forward recursion over its lattice, so by the
 sum over all its segmentations, and a text by the sum over its words and one end token.
@@ -42,6 +42,8 @@ VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 #: Weight of the first distribution against the expected counts, in pieces.
 PRIOR = 32_000.0
+#: Expectation steps over the training words.
+STEPS = 2
 CHUNK_BYTES = 24 << 20
 MARK = "▁"
 
@@ -239,9 +241,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], pa.R
             yield [MARK + w for w in own.column(0).to_pylist()], own
 
 
-def _expect(path: str):
+def _expect(path: str, probability: np.ndarray):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, probability, byte, _ = _first(path)
+        pieces, _, byte, _ = _first(path)
         lattice, sums = Lattice(pieces, probability, byte), np.zeros(len(pieces))
         for words, batch in _blocks(batches):
             lattice.expected(words, batch.column(1).to_numpy().astype(float), sums)
@@ -298,11 +300,13 @@ def lattice_scores(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     n_train = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()["n"]
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = stats["n"] + n_train, stats["v"] + int(n_train > 0)
-    uses = first * PRIOR
-    for r in counts.where("c > 0").mapInArrow(_expect(path), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).orderBy("piece").collect():
-        uses[r["piece"]] += r["uses"]
-    uses[end] += n_train
-    probability = uses / uses.sum()
+    probability = first
+    for _ in range(STEPS):
+        uses = first * PRIOR
+        for r in counts.where("c > 0").mapInArrow(_expect(path, probability), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).orderBy("piece").collect():
+            uses[r["piece"]] += r["uses"]
+        uses[end] += n_train
+        probability = uses / uses.sum()
 
     values = counts.mapInArrow(_score(path, probability), "word string, c long, value double")
     replies = asked.select("chunk", "code", "word").join(values, "word").select("chunk", "code", "c", "value")
