@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice_lm, near_duplicates, packing, plane_files, quality_rules, source_mixing, substring_dedup
+from . import lattice_lm, near_duplicates, packing, personal_data, plane_files, quality_rules, source_mixing, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_lattice_likelihood")
 def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.op7_frame(table(spark, sf_dir, "documents"))
+
+
+@query("op6_personal_data")
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.op6_frame(table(spark, sf_dir, "documents"))
