@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice_lm, near_duplicates, packing, personal_data, plane_files, quality_rules, source_mixing, substring_dedup
+from . import html_extract, lattice_lm, near_duplicates, packing, personal_data, plane_files, quality_rules, source_mixing, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op7_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_personal_data")
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.op6_frame(table(spark, sf_dir, "documents"))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op10_frame(table(spark, sf_dir, "pages"))
