@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, lattice_lm, near_duplicates, packing, personal_data, plane_files, quality_rules, source_mixing, substring_dedup
+from . import cover_search, html_extract, lattice_lm, near_duplicates, packing, personal_data, plane_files, quality_rules, source_mixing, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.op10_frame(table(spark, sf_dir, "pages"))
+
+
+@query("op2_cover_tree_search", cover_search.OP2_SQL)
+def op2_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_search.op2_frame(table(spark, sf_dir, "embeddings"))
