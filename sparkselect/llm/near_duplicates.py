@@ -8,11 +8,15 @@
    128 equal gives (m / 128 - 1/4) / (3/4). Pairs at MIN_EQUAL or more go on; a pair
    of similarity 0.85 stays below it with a probability under 1e-8, and shares no
    band with one under 1e-6.
-3. Pairs are confirmed on the whole sets, in two rounds. Round one compares each
-   class with at most 8 others of each band and confirms its best 3; this joins
-   nearly all of a large group. Round two takes every candidate pair that is still in
-   two components, so that no link between components is lost, and no group of
-   copies is expanded into all its pairs.
+3. In every band bucket, a spanning forest of the candidate pairs is kept (at most one
+   edge per member); its connected components are the candidate groups, so any candidate
+   pair lies within one group.
+4. In every candidate group, the pairs that the packed bits allow and that are not yet
+   connected are confirmed on the whole sets; again a spanning forest is kept, and its
+   components are the result. No group is expanded into its pairs.
+
+A bucket or group of any size is dealt out: its members fall into blocks by hash, and each
+pair of blocks is a work unit of its own.
 
 Defined results: a null, empty or blank text has an empty set, linked with nothing; a
 text of fewer than five words is one shingle; a null doc_id is linked like any other
@@ -30,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, mix, written
+from .common import Words, gram_hashes, mix, partitions, written
 from .graph import components
 
 SHINGLE = 5
@@ -38,7 +42,8 @@ ROWS, BANDS = 5, 25
 PERMUTATIONS = 128
 #: Of 128 two-bit values; 92 equal is a similarity of 0.625 after correction.
 MIN_EQUAL = 92
-CENTERS, BEST = 8, 3
+#: Members of a block; blocks grow with the square root of groups above BLOCK_ROWS ** 2 / 16 members.
+BLOCK_ROWS = 256
 #: A link needs 100 * intersection >= MIN_PERCENT * union.
 MIN_PERCENT = 85
 #: A table is broadcast up to so many rows of one long each, and shuffled beyond.
@@ -132,78 +137,185 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_class_id(hashes, starts)), grams], names=["cls", "grams"])
 
 
-def equal_values(a: str, b: str):
-    """How many of the 128 packed two-bit values of two signatures are equal."""
-    mask, total = F.lit(0x5555555555555555).cast("long"), F.lit(0)
-    for i in range(4):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(mask))
-    return F.lit(PERMUTATIONS) - total
+def equal_values(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many of the 128 packed two-bit values of a signature equal those of each other one."""
+    x = sig ^ others
+    return PERMUTATIONS - np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1).astype(np.int64)
+
+
+def estimated_similarity(equal: np.ndarray) -> np.ndarray:
+    """Collision-corrected similarity from the number of equal two-bit values."""
+    return (equal / PERMUTATIONS - 0.25) / 0.75
+
+
+def _in_blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with ``block`` and ``unit``, dealt out so that each unit (key, unit) lies in one
+    partition, in order; a key of many rows has a unit for every pair of its blocks."""
+    parts = partitions(rows.sparkSession)
+    block = F.lit(BLOCK_ROWS) * F.sqrt(F.greatest(F.lit(1.0), F.col(size) * F.lit(16.0) / F.lit(BLOCK_ROWS * BLOCK_ROWS)))
+    cut = rows.withColumn("blocks", F.ceil(F.col(size) / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o))
+    out = cut.withColumn("unit", F.explode(units)).drop("blocks", size)
+    part = F.pmod(F.xxhash64(key) + F.col("unit"), F.lit(parts)).cast("int")
+    return out.repartitionById(parts, part).sortWithinPartitions(key, "unit")
 
 
-def estimated_similarity(a: str, b: str):
-    """Collision-corrected similarity from the packed low bits."""
-    return (equal_values(a, b) / F.lit(PERMUTATIONS) - F.lit(0.25)) / F.lit(0.75)
+def _units(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole units, with the rows at which each unit starts and the end."""
+    held: list[pa.RecordBatch] = []
 
+    def cut(table: pa.Table, last: bool):
+        k, u = table.column(key).to_numpy(), table.column("unit").to_numpy()
+        starts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (u[1:] != u[:-1])))
+        if last:
+            return table, np.append(starts, len(k)), None
+        return table.slice(0, starts[-1]), starts, table.slice(starts[-1])
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = written(classes.select("cls", "row_key").join(ids, "cls").select("row_key").distinct(), "near-wanted")
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        k, u = batch.column(key), batch.column("unit")
+        if k[0] != k[-1] or u[0] != u[-1] or len(held) > 1 and (held[0].column(key)[0] != k[-1] or held[0].column("unit")[0] != u[-1]):
+            whole, starts, rest = cut(pa.Table.from_batches(held), False)
+            held = rest.to_batches()
+            yield whole.combine_chunks(), starts
+    if held:
+        whole, starts, _ = cut(pa.Table.from_batches(held), True)
+        yield whole.combine_chunks(), starts
+
+
+def _forest(n: np.ndarray, sig: np.ndarray, block: np.ndarray, percent: int, confirmed=None) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect what the allowed pairs connect; ``confirmed(i, js)`` keeps the
+    true links of i. With two blocks, only pairs across them."""
+    comp, edges = np.arange(len(n)), []
+    across = block[0] != block[-1] or (block != block[0]).any()
+    for i in range(len(n) - 1):
+        js = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
+        if across:
+            js = js[block[js] != block[i]]
+        js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
+        js = js[equal_values(sig[i], sig[js]) >= MIN_EQUAL]
+        if confirmed is not None and len(js):
+            js = confirmed(i, js)
+        if len(js):
+            joined, at = np.unique(comp[js], return_index=True)
+            edges += [(i, int(j)) for j in js[at]]
+            comp[np.isin(comp, joined)] = comp[i]
+    return edges
+
+
+def _columns(table: pa.Table) -> tuple:
+    sig = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 4)
+    return table.column("cls").to_numpy(), table.column("n").to_numpy(), sig, table.column("block").to_numpy()
+
+
+def _edge_batch(cls: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(edges, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(cls[at[:, 0]]), pa.array(cls[at[:, 1]])], names=["a", "b"])
+
+
+def _bucket_forests(percent: int):
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _units(batches, "bucket"):
+            cls, n, sig, block = _columns(table)
+            pairs = np.diff(starts) == 2  # most buckets: all at once
+            i = starts[:-1][pairs]
+            allowed = 100 * np.minimum(n[i], n[i + 1]) >= percent * np.maximum(n[i], n[i + 1])
+            i = i[allowed & (equal_values(sig[i], sig[i + 1]) >= MIN_EQUAL)]
+            edges = list(zip(i.tolist(), (i + 1).tolist(), strict=True))
+            for u in np.flatnonzero(np.diff(starts) > 2):
+                s, e = starts[u], starts[u + 1]
+                edges += [(s + a, s + b) for a, b in _forest(n[s:e], sig[s:e], block[s:e], percent)]
+            yield _edge_batch(cls, edges)
+
+    return forests
+
+
+def _group_forests(percent: int):
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _units(batches, "comp"):
+            cls, n, sig, block = _columns(table)
+            grams = table.column("grams").combine_chunks()
+            at, flat = grams.offsets.to_numpy().astype(np.int64), grams.values.to_numpy().view(np.uint64)
+            edges = []
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+
+                def confirmed(i: int, js: np.ndarray, s=s) -> np.ndarray:
+                    own = flat[at[s + i]:at[s + i + 1]]
+                    out = []
+                    for k in range(0, len(js), 256):
+                        part = js[k:k + 256]
+                        size = n[s + part]
+                        ends = np.cumsum(size)
+                        theirs = flat[np.repeat(at[s + part] - (ends - size), size) + np.arange(ends[-1])]
+                        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                        both = np.add.reduceat(hit.astype(np.int64), ends - size)
+                        out.append(part[100 * both >= percent * (len(own) + size - both)])
+                    return np.concatenate(out)
+
+                edges += [(s + a, s + b) for a, b in _forest(n[s:e], sig[s:e], block[s:e], percent, confirmed)]
+            yield _edge_batch(cls, edges)
+
+    return forests
+
+
+def _shingle_sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cls, grams): the whole set of each class in ``ids``, from one of its documents."""
+    wanted = written(classes.select("cls", "row_key").join(ids.select("cls"), "cls").select("row_key").distinct(), "near-wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key")).join(wanted, "row_key").select("text")
-    sets = written(texts.mapInArrow(_sets, "cls long, grams array<long>"), "near-sets").dropDuplicates(["cls"])
-    sa, sb = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(sa, "a").join(sb, "b").select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("both"))
-    return both.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-
-def _similar(percent: int):
-    """Join condition of two bucket members l and r: sizes and packed bits allow a link."""
-    small, large = F.least("l.n", "r.n"), F.greatest("l.n", "r.n")
-    return (F.lit(100) * small >= F.lit(percent) * large) & (equal_values("l.sig", "r.sig") >= MIN_EQUAL)
+    return texts.mapInArrow(_sets, "cls long, grams array<long>").dropDuplicates(["cls"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, row_key."""
+    """One row per document: doc_id, n_shingles, component_id, kept, row_key (a hash of doc_id and
+    text) and group (the same long for all documents of a component; null for an empty set)."""
     sketch = written(sketches(docs), "near-sketch")
     classes = written(
         sketch.where("n > 0").groupBy("cls").agg(
             F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.max("n").alias("n"),
             F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-classes")
     slots = classes.select("cls", "n", "sig", F.explode("bands").alias("bucket"))
-    members = written(slots.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("c > 1").drop("c"), "near-members")
-
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("cls", "bucket"), "cls")
-    centers = members.withColumn("k", F.row_number().over(order)).where(F.col("k") <= CENTERS)
-    near = members.alias("l").join(centers.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.cls") != F.col("r.cls")) & _similar(percent)).select(
-        F.col("l.cls").alias("cls"), F.col("r.cls").alias("other"), equal_values("l.sig", "r.sig").alias("equal")).distinct()
-    best = near.withColumn("k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("equal"), "other"))).where(F.col("k") <= BEST)
-    first = written(best.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct(), "near-pairs")
-    links = written(_confirmed(docs, classes, first, percent), "near-links")
+    members = written(slots.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("c > 1"), "near-members")
+    near = _in_blocks(members, "bucket", "c").mapInArrow(_bucket_forests(percent), "a long, b long")
+    groups = components(near)
+
+    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("c"))
+    grouped = groups.join(sizes, "comp").select(F.col("node").alias("cls"), "comp", "c")
+    sets = _shingle_sets_of(docs, classes, grouped)
+    rows = written(grouped.join(classes.select("cls", "n", "sig"), "cls").join(sets, "cls"), "near-groups")
+    links = _in_blocks(rows, "comp", "c").mapInArrow(_group_forests(percent), "a long, b long")
     labels = components(links)
 
-    named = labels.select(F.col("node").alias("cls"), "comp")
-    apart = members.join(named, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = apart.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    rest = written(apart.join(mixed, "bucket", "left_semi"), "near-rest")
-    second = written(
-        rest.alias("l").join(rest.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.comp") != F.col("r.comp")) & _similar(percent))
-        .select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "near-pairs")
-    if not second.isEmpty():
-        links = links.union(written(_confirmed(docs, classes, second, percent), "near-links"))
-        labels = components(links)
-
     named = labels.select(F.col("node").alias("cls"), "comp")
     placed = classes.select("cls", "first_id").join(named, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     names = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    of_class = written(placed.join(names, "comp").select("cls", "component_id"), "near-names")
+    of_class = written(placed.join(names, "comp").select("cls", "component_id", "comp"), "near-names")
     joined = sketch.select("doc_id", "row_key", "cls", "n").join(of_class, "cls", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                         F.col("doc_id").eqNullSafe(component).alias("kept"), "row_key")
+                         F.col("doc_id").eqNullSafe(component).alias("kept"), "row_key", F.col("comp").alias("group"))
+
+
+def without_copies(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: the smallest doc_id (nulls last); of
+    repeated rows one. Documents with an empty set all stay."""
+    found = written(near_duplicates(docs, percent).select("doc_id", "row_key", "group"), "near-found")
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    keepers = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(mine).alias("k")).select("group", F.col("k.row_key").alias("keep"))
+    gone = written(found.join(keepers, "group").where("row_key <> keep").select("row_key").distinct(), "near-gone")
+    twice = written(found.where(F.col("group").isNotNull()).groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key"), "near-twice")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    stay = keyed.join(small(gone), keyed["_row_key"] == gone["row_key"], "left_anti")
+    if not twice.isEmpty():
+        again = small(twice)
+        stay = stay.join(again, stay["_row_key"] == again["row_key"], "left_anti").union(
+            stay.join(again, stay["_row_key"] == again["row_key"], "left_semi").dropDuplicates(["_row_key"]))
+    return stay.select(*docs.columns)
 
 
 def op8_frame(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).drop("row_key")
+    return near_duplicates(docs).drop("row_key", "group")
