@@ -9,8 +9,9 @@ the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkselect.llm import quality_rules
+from sparkselect.llm import near_duplicates, packing, personal_data, quality_rules, source_mixing
 from sparkselect.llm.common import table, written
 
 
@@ -20,9 +21,38 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return judged.where("kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", keep_quality)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, by the operator's b-bit MinHash."""
+    return near_duplicates.without_copies(docs)
 
-#: DuckDB SQL for run()'s rows; no stage after the first two has a SQL form.
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every found span replaced by its kind; n_chars follows the new text."""
+    clean = personal_data.redact(docs, personal_data.fit(docs))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast("long"))
+    return clean
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, so that sources come near their targets."""
+    return source_mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and offset."""
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("minhash_near_dedup", drop_near_copies),
+    ("personal_data", redact_personal_data),
+    ("source_mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: DuckDB SQL for run()'s rows; redaction, mixing and packing have no SQL form.
 ORACLE_SQL = None
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import cover_search, html_extract, lattice_lm, near_duplicates, packing, personal_data, plane_files, quality_rules, source_mixing, substring_dedup
 from .common import table
 
@@ -70,3 +72,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_cover_tree_search", cover_search.OP2_SQL)
 def op2_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_search.op2_frame(table(spark, sf_dir, "embeddings"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkselect.functions.ranking import row_number_exact
@@ -133,5 +133,17 @@ def mix(rows: DataFrame, seed: int = SEED) -> DataFrame:
     return both.select("l.doc_id", "l.source", "l.row_key", "l.size", "r.source_size", "r.target", copies.alias("copies"))
 
 
+def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them."""
+    key = F.xxhash64("doc_id", "source", "text")
+    total = mix(sized(docs), seed).groupBy("row_key").agg(F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_rows"))
+    joined = docs.withColumn("row_key", key).join(total.withColumnRenamed("row_key", "_key"), F.col("row_key") == F.col("_key"))
+    # equal rows share their copies; the join has already brought them together
+    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("_key"))
+    copies = F.floor(F.col("_total") / F.col("_rows")) + (F.col("_nth") <= F.col("_total") % F.col("_rows")).cast("long")
+    return (joined.withColumn("_nth", nth).withColumn("_copies", copies).where("_copies > 0")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+
+
 def op9_frame(docs: DataFrame) -> DataFrame:
     return mix(sized(docs)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
