@@ -17,8 +17,7 @@ from sparkselect.llm.common import table, written
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the current policy rejects."""
-    judged = quality_rules.apply_policy(quality_rules.ledger(docs))
-    return judged.where("kept").select(*docs.columns)
+    return quality_rules.passing(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

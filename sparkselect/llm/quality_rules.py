@@ -83,7 +83,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with one ``m`` struct of the measurements of each whole text."""
+    """``df`` with one ``_measured`` struct of the measurements of each whole text."""
     t = F.coalesce(F.col(text), F.lit(""))
     bare = F.translate(t, SEPARATORS, "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SEPARATORS, "") != "")
@@ -99,7 +99,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("long").alias("n_alpha_words"),
         )
 
-    return df.withColumn("m", let(_words(t), of))
+    return df.withColumn("_measured", let(_words(t), of))
 
 
 @dataclass(frozen=True)
@@ -139,16 +139,29 @@ POLICIES: dict[str, int] = {
 }
 
 
+def _measured(name: str) -> Column:
+    return F.col(f"_measured.{name}")
+
+
+def _failed_bits() -> Column:
+    bits = F.lit(0).cast("long")
+    for i, rule in enumerate(RULES):
+        bits = bits.bitwiseOR(F.when(rule.failed(_measured), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
+def passing(df: DataFrame, version: str = "v1", text: str = "text") -> DataFrame:
+    """The rows of ``df``, unchanged, that no rule of the policy rejects."""
+    fine = _failed_bits().bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0
+    return measure(df, text).where(fine).select(*[F.col(c) for c in df.columns])
+
+
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` plus the measurements and ``failed_bits`` (one evaluation of each rule)."""
-    own = {*MEASURES, "failed_bits", "m"}
+    own = {*MEASURES, "failed_bits", "_measured"}
     measured = measure(df, text)
-    m = lambda name: F.col(f"m.{name}")
-    bits = F.lit(0).cast("long")
-    for i, rule in enumerate(RULES):
-        bits = bits.bitwiseOR(F.when(rule.failed(m), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
     kept = [F.col(c) for c in df.columns if c not in own]
-    return measured.select(*kept, *[m(x).alias(x) for x in MEASURES], bits.alias("failed_bits"))
+    return measured.select(*kept, *[_measured(x).alias(x) for x in MEASURES], _failed_bits().alias("failed_bits"))
 
 
 def apply_policy(ledger_df: DataFrame, version: str = "v1") -> DataFrame:
