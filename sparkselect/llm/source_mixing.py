@@ -34,6 +34,8 @@ MAX_EPOCHS = 3
 SEED = 17
 #: Remainder, in words, that the knapsack program fits; what stands above is filled by length.
 FIT_WORDS = 1 << 15
+#: So many documents of each length up to SHORT are left to the program at least.
+SPARE, SHORT = 4, 64
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +79,8 @@ def fit_counts(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
         return {}
     if budget >= whole:
         return dict(counts)
-    take = {length: n * budget // whole for length, n in counts}
+    # a few short documents stay free for the last step, which can then reach more sums
+    take = {length: max(0, n * budget // whole - (SPARE if length <= SHORT else 0)) for length, n in counts}
     left = budget - sum(length * n for length, n in take.items())
     for length, n in reversed(counts):  # long documents fill what is more than the program fits
         more = min(n - take[length], max(0, left - FIT_WORDS) // length)
