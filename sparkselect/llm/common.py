@@ -4,6 +4,7 @@ word codes of Arrow batches, and ranks within possibly hot groups."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,27 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_groups(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.Table]:
+    """The rows in order, as tables of whole rows with about ``most`` bytes of text at most
+    (one longer text is a table of its own)."""
+    held, size = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            n = int(np.searchsorted(ends, most - size, "right"))
+            if n == 0 and not held:
+                n = 1
+            if n:
+                held.append(batch.slice(0, n))
+                size += int(ends[n - 1])
+                batch = batch.slice(n)
+            if batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 class Words:
     """The words of one Arrow batch as integer codes.
 

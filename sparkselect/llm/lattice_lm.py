@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, written
+from .common import Words, mix, text_groups, written
 from .tokens import vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -197,23 +197,12 @@ def held_out(doc_id: int | None) -> bool:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per chunk: its documents' distinct word codes with counts, and its words."""
-    part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
-    for batch in batches:
-        while batch.num_rows:
-            cum = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            n = max(1, int(np.searchsorted(cum, CHUNK_BYTES - size, "right")))
-            held.append(batch.slice(0, n))
-            size += int(cum[min(n, len(cum)) - 1])
-            batch = batch.slice(n)
-            if size >= CHUNK_BYTES or batch.num_rows:
-                yield _chunk(part << 24 | k, held)
-                k, held, size = k + 1, [], 0
-    if held:
-        yield _chunk(part << 24 | k, held)
-
-
-def _chunk(number: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    table = pa.Table.from_batches(batches).combine_chunks()
+    part = TaskContext.get().partitionId()
+    for k, table in enumerate(text_groups(batches, 1, CHUNK_BYTES)):
+        yield _chunk(part << 24 | k, table)
+
+
+def _chunk(number: int, table: pa.Table) -> pa.RecordBatch:
     texts = pc.ascii_lower(table.column(1).combine_chunks())
     words = Words(texts)
     n, v = len(texts), max(1, len(words.vocab))
