@@ -1,7 +1,7 @@
 """Substring dedup by super-k-mers.
 
 A window is 35 consecutive words of a document. Its minimiser is the smallest hash
-among its 8-word grams; consecutive windows with one minimiser form a super-k-mer,
+among its 6-word grams; consecutive windows with one minimiser form a super-k-mer,
 which travels as one packed string of word codes to the bucket of that minimiser. In
 the bucket, windows are sorted by hash, neighbours with equal hashes are compared word
 by word, and a window that occurs twice or more marks its words in every document that
@@ -31,16 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, mix, partitions, written
+from .common import Words, gram_hashes, mix, partitions, text_groups, written
 
-WINDOW, GRAM = 35, 8
-#: Words of a group of documents that are packed together (a document is never cut).
-GROUP_WORDS = 2_000_000
+WINDOW, GRAM = 35, 6
+#: Text of a group of documents that are packed together (a document is never cut).
+GROUP_BYTES = 14 << 20
+#: Keys of documents with repeats are broadcast up to so many rows of one long each.
+BROADCAST_ROWS = 2_000_000
 
 
 def _window_minima(grams: np.ndarray, width: int) -> np.ndarray:
@@ -109,16 +112,7 @@ def _polynomial(hashed: np.ndarray, window: int) -> np.ndarray:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.Table, _Group]]:
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column(0).nbytes
-        if size >= 6 * GROUP_WORDS:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield table, _Group(table.column(0), window)
-            held, size = [], 0
-    if held:
-        table = pa.Table.from_batches(held).combine_chunks()
+    for table in text_groups(batches, 0, GROUP_BYTES):
         yield table, _Group(table.column(0), window)
 
 
@@ -194,22 +188,28 @@ def _blob(squeeze, to, which, first, size, row, codes, vocab, starts, keys1, key
     length = size[which] + window - 1
     ends = np.cumsum(length)
     flat = np.repeat(first[which] - (ends - length), length) + np.arange(ends[-1])
-    used, local = np.unique(codes[flat], return_inverse=True)
-    local = local.astype(np.uint32)
+    chosen = codes[flat]
+    there = np.zeros(len(vocab), bool)
+    there[chosen] = True
+    used = np.flatnonzero(there)
+    number = np.empty(len(vocab), np.uint32)
+    number[used] = np.arange(len(used))
+    local = number[chosen]
     # equal packed strings travel once, with all places
     raw, at = local.tobytes(), np.append(0, ends) * 4
-    number, of, texts = {}, np.empty(len(which), np.int64), []
+    known, of, texts = {}, np.empty(len(which), np.int64), []
+    at = at.tolist()
     for i in range(len(which)):
         k = raw[at[i]:at[i + 1]]
-        j = number.setdefault(k, len(number))
+        j = known.setdefault(k, len(known))
         if j == len(texts):
             texts.append(k)
         of[i] = j
-    words = vocab.take(pa.array(used)).cast(pa.binary()).to_pylist()
+    words = vocab.take(pa.array(used)).cast(pa.binary())
     r = row[which]
     small = np.uint16 if len(used) <= 1 << 16 else np.uint32
     body = {
-        "words": words,
+        "word_bytes": words.buffers()[2].to_pybytes(), "word_sizes": pc.binary_length(words).to_numpy().astype(np.uint32),
         "codes": np.frombuffer(b"".join(texts), np.uint32).astype(small),
         "lengths": np.array([len(t) // 4 for t in texts], np.uint32),
         "of": of.astype(np.uint32), "start": (first[which] - starts[r]).astype(np.uint32),
@@ -221,6 +221,11 @@ def _blob(squeeze, to, which, first, size, row, codes, vocab, starts, keys1, key
     return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([squeeze.compress(pickle.dumps(body, protocol=5))], pa.binary())], names=["part", "blob"])
 
 
+def _words(data: bytes, sizes: np.ndarray) -> pa.Array:
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(data)])
+
+
 def _repeated(codes: np.ndarray, at: np.ndarray, weight: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
     """Which windows (starting at codes[at]) occur twice or more, weighing each by ``weight``.
 
@@ -257,29 +262,38 @@ def _count(window: int, parts: int):
             yield from ranges(by_part.pop(part))
 
     def ranges(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, int] = {}
-        codes, lengths, weight, places = [], [], [], []
+        vocabs, codes, lengths, weight, places = [], [], [], [], []
         base = 0
         unpack = zstandard.ZstdDecompressor()
         for blob in blobs:
             body = pickle.loads(unpack.decompress(blob))
-            new = np.array([ids.setdefault(w, len(ids)) for w in body["words"]], np.uint32)
-            codes.append(new[body["codes"]])
+            vocabs.append(_words(body["word_bytes"], body["word_sizes"]))
+            codes.append(body["codes"])
             lengths.append(body["lengths"].astype(np.int64))
             weight.append(np.bincount(body["of"], minlength=len(body["lengths"])).astype(np.float64))
             places.append((body["of"].astype(np.int64) + base, body["start"].astype(np.int64), body["k1"][body["row"]], body["k2"][body["row"]]))
             base += len(body["lengths"])
         blobs.clear()
-        codes, lengths, weight = np.concatenate(codes), np.concatenate(lengths), np.concatenate(weight)
+        joint = pa.concat_arrays(vocabs).dictionary_encode()
+        ids, word_at = joint.indices.to_numpy().astype(np.uint32), np.cumsum([0, *map(len, vocabs)])
+        codes = np.concatenate([ids[s:][c] for s, c in zip(word_at[:-1], codes, strict=True)])
+        lengths, weight = np.concatenate(lengths), np.concatenate(weight)
         digest = xxhash.xxh3_64_intdigest
-        hashed = np.fromiter((digest(w) for w in ids), np.uint64, len(ids))
+        hashed = np.fromiter(map(digest, joint.dictionary.to_pylist()), np.uint64, len(joint.dictionary))
+        del vocabs, joint, ids
         windows = lengths - window + 1
         string_at = np.cumsum(lengths) - lengths
         first_window = np.cumsum(windows) - windows
-        of = np.repeat(np.arange(len(lengths)), windows)
-        step = np.arange(len(of)) - first_window[of]
+        of = np.repeat(np.arange(len(lengths), dtype=np.int32), windows)
+        step = (np.arange(len(of)) - first_window[of]).astype(np.int32)
         at = string_at[of] + step
-        found = _repeated(codes, at, weight[of], _polynomial(hashed[codes], window)[at], window)
+        hashes = np.empty(len(codes) - window + 1, np.uint64)
+        for s in range(0, len(hashes), 1 << 18):  # some at a time: the hash takes several arrays
+            block = _polynomial(hashed[codes[s:s + (1 << 18) + window - 1]], window)
+            hashes[s:s + len(block)] = block
+        hashes = hashes[at]
+        found = _repeated(codes, at, weight[of], hashes, window)
+        del hashes, at
         # runs of found windows within a string
         edge = np.flatnonzero(found & np.append(True, ~found[:-1] | (of[1:] != of[:-1])))
         stop = np.flatnonzero(found & np.append(~found[1:] | (of[1:] != of[:-1]), True))
@@ -335,10 +349,23 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) per document."""
-    ranges = repeated_ranges(docs, window).groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text", *_keys()).join(ranges, ["k1", "k2"], "left")
-    return rows.select("doc_id", "text", "lo", "hi").mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept string")
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) per document.
+
+    Only documents with a repeated window are shuffled to their ranges, if the keys of those
+    are few enough to be sent to all tasks; else all are.
+    """
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    found = written(repeated_ranges(docs, window), "repeated-ranges")
+    ranges = found.groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *_keys())
+    touched = written(found.select("k1").distinct(), "repeated-keys")
+    if touched.count() > BROADCAST_ROWS:
+        return rows.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(_keep, schema)
+    keys = F.broadcast(touched)
+    none = F.lit(None).cast("array<long>")
+    plain = rows.join(keys, "k1", "left_anti").select("doc_id", "text", none.alias("lo"), none.alias("hi")).mapInArrow(_keep, schema)
+    cut = rows.join(keys, "k1", "left_semi").join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(_keep, schema)
+    return plain.union(cut)
 
 
 def op1_frame(docs: DataFrame) -> DataFrame:
