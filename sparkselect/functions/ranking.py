@@ -19,16 +19,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from sparkselect.session import materialize
 
 _SLICE = "__slice"
 #: at or below this many rows one slice is used: a window over a proven-small table
-#: (override with SPARKSELECT_SINGLE_SLICE_ROWS, e.g. 0 to always slice)
+#: (the session setting sparkselect.singleSliceRows overrides it, e.g. 0 to always slice)
 SINGLE_SLICE_ROWS = 1_000_000
 
 
-def _single_slice_rows() -> int:
-    import os
-    return int(os.environ.get("SPARKSELECT_SINGLE_SLICE_ROWS", SINGLE_SLICE_ROWS))
+def _single_slice_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("sparkselect.singleSliceRows", str(SINGLE_SLICE_ROWS)))
 
 
 def _cols(xs) -> list:
@@ -60,16 +62,13 @@ def range_slice(df: DataFrame, keys: list, slices: int, single_rows: int | None
         return None
     types = [f.dataType for f in df.select(*named).schema.fields]
     n = df.count()
-    if n <= (_single_slice_rows() if single_rows is None else single_rows):
+    if n <= (_single_slice_rows(df) if single_rows is None else single_rows):
         return None
     every = max(1, n // (64 * slices))
     pick = F.abs(F.xxhash64(*named)) % every == 0 if every > 1 else F.lit(True)
     sample = sorted({tuple(r) for r in df.select(*named).where(pick).collect()}, key=_sort_key)
     if len(sample) < 2:
-        if n <= SINGLE_SLICE_ROWS:
-            return None
-        # above the single-slice limit a total order always yields many distinct sample keys
-        raise ValueError("range_slice: order keys are not distinct enough to slice; end the order with a key")
+        return None  # the sample's keys are one: rows that equal each other in every column
     m = min(slices, len(sample)) - 1
     cuts = [sample[(i + 1) * len(sample) // (m + 1)] for i in range(m)]
     cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
@@ -85,13 +84,22 @@ def range_slice(df: DataFrame, keys: list, slices: int, single_rows: int | None
     return tree(0, len(cuts))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    l, r = left.alias("__l"), right.alias("__r")
+    cond = None
+    for k in keys:
+        one = F.col(f"__l.`{k}`").eqNullSafe(F.col(f"__r.`{k}`"))
+        cond = one if cond is None else cond & one
+    return l.join(r, cond).select("__l.*", *[F.col(f"__r.`{c}`") for c in right.columns if c not in keys])
+
+
 def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column | str],
                    partition_by: Sequence[str] = (), slices: int | None = None,
                    inclusive: bool = True) -> DataFrame:
     """Add running sums ``sum(expr) over (partition by P order by O rows unbounded preceding)``.
 
-    ``order_by`` must give a total order inside each partition (end it with a
-    key); ties would make the result depend on the slice boundaries. Items
+    ``order_by`` should give a total order inside each partition (end it with a
+    key); rows that tie in it are ordered by a hash of all their columns. Items
     are ascending column expressions (use ``-x`` for a descending number).
     With ``inclusive=False`` the current row is left out (sums of earlier rows).
     """
@@ -99,6 +107,9 @@ def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column | s
     order = _cols(order_by)
     names = {k: (F.col(v) if isinstance(v, str) else v) for k, v in sums.items()}
     base = df
+    # rows equal in the stated order follow each other by a hash of all their columns, at every size
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = [*order, F.xxhash64(*plain)]
     for k, v in names.items():
         base = base.withColumn(f"__v_{k}", v)
     # an explicit slice count always slices (tests); otherwise small inputs use one slice
@@ -121,8 +132,10 @@ def running_totals(df: DataFrame, order_by: Sequence, sums: dict[str, Column | s
     before = Window.partitionBy(*parts).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(_SLICE, *parts, *[
         F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in names])
-    # at most slices x groups rows: the broadcast is bounded by construction
-    out = local.join(F.broadcast(offsets), [_SLICE, *parts], "inner")
+    # one row per slice and group that meet: broadcast only where there are no groups
+    if not parts:
+        offsets = F.broadcast(offsets)
+    out = local.join(offsets, [_SLICE, *parts], "inner") if not parts else _join_null_safe(local, offsets, [_SLICE, *parts])
     for k in names:
         out = out.withColumn(k, F.col(f"__l_{k}") + F.col(f"__o_{k}"))
     drop = [_SLICE] + [f"__{p}_{k}" for k in names for p in ("v", "l", "o")]
@@ -136,18 +149,36 @@ def row_number_exact(df: DataFrame, order_by: Sequence, partition_by: Sequence[s
     return out
 
 
+def double_rest(df: DataFrame, column: str) -> Column:
+    """What an integer lacks as a double (0 up to 2^53): value and rest together are exact."""
+    if isinstance(df.schema[column].dataType, LongType):
+        x = F.col(f"`{column}`")
+        return (x.cast("decimal(38,0)") - x.cast("double").cast("decimal(38,0)")).cast("bigint")
+    return F.lit(0).cast("bigint")
+
+
 def value_counts_long(df: DataFrame, columns: Sequence[str], value_type: str = "double") -> DataFrame:
-    """(column, value, cnt) over non-null values; combined map-side before the shuffle."""
+    """(column, value, cnt) over non-null values; combined map-side before the shuffle.
+
+    With ``double`` values there is a column ``rest`` as well, so that integers beyond 2^53
+    that share a double are told apart and ordered."""
+    both = value_type == "double"
     stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast(value_type).alias("value")) for c in columns
-    ])).alias("s")).select("s.column", "s.value").where(F.col("value").isNotNull())
-    return stacked.groupBy("column", "value").agg(F.count("*").alias("cnt"))
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(value_type).alias("value"),
+                 *([double_rest(df, c).alias("rest")] if both else [])) for c in columns
+    ])).alias("s")).select("s.*").where(F.col("value").isNotNull())
+    return stacked.groupBy(*stacked.columns).agg(F.count("*").alias("cnt"))
+
+
+def value_order(counts: DataFrame, value: str = "value") -> list[str]:
+    """The columns that order the values of a count table."""
+    return [value, "rest"] if "rest" in counts.columns else [value]
 
 
 def average_ranks(counts: DataFrame, partition_by: Sequence[str] = ("column",),
                   value: str = "value", cnt: str = "cnt") -> DataFrame:
     """From (group, value, cnt): average rank of each value (ties share the mean rank)."""
-    cum = running_totals(counts, [value], {"__cum": cnt}, list(partition_by))
+    cum = running_totals(counts, value_order(counts, value), {"__cum": cnt}, list(partition_by))
     return cum.withColumn("avg_rank", F.col("__cum") - F.col(cnt) + (F.col(cnt) + 1) / 2.0).drop("__cum")
 
 
@@ -161,8 +192,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     a sliced running total over the distinct values and one broadcast range
     join against the few wanted positions; no task ever holds a whole column.
     """
-    vc = counts if counts is not None else value_counts_long(df, columns)
-    cum = running_totals(vc, ["value"], {"__hi": "cnt"}, ["column"])
+    # read by several passes (slices, totals, windows): written once
+    vc = counts if counts is not None else materialize(value_counts_long(df, columns))
+    cum = running_totals(vc, value_order(vc), {"__hi": "cnt"}, ["column"])
     cum = cum.withColumn("__lo", F.col("__hi") - F.col("cnt"))
     n = vc.groupBy("column").agg(F.sum("cnt").alias("n"))
     # columns x probs rows: tiny, broadcast below

@@ -278,6 +278,14 @@ def interpret_shapley(model, df: DataFrame, features: list[str], key: str, draws
     return contrib.select(key, names.alias("feature"), "shap")
 
 
+def vector_names(df: DataFrame, features: str = "features") -> list[str]:
+    """The name of every slot of an assembled vector column, from its attributes."""
+    attrs = df.schema[features].metadata.get("ml_attr", {})
+    named = {a["idx"]: a.get("name", f"{features}_{a['idx']}") for kind in attrs.get("attrs", {}).values() for a in kind}
+    size = attrs.get("num_attrs", len(named))
+    return [named.get(i, f"{features}_{i}") for i in range(size)]
+
+
 def feature_importance(model, features: list[str]) -> DataFrame | None:
     """(feature, importance, rank) from featureImportances or |coefficients|."""
     from pyspark.sql import SparkSession
@@ -291,7 +299,9 @@ def feature_importance(model, features: list[str]) -> DataFrame | None:
             imp = _np.abs(_np.array([co[f] for f in features]))
     if imp is None:
         return None
-    rows = sorted(zip(features, [float(x) for x in imp]), key=lambda r: (-r[1], r[0]))
+    if len(imp) != len(features):
+        raise ValueError(f"{len(imp)} importances for {len(features)} names: pass one name per slot (vector_names)")
+    rows = sorted(zip(features, [float(x) for x in imp], strict=True), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(rows)],
                                  "feature string, importance double, rank bigint")
 
@@ -402,8 +412,9 @@ def validation_table(estimator, param: str, values: list, df: DataFrame, label:
 
 
 def dimension_table(df: DataFrame, features: list[str], label: str, key: str, k: int = 2):
-    """Standardised PCA to k components: (key, pc1.., class) and explained variance shares."""
-    va = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
+    """Standardised PCA to k components: (key, pc1.., class) and explained variance shares.
+    A null in ``features`` raises: impute first."""
+    va = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="error")
     sc = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True)
     x = va.transform(df)
     scm = sc.fit(x)
@@ -419,8 +430,9 @@ def dimension_table(df: DataFrame, features: list[str], label: str, key: str, k:
 
 def boundary_table(model, df: DataFrame, features: list[str], steps: int = 50) -> DataFrame:
     """Predicted class over a steps x steps grid of the first two standardised
-    principal components, mapped back to feature space (grid bounded by ``steps``)."""
-    va = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
+    principal components, mapped back to feature space (grid bounded by ``steps``). A null
+    in ``features`` raises: impute first."""
+    va = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="error")
     x = va.transform(df)
     scm = StandardScaler(inputCol="__x", outputCol="__z", withMean=True, withStd=True).fit(x)
     z = scm.transform(x)

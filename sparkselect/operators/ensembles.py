@@ -251,15 +251,16 @@ class AdaBoostModel(CompositePersistence, CustomModel):
 
 
 # ------------------------------------------------------------------ G5 bagging
-# Poisson(1) cumulative probabilities for k = 0..9 (e^-1 sum 1/j!).
-POISSON1_CDF = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+# Poisson(1) cumulative probabilities (e^-1 sum 1/j!), up to the last below 1 in doubles:
+# beyond it no hash value is left.
+POISSON1_CDF = [c for c in (math.exp(-1) * math.fsum(1 / math.factorial(j) for j in range(k + 1)) for k in range(30)) if c < 1.0]
 
 
 def poisson_weight(key: Column | str, seed: int) -> Column:
     """Bootstrap multiplicity ~ Poisson(1) from a key hash (inverse CDF)."""
     u = hash_unit(key, seed)
-    expr = F.lit(10)
-    for k in reversed(range(10)):
+    expr = F.lit(len(POISSON1_CDF))
+    for k in reversed(range(len(POISSON1_CDF))):
         expr = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(expr)
     return expr
 
@@ -314,11 +315,15 @@ class StackingClassifier(CustomEstimator):
 
     foldCol = Param(Params._dummy(), "foldCol", "fold column", TypeConverters.toString)
 
-    def __init__(self, bases=None, foldCol="fold", meta=None, **kw):
+    def __init__(self, bases=None, foldCol="fold", meta=None, frames=None, **kw):
+        """``frames``: (fold, train, held) triples prepared fold by fold, used instead of ``foldCol``
+        for the out-of-fold scores; the held rows' features then come from other fits of the
+        preparation, so only the scores feed the meta-model."""
         super().__init__(**kw)
         self._set(foldCol=foldCol)
         self.bases = list(bases or [])
         self.meta = meta
+        self.frames = frames
 
     def _meta_cols(self, scored: DataFrame, i: int, k: int) -> list[Column]:
         if "probability" in scored.columns:
@@ -338,16 +343,20 @@ class StackingClassifier(CustomEstimator):
         label, fold = self.getLabelCol(), self.getOrDefault(self.foldCol)
         classes = label_classes(df, label)
         k = len(classes)
-        folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+        if self.frames is not None:
+            frames = [(a, b.select(label, self.getFeaturesCol())) for f, a, b in self.frames if f is not None]
+        else:
+            folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+            frames = [(df.where(F.col(fold) != f), df.where(F.col(fold) == f)) for f in folds]
         parts = []
-        for f in folds:
-            train, held = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
-            parts.append(self._scores([b.copy().fit(train) for b in self.bases], held, k))
+        for train, held in frames:
+            scored = self._scores([b.copy().fit(train) for b in self.bases], held, k)
+            parts.append(scored.drop(self.getFeaturesCol()) if self.frames is not None else scored)
         oof = parts[0]
         for p in parts[1:]:
             oof = oof.unionByName(p)
         meta_in = [c for c in oof.columns if c.startswith("__stk")]
-        va = VectorAssembler(inputCols=[*meta_in, self.getFeaturesCol()], outputCol="__meta")
+        va = VectorAssembler(inputCols=meta_in if self.frames is not None else [*meta_in, self.getFeaturesCol()], outputCol="__meta")
         meta = (self.meta or LogisticRegression(maxIter=100, regParam=0.01)).copy()
         meta = meta.copy({meta.featuresCol: "__meta", meta.labelCol: label})
         meta_model = meta.fit(va.transform(oof))

@@ -27,6 +27,8 @@ from sparkselect.operators.estimators import CustomEstimator, CustomModel, label
 from sparkselect.operators.persist import CompositePersistence
 
 BLOCK_ROWS = 50_000
+#: Classes whose counts are brought to the driver at most.
+MAX_CLASSES = 10_000
 
 
 def knn_candidates(queries: DataFrame, base: DataFrame, k: int, qkey: str, bkey: str, qx: str, bx: str,
@@ -63,25 +65,30 @@ def knn_candidates(queries: DataFrame, base: DataFrame, k: int, qkey: str, bkey:
         bk = bpdf["bk"].to_numpy()
         qk = qpdf["qk"].to_numpy()
         bn = (Xb * Xb).sum(axis=1)
-        m = min(len(Xb), 2 * k + 16)
+        m = min(len(Xb), k)
+        # the expanded form of a distance is off by at most this: rows within it of the k-th
+        # distance, however many are equally far, are measured again directly
+        slack = 32 * np.finfo(float).eps * max(1, Xb.shape[1])
         outs = []
         for s in range(0, len(Xq), 256):
             Q = Xq[s:s + 256]
             d = (Q * Q).sum(axis=1)[:, None] + bn[None, :] - 2.0 * Q @ Xb.T
             if exclude_self:
                 d = np.where(qk[s:s + 256, None] == bk[None, :], np.inf, d)
-            idx = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(Xb) else np.tile(np.arange(len(Xb)), (len(Q), 1))
-            exact = ((Xb[idx] - Q[:, None, :]) ** 2).sum(axis=2)
-            if exclude_self:
-                exact = np.where(qk[s:s + 256, None] == bk[idx], np.inf, exact)
-            order = np.lexsort((bk[idx], exact), axis=-1)[:, :k]
-            rows = np.take_along_axis(idx, order, axis=1)
-            dist = np.take_along_axis(exact, order, axis=1)
-            keep = np.isfinite(dist)
-            part = {"qk": np.repeat(qk[s:s + 256], rows.shape[1])[keep.ravel()],
-                    "bk": bk[rows].ravel()[keep.ravel()], "dist2": dist.ravel()[keep.ravel()]}
+            kth = np.partition(d, m - 1, axis=1)[:, m - 1]
+            limit = kth + slack * ((Q * Q).sum(axis=1) + bn.max())
+            rows, dist, n = [], [], []
+            for i in range(len(Q)):
+                near = np.flatnonzero(d[i] <= limit[i]) if np.isfinite(kth[i]) else np.flatnonzero(np.isfinite(d[i]))
+                exact = ((Xb[near] - Q[i]) ** 2).sum(axis=1)
+                best = np.lexsort((bk[near], exact))[:k]
+                rows.append(near[best])
+                dist.append(exact[best])
+                n.append(len(best))
+            rows = np.concatenate(rows)
+            part = {"qk": np.repeat(qk[s:s + 256], n), "bk": bk[rows], "dist2": np.concatenate(dist)}
             if label:
-                part["lab"] = bpdf["lab"].to_numpy()[rows].ravel()[keep.ravel()]
+                part["lab"] = bpdf["lab"].to_numpy()[rows]
             outs.append(pd.DataFrame(part))
         return pd.concat(outs, ignore_index=True)
 
@@ -150,25 +157,37 @@ class KNNModel(CompositePersistence, CustomModel):
 
 def smote(df: DataFrame, label: str, key: str, features: list[str], k: int = 5, seed: int = SESSION_SEED,
           categorical: list[str] | None = None) -> DataFrame:
-    """E14 (training rows only): synthetic minority rows up to the majority count.
+    """E14 (training rows only): synthetic rows for every smaller class, up to the count of
+    the largest (of several largest, the last label); a class of one row has no neighbour
+    and stays as it is.
 
-    For each minority row (ranked by md5(seed:key), key) c = N div m copies,
+    For each row of a smaller class (the minority, of m rows) (ranked by md5(seed:key), key) c = N div m copies,
     plus one for the first N mod m rows, where N = majority - minority count.
     Copy j picks neighbour (md5(seed:key:j) first byte) mod min(k, m - 1) of its
     k nearest minority rows and the gap (next two bytes) / 65536; the new row is
     x + gap (x_nb - x). Categorical values are copied. Returns only the new
     rows with ``key`` = '<key>#<j>' and ``copy`` = j.
     """
-    from pyspark.ml.feature import VectorAssembler
-    counts = df.groupBy(label).count().collect()  # one row per class
-    if len(counts) < 2:
-        return df.limit(0)
+    counts = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {label}")
     counts.sort(key=lambda r: (r["count"], r[label]))
-    minority, m = counts[0][label], counts[0]["count"]
-    big = counts[-1]["count"]
-    need = big - m
-    if need <= 0 or m < 2:
-        return df.limit(0)
+    parts = [_smote_class(df, label, key, features, r[label], r["count"], counts[-1]["count"] - r["count"], k, seed, categorical)
+             for r in counts[:-1] if r["count"] >= 2 and r["count"] < counts[-1]["count"]]
+    if not parts:
+        cols = [F.col(key).cast("string").alias(key), F.lit(0).cast("bigint").alias("copy"), *[F.col(c).cast("double").alias(c) for c in features],
+                *(categorical or []), F.col(label)]
+        return df.select(*cols).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _smote_class(df: DataFrame, label: str, key: str, features: list[str], minority, m: int, need: int, k: int, seed: int,
+                 categorical: list[str] | None) -> DataFrame:
+    """The synthetic rows of one class."""
+    from pyspark.ml.feature import VectorAssembler
     kk = min(k, m - 1)
     from sparkselect.session import materialize
     cats = list(categorical or [])

@@ -152,17 +152,22 @@ class IterativeImputer(Estimator, _Stage):
         cols = self._ins()
         cats = self.getOrDefault(self.categoricalCols)
         allc = cols + cats
+        n = df.count()
         miss = df.agg(*[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(c) for c in allc]).first()
         order = sorted([c for c in allc if miss[c] > 0], key=lambda c: (miss[c], allc.index(c)))
-        means = df.agg(*[F.avg(F.col(f"`{c}`")).alias(c) for c in cols]).first() if cols else {}
+        # a column without any value is filled with 0 (or the level "missing") and takes no part in the chain
+        empty = [c for c in order if miss[c] == n]
+        order = [c for c in order if miss[c] < n]
+        means = df.agg(*[F.coalesce(F.avg(F.col(f"`{c}`")), F.lit(0.0)).alias(c) for c in cols]).first() if cols else {}
         modes = SimpleImputer(cats, strategy="mode").fit(df)._state()["fill"] if cats else {}
+        modes = {c: "missing" if c in empty else modes.get(c) for c in cats}
         work = df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(means[c])).alias(c) for c in cols],
                          *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(modes.get(c))).alias(c) for c in cats],
                          *[F.col(f"`{c}`").isNull().alias(f"__m_{c}") for c in order])
         chain, trees = [], []
         for _ in range(self.getOrDefault(self.rounds) if order else 0):
             for c in order:
-                others = [o for o in cols if o != c]
+                others = [o for o in cols if o != c and o not in empty]
                 if not others:
                     continue
                 va = VectorAssembler(inputCols=others, outputCol="__x")
@@ -343,10 +348,10 @@ def remove_outliers(df: DataFrame, cols: list[str], share: float = 0.05, flag: s
     mean (sample covariance of ``cols``) is above its exact (1 - share) quantile.
 
     Equals the squared norm in whitened full-rank PCA space. With ``flag`` the
-    rows are kept and marked instead.
+    rows are kept and marked instead. A null in ``cols`` raises: impute first.
     """
     from pyspark.ml.feature import VectorAssembler
-    va = VectorAssembler(inputCols=cols, outputCol="__x", handleInvalid="skip")
+    va = VectorAssembler(inputCols=cols, outputCol="__x", handleInvalid="error")
     x = va.transform(df).withColumn("__one", F.lit(0.0))
     _, w, _, means, scat = class_moments(x, "__x", "__one")
     cov = scat[0] / max(w[0] - 1.0, 1.0)
@@ -365,20 +370,18 @@ class FeatureGenerator(Transformer, _Stage):
     """E6 pairwise products ``a_x_b``, E7 ordered ratios ``a_div_b`` (divisor 0 -> 0),
     E8 squares ``a_sq`` (with the products, degree-2 polynomial terms).
 
-    ``maxGenerated`` caps the count of new columns (p numerics give
-    p(p-1)/2 + p(p-1) + p), in the order products, ratios, squares.
+    All of them are made: p numerics give p(p-1)/2 + p(p-1) + p columns, in the order
+    products, ratios, squares. Switch a family off where that is too wide.
     """
 
     interactions = Param(Params._dummy(), "interactions", "products", TypeConverters.toBoolean)
     ratios = Param(Params._dummy(), "ratios", "ratios", TypeConverters.toBoolean)
     polynomial = Param(Params._dummy(), "polynomial", "squares", TypeConverters.toBoolean)
-    maxGenerated = Param(Params._dummy(), "maxGenerated", "cap on new columns", TypeConverters.toInt)
 
-    def __init__(self, inputCols=None, interactions=True, ratios=True, polynomial=True, maxGenerated=1000):
+    def __init__(self, inputCols=None, interactions=True, ratios=True, polynomial=True):
         super().__init__()
-        self._setDefault(interactions=True, ratios=True, polynomial=True, maxGenerated=1000)
-        self._init(inputCols, None, interactions=interactions, ratios=ratios, polynomial=polynomial,
-                   maxGenerated=maxGenerated)
+        self._setDefault(interactions=True, ratios=True, polynomial=True)
+        self._init(inputCols, None, interactions=interactions, ratios=ratios, polynomial=polynomial)
 
     def generated(self) -> dict[str, Column]:
         cols = self._ins()
@@ -395,8 +398,7 @@ class FeatureGenerator(Transformer, _Stage):
         if self.getOrDefault(self.polynomial):
             for a in cols:
                 out[f"{a}_sq"] = x[a] * x[a]
-        cap = self.getOrDefault(self.maxGenerated)
-        return dict(list(out.items())[:cap])
+        return out
 
     def _transform(self, df):
         return _replace(df, self.generated())
@@ -616,10 +618,10 @@ class CountEncoderModel(_FittedModel):
 def feature_scores(df: DataFrame, features: list[str], label: str, seed: int = 123) -> DataFrame:
     """E5 scores: mean of three shares per feature: random-forest importance, boosted-tree
     importance and |corr with the target|, each normalised to sum 1; features ordered by
-    score with the cumulative share."""
+    score with the cumulative share. A null in ``features`` raises: impute first."""
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
-    x = VectorAssembler(inputCols=features, outputCol="__fs", handleInvalid="skip").transform(df)
+    x = VectorAssembler(inputCols=features, outputCol="__fs", handleInvalid="error").transform(df)
     rf = RandomForestClassifier(featuresCol="__fs", labelCol=label, numTrees=50, seed=seed).fit(x)
     n_cls = x.select(label).distinct().count()
     if n_cls <= 2:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from sparkselect.functions.ranking import (average_ranks, exact_quantiles, running_totals, top_k_per_group,
+from sparkselect.functions.ranking import (average_ranks, double_rest, exact_quantiles, running_totals, top_k_per_group,
                                            value_counts_long)
 from sparkselect.session import materialize
 
@@ -256,24 +256,32 @@ def profile_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> Data
                       .alias("s")).select("s.*")
 
 
-def with_average_ranks(df: DataFrame, columns: Sequence[str], broadcast_limit: int = 2_000_000) -> DataFrame:
-    """Add ``{c}__rank`` (average rank among non-null values) for each column.
+#: Rank tables of all columns together are broadcast up to so many rows (two numbers each).
+RANK_BROADCAST_ROWS = 1_000_000
 
-    The rank table has one row per distinct value; it is broadcast only when
-    that count is known to be small, else joined by a shuffle on the value
-    (AQE splits a hot value on the row side).
+
+def _with_looked_up(df: DataFrame, columns: Sequence[str], table: DataFrame, value: str, suffix: str) -> DataFrame:
+    """Add ``{c}{suffix}`` = ``table.value`` of (column, value) for each column.
+
+    ``table`` has one row per column and distinct value; the columns' parts are broadcast
+    only if all of them together are known to be small, else joined by a shuffle on the
+    value (AQE splits a hot value on the row side).
     """
-    vc = materialize(value_counts_long(df, columns))
-    ranks = materialize(average_ranks(vc))
-    sizes = {r["column"]: r["n"] for r in vc.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    small = table.count() <= RANK_BROADCAST_ROWS
     out = df
     for c in columns:
-        rt = ranks.where(F.col("column") == c).select(F.col("value").alias("__rv"), F.col("avg_rank").alias(f"{c}__rank"))
-        rt = F.broadcast(rt) if sizes.get(c, 0) <= broadcast_limit else rt
-        out = out.join(rt, F.col(f"`{c}`").cast("double") == F.col("__rv"), "left").drop("__rv")
+        part = table.where(F.col("column") == c).select(F.col("value").alias("__rv"), F.col("rest").alias("__rr"), F.col(value).alias(f"{c}{suffix}"))
+        same = (F.col(f"`{c}`").cast("double") == F.col("__rv")) & (double_rest(df, c) == F.col("__rr"))
+        out = out.join(F.broadcast(part) if small else part, same, "left").drop("__rv", "__rr")
     return out
 
 
+def with_average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add ``{c}__rank`` (average rank among non-null values) for each column."""
+    ranks = materialize(average_ranks(materialize(value_counts_long(df, columns))))
+    return _with_looked_up(df, columns, ranks, "avg_rank", "__rank")
+
+
 def profile_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Spearman rho = Pearson r of average ranks, for every pair."""
     cols = list(columns or numeric_columns(df))
@@ -284,69 +292,49 @@ def profile_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 
 # ------------------------------------------------------------------ D11
-def level_index(df: DataFrame, column: str, max_levels: int) -> tuple[Column, bool]:
-    """Index of a column's value: dense rank of the value when it has at most
-    ``max_levels`` distinct values (exact), else an equal-width bin 1..max_levels."""
-    vc = df.select(F.col(f"`{column}`").cast("double").alias("v")).where("v is not null").distinct()
-    levels = vc.limit(max_levels + 1).collect()
-    if len(levels) <= max_levels:
-        vals = sorted(r["v"] for r in levels)
-        expr = F.lit(None).cast("int")
-        for i, v in reversed(list(enumerate(vals))):
-            expr = F.when(F.col(f"`{column}`").cast("double") == F.lit(v), F.lit(i + 1)).otherwise(expr)
-        return expr, True
-    lo, hi = vc.agg(F.min("v"), F.max("v")).first()
-    x = F.col(f"`{column}`").cast("double")
-    return F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * max_levels) + 1, F.lit(max_levels)).cast("int"), False
-
-
-def profile_kendall(df: DataFrame, columns: Sequence[str] | None = None, max_levels: int = 64) -> DataFrame:
-    """Tau-b for every pair of numeric columns, all pairs in one plan.
-
-    Concordant and discordant pair counts come from 2-D running sums over a
-    grid of at most max_levels^2 cells per pair (exact when both columns have
-    few distinct values, otherwise over equal-width bins, flagged ``exact``=0).
+def profile_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Tau-b for every pair of numeric columns, exact for any number of distinct values.
+
+    Values become dense level numbers and rows become counted (level, level) cells. Two cells
+    with different levels of the second column agree above exactly one bit of that number and
+    differ in it, so for every bit the cells with equal higher bits are put in order of the
+    first column, and running counts of those with bit 0 and bit 1 below give the concordant
+    and discordant pairs: a sort per bit instead of a comparison of all pairs.
     """
     cols = list(columns or numeric_columns(df))
-    idx = {c: level_index(df, c, max_levels) for c in cols}
     pairs = list(combinations(cols, 2))
     keys = ["column_a", "column_b"]
-    # at most pairs x max_levels^2 cells, read by four branches: materialised once
-    cells = materialize(df.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), idx[a][0].alias("ia"), idx[b][0].alias("ib"))
+    base = df.select(*cols)
+    levels = materialize(running_totals(value_counts_long(base, cols).select("column", "value", "rest"), ["value", "rest"],
+                                        {"level": F.lit(1).cast("bigint")}, ["column"]))
+    top = levels.agg(F.max("level")).first()[0] or 1
+    indexed = _with_looked_up(base, cols, levels, "level", "__level")
+    cells = materialize(indexed.select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"`{a}__level`").alias("ia"), F.col(f"`{b}__level`").alias("ib"))
         for a, b in pairs])).alias("s")).select("s.*").where("ia is not null and ib is not null")
         .groupBy(*keys, "ia", "ib").agg(F.count("*").cast("double").alias("n")))
-    dims = cells.groupBy(*keys).agg(F.max("ia").alias("ma"), F.max("ib").alias("mb"))
-    grid = dims.select(*keys, F.explode(F.sequence(F.lit(1), F.col("ma"))).alias("ia"), "mb") \
-        .select(*keys, "ia", F.explode(F.sequence(F.lit(1), F.col("mb"))).alias("ib"))
-    g = grid.join(cells, [*keys, "ia", "ib"], "left").fillna(0.0, ["n"])
-    row_below = Window.partitionBy(*keys, "ia").orderBy("ib").rowsBetween(Window.unboundedPreceding, -1)
-    row_above = Window.partitionBy(*keys, "ia").orderBy("ib").rowsBetween(1, Window.unboundedFollowing)
-    g = g.withColumn("rb", F.coalesce(F.sum("n").over(row_below), F.lit(0.0))) \
-         .withColumn("ra", F.coalesce(F.sum("n").over(row_above), F.lit(0.0)))
-    col_before = Window.partitionBy(*keys, "ib").orderBy("ia").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("ll", F.coalesce(F.sum("rb").over(col_before), F.lit(0.0))) \
-         .withColumn("lg", F.coalesce(F.sum("ra").over(col_before), F.lit(0.0)))
-    cd = g.groupBy(*keys).agg(F.sum(F.col("n") * F.col("ll")).alias("c"), F.sum(F.col("n") * F.col("lg")).alias("d"),
-                              F.sum("n").alias("total"))
+    one = F.call_function("shiftright", F.col("ib"), F.col("bit")).bitwiseAND(F.lit(1).cast("bigint")).cast("double")
+    split = cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(int(top).bit_length() - 1)))) \
+        .withColumn("prefix", F.call_function("shiftright", F.col("ib"), F.col("bit") + 1))
+    sums = materialize(split.groupBy(*keys, "bit", "prefix", "ia").agg(
+        F.sum(F.col("n") * (1 - one)).alias("z"), F.sum(F.col("n") * one).alias("o")))
+    run = running_totals(sums, ["ia"], {"zb": "z", "ob": "o"}, [*keys, "bit", "prefix"], inclusive=False)
+    cd = run.groupBy(*keys).agg(F.sum(F.col("o") * F.col("zb")).alias("c"), F.sum(F.col("z") * F.col("ob")).alias("d"))
+    total = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
     ta = cells.groupBy(*keys, "ia").agg(F.sum("n").alias("t")).groupBy(*keys).agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"))
     tb = cells.groupBy(*keys, "ib").agg(F.sum("n").alias("t")).groupBy(*keys).agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2"))
-    m = cd.join(ta, keys).join(tb, keys)
+    m = cd.join(total, keys).join(ta, keys).join(tb, keys)
     n0 = F.col("total") * (F.col("total") - 1) / 2
     den = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
-    exact = F.lit(0)
-    for a, b in pairs:
-        if idx[a][1] and idx[b][1]:
-            exact = F.when((F.col("column_a") == a) & (F.col("column_b") == b), F.lit(1)).otherwise(exact)
     return m.select(*keys, F.when(den > 0, (F.col("c") - F.col("d")) / den).alias("tau_b"),
-                    exact.cast("bigint").alias("exact"))
+                    F.lit(1).cast("bigint").alias("exact"))
 
 
-def kendall_tau_b(df: DataFrame, a: str, b: str, max_levels: int = 64) -> DataFrame:
+def kendall_tau_b(df: DataFrame, a: str, b: str) -> DataFrame:
     """D11 for one pair."""
-    return profile_kendall(df, [a, b], max_levels)
+    return profile_kendall(df, [a, b])
 
 
 # ------------------------------------------------------------------ D12
@@ -378,13 +366,14 @@ def profile_cramers_v(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 # ------------------------------------------------------------------ D13
 def profile_extremes(df: DataFrame, columns: Sequence[str] | None = None, n: int = 5,
                      counts: DataFrame | None = None) -> DataFrame:
-    """The n smallest and n largest distinct values per column, with counts."""
+    """The n smallest and n largest distinct values per column, with counts. ``value`` is
+    a double; for integers beyond 2^53, value + ``rest`` is the exact one."""
     cols = list(columns or numeric_columns(df))
     vc = _counts(df, cols, counts)
-    low = top_k_per_group(vc, ["column"], [F.col("value").asc()], n)
-    high = top_k_per_group(vc, ["column"], [F.col("value").desc()], n)
-    return low.select("column", F.lit("min").alias("side"), "rank", "value", F.col("cnt").cast("bigint").alias("count")) \
-        .unionByName(high.select("column", F.lit("max").alias("side"), "rank", "value",
+    low = top_k_per_group(vc, ["column"], [F.col("value").asc(), F.col("rest").asc()], n)
+    high = top_k_per_group(vc, ["column"], [F.col("value").desc(), F.col("rest").desc()], n)
+    return low.select("column", F.lit("min").alias("side"), "rank", "value", "rest", F.col("cnt").cast("bigint").alias("count")) \
+        .unionByName(high.select("column", F.lit("max").alias("side"), "rank", "value", "rest",
                                  F.col("cnt").cast("bigint").alias("count")))
 
 

@@ -419,3 +419,59 @@ def a3_a5_write_read_csv(spark, sf):
     write_predictions(ev, path)
     back = read_table(spark, path, schema=ev.schema, fmt="csv")
     return finish(back)
+
+
+# ------------------------------------------------------------------ cases outside the first fixtures
+@query("f10_knn_ties", f"""
+WITH tr AS (SELECT vec_id, vec_id % 3 AS a, label % 2 AS b, label FROM embeddings WHERE {O.is_train('vec_id')}),
+te AS (SELECT vec_id, vec_id % 3 AS a, label % 2 AS b FROM embeddings WHERE NOT {O.is_train('vec_id')}),
+r AS (SELECT te.vec_id AS q, tr.label, row_number() OVER (PARTITION BY te.vec_id ORDER BY
+        (te.a - tr.a) * (te.a - tr.a) + (te.b - tr.b) * (te.b - tr.b), tr.vec_id) AS rn FROM te, tr),
+v AS (SELECT q, label, count(*) AS c FROM r WHERE rn <= 5 GROUP BY q, label),
+p AS (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY c DESC, label) AS rk FROM v)
+SELECT q AS vec_id, CAST(label AS BIGINT) AS prediction FROM p WHERE rk = 1""")
+def f10_knn_ties(spark, sf):
+    """Six distinct points in all: nearly every distance is shared by very many rows."""
+    from sparkselect.sources.io import table
+    e = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 3).cast("double").alias("a"), (F.col("label") % 2).cast("double").alias("b"),
+                                              F.col("label").cast("double").alias("label"))
+    tr, te = S.holdout(assemble(e, ["a", "b"]), "vec_id")
+    model = make_estimator("knn", k=5)
+    model._set(baseKeyCol="vec_id")
+    return finish(model.fit(tr).transform(te).select("vec_id", F.col("prediction").cast("bigint")))
+
+
+@query("e14_smote_multiclass", """
+WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), b AS (SELECT max(n) AS big FROM c)
+SELECT CAST(label AS BIGINT) AS label, CAST(big - n AS BIGINT) AS n_new FROM c, b WHERE n >= 2 AND n < big""")
+def e14_smote_multiclass(spark, sf):
+    """Synthetic rows of every smaller class."""
+    from pyspark.ml.functions import vector_to_array  # noqa: F401
+
+    from sparkselect.sources.io import table
+    e = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)], "label")
+    new = smote(e, "label", "vec_id", [f"x{i}" for i in range(4)], k=5)
+    return finish(new.groupBy("label").agg(F.count("*").alias("n_new")))
+
+
+@query("a2_read_validation_csv", """
+SELECT event_id, event_type, round(value, 6) AS value, user_id FROM (SELECT event_id, event_type, value, user_id FROM events)""")
+def a2_read_validation_csv(spark, sf):
+    """A2 from a CSV file whose columns stand in another order, and without the label."""
+    import uuid
+
+    from sparkselect.session import checkpoint_dir
+    from sparkselect.sources.io import read_validation, table, write_table
+    train = table(spark, sf, "events").select("event_id", "event_type", "value", "user_id", F.lit(1).alias("label"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/validation-{uuid.uuid4().hex[:10]}"
+    write_table(train.select("user_id", "value", "event_type", "event_id"), path)
+    return finish(read_validation(spark, path, train, fmt="csv"))
+
+
+@query("g2_g3_multiclass")
+def g2_g3_multiclass(spark, sf):
+    """Leaderboard of the closed-form models on all classes of embeddings."""
+    df = t3_embeddings(spark, sf).withColumn("label", F.col("y").cast("double"))
+    folded = S.stratified_folds(df, "label", "vec_id", 10)
+    cands = {c: make_estimator(c) for c in ("lda", "nb", "ridge", "dummy")}
+    return finish(G.compare_models(cands, folded, "Accuracy", 2)[1].drop("fit_seconds"))

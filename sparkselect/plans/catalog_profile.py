@@ -209,7 +209,7 @@ def d12_profile_cramers_v(spark, sf):
     return finish(P.profile_cramers_v(t4, ["o_orderstatus", "o_orderpriority", "c_mktsegment"]))
 
 
-_D13 = """SELECT '{c}' AS "column", side, rank, round(value, 6) AS value, count FROM (
+_D13 = """SELECT '{c}' AS "column", side, rank, round(value, 6) AS value, CAST(0 AS BIGINT) AS rest, count FROM (
   SELECT 'min' AS side, CAST(row_number() OVER (ORDER BY {c}) AS BIGINT) AS rank, CAST({c} AS DOUBLE) AS value,
          CAST(count(*) AS BIGINT) AS count FROM lineitem GROUP BY {c}
   UNION ALL
@@ -318,3 +318,37 @@ def a6_write_profile(spark, sf):
     paths = write_profile(sections, base)
     counts = [(name, spark.read.parquet(p).count()) for name, p in zip(sections, paths)]
     return spark.createDataFrame(counts, "section string, rows bigint")
+
+
+# ------------------------------------------------------------------ cases outside the first fixtures
+_KC = [("c_acctbal", "c_custkey"), ("c_acctbal", "c_nationkey")]
+
+
+@query("d11_kendall_continuous", "\nUNION ALL\n".join(_D11.format(a=a, b=b).replace("lineitem", "customer") for a, b in [*_KC, ("c_custkey", "c_nationkey")]))
+def d11_kendall_continuous(spark, sf):
+    """Columns of nearly as many values as rows."""
+    return finish(P.profile_kendall(table(spark, sf, "customer"), ["c_acctbal", "c_custkey", "c_nationkey"]))
+
+
+_BIG = 2 ** 53
+
+
+@query("d2_big_integers", f"""
+SELECT 'big' AS "column", count(DISTINCT event_id + {_BIG}) AS "distinct" FROM events""")
+def d2_big_integers(spark, sf):
+    """Integers beyond 2^53, of which several share a double."""
+    big = table(spark, sf, "events").select((F.col("event_id") + _BIG).alias("big"))
+    return finish(P.profile_numeric(big, ["big"], with_mad=False).select("column", "distinct"))
+
+
+@query("d13_big_integers", f"""
+SELECT 'big' AS "column", side, rank, round(CAST(x AS DOUBLE), 6) AS value,
+       CAST(x - CAST(CAST(x AS DOUBLE) AS HUGEINT) AS BIGINT) AS rest, count FROM (
+  SELECT 'min' AS side, event_id + {_BIG} AS x, CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS rank,
+         CAST(count(*) AS BIGINT) AS count FROM events GROUP BY event_id
+  UNION ALL
+  SELECT 'max', event_id + {_BIG}, CAST(row_number() OVER (ORDER BY event_id DESC) AS BIGINT),
+         CAST(count(*) AS BIGINT) FROM events GROUP BY event_id) WHERE rank <= 5""")
+def d13_big_integers(spark, sf):
+    big = table(spark, sf, "events").select((F.col("event_id") + _BIG).alias("big"))
+    return finish(P.profile_extremes(big, ["big"], n=5))

@@ -24,11 +24,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all():
     """Import every catalog module so that all queries are registered."""
-    from sparkselect.plans import catalog, catalog_profile  # noqa: F401
-    for mod in ("catalog_curves", "catalog_prep", "catalog_models"):
-        try:
-            __import__(f"sparkselect.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if mod not in str(e):
-                raise
+    from sparkselect.plans import catalog, catalog_curves, catalog_models, catalog_prep, catalog_profile  # noqa: F401
     return QUERIES, ORACLE

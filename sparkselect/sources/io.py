@@ -10,6 +10,7 @@ import datetime as _dt
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,13 +34,20 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def read_validation(spark: SparkSession, path: str, like: DataFrame, fmt: str | None = None) -> DataFrame:
-    """A2: read a second table with the training schema, minus columns it lacks (e.g. the label)."""
-    peek = read_table(spark, path, fmt=fmt)
+    """A2: read a second table with the training types, minus columns it lacks (e.g. the label),
+    in training order. Columns are matched by name, whatever their order in a CSV header."""
+    kind = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    peek = read_table(spark, path, fmt=kind) if kind == "parquet" else spark.read.option("header", True).csv(path)
     missing = [c for c in peek.columns if c not in like.columns]
     if missing:
         raise ValueError(f"validation table has columns unknown to training: {missing}")
     fields = [f for f in like.schema.fields if f.name in peek.columns]
-    df = read_table(spark, path, schema=StructType(fields), fmt=fmt)
+    if kind == "parquet":
+        return read_table(spark, path, schema=StructType(fields), fmt=kind)
+    # a CSV schema is positional: give it in the file's order, and have the header checked against it
+    by_name = {f.name: f for f in fields}
+    in_file = StructType([by_name[c] for c in peek.columns])
+    df = spark.read.option("header", True).option("enforceSchema", False).schema(in_file).csv(path)
     return df.select(*[f.name for f in fields])
 
 
@@ -89,8 +97,10 @@ def publish_model(spark: SparkSession, model, uri: str, name: str, metric: str |
     try:
         prior = spark.read.parquet(manifest_path).where(F.col("name") == name)
         version = (prior.agg(F.max("version")).first()[0] or 0) + 1
-    except Exception:  # no manifest yet
-        version = 1
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        version = 1  # no manifest yet
     path = f"{uri.rstrip('/')}/{name}/v={version}-{uuid.uuid4().hex[:8]}"
     save_model(model, path)
     row = spark.createDataFrame(
