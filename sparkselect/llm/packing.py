@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, written
+from .common import ranked, text_groups, written
 from .tokens import encoder, vocabulary
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
+#: Text that is encoded at a time.
+GROUP_BYTES = 8 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: The plan goes to the tasks whole up to so many rows of six longs, and is joined beyond.
 PLAN_ROWS = 500_000
@@ -119,19 +121,21 @@ def _with(residual, first, count, grown):
 def _pieces(path: str, end_id: int, size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        encode = encoder(path, True).encode
+        for table in text_groups(batches, 1, GROUP_BYTES):
             docs, pieces, starts, lengths, crcs = [], [], [], [], []
-            for i, ids in enumerate(encoder(path, True).ids(batch.column(1).to_pylist())):
-                ids = np.concatenate((ids, end)).astype("<u4")
+            flat, at = encode(table.column(1))
+            for i in range(len(table)):
+                ids = np.concatenate((flat[at[i]:at[i + 1]], end)).astype("<u4")
                 for piece, s in enumerate(range(0, len(ids), size)):
                     own = ids[s:s + size]
                     docs.append(i)
                     pieces.append(piece)
                     starts.append(s)
                     lengths.append(len(own))
-                    crcs.append(zlib.crc32(own.tobytes()))
+                    crcs.append(zlib.crc32(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(docs, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())],
+                [table.column(0).combine_chunks().take(pa.array(docs, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut

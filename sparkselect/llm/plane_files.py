@@ -30,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_folder
+from .common import partitions, shared_folder, text_groups
 from .tokens import encoder, vocabulary
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 END_ID = 2
+#: Text that is encoded at a time.
+GROUP_BYTES = 8 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -152,16 +154,14 @@ def _write(folder: str, path: str, end_id: int, kind: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, end = TaskContext.get().partitionId(), np.array([end_id], np.uint32)
         name, writer = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.idp", None
-        ids_of = encoder(path, False).ids
-        for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
-            for s in range(0, len(texts), 256):
-                for doc_id, ids in zip(doc_ids[s:s + 256], ids_of(texts[s:s + 256]), strict=True):
-                    if writer is None:
-                        system, where = _open(name)
-                        writer = FileWriter(system.open_output_stream(where), kind)
-                    writer.add(doc_id, np.concatenate((ids, end)))
+        encode = encoder(path, False).encode
+        for table in text_groups(batches, 1, GROUP_BYTES):
+            flat, at = encode(table.column(1))
+            for i, doc_id in enumerate(table.column(0).to_pylist()):
+                if writer is None:
+                    system, where = _open(name)
+                    writer = FileWriter(system.open_output_stream(where), kind)
+                writer.add(doc_id, np.concatenate((flat[at[i]:at[i + 1]], end)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays(

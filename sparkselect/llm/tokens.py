@@ -1,11 +1,14 @@
 """Token ids of whole texts with the ``tokenizers`` library, a distinct unit at a time.
 
-A unit is a word with the ASCII white space before it. The vocabularies used here split a
-text so that no token and no merge crosses from a non-space into a following space, so the
-ids of a text are the ids of its units end to end, and a unit that a task meets again is
-looked up. A unit of Latin letters is a single pre-token, so the library's BPE model takes
-it directly; any other unit goes through the library's whole encoder, and so does a whole
-text with white space outside ASCII (there a run of spaces may cross the units).
+A unit is a word with the space before it. The vocabularies used here split a text so that
+no token and no merge crosses from a non-space into a following space, so the ids of a text
+are the ids of its units end to end, and a unit that a task meets again is looked up. Texts
+are cut into units and the units are numbered a batch at a time by Arrow; Python sees each
+distinct unit of a batch once. A unit of Latin letters is a single pre-token, so the library's
+BPE model takes it directly; any other unit goes through the library's whole encoder. In a
+vocabulary that keeps white space, a text in which a space stands beside other white space is
+cut into words with all the white space before them, and one with white space outside ASCII
+(there a run may cross the units) goes through the library whole.
 """
 
 from __future__ import annotations
@@ -15,15 +18,19 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Units kept per Python worker; the memory is cleared and refilled beyond that.
-CACHED_UNITS = 700_000
+CACHED_UNITS = 300_000
 
 #: A text that matches goes to the library whole: white space and format characters outside ASCII's six.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_SPACE = re.compile(r"\s")
 _UNIT = re.compile(r"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
-_PLAIN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+#: The texts that single spaces don't cut into units.
+_HARD = _ODD.pattern.replace("\x1c-\x1f", r"\x1c-\x1f") + r"|^ | $|[ \t\n\x0b\x0c\r] | [\t\n\x0b\x0c\r]"
 #: Letters up to here are letters in every version of Unicode.
 _LATIN_END = "\u0250"
 
@@ -52,7 +59,7 @@ class Units(dict):
 
 
 class Encoder:
-    """``ids(texts)``: one uint32 array per text; None counts as empty.
+    """Ids of texts under one vocabulary.
 
     ``lower``: the vocabulary drops white space and folds case (NFC, then each letter's lower case).
     """
@@ -62,7 +69,6 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.lower = lower
-        self.unit = _PLAIN if lower else _UNIT
         self._clear()
 
     def _clear(self) -> None:
@@ -91,17 +97,26 @@ class Encoder:
         return word.lower() if self.lower else unit.replace(" ", "\u0120")
 
     def _unit_ids(self, unit: str) -> list[int]:
+        if "\n" in unit and not self.lower:
+            lines = unit.split("\n")
+            if all(x and not x.isspace() for x in lines) and not _SPACE.search(unit[1:].replace("\n", "")):
+                # one line end between two words is a pre-token of its own
+                ids = self._unit_ids(lines[0])
+                for line in lines[1:]:
+                    ids = [*ids, *self._end_ids("\n"), *self._unit_ids(line)]
+                return ids
         word = unit.rstrip(".,!")
         token = self._letters(word) if word else None
         if token is None:
             return self._whole(unit)
         ids = [t.id for t in self.model.tokenize(token)]
         end = unit[len(word):]
-        if end:  # a run of punctuation after a letter is a pre-token of its own
-            more = self.ends.get(end)
-            if more is None:
-                more = self.ends[end] = self._whole(end)
-            ids += more
+        return ids + self._end_ids(end) if end else ids  # a run of punctuation after a letter is a pre-token of its own
+
+    def _end_ids(self, end: str) -> list[int]:
+        ids = self.ends.get(end)
+        if ids is None:
+            ids = self.ends[end] = self._whole(end)
         return ids
 
     def _learn(self) -> None:
@@ -119,25 +134,63 @@ class Encoder:
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
         self.flat[self.starts[first]:ends[-1]] = [i for ids in lists for i in ids]
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            if not text:
-                out.append(np.empty(0, np.uint32))
-                continue
-            if _ODD.search(text):
-                out.append(np.array(self._whole(text), np.uint32))
-                continue
-            if len(self.codes) > CACHED_UNITS:
-                self._clear()
-            units = self.unit.findall(text)
-            at = np.fromiter(map(self.codes.__getitem__, units), np.int64, len(units))
-            self._learn()
-            first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(first - (ends - size), size) + np.arange(total)])
-        return out
+    def _of(self, units: list[str]) -> np.ndarray:
+        """The codes of units; unknown ones are learnt."""
+        at = np.fromiter(map(self.codes.__getitem__, units), np.int64, len(units))
+        self._learn()
+        return at
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units end to end, and where each unit's end."""
+        first = self.starts[at]
+        size = self.starts[at + 1] - first
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(first - (ends - size), size) + np.arange(total)], ends
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, starts): the ids of text i are ids[starts[i]:starts[i + 1]]; null counts as empty."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        if len(self.codes) > CACHED_UNITS:
+            self._clear()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        hard = np.empty(0, np.int64)
+        if not self.lower:
+            is_hard = pc.match_substring_regex(texts, _HARD)
+            hard = np.flatnonzero(is_hard.to_numpy(zero_copy_only=False))
+            if len(hard):
+                slow = [self._slow(texts[int(i)].as_py()) for i in hard]
+                texts = pc.if_else(is_hard, pa.scalar("", pa.large_string()), texts)
+        split = pc.ascii_split_whitespace(texts) if self.lower else pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        encoded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets -= offsets[0]
+        codes, words = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_pylist()
+        if self.lower:
+            at = self._of(words)[codes]
+        else:  # a word is one unit after a space and another at the start of a text
+            key = 2 * codes + 1
+            key[offsets[:-1][np.diff(offsets) > 0]] -= 1
+            there = np.zeros(2 * len(words), bool)
+            there[key] = True
+            used = np.flatnonzero(there)
+            number = np.empty(2 * len(words), np.int64)
+            number[used] = self._of([" " + words[k >> 1] if k & 1 else words[k >> 1] for k in used.tolist()])
+            at = number[key]
+        ids, ends = self._gather(at)
+        starts = np.append(0, ends)[offsets] if len(ends) else np.zeros(len(texts) + 1, np.int64)
+        if len(hard):
+            parts = [ids[s:e] for s, e in zip(starts[:-1], starts[1:], strict=True)]
+            for i, own in zip(hard, slow, strict=True):
+                parts[i] = own
+            ids, starts = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return ids, starts
+
+    def _slow(self, text: str) -> np.ndarray:
+        if _ODD.search(text):
+            return np.array(self._whole(text), np.uint32)
+        return self._gather(self._of(_UNIT.findall(text)))[0]
 
 
 @lru_cache(maxsize=4)
