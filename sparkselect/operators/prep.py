@@ -19,6 +19,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkselect.functions.pairs import pair_correlations
 from sparkselect.functions.ranking import exact_quantiles, value_counts_long
 from sparkselect.operators.estimators import class_moments, quad_form
 
@@ -443,21 +444,12 @@ class RareLevelCombinerModel(_FittedModel):
 
 # ------------------------------------------------------------------ E10 / E13 correlation filters
 def correlation_matrix(df: DataFrame, cols: list[str], target: str | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """p x p Pearson matrix (and correlations with the target) from one aggregation."""
-    from sparkselect.functions.metrics import safe_corr
-    aggs = [safe_corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"{i}_{j}")
-            for (i, a), (j, b) in combinations(list(enumerate(cols)), 2)]
-    if target:
-        aggs += [safe_corr(F.col(f"`{a}`"), F.col(f"`{target}`")).alias(f"t_{i}") for i, a in enumerate(cols)]
-    row = df.agg(*aggs).first() if aggs else None
+    """p x p Pearson matrix (and correlations with the target) from one pass of pair sums."""
+    r = pair_correlations(df, [*cols, target] if target else cols)
     p = len(cols)
-    r = np.eye(p)
-    for i, j in combinations(range(p), 2):
-        v = row[f"{i}_{j}"] if row is not None else None
-        r[i, j] = r[j, i] = np.nan if v is None else v
-    t = None
-    if target:
-        t = np.array([np.nan if row[f"t_{i}"] is None else row[f"t_{i}"] for i in range(p)])
+    t = r[:p, p] if target else None
+    r = r[:p, :p].copy()
+    np.fill_diagonal(r, 1.0)
     return r, t
 
 

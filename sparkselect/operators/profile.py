@@ -8,13 +8,16 @@ column in one task (see ``functions.ranking``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
+from sparkselect.functions.pairs import pair_correlations, pair_sums
 from sparkselect.functions.ranking import (average_ranks, double_rest, exact_quantiles, running_totals, top_k_per_group,
                                            value_counts_long)
 from sparkselect.session import materialize
@@ -31,6 +34,8 @@ ZEROS_SHARE = 0.1
 SKEW_LIMIT = 20.0
 IMBALANCE_LIMIT = 0.5
 HIGH_CORRELATION = 0.9
+#: Up to so many columns the statistics of D2 are one wide aggregate.
+WIDE_COLUMNS = 32
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -79,18 +84,23 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None,
     cv, skewness (population), kurtosis (population, excess) and MAD
     (median absolute deviation from the median), one row per column."""
     cols = list(columns or numeric_columns(df))
-    aggs = []
-    for c in cols:
-        x = F.col(f"`{c}`").cast("double")
-        aggs += [F.count(x).alias(f"{c}__count"), F.sum(x.isNull().cast("long")).alias(f"{c}__missing"),
-                 F.sum((x == 0).cast("long")).alias(f"{c}__zeros"), F.sum((x < 0).cast("long")).alias(f"{c}__negatives"),
-                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.avg(x).alias(f"{c}__mean"),
-                 F.sum(x).alias(f"{c}__sum"), F.stddev_samp(x).alias(f"{c}__std"),
-                 F.var_samp(x).alias(f"{c}__variance"), F.skewness(x).alias(f"{c}__skewness"),
-                 F.kurtosis(x).alias(f"{c}__kurtosis")]
+    def stats_of(x: Column, name) -> list[Column]:
+        return [F.count(x).alias(name("count")), F.sum(x.isNull().cast("long")).alias(name("missing")),
+                F.sum((x == 0).cast("long")).alias(name("zeros")), F.sum((x < 0).cast("long")).alias(name("negatives")),
+                F.min(x).alias(name("min")), F.max(x).alias(name("max")), F.avg(x).alias(name("mean")),
+                F.sum(x).alias(name("sum")), F.stddev_samp(x).alias(name("std")),
+                F.var_samp(x).alias(name("variance")), F.skewness(x).alias(name("skewness")),
+                F.kurtosis(x).alias(name("kurtosis"))]
+
     stats = ["count", "missing", "zeros", "negatives", "min", "max", "mean", "sum", "std", "variance",
              "skewness", "kurtosis"]
-    wide = _long(df.agg(*aggs), cols, stats)
+    if len(cols) <= WIDE_COLUMNS:
+        aggs = [a for c in cols for a in stats_of(F.col(f"`{c}`").cast("double"), lambda s, c=c: f"{c}__{s}")]
+        wide = _long(df.agg(*aggs), cols, stats)
+    else:  # the same sums, grouped by column, where an expression per column and sum is too much to plan
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])).alias("s")).select("s.*")
+        names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+        wide = names.join(rows.groupBy("column").agg(*stats_of(F.col("x"), str)), "column", "left")
     vc = _counts(df, cols, counts)
     distinct = vc.groupBy("column").agg(F.count("*").alias("distinct"))
     if with_mad:
@@ -206,34 +216,29 @@ def profile_distinct(df: DataFrame, columns: Sequence[str] | None = None, approx
 
 
 # ------------------------------------------------------------------ D7
+def missing_per_column(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """D7, first part: (column, missing, share)."""
+    cols = list(columns or df.columns)
+    row = df.agg(F.count("*").alias("__n"), *[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"{c}__missing") for c in cols])
+    return row.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.coalesce(F.col(f"`{c}__missing`"), F.lit(0)).cast("bigint").alias("missing"),
+        F.try_divide(F.col(f"`{c}__missing`"), F.col("__n")).alias("share")) for c in cols])).alias("r")).select("r.*")
+
+
 def profile_missing(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(per column missing count and share, pairs of columns with missing values:
-    rows missing both and correlation of the missing flags)."""
+    rows missing both and correlation of the missing flags), one pass for all pairs."""
     cols = list(columns or df.columns)
-    flags = {c: F.col(f"`{c}`").isNull().cast("double") for c in cols}
-    aggs = [F.count("*").alias("__n")] + [F.sum(flags[c]).alias(f"{c}__missing") for c in cols]
-    pairs = list(combinations(cols, 2))
-    aggs += [F.sum(flags[a] * flags[b]).alias(f"{a}__{b}__both") for a, b in pairs]
-    row = df.agg(*aggs)
-    # correlation of 0/1 flags from the sums; columns without nulls give null, not an error
-    n_ = F.col("__n")
-    for a, b in pairs:
-        ma, mb = F.try_divide(F.col(f"`{a}__missing`"), n_), F.try_divide(F.col(f"`{b}__missing`"), n_)
-        cov = F.try_divide(F.col(f"`{a}__{b}__both`"), n_) - ma * mb
-        row = row.withColumn(f"{a}__{b}__corr", F.try_divide(cov, F.sqrt((ma - ma * ma) * (mb - mb * mb))))
-    per = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                  F.col(f"`{c}__missing`").cast("bigint").alias("missing"),
-                                                  F.try_divide(F.col(f"`{c}__missing`"), F.col("__n")).alias("share"))
-                                         for c in cols])).alias("r")).select("r.*")
-    if not pairs:
-        return per, per.limit(0)
-    pair = row.select(F.explode(F.array(*[F.struct(
-        F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-        F.col(f"`{a}__{b}__both`").cast("bigint").alias("both_missing"),
-        F.col(f"`{a}__{b}__corr`").alias("corr"),
-        F.col(f"`{a}__missing`").alias("ma"), F.col(f"`{b}__missing`").alias("mb")) for a, b in pairs])).alias("r")) \
-        .select("r.*").where((F.col("ma") > 0) & (F.col("mb") > 0)).drop("ma", "mb")
-    return per, pair
+    n, _, _, both = pair_sums(df, [F.col(f"`{c}`").isNull().cast("double") for c in cols])
+    rows = float(n.max(initial=0.0))
+    share = np.diag(both) / rows if rows else np.zeros(len(cols))
+    out = []
+    for i, j in combinations(range(len(cols)), 2):
+        if both[i, i] > 0 and both[j, j] > 0:
+            spread = math.sqrt((share[i] - share[i] ** 2) * (share[j] - share[j] ** 2))
+            out.append((cols[i], cols[j], int(both[i, j]), float((both[i, j] / rows - share[i] * share[j]) / spread) if spread else None))
+    pair = df.sparkSession.createDataFrame(out, "column_a string, column_b string, both_missing bigint, corr double")
+    return missing_per_column(df, cols), pair
 
 
 # ------------------------------------------------------------------ D8
@@ -246,14 +251,11 @@ def profile_duplicates(df: DataFrame, columns: Sequence[str] | None = None, top:
 
 # ------------------------------------------------------------------ D9 / D10
 def profile_pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson r for every pair of numeric columns, one aggregation."""
+    """Pearson r for every pair of numeric columns, from one pass of pair sums."""
     cols = list(columns or numeric_columns(df))
-    pairs = list(combinations(cols, 2))
-    from sparkselect.functions.metrics import safe_corr
-    row = df.agg(*[safe_corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"{a}__{b}") for a, b in pairs])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                                                   F.col(f"`{a}__{b}`").alias("r")) for a, b in pairs]))
-                      .alias("s")).select("s.*")
+    r = pair_correlations(df, cols)
+    rows = [(cols[i], cols[j], None if np.isnan(r[i, j]) else float(r[i, j])) for i, j in combinations(range(len(cols)), 2)]
+    return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, r double")
 
 
 #: Rank tables of all columns together are broadcast up to so many rows (two numbers each).
@@ -387,7 +389,7 @@ def profile_alerts(df: DataFrame, numeric: Sequence[str] | None = None,
     cols = num + cat
     n = df.count()
     dist = profile_distinct(df, cols).select("column", "distinct", "is_unique")
-    miss = profile_missing(df, cols)[0].select("column", "missing")
+    miss = missing_per_column(df, cols).select("column", "missing")
     base = dist.join(miss, "column", "right").fillna(0, ["distinct", "is_unique"])
     alerts = [base.where("distinct = 1").select("column", F.lit("constant").alias("alert")),
               base.where("is_unique = 1").select("column", F.lit("unique").alias("alert")),
@@ -420,15 +422,16 @@ def profile_interactions(df: DataFrame, x: str, y: str, bins: int = 10) -> DataF
     """Scatter as 2-D equal-width bins (non-empty cells)."""
     sub = df.select(F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y")) \
         .where("x is not null and y is not null")
-    r = sub.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    x0, x1, y0, y1 = sub.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
 
     def bin_of(v, lo, hi):
-        return F.when(F.col(hi) > F.col(lo), F.least(F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * bins) + 1,
-                                                      F.lit(bins))).otherwise(F.lit(1)).cast("bigint")
+        if lo is None or not hi > lo:
+            return F.lit(1).cast("bigint")
+        return F.least(F.floor((F.col(v) - F.lit(lo)) / F.lit(hi - lo) * bins) + 1, F.lit(bins)).cast("bigint")
 
-    return sub.join(F.broadcast(r), how="inner").groupBy(
+    return sub.groupBy(
         F.lit(x).alias("column_x"), F.lit(y).alias("column_y"),
-        bin_of("x", "x0", "x1").alias("bin_x"), bin_of("y", "y0", "y1").alias("bin_y")
+        bin_of("x", x0, x1).alias("bin_x"), bin_of("y", y0, y1).alias("bin_y")
     ).agg(F.count("*").cast("bigint").alias("count"))
 
 
@@ -470,21 +473,29 @@ def profile_datetime(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return summ, per
 
 
-def profile(df: DataFrame, key: str | None = None) -> dict[str, DataFrame]:
-    """All sections as lazy DataFrames (A6 writes them)."""
-    num, cat = numeric_columns(df), categorical_columns(df)
+def profile(df: DataFrame, key: str | None = None, interactions: Sequence[tuple[str, str]] = ()) -> dict[str, DataFrame]:
+    """All sections D1-D18 as DataFrames (A6 writes them); D15 for the column pairs asked for."""
+    num, cat, dates = numeric_columns(df), categorical_columns(df), datetime_columns(df)
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     vc = materialize(value_counts_long(df, num)) if num else None
-    out = {"overview": profile_overview(df), "distinct": profile_distinct(df),
-           "missing": profile_missing(df)[0], "alerts": profile_alerts(df, num, cat)}
+    missing, pairs = profile_missing(df)
+    out = {"overview": profile_overview(df), "distinct": profile_distinct(df), "missing": missing, "missing_pairs": pairs,
+           "duplicates": profile_duplicates(df), "alerts": profile_alerts(df, num, cat)}
     if num:
         out.update(numeric=profile_numeric(df, num, vc), quantiles=profile_quantiles(df, num, counts=vc),
                    histogram=profile_histogram(df, num, counts=vc), extremes=profile_extremes(df, num, counts=vc))
         if len(num) > 1:
-            out.update(pearson=profile_pearson(df, num), spearman=profile_spearman(df, num))
+            out.update(pearson=profile_pearson(df, num), spearman=profile_spearman(df, num), kendall=profile_kendall(df, num))
     if cat:
         out["categorical"] = profile_categorical(df, cat)
         if len(cat) > 1:
             out["cramers_v"] = profile_cramers_v(df, cat)
+    if text:
+        out["text"] = profile_text(df, text)
+    for c in dates:
+        out[f"datetime_{c}"], out[f"datetime_months_{c}"] = profile_datetime(df, c)
+    for x, y in interactions:
+        out[f"interactions_{x}_{y}"] = profile_interactions(df, x, y)
     if key:
         out["sample"] = profile_sample(df, key)
     return out
