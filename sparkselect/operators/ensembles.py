@@ -121,7 +121,8 @@ class ExtraTreesClassifier(CustomEstimator):
 
 def _bin(df: DataFrame, feats: str, cuts: list[list[float]], out: str) -> DataFrame:
     arr = vector_to_array(F.col(feats), "float64")
-    idx = [sum((F.when(arr[i] >= F.lit(c), 1.0).otherwise(0.0) for c in cs), F.lit(0.0)) for i, cs in enumerate(cuts)]
+    # cut points at or below the value, from one array literal per feature
+    idx = [F.size(F.filter(F.array(*[F.lit(float(c)) for c in cs]), lambda c, v=arr[i]: c <= v)).cast("double") for i, cs in enumerate(cuts)]
     return df.withColumn(out, array_to_vector(F.array(*idx)))
 
 

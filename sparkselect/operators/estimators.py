@@ -69,6 +69,10 @@ class CustomModel(Model, _ClassifierParams, _FittedParams, DefaultParamsReadable
 MAX_CLASSES = 10_000
 
 
+#: Numbers of all classes' scatter matrices that a task and the driver hold at most (8 bytes each).
+MAX_MOMENTS = 50_000_000
+
+
 def label_classes(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> list[float]:
     """Sorted distinct label values; refuses a label with more than ``max_classes`` values
     (it is not a class label), so the driver never receives an unbounded list."""
@@ -158,6 +162,7 @@ def class_moments(df: DataFrame, features_col: str, label_col: str, weight: Colu
         raise ValueError("no rows to fit")
     shift = np.asarray(first["x"], dtype=float)
     p = len(shift)
+    most = max(1, MAX_MOMENTS // max(1, p * p))  # classes whose scatter matrices are held
 
     def partial(it):
         acc: dict[float, list] = {}
@@ -169,6 +174,8 @@ def class_moments(df: DataFrame, features_col: str, label_col: str, weight: Colu
             for lab, idx in pdf.groupby("l").indices.items():
                 Xi, wi = X[idx], w[idx]
                 a = acc.setdefault(float(lab), [0.0, 0, np.zeros(p), np.zeros((p, p))])
+                if len(acc) > most:
+                    raise ValueError(f"over {most} classes of {p} x {p} sums: use a model without class covariances")
                 a[0] += wi.sum()
                 a[1] += len(idx)
                 a[2] += wi @ Xi
@@ -183,7 +190,9 @@ def class_moments(df: DataFrame, features_col: str, label_col: str, weight: Colu
     part = base.mapInPandas(partial, "l double, w double, n long, s array<double>, ss array<double>")
     tot = part.groupBy("l").agg(F.sum("w").alias("w"), F.sum("n").alias("n"),
                                 Summarizer.sum(array_to_vector("s")).alias("s"),
-                                Summarizer.sum(array_to_vector("ss")).alias("ss")).orderBy("l").collect()
+                                Summarizer.sum(array_to_vector("ss")).alias("ss")).orderBy("l").limit(most + 1).collect()
+    if len(tot) > most:
+        raise ValueError(f"over {most} classes of {p} x {p} sums: use a model without class covariances")
     classes = np.array([r["l"] for r in tot])
     wsum = np.array([r["w"] for r in tot])
     cnt = np.array([r["n"] for r in tot])

@@ -15,7 +15,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkselect.operators.estimators import (CustomEstimator, CustomModel, class_moments, dot, quad_form,
+from sparkselect.operators.estimators import (MAX_CLASSES, CustomEstimator, CustomModel, class_moments, dot, quad_form,
                                               with_scores)
 
 
@@ -26,7 +26,9 @@ class DummyClassifier(CustomEstimator):
     def _fit(self, df: DataFrame):
         rows = df.where(F.col(self.getLabelCol()).isNotNull()) \
             .groupBy(F.col(self.getLabelCol()).cast("double").alias("l")) \
-            .agg(F.sum(self._weight()).alias("w")).orderBy("l").collect()
+            .agg(F.sum(self._weight()).alias("w")).orderBy("l").limit(MAX_CLASSES + 1).collect()
+        if len(rows) > MAX_CLASSES:
+            raise ValueError(f"label {self.getLabelCol()!r} has more than {MAX_CLASSES} distinct values")
         classes = [r["l"] for r in rows]
         w = np.array([r["w"] for r in rows], dtype=float)
         return self._copy_io(DummyModel()).set_fitted(classes, w / w.sum())

@@ -93,10 +93,10 @@ def _menu_query(code, **params):
     return q
 
 
-for _code, _params in {"f1_logistic_regression": ("lr", {}), "f4_random_forest": ("rf", {"numTrees": 50}),
-                       "f6_extra_trees": ("et", {"numTrees": 10}), "f7_gradient_boosting": ("gbc", {"maxIter": 30}),
-                       "f8_light_gradient_boosting": ("lightgbm", {"maxIter": 30}),
-                       "f9_ada_boost": ("ada", {"numRounds": 10}), "f11_decision_tree": ("dt", {}),
+for _code, _params in {"f1_logistic_regression": ("lr", {}), "f4_random_forest": ("rf", {}),
+                       "f6_extra_trees": ("et", {}), "f7_gradient_boosting": ("gbc", {}),
+                       "f8_light_gradient_boosting": ("lightgbm", {}),
+                       "f9_ada_boost": ("ada", {}), "f11_decision_tree": ("dt", {}),
                        "f13_linear_svm": ("svm", {})}.items():
     query(_code)(_menu_query(_params[0], **_params[1]))
 
@@ -112,8 +112,8 @@ def f7_gbc_multiclass_ovr(spark, sf):
 # ------------------------------------------------------------------ G1 cross-validation of NB (exact)
 G1_SQL = f"""
 WITH {O.T1},
-fo AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(concat('123:', CAST(event_id AS VARCHAR))), event_id) - 1) % 3 AS fold FROM t1),
-tr AS (SELECT f.f AS fo, t.* FROM fo t, range(3) f(f) WHERE t.fold <> f.f),
+fo AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5(concat('123:', CAST(event_id AS VARCHAR))), event_id) - 1) % 10 AS fold FROM t1),
+tr AS (SELECT f.f AS fo, t.* FROM fo t, range(10) f(f) WHERE t.fold <> f.f),
 cls AS (SELECT fo, y, count(*) AS n, avg(value) AS mv, var_pop(value) AS vv, avg(k) AS mk, var_pop(k) AS vk,
                avg(h) AS mh, var_pop(h) AS vh FROM tr GROUP BY fo, y),
 g AS (SELECT fo, count(*) AS nt, 1e-9 * greatest(var_pop(value), var_pop(k), var_pop(h)) AS e FROM tr GROUP BY fo),
@@ -132,7 +132,7 @@ SELECT fold, n, {O.rounded(O.METRIC_COLS)} FROM met"""
 @query("g1_cross_validate", G1_SQL)
 def g1_cross_validate(spark, sf):
     df = assemble(t1_events(spark, sf), ["value", "k", "h"]).withColumn("label", F.col("y").cast("double"))
-    f = S.stratified_folds(df, "y", "event_id", 3)
+    f = S.stratified_folds(df, "y", "event_id", 10)
     per, _ = G.cross_validate(make_estimator("nb"), f, "label", "fold", name="nb")
     return finish(per.withColumn("fold", F.col("fold").cast("bigint")))
 
@@ -140,7 +140,7 @@ def g1_cross_validate(spark, sf):
 @query("g2_g3_compare_models")
 def g2_g3_compare_models(spark, sf):
     tr, _ = _t1_xy(spark, sf)
-    f = S.stratified_folds(tr, "y", "event_id", 3)
+    f = S.stratified_folds(tr, "y", "event_id", 10)
     _, board, _ = G.compare_models({c: make_estimator(c) for c in ["nb", "dummy", "lda", "qda", "ridge", "dt"]},
                                    f, "Accuracy", 3)
     return finish(board)
@@ -149,8 +149,8 @@ def g2_g3_compare_models(spark, sf):
 @query("g4_tune")
 def g4_tune(spark, sf):
     tr, _ = _t1_xy(spark, sf)
-    f = S.stratified_folds(tr, "y", "event_id", 3)
-    _, table_, _ = G.tune(make_estimator("dt"), "dt", f, "F1", n_iter=3)
+    f = S.stratified_folds(tr, "y", "event_id", 10)
+    _, table_, _ = G.tune(make_estimator("ridge"), "ridge", f, "F1")
     return finish(table_)
 
 
@@ -170,14 +170,14 @@ def g5_bootstrap_weights(spark, sf):
 @query("g5_bagging")
 def g5_bagging(spark, sf):
     tr, te = _t1_xy(spark, sf)
-    m = EN.BaggingClassifier(base=make_estimator("dt", maxDepth=5), n=5, keyCol="event_id").fit(tr)
+    m = EN.BaggingClassifier(base=make_estimator("dt", maxDepth=5), n=10, keyCol="event_id").fit(tr)
     return finish(m.transform(te).select("event_id", F.col("prediction").cast("bigint")))
 
 
 @query("g6_boosting")
 def g6_boosting(spark, sf):
     tr, te = _t1_xy(spark, sf)
-    m = EN.AdaBoostClassifier(numRounds=5, base=make_estimator("dt", maxDepth=2)).fit(tr)
+    m = EN.AdaBoostClassifier(numRounds=10, base=make_estimator("dt", maxDepth=2)).fit(tr)
     return finish(m.transform(te).select("event_id", F.col("prediction").cast("bigint")))
 
 
@@ -205,7 +205,7 @@ def g7_blend_models(spark, sf):
 @query("g8_stacking")
 def g8_stacking(spark, sf):
     tr, te = _t1_xy(spark, sf)
-    f = S.stratified_folds(tr, "y", "event_id", 3)
+    f = S.stratified_folds(tr, "y", "event_id", 10)
     m = EN.StackingClassifier(bases=[make_estimator(c) for c in ["nb", "lda", "ridge"]], foldCol="fold").fit(f)
     return finish(m.transform(te).select("event_id", F.col("prediction").cast("bigint")))
 
@@ -247,28 +247,28 @@ def i1_interpret_linear(spark, sf):
 def i1_interpret_shapley(spark, sf):
     tr, te = _t1_xy(spark, sf)
     m = make_estimator("nb").fit(tr)
-    shap = D.interpret_shapley(m, te, ["value", "k", "h"], "event_id", draws=8, background=50)
+    shap = D.interpret_shapley(m, te, ["value", "k", "h"], "event_id")
     return finish(shap.groupBy("feature").agg(F.avg(F.abs("shap")).alias("mean_abs_shap")))
 
 
 @query("i8_rfe")
 def i8_rfe(spark, sf):
     tr, _ = _t1_xy(spark, sf)
-    f = S.stratified_folds(tr, "y", "event_id", 3)
+    f = S.stratified_folds(tr, "y", "event_id", 10)
     return finish(D.rfe_table(make_estimator("dt", maxDepth=5), f, ["value", "k", "h"], "label", "fold"))
 
 
 @query("i9_learning_curve")
 def i9_learning_curve(spark, sf):
     tr, _ = _t1_xy(spark, sf)
-    f = S.stratified_folds(tr, "y", "event_id", 3)
+    f = S.stratified_folds(tr, "y", "event_id", 10)
     return finish(D.learning_table(make_estimator("nb"), f, "event_id", "label", "fold"))
 
 
 @query("i10_validation_curve")
 def i10_validation_curve(spark, sf):
     tr, _ = _t1_xy(spark, sf)
-    f = S.stratified_folds(tr, "y", "event_id", 3)
+    f = S.stratified_folds(tr, "y", "event_id", 10)
     return finish(D.validation_table(make_estimator("dt"), "maxDepth", [1, 2, 4, 8], f, "label", "fold"))
 
 
@@ -304,13 +304,13 @@ def i13_dimension_rows(spark, sf):
 def i14_boundaries(spark, sf):
     tr, _ = _t1_xy(spark, sf)
     m = make_estimator("nb").fit(tr)
-    return finish(D.boundary_table(m, tr, ["value", "k", "h"], steps=30))
+    return finish(D.boundary_table(m, tr, ["value", "k", "h"]))
 
 
 @query("e5_feature_selection")
 def e5_feature_selection(spark, sf):
-    tr, _ = _t1_xy(spark, sf)
-    return finish(P.feature_scores(tr, ["value", "k", "h"], "label"))
+    df = t1_events(spark, sf).withColumn("label", F.col("y").cast("double"))
+    return finish(P.feature_scores(df, ["value", "k", "h"], "label"))
 
 
 @query("e5_correlation_shares", f"""
@@ -324,7 +324,7 @@ def e5_correlation_shares(spark, sf):
 @query("e11_cluster_feature")
 def e11_cluster_feature(spark, sf):
     t = t1_events(spark, sf)
-    m = P.ClusterFeature(["value", "k"], maxIter=20, ks=(2, 3, 4)).fit(t)
+    m = P.ClusterFeature(["value", "k"], maxIter=20).fit(t)
     return finish(m.transform(t).groupBy("cluster").agg(F.count("*").alias("rows")))
 
 
@@ -377,14 +377,14 @@ def auto_run_t1(spark, sf):
 
 @query("i9_learning_sizes", f"""
 WITH {O.T1},
-fo AS (SELECT event_id, (row_number() OVER (PARTITION BY y ORDER BY md5(concat('123:', CAST(event_id AS VARCHAR))), event_id) - 1) % 3 AS fold,
+fo AS (SELECT event_id, (row_number() OVER (PARTITION BY y ORDER BY md5(concat('123:', CAST(event_id AS VARCHAR))), event_id) - 1) % 10 AS fold,
               {O.bucket('event_id', 123)} / 4294967296.0 AS u FROM t1),
 st AS (SELECT CAST(unnest([0.1, 0.325, 0.55, 0.775, 1.0]) AS DOUBLE) AS share),
 pf AS (SELECT share, fold, count(*) AS n FROM fo, st WHERE u < share GROUP BY ALL)
 SELECT share, CAST(fold AS BIGINT) AS fold,
        CAST(sum(n) OVER (PARTITION BY share) - n AS BIGINT) AS train_rows FROM pf""")
 def i9_learning_sizes(spark, sf):
-    f = S.stratified_folds(t1_events(spark, sf), "y", "event_id", 3)
+    f = S.stratified_folds(t1_events(spark, sf), "y", "event_id", 10)
     return finish(D.learning_sizes(f, "event_id", "fold"))
 
 

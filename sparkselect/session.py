@@ -7,6 +7,7 @@ The library never creates a cluster session by itself: callers pass one in.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,8 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # one machine: a folder of its own is shared by all
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sparkselect-ckpt-", dir="/tmp"))
         .config("spark.driver.memory", os.environ.get("SPARKSELECT_DRIVER_MEMORY", "16g"))
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
         # checkpoint files of materialised tables go away once nothing references them
@@ -52,7 +55,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
     scratch = tempfile.mkdtemp(prefix="sparkselect-ckpt-", dir="/tmp")
     sc.setCheckpointDir(scratch)
