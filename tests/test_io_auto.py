@@ -53,5 +53,6 @@ def test_auto_run_small(spark):
     assert out["metric_table"].count() == 5
     assert out["validation_scored"].count() == df.count()
     assert out["fairness"].count() == 5
+    assert out["notes"]["session_best"] and {"threshold", "dimension", "dimension_variance"} <= set(out)
     scored = io.load_and_score(out["saved"], df.drop("y"))
     assert scored.count() == df.count() and "prediction_label" in scored.columns
