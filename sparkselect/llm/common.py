@@ -3,6 +3,8 @@ word codes of Arrow batches, and ranks within possibly hot groups."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -49,6 +51,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frugal(fn):
+    """``fn`` over the batches of a task, after which the memory that it freed goes back to the
+    system: Python workers live on after a task, and what they hold counts against the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.Table]:
     """The rows in order, as tables of whole rows with about ``most`` bytes of text at most
     (one longer text is a table of its own)."""

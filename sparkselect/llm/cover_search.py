@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import frugal, written
 
 SCALE = 64
 TOP = 20
@@ -240,12 +240,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
 
     one = data.groupBy("dim").agg(F.min("slot").alias("slot"))
     start = query.join(data.join(one, ["dim", "slot"]), "dim").select("q_blob", "blob", *none).repartition(F.xxhash64("q_blob"))
-    found = written(start.mapInArrow(_search(keep), _FOUND), "first-round")
+    found = written(start.mapInArrow(frugal(_search(keep)), _FOUND), "first-round")
     floors = found.where(F.size("scores") >= keep).select("key", F.element_at("scores", -1).alias("floor"))
     slot_of = dealt(q_points, groups, 2).select("dim", F.col("slot").alias("q_slot"), "key")
     known = floors.join(slot_of, "key").groupBy("dim", "q_slot").agg(F.collect_list("key").alias("known"), F.collect_list("floor").alias("floors"))
     pairs = query.join(known, ["dim", "q_slot"], "left").join(data, "dim").select("q_blob", "blob", "known", "floors", F.xxhash64("slot", "q_slot").alias("h"))
-    every = written(pairs.repartition("h").drop("h").mapInArrow(_search(keep), _FOUND), "second-round")
+    every = written(pairs.repartition("h").drop("h").mapInArrow(frugal(_search(keep)), _FOUND), "second-round")
 
     best = _merged(every, keep).select("key", F.col("id").alias("vec_id"), "score")
     asked = asked.withColumn("key", F.xxhash64("v")).withColumn("copy", F.row_number().over(Window.partitionBy("key", "id").orderBy("id")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import frugal, written
 
 #: A container must hold this share of its parent's weight to be preferred to it.
 SHARE = 0.8
@@ -275,7 +275,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path): the winning path of every host; ties go to the greater score, then the smaller path."""
-    votes = pages.select("url", "html").mapInArrow(_votes, "host string, path string, votes long, score double")
+    votes = pages.select("url", "html").mapInArrow(frugal(_votes), "host string, path string, votes long, score double")
     total = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
     best = F.max_by("path", F.struct("votes", F.round("score", 3), F.length("path") * -1))
     return total.groupBy("host").agg(best.alias("path"))
@@ -298,7 +298,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     else:  # a host may hold a third of all pages
         salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    return joined.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(frugal(_extract), "page_id long, url string, text string, n_chars long")
 
 
 def op10_frame(pages: DataFrame) -> DataFrame:

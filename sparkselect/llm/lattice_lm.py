@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, text_groups, written
+from .common import Words, frugal, mix, text_groups, written
 from .tokens import vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -281,7 +281,7 @@ def lattice_scores(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) per document."""
     path = vocabulary(name)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    chunks = written(rows.mapInArrow(_chunks, _CHUNK), "lm-chunks")
+    chunks = written(rows.mapInArrow(frugal(_chunks), _CHUNK), "lm-chunks")
     asked = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "seen")).alias("code", "x")).select("chunk", "code", F.col("x.words").alias("word"), F.col("x.seen").alias("seen"))
     counts = written(asked.groupBy("word").agg(F.sum("seen").alias("c")), "lm-words")
 
@@ -292,12 +292,12 @@ def lattice_scores(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     probability = first
     for _ in range(STEPS):
         uses = first * PRIOR
-        for r in counts.where("c > 0").mapInArrow(_expect(path, probability), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).orderBy("piece").collect():
+        for r in counts.where("c > 0").mapInArrow(frugal(_expect(path, probability)), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).orderBy("piece").collect():
             uses[r["piece"]] += r["uses"]
         uses[end] += n_train
         probability = uses / uses.sum()
 
-    values = counts.mapInArrow(_score(path, probability), "word string, c long, value double")
+    values = counts.mapInArrow(frugal(_score(path, probability)), "word string, c long, value double")
     replies = asked.select("chunk", "code", "word").join(values, "word").select("chunk", "code", "c", "value")
     left = chunks.select(F.col("chunk").alias("part"), "doc_ids", "starts", "codes", "counts")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, mix, partitions, written
+from .common import Words, frugal, gram_hashes, mix, partitions, written, text_groups
 from .graph import components
 
 SHINGLE = 5
@@ -44,6 +44,8 @@ PERMUTATIONS = 128
 MIN_EQUAL = 92
 #: Members of a block; blocks grow with the square root of groups above BLOCK_ROWS ** 2 / 16 members.
 BLOCK_ROWS = 256
+#: Text that is worked on at a time.
+GROUP_BYTES = 8 << 20
 #: A link needs 100 * intersection >= MIN_PERCENT * union.
 MIN_PERCENT = 85
 #: A table is broadcast up to so many rows of one long each, and shuffled beyond.
@@ -56,6 +58,8 @@ _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts): the sorted distinct shingle hashes of row i are hashes[starts[i]:starts[i + 1]]."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
     words = Words(pc.ascii_lower(texts))
     hashed = words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
     grams = gram_hashes(hashed, SHINGLE)
@@ -105,7 +109,7 @@ def _class_id(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_groups(batches, 1, GROUP_BYTES):
         hashes, starts = shingle_sets(batch.column(1))
         low = _minima(hashes, starts)
         bands = np.empty((len(low), BANDS), np.uint64)
@@ -120,18 +124,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed |= bits[:, :, k] << np.uint64(2 * k)
         lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m).view(np.int64).reshape(-1)), m.shape[1]).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(_class_id(hashes, starts)), pa.array(np.diff(starts)), lists(bands), lists(packed)],
+            [batch.column(0).combine_chunks(), batch.column(2).combine_chunks(), pa.array(_class_id(hashes, starts)), pa.array(np.diff(starts)), lists(bands), lists(packed)],
             names=["doc_id", "row_key", "cls", "n", "bands", "sig"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, cls (equal for equal sets), n (set size), bands, sig (packed low bits)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    return rows.mapInArrow(_sketch, "doc_id long, row_key long, cls long, n long, bands array<long>, sig array<long>")
+    return rows.mapInArrow(frugal(_sketch), "doc_id long, row_key long, cls long, n long, bands array<long>, sig array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_groups(batches, 0, GROUP_BYTES):
         hashes, starts = shingle_sets(batch.column(0))
         grams = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(hashes.view(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(_class_id(hashes, starts)), grams], names=["cls", "grams"])
@@ -266,7 +270,7 @@ def _shingle_sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> Dat
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.select("text", F.xxhash64("doc_id", "text").alias("row_key")).join(wanted, "row_key").select("text")
-    return texts.mapInArrow(_sets, "cls long, grams array<long>").dropDuplicates(["cls"])
+    return texts.mapInArrow(frugal(_sets), "cls long, grams array<long>").dropDuplicates(["cls"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
@@ -279,14 +283,14 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
             F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-classes")
     slots = classes.select("cls", "n", "sig", F.explode("bands").alias("bucket"))
     members = written(slots.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("c > 1"), "near-members")
-    near = _in_blocks(members, "bucket", "c").mapInArrow(_bucket_forests(percent), "a long, b long")
+    near = _in_blocks(members, "bucket", "c").mapInArrow(frugal(_bucket_forests(percent)), "a long, b long")
     groups = components(near)
 
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("c"))
     grouped = groups.join(sizes, "comp").select(F.col("node").alias("cls"), "comp", "c")
     sets = _shingle_sets_of(docs, classes, grouped)
     rows = written(grouped.join(classes.select("cls", "n", "sig"), "cls").join(sets, "cls"), "near-groups")
-    links = _in_blocks(rows, "comp", "c").mapInArrow(_group_forests(percent), "a long, b long")
+    links = _in_blocks(rows, "comp", "c").mapInArrow(frugal(_group_forests(percent)), "a long, b long")
     labels = components(links)
 
     named = labels.select(F.col("node").alias("cls"), "comp")

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, text_groups, written
+from .common import frugal, ranked, text_groups, written
 from .tokens import encoder, vocabulary
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 #: Text that is encoded at a time.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: The plan goes to the tasks whole up to so many rows of six longs, and is joined beyond.
 PLAN_ROWS = 500_000
@@ -144,7 +144,7 @@ def _pieces(path: str, end_id: int, size: int):
 def pieces(docs: DataFrame, name: str = VOCABULARY, end_id: int = END_ID, size: int = SEQUENCE_TOKENS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids, cut at ``size``."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_pieces(vocabulary(name), end_id, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(frugal(_pieces(vocabulary(name), end_id, size)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _placer(rows: np.ndarray):
@@ -183,7 +183,7 @@ def pack(items: DataFrame, caps: Capacities | None = None, rule: str = "norm") -
     numbered = ranked(items, ["length"], ["doc_id", "piece", "ids_crc32"])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     if len(rows) <= PLAN_ROWS:
-        return numbered.mapInArrow(_placer(rows), schema)
+        return numbered.mapInArrow(frugal(_placer(rows)), schema)
     table = spark.createDataFrame(pa.table([pa.array(rows[:, i]) for i in range(6)], names=["p_length", "lo", "hi", "bin", "each", "at"]))
     fits = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     step = F.col("rank") - F.col("lo")

@@ -30,7 +30,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import frugal, written
 
 #: Documents of the training sample (expected number, chosen by hash) and rows at most.
 SAMPLE_DOCS, SAMPLE_ROWS = 20_000, 20_000
@@ -331,7 +331,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMP
     n = docs.count()
     share = min(1.0, sample_docs / max(1, n))
     picked = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1))
-    rows = picked.mapInArrow(_labelled, "x array<double>, label double, key long").orderBy("key").limit(sample_rows)
+    rows = picked.mapInArrow(frugal(_labelled), "x array<double>, label double, key long").orderBy("key").limit(sample_rows)
     rows = written(rows.withColumn("held", F.pmod("key", F.lit(5)) == 0), "pii-sample")
     classes = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}
     if not classes >= {(False, 0.0), (False, 1.0)}:
@@ -402,7 +402,7 @@ def _find(trees: Trees):
 def find_spans(docs: DataFrame, trees: Trees) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_find(trees), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(frugal(_find(trees)), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def _redact(trees: Trees, column: int):
@@ -429,7 +429,7 @@ def _redact(trees: Trees, column: int):
 
 def redact(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets."""
-    return docs.mapInArrow(_redact(trees, docs.columns.index(text)), docs.schema)
+    return docs.mapInArrow(frugal(_redact(trees, docs.columns.index(text))), docs.schema)
 
 
 def op6_frame(docs: DataFrame) -> DataFrame:

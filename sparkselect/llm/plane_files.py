@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_folder, text_groups
+from .common import frugal, partitions, shared_folder, text_groups
 from .tokens import encoder, vocabulary
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 END_ID = 2
 #: Text that is encoded at a time.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -177,7 +177,7 @@ def write_token_files(docs: DataFrame, folder: str, name: str = VOCABULARY, end_
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     ordered = rows.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    manifest = ordered.mapInArrow(_write(folder, vocabulary(name), end_id, kind), "part int, file string, n_docs long, n_ids long")
+    manifest = ordered.mapInArrow(frugal(_write(folder, vocabulary(name), end_id, kind)), "part int, file string, n_docs long, n_ids long")
     manifest.write.parquet(f"{folder}/manifest")
 
 
@@ -220,7 +220,7 @@ def read_token_files(spark: SparkSession, folder: str, digest: bool = False) ->
     rows = [(i, f[1], starts[i]) for i, f in enumerate(files)]
     table = spark.createDataFrame(rows, "i int, file string, before long").repartitionById(max(1, len(rows)), F.col("i")).select("file", "before")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ("" if digest else ", ids array<long>")
-    return table.mapInArrow(_read(digest), schema)
+    return table.mapInArrow(frugal(_read(digest)), schema)
 
 
 def op4_frame(docs: DataFrame) -> DataFrame:

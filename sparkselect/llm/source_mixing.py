@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sparkselect.functions.ranking import row_number_exact
 
-from .common import ranked, written
+from .common import frugal, ranked, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -48,7 +48,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, row_key (a hash of the row), size (words of the whole text)."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("doc_id", "source", "text").alias("row_key"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_word_counts, "doc_id long, source string, row_key long, size long")
+    return rows.mapInArrow(frugal(_word_counts), "doc_id long, source string, row_key long, size long")
 
 
 def targets(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:

@@ -37,11 +37,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, mix, partitions, text_groups, written
+from .common import Words, frugal, gram_hashes, mix, partitions, text_groups, written
 
 WINDOW, GRAM = 35, 6
 #: Text of a group of documents that are packed together (a document is never cut).
-GROUP_BYTES = 14 << 20
+GROUP_BYTES = 8 << 20
 #: Keys of documents with repeats are broadcast up to so many rows of one long each.
 BROADCAST_ROWS = 2_000_000
 
@@ -136,7 +136,7 @@ def hot_buckets(texts: DataFrame, window: int, parts: int) -> dict[int, int]:
     """Minimisers with more super-k-mers than half a partition's mean share, and into how
     many pieces their windows are dealt. At most 4 * parts entries."""
     share = 1 / (4 * parts)
-    counts = texts.mapInArrow(_frequent(window, share), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(frugal(_frequent(window, share)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = written(counts, "super-kmer-counts")
     all_of = total.where("bucket is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     rows = total.where(F.col("bucket").isNotNull() & (F.col("n") * 2 * parts > all_of)).orderBy(F.desc("n"), "bucket").limit(4 * parts).collect()
@@ -287,11 +287,11 @@ def _count(window: int, parts: int):
         of = np.repeat(np.arange(len(lengths), dtype=np.int32), windows)
         step = (np.arange(len(of)) - first_window[of]).astype(np.int32)
         at = string_at[of] + step
-        hashes = np.empty(len(codes) - window + 1, np.uint64)
-        for s in range(0, len(hashes), 1 << 18):  # some at a time: the hash takes several arrays
+        hashes = np.empty(len(at), np.uint64)
+        for s in range(0, len(codes) - window + 1, 1 << 18):  # some at a time: the hash takes several arrays
             block = _polynomial(hashed[codes[s:s + (1 << 18) + window - 1]], window)
-            hashes[s:s + len(block)] = block
-        hashes = hashes[at]
+            lo, hi = np.searchsorted(at, (s, s + len(block)))
+            hashes[lo:hi] = block[at[lo:hi] - s]
         found = _repeated(codes, at, weight[of], hashes, window)
         del hashes, at
         # runs of found windows within a string
@@ -318,8 +318,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     parts = partitions(docs.sparkSession)
     texts = docs.select("text", *_keys())
     hot = hot_buckets(texts.select("text"), window, parts)
-    blobs = texts.mapInArrow(_pack(window, parts, hot), "part int, blob binary")
-    return blobs.repartitionById(parts, F.col("part")).mapInArrow(_count(window, parts), "k1 long, k2 long, lo long, hi long")
+    blobs = texts.mapInArrow(frugal(_pack(window, parts, hot)), "part int, blob binary")
+    return blobs.repartitionById(parts, F.col("part")).mapInArrow(frugal(_count(window, parts)), "k1 long, k2 long, lo long, hi long")
 
 
 def _keys():
@@ -360,11 +360,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text", *_keys())
     touched = written(found.select("k1").distinct(), "repeated-keys")
     if touched.count() > BROADCAST_ROWS:
-        return rows.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(_keep, schema)
+        return rows.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(frugal(_keep), schema)
     keys = F.broadcast(touched)
     none = F.lit(None).cast("array<long>")
-    plain = rows.join(keys, "k1", "left_anti").select("doc_id", "text", none.alias("lo"), none.alias("hi")).mapInArrow(_keep, schema)
-    cut = rows.join(keys, "k1", "left_semi").join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(_keep, schema)
+    plain = rows.join(keys, "k1", "left_anti").select("doc_id", "text", none.alias("lo"), none.alias("hi")).mapInArrow(frugal(_keep), schema)
+    cut = rows.join(keys, "k1", "left_semi").join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "lo", "hi").mapInArrow(frugal(_keep), schema)
     return plain.union(cut)
 
 
