@@ -6,7 +6,7 @@
 2. Classes that share a band are candidates. The packed signatures estimate their
    similarity by bit counts, corrected for chance collisions of 2-bit values: m of
    128 equal gives (m / 128 - 1/4) / (3/4). Pairs at MIN_EQUAL or more go on; a pair
-   of similarity 0.85 stays below it with a probability under 1e-8, and shares no
+   of similarity 0.85 stays below it with a probability under 1e-7, and shares no
    band with one under 1e-6.
 3. In every band bucket, a spanning forest of the candidate pairs is kept (at most one
    edge per member); its connected components are the candidate groups, so any candidate
