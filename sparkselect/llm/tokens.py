@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -123,16 +124,19 @@ class Encoder:
         new, self.codes.new = self.codes.new, []
         if not new:
             return
-        lists = [self._unit_ids(u) for u in new]
+        ids, size = array("I"), np.empty(len(new), np.int64)
+        for i, unit in enumerate(new):
+            own = self._unit_ids(unit)
+            ids.extend(own)
+            size[i] = len(own)
         first = len(self.codes) - len(new)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
         while len(self.codes) + 1 > len(self.starts):
             self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
         ends = self.starts[first] + np.cumsum(size)
         self.starts[first + 1:first + 1 + len(new)] = ends
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        self.flat[self.starts[first]:ends[-1]] = [i for ids in lists for i in ids]
+        self.flat[self.starts[first]:ends[-1]] = np.frombuffer(ids, np.uint32)
 
     def _of(self, units: list[str]) -> np.ndarray:
         """The codes of units; unknown ones are learnt."""
