@@ -15,6 +15,11 @@ from sparkselect.llm import near_duplicates, packing, personal_data, quality_rul
 from sparkselect.llm.common import table, written
 
 
+#: Similarity of word shingles, in percent, from which the pipeline takes documents for copies.
+#: The 85 of op8_minhash_near_dedup is that query's alone.
+COPY_PERCENT = 80
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the current policy rejects."""
     return quality_rules.passing(docs)
@@ -22,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, by the operator's b-bit MinHash."""
-    return near_duplicates.without_copies(docs)
+    return near_duplicates.without_copies(docs, COPY_PERCENT)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,13 @@
 """b-bit MinHash near-duplicate groups, confirmed on whole shingle sets.
 
 1. Each document's set of distinct 5-word shingles (64-bit hashes) gives 128 minima;
-   the low 2 bits of each are packed into four longs, and 25 bands of 5 whole minima
-   are hashed. Documents with equal sets (size and two 64-bit sums) form one class.
+   the low 2 bits of each are packed into four longs, and bands of whole minima are
+   hashed (25 of 5 at 85 percent, 32 of 4 at 80). Documents with equal sets (size and two 64-bit sums) form one class.
 2. Classes that share a band are candidates. The packed signatures estimate their
    similarity by bit counts, corrected for chance collisions of 2-bit values: m of
-   128 equal gives (m / 128 - 1/4) / (3/4). Pairs at MIN_EQUAL or more go on; a pair
-   of similarity 0.85 stays below it with a probability under 1e-7, and shares no
-   band with one under 1e-6.
+   128 equal gives (m / 128 - 1/4) / (3/4). Band shape and the least m follow the
+   percentage asked for: a pair just at it stays below that m with a probability of
+   at most MISS_EQUAL, and shares no band with one of at most MISS_BANDS.
 3. In every band bucket, a spanning forest of the candidate pairs is kept (at most one
    edge per member); its connected components are the candidate groups, so any candidate
    pair lies within one group.
@@ -26,6 +26,7 @@ table gives an empty result. Texts of any length are used whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +39,14 @@ from .common import Words, frugal, gram_hashes, mix, partitions, written, text_g
 from .graph import components
 
 SHINGLE = 5
-ROWS, BANDS = 5, 25
 PERMUTATIONS = 128
-#: Of 128 two-bit values; 92 equal is a similarity of 0.625 after correction.
-MIN_EQUAL = 92
+#: Most probable miss of a pair just at the percentage: by the bands, and by the packed estimate.
+MISS_BANDS, MISS_EQUAL = 1e-6, 1e-7
 #: Members of a block; blocks grow with the square root of groups above BLOCK_ROWS ** 2 / 16 members.
 BLOCK_ROWS = 256
 #: Text that is worked on at a time.
 GROUP_BYTES = 8 << 20
-#: A link needs 100 * intersection >= MIN_PERCENT * union.
+#: A link needs 100 * intersection >= MIN_PERCENT * union, unless another percentage is asked for.
 MIN_PERCENT = 85
 #: A table is broadcast up to so many rows of one long each, and shuffled beyond.
 BROADCAST_ROWS = 2_000_000
@@ -56,6 +56,26 @@ _A = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.
 _B = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 
 
+def band_shape(percent: int) -> tuple[int, int]:
+    """(rows, bands): the longest bands that a pair of ``percent`` misses with MISS_BANDS at most."""
+    for rows in range(PERMUTATIONS, 0, -1):
+        bands = PERMUTATIONS // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISS_BANDS:
+            return rows, bands
+    raise ValueError(f"{PERMUTATIONS} minima do not find pairs of {percent} percent")
+
+
+def least_equal(percent: int) -> int:
+    """The most equal two-bit values that a pair of ``percent`` falls below with MISS_EQUAL at most."""
+    q = 0.25 + 0.75 * percent / 100
+    below = 0.0
+    for m in range(PERMUTATIONS):
+        below += math.comb(PERMUTATIONS, m) * q**m * (1 - q) ** (PERMUTATIONS - m)
+        if below > MISS_EQUAL:
+            return m
+    return PERMUTATIONS
+
+
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts): the sorted distinct shingle hashes of row i are hashes[starts[i]:starts[i + 1]]."""
     if isinstance(texts, pa.ChunkedArray):
@@ -108,30 +128,33 @@ def _class_id(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(mix(one + np.diff(starts).astype(np.uint64)) ^ two).view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_groups(batches, 1, GROUP_BYTES):
-        hashes, starts = shingle_sets(batch.column(1))
-        low = _minima(hashes, starts)
-        bands = np.empty((len(low), BANDS), np.uint64)
-        for b in range(BANDS):
-            h = np.full(len(low), b + 1, np.uint64)
-            for k in range(b * ROWS, (b + 1) * ROWS):
-                h = mix(h * np.uint64(0xD6E8FEB86659FD93) + low[:, k])
-            bands[:, b] = h
-        bits = (mix(low) & np.uint64(3)).reshape(len(low), 4, 32)
-        packed = np.zeros((len(low), 4), np.uint64)
-        for k in range(32):
-            packed |= bits[:, :, k] << np.uint64(2 * k)
-        lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m).view(np.int64).reshape(-1)), m.shape[1]).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).combine_chunks(), batch.column(2).combine_chunks(), pa.array(_class_id(hashes, starts)), pa.array(np.diff(starts)), lists(bands), lists(packed)],
-            names=["doc_id", "row_key", "cls", "n", "bands", "sig"])
-
-
-def sketches(docs: DataFrame) -> DataFrame:
+def _sketch(n_rows: int, n_bands: int):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_groups(batches, 1, GROUP_BYTES):
+            hashes, starts = shingle_sets(batch.column(1))
+            low = _minima(hashes, starts)
+            bands = np.empty((len(low), n_bands), np.uint64)
+            for b in range(n_bands):
+                h = np.full(len(low), b + 1, np.uint64)
+                for k in range(b * n_rows, (b + 1) * n_rows):
+                    h = mix(h * np.uint64(0xD6E8FEB86659FD93) + low[:, k])
+                bands[:, b] = h
+            bits = (mix(low) & np.uint64(3)).reshape(len(low), 4, 32)
+            packed = np.zeros((len(low), 4), np.uint64)
+            for k in range(32):
+                packed |= bits[:, :, k] << np.uint64(2 * k)
+            lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m).view(np.int64).reshape(-1)), m.shape[1]).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).combine_chunks(), batch.column(2).combine_chunks(), pa.array(_class_id(hashes, starts)), pa.array(np.diff(starts)), lists(bands), lists(packed)],
+                names=["doc_id", "row_key", "cls", "n", "bands", "sig"])
+
+    return sketch
+
+
+def sketches(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
     """doc_id, row_key, cls (equal for equal sets), n (set size), bands, sig (packed low bits)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    return rows.mapInArrow(frugal(_sketch), "doc_id long, row_key long, cls long, n long, bands array<long>, sig array<long>")
+    return rows.mapInArrow(frugal(_sketch(*band_shape(percent))), "doc_id long, row_key long, cls long, n long, bands array<long>, sig array<long>")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +212,7 @@ def _units(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Tab
         yield whole.combine_chunks(), starts
 
 
-def _forest(n: np.ndarray, sig: np.ndarray, block: np.ndarray, percent: int, confirmed=None) -> list[tuple[int, int]]:
+def _forest(n: np.ndarray, sig: np.ndarray, block: np.ndarray, percent: int, least: int, confirmed=None) -> list[tuple[int, int]]:
     """Edges (i, j) that connect what the allowed pairs connect; ``confirmed(i, js)`` keeps the
     true links of i. With two blocks, only pairs across them."""
     comp, edges = np.arange(len(n)), []
@@ -199,7 +222,7 @@ def _forest(n: np.ndarray, sig: np.ndarray, block: np.ndarray, percent: int, con
         if across:
             js = js[block[js] != block[i]]
         js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-        js = js[equal_values(sig[i], sig[js]) >= MIN_EQUAL]
+        js = js[equal_values(sig[i], sig[js]) >= least]
         if confirmed is not None and len(js):
             js = confirmed(i, js)
         if len(js):
@@ -220,23 +243,27 @@ def _edge_batch(cls: np.ndarray, edges: list[tuple[int, int]]) -> pa.RecordBatch
 
 
 def _bucket_forests(percent: int):
+    least = least_equal(percent)
+
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _units(batches, "bucket"):
             cls, n, sig, block = _columns(table)
             pairs = np.diff(starts) == 2  # most buckets: all at once
             i = starts[:-1][pairs]
             allowed = 100 * np.minimum(n[i], n[i + 1]) >= percent * np.maximum(n[i], n[i + 1])
-            i = i[allowed & (equal_values(sig[i], sig[i + 1]) >= MIN_EQUAL)]
+            i = i[allowed & (equal_values(sig[i], sig[i + 1]) >= least)]
             edges = list(zip(i.tolist(), (i + 1).tolist(), strict=True))
             for u in np.flatnonzero(np.diff(starts) > 2):
                 s, e = starts[u], starts[u + 1]
-                edges += [(s + a, s + b) for a, b in _forest(n[s:e], sig[s:e], block[s:e], percent)]
+                edges += [(s + a, s + b) for a, b in _forest(n[s:e], sig[s:e], block[s:e], percent, least)]
             yield _edge_batch(cls, edges)
 
     return forests
 
 
 def _group_forests(percent: int):
+    least = least_equal(percent)
+
     def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _units(batches, "comp"):
             cls, n, sig, block = _columns(table)
@@ -258,7 +285,7 @@ def _group_forests(percent: int):
                         out.append(part[100 * both >= percent * (len(own) + size - both)])
                     return np.concatenate(out)
 
-                edges += [(s + a, s + b) for a, b in _forest(n[s:e], sig[s:e], block[s:e], percent, confirmed)]
+                edges += [(s + a, s + b) for a, b in _forest(n[s:e], sig[s:e], block[s:e], percent, least, confirmed)]
             yield _edge_batch(cls, edges)
 
     return forests
@@ -276,7 +303,7 @@ def _shingle_sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> Dat
 def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, row_key (a hash of doc_id and
     text) and group (the same long for all documents of a component; null for an empty set)."""
-    sketch = written(sketches(docs), "near-sketch")
+    sketch = written(sketches(docs, percent), "near-sketch")
     classes = written(
         sketch.where("n > 0").groupBy("cls").agg(
             F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.max("n").alias("n"),

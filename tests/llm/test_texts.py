@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from sparkselect.llm import lattice_lm, near_duplicates, quality_rules, substring_dedup
 from sparkselect.llm.graph import components
 
@@ -97,6 +98,27 @@ def test_near_duplicates_edges(odd_docs, odd_rows, no_docs):
     assert sum(not words_of(r.text) for r in stay) == sum(not words_of(r[1]) for r in odd_rows)
 
 
+def test_bands_and_estimate_follow_the_percentage():
+    assert near_duplicates.band_shape(85) == (5, 25) and near_duplicates.least_equal(85) == 92
+    assert near_duplicates.band_shape(80) == (4, 32) and 84 <= near_duplicates.least_equal(80) <= 86
+    with pytest.raises(ValueError):
+        near_duplicates.band_shape(5)
+
+
+def test_pipeline_stage_drops_copies_from_80_percent(spark, make_docs):
+    texts = []
+    for i in range(60):
+        w = [f"d{i}_{j}" for j in range(114)]  # 110 shingles
+        texts += [" ".join(w), " ".join(f"x{j}" if j in (20, 60) else x for j, x in enumerate(w))]  # 100 of 120 are common
+    sets = lambda t: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)}
+    a, b = sets(texts[0]), sets(texts[1])
+    assert 0.81 < len(a & b) / len(a | b) < 0.85
+    docs = make_docs(texts)
+    stay = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in stay) == list(range(1, 121, 2))
+    assert len(near_duplicates.without_copies(docs).collect()) == 120
+
+
 def test_near_duplicates_group_of_many_blocks(make_docs):
     rnd = random.Random(11)
     base = [f"b{i}" for i in range(120)]
