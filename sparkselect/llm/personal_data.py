@@ -5,7 +5,7 @@ generators with high recall propose overlapping spans of more forms (obfuscated
 numbers in national formats, ids with checksums, network addresses, keys and passwords).
 Each candidate gets format and context features; gradient-boosted trees, fitted on a bounded
 sample of rows with labels from strict format rules and on rewritten copies of them, give a
-score; isotonic calibration on held-out rows and a threshold per kind select the spans that
+score; copies of a text or case count once in the sample; isotonic calibration on held-out rows and a threshold per kind select the spans that
 are added. Added spans never overlap a base span; among themselves the likelier wins.
 
 Defined results: a null text counts as empty; positions are code points of the whole text,
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import frugal, written
 
-#: Documents of the training sample (expected number, chosen by hash) and rows at most.
+#: Distinct texts of the training sample (expected number, chosen by hash) and distinct cases at most.
 SAMPLE_DOCS, SAMPLE_ROWS = 20_000, 20_000
 TREES, DEPTH = 30, 5
 #: A candidate is added if its calibrated probability reaches what gives this precision.
@@ -267,7 +267,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for where, s, e, kind, y in _cases(text or ""):
                 rows.append(features(where, s, e, kind))
                 labels.append(float(y))
-                keys.append(int.from_bytes(hashlib.blake2b(f"{kind}:{y}:{where[max(0, s - 24):e]}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
+                left = max(0, s - 24)  # all that features and label depend on
+                keys.append(int.from_bytes(hashlib.blake2b(f"{kind}:{y}:{s - left}:{e - s}:{where[left:e + 1]}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64()), pa.array(keys, pa.int64())], names=["x", "label", "key"])
 
 
@@ -328,10 +329,11 @@ def isotonic(margin: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMPLE_ROWS) -> Trees:
     """Boosted trees for the candidates of ``docs``, from a bounded sample of them."""
-    n = docs.count()
+    n = docs.select(F.xxhash64("text").alias("h")).distinct().count()
     share = min(1.0, sample_docs / max(1, n))
-    picked = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1))
-    rows = picked.mapInArrow(frugal(_labelled), "x array<double>, label double, key long").orderBy("key").limit(sample_rows)
+    picked = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share >= 1)).distinct()
+    cases = picked.mapInArrow(frugal(_labelled), "x array<double>, label double, key long")
+    rows = cases.dropDuplicates(["key"]).orderBy("key").limit(sample_rows)
     rows = written(rows.withColumn("held", F.pmod("key", F.lit(5)) == 0), "pii-sample")
     classes = {(r["held"], r["label"]) for r in rows.select("held", "label").distinct().collect()}
     if not classes >= {(False, 0.0), (False, 1.0)}:

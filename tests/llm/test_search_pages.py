@@ -129,6 +129,24 @@ def test_personal_data_model(make_docs):
     assert [r.text for r in out] == ["a [EMAIL] f [PHONE]", None, "clean text"] and out[0].lang == "en"
 
 
+def private_texts(n=300):
+    rnd = random.Random(8)
+    words = "the of and lorem ipsum dolor amet magna".split()
+    plain = lambda: " ".join(rnd.choice(words) for _ in range(20))
+    made = [lambda: f"u{rnd.randrange(999)}@mail{rnd.randrange(9)}.example.com", lambda: f"+1 ({rnd.randrange(200, 999)}) 555-{rnd.randrange(10**4):04d}",
+            lambda: "AKIA" + "".join(rnd.choice("ABCDEFGHIJKLMNOP234567") for _ in range(16)), lambda: f"password={rnd.randrange(16**18):018x}"]
+    return [f"{plain()} {made[i % 4]()} {plain()}" for i in range(n)]
+
+
+def test_personal_data_copies_do_not_fill_the_sample(make_docs):
+    texts = private_texts()
+    alone = personal_data.fit(make_docs(texts), sample_rows=1000)
+    copies = personal_data.fit(make_docs(texts + [texts[3]] * 150), sample_rows=1000)  # a third of the rows
+    assert len(alone.trees) == personal_data.TREES and alone.least == copies.least
+    for a, b in zip((*alone.steps, *alone.trees[-1]), (*copies.steps, *copies.trees[-1]), strict=True):
+        assert np.array_equal(a, b)
+
+
 def test_isotonic_is_increasing():
     m, p = personal_data.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1.0]))
     assert (np.diff(p) >= 0).all() and (np.diff(m) > 0).all() and p[-1] == 1
