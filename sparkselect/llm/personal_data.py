@@ -16,6 +16,7 @@ rows are treated each; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import ipaddress
 import math
@@ -87,8 +88,11 @@ _NUMBER = re.compile(r"(?<![0-9A-Za-z.])[+(]?[0-9][0-9 ().-]{5,28}[0-9](?![0-9A-
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
-_VALUE = re.compile(r"[=:]\s?[\"']?([^\s\"'<>]{6,128})")
+_SIGN = re.compile(r"[=:]\s?[\"']?")
+_UNBROKEN = re.compile(r"[^\s\"'<>]+")
 _TOKEN = re.compile(r"[A-Za-z0-9_/+=-]+")
+_JOINED = re.compile(r"[A-Za-z0-9_/+=.~%-]")
+_MARKS = ".,;:!?)]}"
 _RUN = re.compile("[0-9]+")
 #: Fixed value: words before a value or a number that hint at what it is.
 _HINTS = (
@@ -103,6 +107,13 @@ _HINTS = (
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every proposed span; they may overlap."""
     out = set()
+    values: list[tuple[int, int]] = []  # the whole unbroken runs after a hint, in order
+    for m in _SIGN.finditer(text) if "=" in text or ":" in text else ():
+        if m.start() >= (values[-1][1] if values else 0) and any(h in text[max(0, m.start() - 16):m.start()].lower() for h in _HINTS[0]):
+            v = _UNBROKEN.match(text, m.end())
+            if v and v.end() - v.start() >= 6:
+                values.append(v.span())
+    out.update((s, e, "secret") for s, e in values)
     if "@" in text:
         out.update((m.start(), m.end(), "email") for m in _EMAIL.finditer(text))
     low_at = re.search(r"[\[({<]\s?(?:at|@)\s?[\])}>]", text, re.I) if any(c in text for c in "[({<") else None
@@ -117,8 +128,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 out.add((m.start(), m.end(), "card"))
         out.update((m.start(), m.end(), "ssn") for m in _SSN.finditer(text))
         out.update((m.start(), m.end(), "iban") for m in _IBAN.finditer(text))
-        end = 0
-        for m in _RUN.finditer(text):  # the token around a digit
+        end = run_end = at = 0
+        for m in _RUN.finditer(text):  # the token around a digit, and all that is joined to it
             if m.start() < end:
                 continue
             s = m.start()
@@ -126,14 +137,22 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 s -= 1
             t = _TOKEN.match(text, s)
             end = t.end()
-            if 16 <= end - s <= 256:
-                out.add((s, end, "secret"))
+            if end - s < 16:
+                continue
+            spans = [(s, end)]
+            if s >= run_end:
+                start = s
+                while start > run_end and _JOINED.match(text[start - 1]):
+                    start -= 1
+                run_end = _UNBROKEN.match(text, s).end()
+                spans.append((start, max(end, start + len(text[start:run_end].rstrip(_MARKS)))))
+            for a, b in spans:  # a hint joined to its value is not part of it
+                while at < len(values) and values[at][1] <= a:
+                    at += 1
+                if not (at < len(values) and a < values[at][0] < b <= values[at][1]):
+                    out.add((a, b, "secret"))
     if text.count(":") >= 2:
         out.update((m.start(), m.end(), "ipv6") for m in _IPV6.finditer(text) if m.end() - m.start() >= 6)
-    if "=" in text or ":" in text:
-        for m in _VALUE.finditer(text):
-            if any(h in text[max(0, m.start() - 16):m.start()].lower() for h in _HINTS[0]):
-                out.add((m.start(1), m.end(1), "secret"))
     return sorted(out)
 
 
@@ -198,7 +217,8 @@ def strict_label(text: str, start: int, end: int, kind: str) -> int | None:
     hinted = any(h in text[max(0, start - 16):start].lower() for h in _HINTS[0])
     if hinted and len(d) >= 2 and any(c.isalpha() for c in s) and "/" not in s:
         return 1
-    return 0 if not hinted and (s.count("-") + s.count("/") >= 3 or d == s) else None
+    joints = s.count("-") + s.count("/")  # in long random text they are rare, between words they are not
+    return 0 if not hinted and (joints >= 3 and 20 * joints >= len(s) or d == s) else None
 
 
 def _iban(digits: str) -> str:
@@ -207,6 +227,26 @@ def _iban(digits: str) -> str:
     return f"GB{98 - rest:02d}{body}"
 
 
+def _random_text(s: str, n: int) -> str:
+    """n characters of URL-safe base64, fixed by ``s``; the same bytes in plain base64 hold + and /."""
+    blocks = (hashlib.sha512(f"{i}:{s}".encode("utf-8", "surrogatepass")).digest() for i in range(n // 80 + 1))
+    return base64.urlsafe_b64encode(b"".join(blocks)).decode()[:n]
+
+
+def _long_forms(s: str, half: list[str]) -> list[tuple[str, str, str, int]]:
+    """Long secrets (keys, signed tokens, signed addresses) and long texts that are none."""
+    size = 130 + int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=2).digest()) % 1900
+    url = _random_text(s, size)
+    plain, jwt = url.replace("-", "+").replace("_", "/"), f"eyJ{url[:33]}.eyJ{url[33:-43]}.{url[-43:]}"
+    hexed = hashlib.shake_256(s.encode("utf-8", "surrogatepass")).hexdigest(size // 2)
+    out = [(h, v, "secret", 1) for h in ("token: ", "password=", "") for v in (url, plain, jwt, hexed)]
+    out += [(h, f"https://files.example.com/{half[0]}/report.pdf?expires=17{len(half)}0000000&signature={plain}", "secret", 1) for h in ("token: ", "secret=")]
+    many = [half[i % len(half)] for i in range(size // 8)]
+    out += [("", "/".join([*many, "2020", "index"]), "secret", 0), ("see ", "-".join([*many, "2019"]), "secret", 0), ("", ".".join([*many, "v2"]), "secret", 0), ("", "_".join([*many, "10"]), "secret", 0),
+            ("", "".join(many) + "2", "secret", 0), ("", str(size) * (size // 4), "secret", 0), ("", "-" * size + "1", "secret", 0), ("", "=" * (size // 2) + f"{size}" + "=" * (size // 2), "secret", 0)]
+    return out
+
+
 def _rewritten(s: str, kind: str, words: list[str]) -> list[tuple[str, str, str, int]]:
     """(before, value, kind, label): a found value in other right and wrong forms, so that the
     trees meet forms that a sample may lack."""
@@ -237,7 +277,7 @@ def _rewritten(s: str, kind: str, words: list[str]) -> list[tuple[str, str, str,
         out += [("token = ", s[:16], kind, 1), ("password: ", s[-12:], kind, 1)] if len(_digits(s[:16])) > 1 and len(_digits(s[-12:])) > 1 else []
         out += [("api_key: ", "sk-" + longer, kind, 1), ("api_key: ", "sk-" + longer.lower()[:20], kind, 1), ("", "ghp_" + longer, kind, 1), ("secret=", longer, kind, 1), ("", longer + s[:8], kind, 1)]
         out += [("the ", "-".join([*half, "2019", *half[:2]]), kind, 0), ("", "/".join([*half, "2020", "index"]), kind, 0), ("", "_".join([*half, *half, "10"]), kind, 0),
-                ("", d[:20].ljust(18, "0"), kind, 0), ("see ", (re.sub("[^a-z]", "", "".join(half).lower()) or "plain") * 3 + "2", kind, 0)]
+                ("", d[:20].ljust(18, "0"), kind, 0), *_long_forms(s, half), ("see ", (re.sub("[^a-z]", "", "".join(half).lower()) or "plain") * 3 + "2", kind, 0)]
     elif kind == "ip":
         h = [f"{int(x):x}" for x in s.split(".")]
         out += [("", f"fe80::{h[0]}ff:{h[1]}:{h[2]}:{h[3]}", "ipv6", 1), ("host ", f"2001:db8:{':'.join(h)}::1", "ipv6", 1), ("at ", f"{int(h[0], 16) % 24:02d}:{int(h[1], 16) % 60:02d}:{int(h[2], 16) % 60:02d}", "ipv6", 0),
@@ -356,15 +396,31 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMP
     return trees
 
 
+def _outside_of(start: int, end: int, base: list[tuple]) -> list[tuple[int, int]]:
+    """What the base spans leave of start to end; nothing if they hold half of it."""
+    parts, at = [], start
+    for s, _, e in base:
+        if s < end and start < e:
+            if s > at:
+                parts.append((at, s))
+            at = max(at, e)
+    if at < end:
+        parts.append((at, end))
+    return parts if 2 * sum(e - s for s, e in parts) > end - start else []
+
+
 def added_spans(texts: list[str], base: list[list[tuple]], trees: Trees) -> list[list[tuple[int, str, int]]]:
-    """The candidates of each text that the trees select, without overlaps."""
+    """The candidates of each text that the trees select, without overlaps. Of secrets within
+    each other the widest goes first, so that no rest of one stays."""
     out: list[list] = [[] for _ in texts]
     if not trees.trees:
         return out
     owner, spans, rows = [], [], []
     for i, text in enumerate(texts):
         for start, end, kind in candidates(text):
-            if any(start < e and s < end for s, _, e in base[i]):
+            if kind != "secret" and any(start < e and s < end for s, _, e in base[i]):
+                continue
+            if kind == "secret" and not _outside_of(start, end, base[i]):
                 continue
             owner.append(i)
             spans.append((start, kind, end))
@@ -372,10 +428,22 @@ def added_spans(texts: list[str], base: list[list[tuple]], trees: Trees) -> list
     if not rows:
         return out
     p = trees.probability(np.array(rows))
-    for j in sorted(range(len(rows)), key=lambda j: (-p[j], spans[j][0], -spans[j][2], ORDER[spans[j][1]])):
+    likely, wider = p.copy(), np.zeros(len(p), np.int64)
+    secrets = [j for j in range(len(p)) if spans[j][1] == "secret" and p[j] >= trees.least["secret"]]  # by text and start
+    for n, j in enumerate(secrets):
+        start, _, end = spans[j]
+        k = n - 1
+        while k >= 0 and owner[secrets[k]] == owner[j] and spans[secrets[k]][0] == start:
+            k -= 1
+        for i in secrets[k + 1:]:
+            if owner[i] != owner[j] or spans[i][0] >= end:
+                break
+            if i != j and spans[i][2] <= end and any(c.isalnum() for c in texts[owner[j]][start:spans[i][0]] + texts[owner[j]][spans[i][2]:end]):
+                likely[j], wider[j] = max(likely[j], p[i]), end - start
+    for j in sorted(range(len(rows)), key=lambda j: (-likely[j], -wider[j], spans[j][0], -spans[j][2], ORDER[spans[j][1]])):
         start, kind, end = spans[j]
         if p[j] >= trees.least[kind] and not any(start < e and s < end for s, _, e in out[owner[j]]):
-            out[owner[j]].append(spans[j])
+            out[owner[j]] += [(s, kind, e) for s, e in _outside_of(start, end, base[owner[j]])] if kind == "secret" else [spans[j]]
     return out
 
 

@@ -147,6 +147,28 @@ def test_personal_data_copies_do_not_fill_the_sample(make_docs):
         assert np.array_equal(a, b)
 
 
+def test_long_secrets_are_redacted_whole(make_docs):
+    fitted = personal_data.fit(make_docs(private_texts()))
+    rnd = random.Random(12)
+    url = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    some = lambda n, chars=url: "".join(rnd.choice(chars) for _ in range(n))
+    secrets = [some(600), some(2000), some(600, "0123456789abcdef"), some(600, url[:62] + "+/"), f"eyJ{some(33)}.eyJ{some(500)}.{some(43)}"]
+    texts = [f"so {hint}{x} and then" for hint in ("token: ", "password=", "") for x in secrets]
+    out = personal_data.redact(make_docs(texts), fitted).orderBy("doc_id").collect()
+    assert [r.text for r in out] == [f"so {hint}[SECRET] and then" for hint in ("token: ", "password=", "") for _ in secrets]
+    signed = f"https://files.example.com/a/report.pdf?expires=1700000000&signature={some(400, url[:62] + '+/')}"
+    assert [r.text for r in personal_data.redact(make_docs([f"the token: {signed} x"]), fitted).collect()] == ["the token: [SECRET] x"]
+    clean = ["see " + "/".join(["lorem", "ipsum"] * 40 + ["2020"]) + " x", "-" * 300 + "1 x", "_".join(["dolor", "amet"] * 50 + ["10"])]
+    assert [r.text for r in personal_data.redact(make_docs(clean), fitted).orderBy("doc_id").collect()] == clean
+
+
+def test_base_spans_within_a_secret_leave_its_rest_redacted():
+    text = "x" * 30 + "10.0.0.1" + "y" * 30
+    base = personal_data.base_spans(text)
+    assert personal_data._outside_of(0, len(text), base) == [(0, 30), (38, 68)]
+    assert personal_data._outside_of(28, 40, base) == []
+
+
 def test_isotonic_is_increasing():
     m, p = personal_data.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1.0]))
     assert (np.diff(p) >= 0).all() and (np.diff(m) > 0).all() and p[-1] == 1
