@@ -3,13 +3,14 @@
 1. Each page is read into blocks (paragraphs, headings, list items, cells ...) that belong to
    containers (body, article, main, section, div ...). Parts that are never main text are left
    out: scripts and styles, menus, forms, and elements whose tag, role, class or id names them
-   as header, footer, sidebar, notice, advert or reader comments. A container's score is its
-   share of the page's remaining text, links discounted; the page chooses the deepest
-   container that still holds most of it.
+   as header, footer, sidebar, notice, advert or reader comments. The page chooses the
+   outermost container that stands clear of such parts and of blocks of links, with all
+   remaining text in it: nothing else beside it is given up, and an article is never cut.
 2. The page votes for the generalised path of its container: tags with classes, digits and
    positions left out. Votes are summed per host and path; the path with most votes wins.
-3. Each page is extracted again from the containers at its host's winning path, or from its
-   own choice where it has none.
+3. Each page is extracted again from the containers at its host's winning path, with the
+   headings, paragraphs, lists, tables and quotes that stand beside them in the page's own
+   choice, or from its own choice where it has none.
 
 Defined results: a null or empty html gives an empty text; unclosed, stray and cut-off tags
 are closed where HTML would close them; a null url is a host of its own; repeated rows vote
@@ -28,8 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import frugal, written
 
-#: A container must hold this share of its parent's weight to be preferred to it.
-SHARE = 0.8
 #: Winning paths are broadcast up to so many hosts, and joined by shuffle (salted) beyond.
 BROADCAST_HOSTS = 200_000
 SALTS = 64
@@ -44,6 +43,8 @@ _RAW = frozenset(("script", "style", "title", "textarea", "noscript", "template"
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _CONTAINERS = frozenset(("body", "article", "main", "section", "div", "td", "center", "table", "tbody", "tr", "ul", "ol", "dl", "blockquote", "figure", "details", "fieldset", "header"))
 _BLOCKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "th", "figcaption", "summary", "caption", "address", "hr", "html", "nav", "footer", "aside", "form", "thead", "tfoot")) | _CONTAINERS
+#: Containers that are content, not page structure.
+_CONTENT = frozenset(("table", "ul", "ol", "dl", "blockquote", "figure", "details"))
 _SKIPPED = frozenset(("nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "input"))
 #: Fixed value: words of a class, id or role that name a part outside the article.
 _OUTSIDE = frozenset((
@@ -86,11 +87,16 @@ def _outside(tag: str, words: list[str], in_article: bool) -> bool:
     return not (any(w in _INSIDE for w in words) and words[-1] in _INSIDE)
 
 
+def _mostly_links(text: str, links: int) -> bool:
+    return 1.5 * links >= len(text)
+
+
 class Page:
     """Blocks and containers of one page."""
 
     def __init__(self, html: str):
         self.parent, self.path, self.boost = [-1], ["body"], [1.0]
+        self.tag, self.framed = ["body"], [False]  # framed: a part that is never main text lies directly in it
         self.blocks: list[tuple[int, str, int, str]] = []  # container, text, characters in links, tag
         self._read(html)
 
@@ -200,14 +206,18 @@ class Page:
                 classes, words, hidden = _names(m.group(3)) if m.group(3) else ([], [], False)
                 in_article = any(e[0] in ("article", "main") for e in stack)
                 skipped = hidden or _outside(tag, words, in_article)
+                self.framed[container] |= skipped
                 if not skipped and tag in _CONTAINERS:
                     label = ".".join([tag, *sorted({re.sub(r"[0-9]+", "", c).strip("-_").lower() for c in classes} - {""})])
                     self.parent.append(container)
                     self.path.append(f"{self.path[container]}>{label}")
+                    self.tag.append(tag)
+                    self.framed.append(False)
                     good = tag in ("article", "main") or any(w in _INSIDE for w in words)
                     self.boost.append(max(self.boost[container], 2.0 if good else 1.0))
                     container = len(self.parent) - 1
             elif tag in _SKIPPED:
+                self.framed[container] |= not skipped
                 skipped = True
             if block and not skipped:
                 kind = tag
@@ -227,29 +237,54 @@ class Page:
             w[self.parent[i]] += w[i]
         return w
 
-    def choice(self) -> int:
-        """The deepest container that holds most of the text."""
-        w, at = self.weights(), 0
-        children: list[list[int]] = [[] for _ in w]
-        for i in range(1, len(w)):
-            children[self.parent[i]].append(i)
-        while children[at]:
-            best = max(children[at], key=lambda i: w[i])
-            if w[best] <= 0 or w[best] < SHARE * w[at]:
-                break
-            at = best
-        return at
+    def sizes(self) -> tuple[list[int], list[int]]:
+        """Of each container with all below it: characters, and those of blocks that are not mostly links."""
+        whole, own = [0] * len(self.parent), [0] * len(self.parent)
+        for container, text, links, _ in self.blocks:
+            whole[container] += len(text)
+            own[container] += 0 if _mostly_links(text, links) else len(text)
+        for i in range(len(own) - 1, 0, -1):
+            whole[self.parent[i]] += whole[i]
+            own[self.parent[i]] += own[i]
+        return whole, own
 
-    def text_of(self, chosen: set[int]) -> str:
+    def choice(self) -> int:
+        """The outermost container that stands clear of the page's frame and leaves no text behind."""
+        whole, own = self.sizes()
+        full: list[list[int]] = [[] for _ in own]
+        for i in range(1, len(own)):
+            if own[i]:
+                full[self.parent[i]].append(i)
+        at = best = 0
+        while self.tag[at] != "article" and len(full[at]) == 1 and own[full[at][0]] == own[at]:
+            child = full[at][0]
+            if self.framed[at] or whole[child] < whole[at]:
+                best = child
+            at = child
+        return best
+
+    def text_of(self, chosen: set[int], around: int | None = None) -> str:
+        """The text of the chosen containers, with the content that stands directly in the containers
+        between them and ``around``."""
+        within, line = [False] * len(self.parent), set()
+        if around is not None:
+            for i in range(len(within)):
+                within[i] = i == around or self.parent[i] >= 0 and within[self.parent[i]]
+            for i in chosen:
+                while i != around and within[i]:
+                    i = self.parent[i]
+                    line.add(i)
+            own = self.sizes()[1]
         inside = [False] * len(self.parent)
         for i in range(len(inside)):
-            inside[i] = i in chosen or self.parent[i] >= 0 and inside[self.parent[i]]
-        return "\n".join(b[1] for b in self.blocks if inside[b[0]])
+            up = self.parent[i]
+            inside[i] = i in chosen or up >= 0 and (inside[up] or up in line and self.tag[i] in _CONTENT and own[i] > 0)
+        return "\n".join(b[1] for b in self.blocks if inside[b[0]] or b[0] in line and not _mostly_links(b[1], b[2]))
 
     def extract(self, path: str | None) -> str:
         """The text at ``path``, or of the page's own choice where that has none."""
-        chosen = {i for i, p in enumerate(self.path) if p == path}
-        return (self.text_of(chosen) if chosen else "") or self.text_of({self.choice()})
+        own, chosen = self.choice(), {i for i, p in enumerate(self.path) if p == path}
+        return (self.text_of(chosen, own) if chosen and self.text_of(chosen) else "") or self.text_of({own})
 
 
 def host_of(url: str | None) -> str:

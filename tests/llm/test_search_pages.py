@@ -203,6 +203,29 @@ def test_host_consensus(spark):
     assert paths["a.example"] == "body>div.wrap>div.story"
 
 
+LONG = "A long text with many words. " * 100
+
+
+@pytest.mark.parametrize(("inner", "text"), [
+    (f"<article><h1>Title</h1><p>Lead.</p><div class=body><p>{LONG}</p></div></article>", f"Title\nLead.\n{LONG.strip()}"),
+    (f"<div class=page><h1>Title</h1><p>Lead.</p><div class=body><p>{LONG}</p></div></div>", f"Title\nLead.\n{LONG.strip()}"),
+    (f"<article><div class=body><p>{LONG}</p></div><table><tr><td>{'cell ' * 40}<td>b</table></article>", f"{LONG.strip()}\n{('cell ' * 40).strip()}\nb"),
+    (f"<article><div><div><p>{LONG}</p></div><p>Second.</p></div><ul><li><a href=x>source</a></ul></article>", f"{LONG.strip()}\nSecond.\nsource"),
+    (f"<div class=m><a href=1>One</a> <a href=2>Two</a></div><div class=b><p>{LONG}</p></div>", LONG.strip()),
+])
+def test_nothing_of_an_article_is_left_beside_its_body(inner, text):
+    page = f"<html><body><nav><a href=/>Home</a></nav>{inner}<footer>me</footer></body></html>"
+    assert html_extract.Page(page).extract(None) == text
+
+
+def test_title_and_lead_stay_on_a_host_whose_other_pages_have_none(spark):
+    page = "<body><nav>n</nav><div class=page><div class=sidebar>s</div>{}<div class=body><p>" + LONG + "</p></div></div></body>"
+    html = [page.format("")] * 3 + [page.format("<h1>Title</h1><p>Lead.</p><table><tr><td>cell</table>")]
+    pages = spark.createDataFrame([(i, "http://c.example/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.op10_frame(pages).collect()}
+    assert got[0] == LONG.strip() and got[3] == f"Title\nLead.\ncell\n{LONG.strip()}"
+
+
 def test_host_paths_joined_by_shuffle(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     a = sorted(map(tuple, html_extract.op10_frame(pages).collect()))
