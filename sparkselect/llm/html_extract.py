@@ -3,7 +3,9 @@
 1. Each page is read into blocks (paragraphs, headings, list items, cells ...) that belong to
    containers (body, article, main, section, div ...). Parts that are never main text are left
    out: scripts and styles, menus, forms, and elements whose tag, role, class or id names them
-   as header, footer, sidebar, notice, advert or reader comments. The page chooses the
+   as header, footer, sidebar, notice, advert or reader comments. A name that only mentions such
+   a part ("related-work") counts in the article if links or form fields make up the content, and
+   ids of headings, paragraphs and inline elements never do. The page chooses the
    outermost container that stands clear of such parts and of blocks of links, with all
    remaining text in it: nothing else beside it is given up, and an article is never cut.
 2. The page votes for the generalised path of its container: tags with classes, digits and
@@ -59,9 +61,20 @@ _OUTSIDE = frozenset((
 _INSIDE = frozenset(("article", "content", "post", "entry", "story", "main", "body", "text"))
 
 
-def _names(attributes: str) -> tuple[list[str], list[str], bool]:
-    """(classes, words of class, id and role, hidden)."""
-    classes, words, hidden = [], [], False
+#: Words that leave a name's meaning as it is: "related-posts" is a page part, "related-work" is not.
+_NEUTRAL = frozenset((
+    "left", "right", "top", "bottom", "inner", "outer", "main", "primary", "secondary", "global", "site", "page", "mobile", "desktop", "sticky", "fixed", "js", "the", "my", "of", "and",
+    "box", "block", "bar", "wrap", "wrapper", "container", "holder", "section", "area", "region", "panel", "module", "component", "group", "row", "col", "column", "slot", "unit", "zone", "placeholder",
+    "list", "item", "items", "link", "links", "button", "buttons", "btn", "icon", "icons", "message", "text", "content", "title", "heading", "body", "post", "posts", "article", "articles", "story", "stories", "media", "tags", "thread", "trail", "us", "now"))
+#: Words that also describe what a paragraph says; of such an element alone they name no page part.
+_TOPICS = frozenset(("alert", "notice", "notices", "notification", "related", "recommended", "recommendations", "popular", "trending", "reviews", "search", "promotion", "header", "foot", "form", "reply", "replies", "comment", "menu"))
+#: A form field counts as so many characters of links.
+FIELD = 40
+
+
+def _names(attributes: str) -> tuple[list[str], list[tuple[str, list[str]]], bool]:
+    """(classes, (attribute, words) of each class, id and role, hidden)."""
+    classes, names, hidden = [], [], False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden":
@@ -71,20 +84,37 @@ def _names(attributes: str) -> tuple[list[str], list[str], bool]:
         else:
             if key == "class":
                 classes = value.split()
-            words += [w for x in value.split() for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower()) if w]
-    return classes, words, hidden
+            names += [(key, words) for x in value.split() if (words := [w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower()) if w])]
+    return classes, names, hidden
+
+
+def _words(names: list[tuple[str, list[str]]]) -> list[str]:
+    return [w for _, words in names for w in words]
+
 
+def _whole(words: list[str]) -> bool:
+    """Whether the name as a whole names a page part."""
+    return any(w in _OUTSIDE for w in words) and all(w in _OUTSIDE or w in _NEUTRAL for w in words)
 
-def _outside(tag: str, words: list[str], in_article: bool) -> bool:
+
+def _outside(tag: str, names: list[tuple[str, list[str]]], in_article: bool) -> bool | None:
+    """Whether the element is outside the article; None if its content decides."""
     if tag in _SKIPPED or tag == "header" and not in_article:
         return True
-    if tag in ("body", "html", "article", "main") or not words:
+    if tag in ("body", "html", "article", "main"):
         return False
-    named = [w for w in words if w in _OUTSIDE]
-    if not named:
+    if tag not in _CONTAINERS or tag in _CONTENT:  # a heading, paragraph, list or inline element: its id is a link target
+        return any(key != "id" and _whole(words) and any(w in _OUTSIDE and w not in _TOPICS for w in words) for key, words in names)
+    words = _words(names)
+    if not any(w in _OUTSIDE for w in words):
         return False
     # "post-content comments-open": a name of the article wins, unless the last word says otherwise
-    return not (any(w in _INSIDE for w in words) and words[-1] in _INSIDE)
+    if words[-1] in _INSIDE:
+        return False
+    if any(_whole(x) for _, x in names):
+        return True
+    # outside the article a class that mentions a part will do; an id may be made from a heading
+    return True if not in_article and any(w in _OUTSIDE for key, x in names if key != "id" for w in x) else None
 
 
 def _mostly_links(text: str, links: int) -> bool:
@@ -104,7 +134,8 @@ class Page:
         # open elements: (tag, container, skipped, is block); the first stands for the body
         stack: list[tuple[str, int, bool, bool]] = [("body", 0, False, True)]
         text: list[str] = []
-        links, kind, at, n, link_depth = 0, "p", 0, len(html), 0
+        links, kind, at, n, link_depth, fields = 0, "p", 0, len(html), 0, 0
+        doubts: list[tuple[int, int, int, int]] = []  # open elements: depth, first block, fields before, container
 
         def flush(container: int) -> None:
             nonlocal links
@@ -119,9 +150,19 @@ class Page:
             nonlocal link_depth
             if any(e[3] for e in stack[i:]):
                 flush(stack[-1][1])
+            judge(i)
             link_depth -= sum(e[0] == "a" for e in stack[i:])
             del stack[i:]
 
+        def judge(i: int) -> None:
+            """Leave out what ends at depth i if its name mentions a page part and its content is one."""
+            while doubts and doubts[-1][0] >= i:
+                _, first, before, container = doubts.pop()
+                held = self.blocks[first:]
+                if 2 * (sum(b[2] for b in held) + FIELD * (fields - before)) > sum(len(b[1]) for b in held):
+                    del self.blocks[first:]
+                    self.framed[container] = True
+
         def find(names, stop=()) -> int:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in names:
@@ -158,6 +199,7 @@ class Page:
                     if i:
                         close(i)
                 continue
+            fields += tag in ("input", "select", "textarea", "button")
             if tag in _RAW:
                 if tag != "head" and not m.group(3).endswith("/"):
                     e = re.compile(f"</{tag}(?=[\\s/>])|</{tag}\\Z", re.I).search(html, at)
@@ -192,7 +234,7 @@ class Page:
                     i = find(("td", "th"), ("table", "tr"))
                 elif tag == "tr":
                     i = find(("tr",), ("table",))
-                elif stack[-1][2] and (tag in ("article", "main") or any(w in _INSIDE for w in _names(m.group(3))[1])):
+                elif stack[-1][2] and (tag in ("article", "main") or any(w in _INSIDE for w in _words(_names(m.group(3))[1]))):
                     # an article within a menu or notice: that was never closed, or nests by mistake
                     j = next(j for j in range(1, len(stack)) if stack[j][2])
                     i = 0 if any(e[0] in ("article", "main") for e in stack) or re.search(f"</{stack[j][0]}[\\s>]", html[at:], re.I) and tag not in ("article", "main") else j
@@ -203,9 +245,12 @@ class Page:
                 flush(stack[-1][1])
             _, container, skipped, _ = stack[-1]
             if not skipped and (block or m.group(3)):
-                classes, words, hidden = _names(m.group(3)) if m.group(3) else ([], [], False)
+                classes, names, hidden = _names(m.group(3)) if m.group(3) else ([], [], False)
                 in_article = any(e[0] in ("article", "main") for e in stack)
-                skipped = hidden or _outside(tag, words, in_article)
+                outside = _outside(tag, names, in_article or tag != "header" and self.boost[container] > 1)
+                if outside is None and not hidden:
+                    doubts.append((len(stack), len(self.blocks), fields, container))
+                skipped = hidden or bool(outside)
                 self.framed[container] |= skipped
                 if not skipped and tag in _CONTAINERS:
                     label = ".".join([tag, *sorted({re.sub(r"[0-9]+", "", c).strip("-_").lower() for c in classes} - {""})])
@@ -213,7 +258,7 @@ class Page:
                     self.path.append(f"{self.path[container]}>{label}")
                     self.tag.append(tag)
                     self.framed.append(False)
-                    good = tag in ("article", "main") or any(w in _INSIDE for w in words)
+                    good = tag in ("article", "main") or any(w in _INSIDE for w in _words(names))
                     self.boost.append(max(self.boost[container], 2.0 if good else 1.0))
                     container = len(self.parent) - 1
             elif tag in _SKIPPED:
@@ -226,6 +271,7 @@ class Page:
             if not m.group(3).endswith("/") or tag not in ("path",):
                 stack.append((tag, container, skipped, block))
         flush(stack[-1][1])
+        judge(0)
 
     def weights(self) -> list[float]:
         """Of each container with all below it."""

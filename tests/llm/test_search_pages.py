@@ -218,6 +218,23 @@ def test_nothing_of_an_article_is_left_beside_its_body(inner, text):
     assert html_extract.Page(page).extract(None) == text
 
 
+@pytest.mark.parametrize(("inner", "kept"), [
+    ("<section id=related-work><h2>Related work</h2><p>Prose on it.</p></section>", "Related work\nProse on it."),
+    ("<h2 id=popular-methods>Popular methods</h2>", "Popular methods"), ("<h2 id=comments>Comments</h2>", "Comments"),
+    ("<div id=search-results><p>What the search found.</p></div>", "What the search found."),
+    ("<p class=alert>Mind the gap.</p>", "Mind the gap."), ("<p>A <span id=notice>b</span> c.</p>", "A b c."),
+    ("<section id=reviews-of-the-method><p>They say.</p></section>", "They say."),
+    ("<section id=related-work><p><a href=1>One more</a> and <a href=2>another one</a></p></section>", ""),
+    ("<div id=search-results><input name=q><p>Find it</p><button>Go</button></div>", ""),
+    ("<div class=related-posts><p>Read on here.</p></div>", ""), ("<section id=comments><p>Nice.</p></section>", ""),
+    ("<p class=cookie-notice>We use cookies.</p>", ""), ("<div class='share-buttons'>Share it</div>", ""), ("<div class=sidebar><p>Side.</p></div>", ""),
+])
+@pytest.mark.parametrize("frame", ["<article><p>First.</p>{}<p>Last.</p></article>", "<div class=story><p>First.</p>{}<p>Last.</p></div>", "<p>First.</p>{}<p>Last.</p>"])
+def test_names_that_mention_a_page_part(frame, inner, kept):
+    page = f"<body><nav>n</nav>{frame.format(inner)}</body>"
+    assert html_extract.Page(page).extract(None) == "\n".join(x for x in ("First.", kept, "Last.") if x)
+
+
 def test_title_and_lead_stay_on_a_host_whose_other_pages_have_none(spark):
     page = "<body><nav>n</nav><div class=page><div class=sidebar>s</div>{}<div class=body><p>" + LONG + "</p></div></div></body>"
     html = [page.format("")] * 3 + [page.format("<h1>Title</h1><p>Lead.</p><table><tr><td>cell</table>")]
