@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import cover_search, html_extract, lattice_lm, near_duplicates, packing, personal_data, plane_files, quality_rules, source_mixing, substring_dedup
+from . import benchmark_overlap, conversation_repair, cover_search, html_extract, lattice_lm, near_duplicates, packing, personal_data, plane_files, quality_rules, ranked_search, source_mixing, substring_dedup
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,21 @@ def op2_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_search.op2_frame(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_benchmark_overlap", benchmark_overlap.OP11_SQL)
+def op11_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_overlap.op11_frame(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_ranked_search", ranked_search.OP12_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.op12_frame(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_conversation_repair", conversation_repair.OP13_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.op13_frame(table(spark, sf_dir, "conversations"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
