@@ -41,7 +41,7 @@ from .terms import Terms
 
 BLOCK = 128
 #: Text of a shard (a document is never cut).
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Rows (query, term) of a block of queries, about.
 QUERY_ROWS = 500_000
 TOP = 10
@@ -78,36 +78,46 @@ def _shard(texts: pa.Array, doc_ids: pa.Array) -> dict:
     have = np.flatnonzero(n_terms)
     number = np.cumsum(n_terms > 0) - 1  # documents without terms take no place
     length = n_terms[have].astype(np.int32)
-    row = np.repeat(number, n_terms)
-    key = np.sort(terms.codes.astype(np.int64) * len(have) + row)
+    vocab, codes = terms.vocab, terms.codes
+    del terms
+    key = codes.astype(np.int64)
+    key *= max(1, len(have))
+    key += np.repeat(number, n_terms)
+    key.sort()
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    tf = np.diff(np.append(new, len(key)))
-    code, doc = np.divmod(key[new], max(1, len(have)))
-    df = np.bincount(code, minlength=len(terms.vocab)).astype(np.int32)
-    in_list = np.arange(len(code)) - np.repeat(np.cumsum(df) - df, df)
+    tf = np.diff(np.append(new, len(key))).astype(np.int32)
+    code = (key[new] // max(1, len(have))).astype(np.int32)
+    doc = (key[new] % max(1, len(have))).astype(np.int32)
+    del key, new, codes
+    df = np.bincount(code, minlength=len(vocab)).astype(np.int32)
+    del code
+    in_list = np.arange(len(doc), dtype=np.int32) - np.repeat((np.cumsum(df) - df).astype(np.int32), df)
     start = np.flatnonzero(in_list % BLOCK == 0)  # where blocks start
-    count = np.diff(np.append(start, len(code)))
-    block = np.repeat(np.arange(len(start)), count)
-    gap = np.append(0, np.diff(doc))
+    del in_list
+    count = np.diff(np.append(start, len(doc))).astype(np.int32)
+    gap = np.append(np.int32(0), np.diff(doc))
     gap[start] = 0
     gap_bytes, tf_bytes = (_bytes_for(np.maximum.reduceat(x, start)) if len(start) else np.empty(0, np.uint8) for x in (gap, tf))
     size = count * (gap_bytes.astype(np.int64) + tf_bytes)
     at = np.cumsum(size) - size
-    place = np.arange(len(code)) - start[block]
     data = np.empty(int(size.sum()), np.uint8)
-    g, t = gap_bytes[block].astype(np.int64), tf_bytes[block].astype(np.int64)
-    _put(data, at[block] + place * g, gap, g)
-    _put(data, at[block] + count[block] * g + place * t, tf, t)
-    # fronts: by falling frequency, each length below all before it in the block
-    order = np.lexsort((length[doc], -tf, block))
+    place = np.arange(len(doc), dtype=np.int32) - np.repeat(start.astype(np.int32), count)
+    for values, wide, base in ((gap, gap_bytes, at), (tf, tf_bytes, at + count * gap_bytes.astype(np.int64))):
+        wide = np.repeat(wide, count)
+        _put(data, np.repeat(base, count) + place * wide.astype(np.int32), values, wide)
+    del gap, place, wide, values
+    # fronts: by falling frequency, each length below all before it in the block; a lone posting is its own
+    block = np.repeat(np.arange(len(start), dtype=np.int32), count)
+    several = np.flatnonzero(np.repeat(count > 1, count))
+    order = several[np.lexsort((length[doc[several]], -tf[several], block[several]))]
     own, shift = length[doc[order]].astype(np.int64), int(length.max(initial=0)) + 1
-    low = np.minimum.accumulate(own + (len(start) - block[order]) * shift)
-    first_of = np.zeros(len(order), bool)
-    first_of[start] = True
-    better = first_of | np.append(True, low[1:] < low[:-1]) if len(order) else first_of
-    chosen = order[better]
+    low = np.minimum.accumulate(own + (len(start) - block[order].astype(np.int64)) * shift)
+    better = np.append(True, (low[1:] < low[:-1]) | (block[order[1:]] != block[order[:-1]])) if len(order) else np.empty(0, bool)
+    chosen = np.append(order[better], start[count == 1])
+    chosen = chosen[np.argsort(block[chosen], kind="stable")]
+    del own, low, better, order, several
     return {
-        "n_docs": len(have), "n_terms": int(n_terms.sum()), "doc_id": doc_ids.take(pa.array(have)), "terms": b" ".join(terms.vocab.cast(pa.large_binary()).to_pylist()),
+        "n_docs": len(have), "n_terms": int(n_terms.sum()), "doc_id": doc_ids.take(pa.array(have)), "terms": b" ".join(vocab.cast(pa.large_binary()).to_pylist()),
         "length": length, "df": df, "list_blocks": -(-df // BLOCK), "first": doc[start], "count": count, "gap_bytes": gap_bytes, "tf_bytes": tf_bytes,
         "front_size": np.bincount(block[chosen], minlength=len(start)), "front_tf": tf[chosen], "front_length": length[doc[chosen]], "postings": data.tobytes()}
 
