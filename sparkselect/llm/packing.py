@@ -35,7 +35,7 @@ from .tokens import encoder, vocabulary
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 #: Text that is encoded at a time.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 6 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: The plan goes to the tasks whole up to so many rows of six longs, and is joined beyond.
 PLAN_ROWS = 500_000

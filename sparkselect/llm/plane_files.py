@@ -37,7 +37,7 @@ MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 END_ID = 2
 #: Text that is encoded at a time.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 6 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 

@@ -8,7 +8,8 @@ distinct unit of a batch once. A unit of Latin letters is a single pre-token, so
 BPE model takes it directly; any other unit goes through the library's whole encoder. In a
 vocabulary that keeps white space, a text in which a space stands beside other white space is
 cut into words with all the white space before them, and one with white space outside ASCII
-(there a run may cross the units) goes through the library whole.
+(there a run may cross the units) goes through the library whole, as does a text that holds the
+string of a special token, so that ids are those of the library's plain call.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Units kept per Python worker; the memory is cleared and refilled beyond that.
-CACHED_UNITS = 300_000
+#: Units kept per Python worker (about 160 bytes each); the memory is cleared and refilled beyond that.
+CACHED_UNITS = 1_500_000
 
 #: A text that matches goes to the library whole: white space and format characters outside ASCII's six.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
@@ -67,9 +68,12 @@ class Encoder:
 
     def __init__(self, path: str, lower: bool):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.lower = lower
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: texts that go another way than word by word: those with a special token's string go to the library whole
+        self.special = re.compile("|".join(special) or r"[^\s\S]")
+        self.hard = "|".join(special + ([] if lower else [_HARD]))
         self._clear()
 
     def _clear(self) -> None:
@@ -81,21 +85,20 @@ class Encoder:
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _letters(self, unit: str) -> str | None:
+    def _letters(self, word: str) -> str | None:
         """The pre-token of a unit of Latin letters (after at most one space), or None."""
-        word = unit[1:] if unit[:1] == " " else unit
-        if not word.isalpha():
+        bare = word[1:] if word[:1] == " " else word
+        if not bare.isalpha():
             return None
-        if not word.isascii():
-            if max(word) >= _LATIN_END:
+        if bare.isascii():
+            return word.lower() if self.lower else word.replace(" ", "\u0120")
+        if max(bare) >= _LATIN_END:
+            return None
+        if self.lower:  # below _LATIN_END a word's lower case is that of its letters
+            word = unicodedata.normalize("NFC", word).lower()
+            if not word.isalpha() or max(word) >= _LATIN_END:
                 return None
-            if self.lower:
-                word = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-                if not word.isalpha() or max(word) >= _LATIN_END:
-                    return None
-                return word.encode().decode("latin-1").translate(_BYTES)
-            return unit.encode().decode("latin-1").translate(_BYTES)
-        return word.lower() if self.lower else unit.replace(" ", "\u0120")
+        return word.encode().decode("latin-1").translate(_BYTES)
 
     def _unit_ids(self, unit: str) -> list[int]:
         if "\n" in unit and not self.lower:
@@ -111,8 +114,9 @@ class Encoder:
         if token is None:
             return self._whole(unit)
         ids = [t.id for t in self.model.tokenize(token)]
-        end = unit[len(word):]
-        return ids + self._end_ids(end) if end else ids  # a run of punctuation after a letter is a pre-token of its own
+        if len(word) < len(unit):  # a run of punctuation after a letter is a pre-token of its own
+            ids += self._end_ids(unit[len(word):])
+        return ids
 
     def _end_ids(self, end: str) -> list[int]:
         ids = self.ends.get(end)
@@ -160,8 +164,8 @@ class Encoder:
             self._clear()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         hard = np.empty(0, np.int64)
-        if not self.lower:
-            is_hard = pc.match_substring_regex(texts, _HARD)
+        if self.hard:
+            is_hard = pc.match_substring_regex(texts, self.hard)
             hard = np.flatnonzero(is_hard.to_numpy(zero_copy_only=False))
             if len(hard):
                 slow = [self._slow(texts[int(i)].as_py()) for i in hard]
@@ -192,7 +196,7 @@ class Encoder:
         return ids, starts
 
     def _slow(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
+        if self.lower or _ODD.search(text) or self.special.search(text):
             return np.array(self._whole(text), np.uint32)
         return self._gather(self._of(_UNIT.findall(text)))[0]
 

@@ -16,12 +16,12 @@ from sparkselect.llm.common import shared_folder
 from sparkselect.llm.tokens import Encoder, vocabulary
 
 ODD = ["", "  a  b\n\n c <|endoftext|> d  e \t\tf  don't, o'clock!. x.y a1b2 'tis  \n ", "\n\nI'm the 12345 x'll\r\n  café é ß ΣΑΣ. İstanbul, Ünï!",
-       "nbsp here 　 wide", "word's, a,b,. Ⅷ ª Ⓐ ǅ ﬁ, 한국 日本. !. ,,", "   ", "\n\n\n", "A" * 300, "zero​width ﻿"]
+       "nbsp here 　 wide", "word's, a,b,. Ⅷ ª Ⓐ ǅ ﬁ, 한국 日本. !. ,,", "   ", "\n\n\n", "A" * 300, "zero​width ﻿",
+       "<|endoftext|>", "x<|endoftext|>y <|startoftext|> z", "a <|EndOfText|> <|endoftext|", " <|endoftext|> \n<|endoftext|>  é "]
 
 
 def library(name):
     t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
