@@ -197,9 +197,10 @@ _WIDE_COLS = ", ".join(f"CAST(l_{n} AS DOUBLE) + {i} AS c{i}" for i, n in enumer
 
 
 def _wide_sql():
-    out = [f"round({a} * {b}, 6) AS {a}_x_{b}" for i, a in enumerate(_WIDE) for b in _WIDE[i + 1:]]
+    # products of prices reach 1e10, where a double holds no sixth decimal: four decimals are exact for cents
+    out = [f"round({a} * {b}, 4) AS {a}_x_{b}" for i, a in enumerate(_WIDE) for b in _WIDE[i + 1:]]
     out += [f"round(CASE WHEN {b} = 0 THEN 0 ELSE {a} / {b} END, 6) AS {a}_div_{b}" for a in _WIDE for b in _WIDE if a != b]
-    return ", ".join(out + [f"round({a} * {a}, 6) AS {a}_sq" for a in _WIDE])
+    return ", ".join(out + [f"round({a} * {a}, 4) AS {a}_sq" for a in _WIDE])
 
 
 @query("e6_e8_wide", f"SELECT l_orderkey, {_wide_sql()} FROM (SELECT l_orderkey, {_WIDE_COLS} FROM lineitem)")
@@ -207,7 +208,8 @@ def e6_e8_wide(spark, sf):
     """Twelve numeric columns: all 210 products, ratios and squares."""
     li = table(spark, sf, "lineitem")
     cols = [(F.col(f"l_{n}").cast("double") + i).alias(f"c{i}") for i, n in enumerate(["quantity", "extendedprice", "discount", "tax"] * 3)]
-    return finish(E.FeatureGenerator(_WIDE).transform(li.select("l_orderkey", *cols)).drop(*_WIDE))
+    out = E.FeatureGenerator(_WIDE).transform(li.select("l_orderkey", *cols)).drop(*_WIDE)
+    return finish(out.select(*[F.round(c, 4).alias(c) if "_x_" in c or c.endswith("_sq") else F.col(c) for c in out.columns]))
 
 
 # ------------------------------------------------------------------ E9
