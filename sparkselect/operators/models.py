@@ -189,16 +189,15 @@ def make_estimator(code: str, features: str = "features", label: str = "label",
                                       seed=seed, **io, **wt)
     if code == "dt":
         return DecisionTreeClassifier(impurity="gini", maxDepth=params.get("maxDepth", 10), seed=seed, **io, **wt)
-    if code in ("gbc", "lightgbm"):
-        if code == "gbc":
-            base = GBTClassifier(maxIter=params.get("maxIter", 100), stepSize=params.get("stepSize", 0.1),
-                                 maxDepth=params.get("maxDepth", 3), seed=seed, **io, **wt)
-        else:
-            base = GBTClassifier(maxIter=params.get("maxIter", 100), stepSize=params.get("stepSize", 0.1),
-                                 maxDepth=params.get("maxDepth", 5), subsamplingRate=params.get("subsamplingRate", 0.8),
-                                 featureSubsetStrategy=params.get("featureSubsetStrategy", "sqrt"),
-                                 maxBins=params.get("maxBins", 255), seed=seed, **io, **wt)
-        return base if n_classes <= 2 else OneVsRest(classifier=base, **io, **wt)
+    if code == "gbc" and n_classes > 2:
+        from sparkselect.operators.boosting import SoftmaxBoostingClassifier
+        return SoftmaxBoostingClassifier(seed=seed, **params, **io, **wt)
+    if code == "gbc":
+        return GBTClassifier(maxIter=params.get("maxIter", 100), stepSize=params.get("stepSize", 0.1),
+                             maxDepth=params.get("maxDepth", 3), seed=seed, **io, **wt)
+    if code == "lightgbm":
+        from sparkselect.operators.boosting import LeafBoostingClassifier
+        return LeafBoostingClassifier(seed=seed, **params, **io, **wt)
     if code == "svm":
         base = LinearSVC(maxIter=params.get("maxIter", 100), regParam=params.get("regParam", 0.01), **io, **wt)
         return base if n_classes <= 2 else OneVsRest(classifier=base, **io, **wt)

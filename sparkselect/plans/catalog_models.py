@@ -101,14 +101,6 @@ for _code, _params in {"f1_logistic_regression": ("lr", {}), "f4_random_forest":
     query(_code)(_menu_query(_params[0], **_params[1]))
 
 
-@query("f7_gbc_multiclass_ovr")
-def f7_gbc_multiclass_ovr(spark, sf):
-    df = t3_embeddings(spark, sf).withColumn("label", (F.col("y") % 3).cast("double"))
-    tr, te = S.holdout(df, "vec_id")
-    m = make_estimator("gbc", n_classes=3, maxIter=5).fit(tr)
-    return finish(m.transform(te).select("vec_id", F.col("prediction").cast("bigint")))
-
-
 # ------------------------------------------------------------------ G1 cross-validation of NB (exact)
 G1_SQL = f"""
 WITH {O.T1},

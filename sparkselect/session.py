@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -75,3 +76,30 @@ def materialize(df):
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have the files removed
     when the table is no longer referenced."""
     return cut_lineage(df)
+
+
+class Stored:
+    """A table written to the shared checkpoint folder (``one``: read as a single partition); ``drop`` deletes its files."""
+
+    def __init__(self, frame, path: str, one: bool):
+        self.frame, self.path, self.one = frame, path, one
+
+    def drop(self) -> None:
+        jvm = self.frame.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.frame.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df, what: str, one: bool = False) -> Stored:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back: passes read
+    columns of it, and iterative fits drop it when the next state is written. The files go
+    when the JVM ends, if not dropped before."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    df.write.parquet(f"{path}/table")
+    frame = spark.read.schema(df.schema).parquet(f"{path}/table")
+    return Stored(frame.coalesce(1) if one else frame, path, one)
