@@ -47,7 +47,7 @@ SIZES = 4096
 
 def feature_cuts(rows: DataFrame, p: int, bins: int, accuracy: int = 1_000_000) -> list[np.ndarray]:
     """Cut points of each of ``p`` features (array column x): all values but the largest if there are at
-    most ``bins``, else quantiles of a sketch. A value is in bin i if i cuts lie below it."""
+    most ``bins``, else quantiles of a sketch. A value is in bin i if i cuts lie below it; NaN is in the last."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list = [np.empty(0)] * p
@@ -68,12 +68,11 @@ def feature_cuts(rows: DataFrame, p: int, bins: int, accuracy: int = 1_000_000)
     for r in found.frame.where(F.col("i").isin(small)).orderBy("i", "v").collect():  # at most ``bins`` values a feature
         few[r["i"]] = np.append(few.get(r["i"], np.empty(0)), r["v"])
     found.drop()
-    few.update({r["i"]: np.empty(0) for r in counts if r["n"] == 0})
     wide = [i for i in range(p) if i not in few]
     if wide:
         at = [j / bins for j in range(1, bins)]
         sketch = rows.agg(*[F.percentile_approx(F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]), at, accuracy).alias(f"q{i}") for i in wide]).first()
-        few.update({i: np.append(np.unique(sketch[f"q{i}"]), np.inf) for i in wide})
+        few.update({i: np.append(np.unique(sketch[f"q{i}"]), np.inf) if sketch[f"q{i}"] else np.empty(0) for i in wide})
     return [few[i][:-1] for i in range(p)]
 
 

@@ -1,5 +1,5 @@
-"""Tree ensembles and meta-estimators: F6 extra trees, F9/G6 AdaBoost (SAMME),
-G5 bagging, G7 blending, G8 stacking.
+"""Meta-estimators: F9/G6 AdaBoost (SAMME), G5 bagging, G7 blending, G8 stacking
+(F6 extra trees are in ``extra_trees``).
 
 Members are ordinary Spark ML models; the wrappers only combine their
 probability vectors (or labels) with column expressions. Iterative fits
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkselect.functions.hashing import hash_unit
+from sparkselect.operators.extra_trees import ExtraTreesClassifier, ExtraTreesModel  # noqa: F401
 from sparkselect.operators.estimators import CustomEstimator, CustomModel, label_classes, with_scores
 from sparkselect.operators.persist import CompositePersistence
 from sparkselect.session import cut_lineage
@@ -77,76 +78,6 @@ class _MemberModel(CompositePersistence, CustomModel):
         return combine(df, self.members, self.getOrDefault(self.classes), self, soft=self.soft)
 
 
-# ------------------------------------------------------------------ F6
-class ExtraTreesClassifier(CustomEstimator):
-    """F6 (after Geurts et al. 2006): each tree sees the full data with every feature cut
-    at its own random points (uniform between the feature's min and max, seeded per tree),
-    so a tree chooses only among random thresholds. Trees are Spark decision trees;
-    probabilities are averaged. Difference from the paper: the random cut set is drawn
-    once per tree and feature, not per node."""
-
-    numTrees = Param(Params._dummy(), "numTrees", "trees", TypeConverters.toInt)
-    maxDepth = Param(Params._dummy(), "maxDepth", "depth", TypeConverters.toInt)
-    numCuts = Param(Params._dummy(), "numCuts", "random cut points per feature", TypeConverters.toInt)
-
-    def __init__(self, numTrees=20, maxDepth=10, numCuts=31, **kw):
-        super().__init__(**kw)
-        self._setDefault(numTrees=20, maxDepth=10, numCuts=31)
-        self._set(numTrees=numTrees, maxDepth=maxDepth, numCuts=numCuts)
-
-    def _fit(self, df):
-        feats, label = self.getFeaturesCol(), self.getLabelCol()
-        arr = vector_to_array(F.col(feats), "float64")
-        p = df.select(F.size(arr)).first()[0]
-        ext = df.select(*[F.min(arr[i]).alias(f"lo{i}") for i in range(p)],
-                        *[F.max(arr[i]).alias(f"hi{i}") for i in range(p)]).first()
-        classes = label_classes(df, label)
-        trees, cuts = [], []
-        for t in range(self.getOrDefault(self.numTrees)):
-            rng = np.random.default_rng(self.getSeed() + t)
-            cut_t = [sorted(rng.uniform(ext[f"lo{i}"], ext[f"hi{i}"], self.getOrDefault(self.numCuts)).tolist())
-                     for i in range(p)]
-            binned = _bin(df, feats, cut_t, "__b")
-            dt = DecisionTreeClassifier(featuresCol="__b", labelCol=label, maxDepth=self.getOrDefault(self.maxDepth),
-                                        maxBins=max(32, self.getOrDefault(self.numCuts) + 1), seed=self.getSeed() + t)
-            if self.isDefined(self.weightCol) and self.getWeightCol():
-                dt.setWeightCol(self.getWeightCol())
-            trees.append(dt.fit(binned))
-            cuts.append(cut_t)
-        m = self._copy_io(ExtraTreesModel())
-        m.set_fitted(classes, np.array(cuts))
-        m.trees = trees
-        return m
-
-
-def _bin(df: DataFrame, feats: str, cuts: list[list[float]], out: str) -> DataFrame:
-    arr = vector_to_array(F.col(feats), "float64")
-    # cut points at or below the value, from one array literal per feature
-    idx = [F.size(F.filter(F.array(*[F.lit(float(c)) for c in cs]), lambda c, v=arr[i]: c <= v)).cast("double") for i, cs in enumerate(cuts)]
-    return df.withColumn(out, array_to_vector(F.array(*idx)))
-
-
-class ExtraTreesModel(CompositePersistence, CustomModel):
-    trees: list = []
-    _sub_models = ("trees",)
-
-    def _transform(self, df):
-        cuts = self.fitted().tolist()  # trees x features x cut points
-        classes = self.getOrDefault(self.classes)
-        cur = df
-        probs = []
-        for i, t in enumerate(self.trees):
-            cur = _bin(cur, self.getFeaturesCol(), cuts[i], "__b")
-            t = t.copy()
-            t.setPredictionCol(f"__tp{i}").setProbabilityCol(f"__tpr{i}").setRawPredictionCol(f"__tr{i}")
-            cur = t.transform(cur).withColumn(f"__tpa{i}", vector_to_array(f"__tpr{i}")) \
-                .drop(f"__tp{i}", f"__tpr{i}", f"__tr{i}", "__b")
-            probs.append(f"__tpa{i}")
-        avg = [sum((F.col(p)[k] for p in probs), F.lit(0.0)) / F.lit(float(len(probs))) for k in range(len(classes))]
-        out = with_scores(cur, self, avg, prob_cols=avg)
-        return out.drop("__b", *probs)
-
-
 # ------------------------------------------------------------------ F9 / G6
 def samme_step(df: DataFrame, y: str, yhat: str, w: str, k: int) -> tuple[DataFrame, float | None, float | None]:
     """One SAMME round given a learner's predictions: weighted error e,

@@ -213,9 +213,8 @@ def make_estimator(code: str, features: str = "features", label: str = "label",
         from sparkselect.operators.neighbors import KNNClassifier
         return KNNClassifier(k=params.get("k", 5), **io)
     if code == "et":
-        from sparkselect.operators.ensembles import ExtraTreesClassifier
-        return ExtraTreesClassifier(numTrees=params.get("numTrees", 20), maxDepth=params.get("maxDepth", 10),
-                                    seed=seed, **io, **wt)
+        from sparkselect.operators.extra_trees import ExtraTreesClassifier
+        return ExtraTreesClassifier(seed=seed, **params, **io, **wt)
     if code == "ada":
         from sparkselect.operators.ensembles import AdaBoostClassifier
         return AdaBoostClassifier(numRounds=params.get("numRounds", 50), seed=seed, **io, **wt)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkselect.operators import split as S
 from sparkselect.operators.boosting import LeafBoostingClassifier, SoftmaxBoostingClassifier
+from sparkselect.operators.extra_trees import ExtraTreesClassifier
 from sparkselect.operators.models import make_estimator
 from sparkselect.operators.trees import Tree, shapley_table
 from sparkselect.plans import oracle_sql as O
@@ -124,3 +125,43 @@ def f7_gbc_multiclass_ovr(spark, sf):
     tr, te = S.holdout(t3_embeddings(spark, sf).withColumn("label", F.col("y").cast("double")), "vec_id")
     model = make_estimator("gbc", n_classes=10).fit(tr)
     return finish(model.transform(te).select("vec_id", F.col("prediction").cast("bigint")))
+
+
+# ------------------------------------------------------------------ F6: roots of all trees
+_TREES, _SEED = 20, 123
+
+
+def _roots_sql() -> str:
+    def part(first, n):
+        return f"CAST('0x' || substr(md5('{_SEED}:' || t || ':0:' || f), {first}, {n}) AS BIGINT) / 4294967296.0"
+    return f"""WITH {O.T1},
+tr AS (SELECT event_id AS id, value, CAST(k AS DOUBLE) AS k, CAST(h AS DOUBLE) AS h, y FROM t1 WHERE {O.is_train('event_id')}),
+fe AS (SELECT id, y, 0 AS f, value AS v FROM tr UNION ALL SELECT id, y, 1, k FROM tr UNION ALL SELECT id, y, 2, h FROM tr),
+rg AS (SELECT f, min(v) AS low, max(v) AS high, count(*) AS n, sum(y) AS n1 FROM fe GROUP BY f),
+dr AS (SELECT t, f, n, n1, low + {part(1, 8)} * (high - low) AS cut, row_number() OVER (PARTITION BY t ORDER BY {part(9, 8)}, f) AS r FROM rg, range({_TREES}) x(t)),
+lw AS (SELECT dr.t, dr.f, any_value(cut) AS cut, any_value(n) AS n, any_value(n1) AS n1, count(*) AS l, sum(fe.y) AS l1
+       FROM dr JOIN fe ON fe.f = dr.f AND fe.v <= dr.cut WHERE r <= 2 GROUP BY dr.t, dr.f),
+gi AS (SELECT *, round((n - (n1 * n1 + (n - n1) * (n - n1)) / n) - (l - (l1 * l1 + (l - l1) * (l - l1)) / l)
+                       - ((n - l) - ((n1 - l1) * (n1 - l1) + (n - l - n1 + l1) * (n - l - n1 + l1)) / (n - l)), 9) AS gain FROM lw WHERE l < n)
+SELECT CAST(t AS BIGINT) AS tree, CAST(f AS BIGINT) AS feature, round(cut, 6) AS threshold, round(gain, 6) AS gain, CAST(l AS BIGINT) AS n_left
+FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY gain DESC, f) AS rk FROM gi) WHERE rk = 1"""
+
+
+@query("f6_first_level", _roots_sql())
+def f6_first_level(spark, sf):
+    """The first level of twenty extra trees: two candidate features a node, one random cut each."""
+    tr, _ = _t1(spark, sf)
+    model = ExtraTreesClassifier(numTrees=_TREES, maxDepth=1, numCandidates=2, seed=_SEED).fit(tr)
+    trees, _, _ = model.tree_arrays()
+    gain = model.fitted()[model.fitted()[:, 1] >= 0, 6]
+    rows = [(i, int(t.feature[0]), float(t.threshold[0]), float(g), int(t.cover[t.left[0]])) for (i, t), g in zip(enumerate(trees), gain, strict=True)]
+    return finish(spark.createDataFrame(rows, "tree long, feature long, threshold double, gain double, n_left long"))
+
+
+# ------------------------------------------------------------------ I1: exact Shapley values of tree models
+@query("i1_tree_shapley")
+def i1_tree_shapley(spark, sf):
+    """Exact Shapley values of a random forest's class shares for every test row."""
+    tr, te = _t1(spark, sf)
+    model = make_estimator("rf", numTrees=20, maxDepth=5).fit(tr)
+    return finish(shapley_table(model, te, _T1_COLS, "event_id").where("output = 1"))
