@@ -17,6 +17,7 @@ rows are treated each; an empty table gives an empty result; other columns are i
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import ipaddress
 import math
@@ -46,6 +47,10 @@ ORDER = {k: i for i, k in enumerate([*BASE, "ssn", "iban", "ipv6", "secret"])}
 #: The base patterns.
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# The same matches in time linear in the text: an address is looked for from its @, an ip from the start of a run.
+_NOT_LOCAL = re.compile(r"(?s:.*)[^A-Za-z0-9._%+-]")
+_HOST = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP_RUN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -65,14 +70,65 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """The spans of the non-overlapping leftmost matches of the address pattern."""
+    pos, at = 0, text.find("@")
+    while at >= 0:
+        before = _NOT_LOCAL.match(text, pos, at)
+        start = before.end() if before else pos
+        host = _HOST.match(text, at) if start < at else None
+        if host:
+            yield start, host.end()
+        pos = host.end() if host else at + 1
+        at = text.find("@", pos)
+
+
+def _part(digits: str) -> int:
+    """Value of one part of an ip, at most 256; leading zeros of any number count nothing."""
+    short = digits.lstrip("0")
+    return int(short or 0) if len(short) <= 3 else 256
+
+
+class Taken:
+    """Disjoint spans in order; each question costs a search, not a scan."""
+
+    def __init__(self, spans=()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect.bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect.bisect_right(self.ends, start)
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+    def free(self, start: int, end: int) -> list[tuple[int, int]]:
+        """What these spans leave of start to end."""
+        parts, at, i = [], start, bisect.bisect_right(self.ends, start)
+        while i < len(self.starts) and self.starts[i] < end:
+            if self.starts[i] > at:
+                parts.append((at, self.starts[i]))
+            at, i = self.ends[i], i + 1
+        return [*parts, (at, end)] if at < end else parts
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the base kinds, in the order of the digest."""
     out = []
     if "@" in text:
-        out += [(m.start(), "email", m.end()) for m in _EMAIL.finditer(text)]
+        out += [(start, "email", end) for start, end in addresses(text)]
     if _DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), "ip", m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+            out += [(m.start(), "ip", m.end()) for m in _IP_RUN.finditer(text) if all(_part(p) <= 255 for p in m.group().split("."))]
         for m in _CARD.finditer(text):
             d = _digits(m.group())
             if 14 <= len(d) <= 19 and luhn(d):
@@ -115,7 +171,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 values.append(v.span())
     out.update((s, e, "secret") for s, e in values)
     if "@" in text:
-        out.update((m.start(), m.end(), "email") for m in _EMAIL.finditer(text))
+        out.update((start, end, "email") for start, end in addresses(text))
     low_at = re.search(r"[\[({<]\s?(?:at|@)\s?[\])}>]", text, re.I) if any(c in text for c in "[({<") else None
     if low_at:
         out.update((m.start(), m.end(), "email") for m in _SPELLED_AT.finditer(text))
@@ -279,7 +335,7 @@ def _rewritten(s: str, kind: str, words: list[str]) -> list[tuple[str, str, str,
         out += [("the ", "-".join([*half, "2019", *half[:2]]), kind, 0), ("", "/".join([*half, "2020", "index"]), kind, 0), ("", "_".join([*half, *half, "10"]), kind, 0),
                 ("", d[:20].ljust(18, "0"), kind, 0), *_long_forms(s, half), ("see ", (re.sub("[^a-z]", "", "".join(half).lower()) or "plain") * 3 + "2", kind, 0)]
     elif kind == "ip":
-        h = [f"{int(x):x}" for x in s.split(".")]
+        h = [f"{_part(x):x}" for x in s.split(".")]
         out += [("", f"fe80::{h[0]}ff:{h[1]}:{h[2]}:{h[3]}", "ipv6", 1), ("host ", f"2001:db8:{':'.join(h)}::1", "ipv6", 1), ("at ", f"{int(h[0], 16) % 24:02d}:{int(h[1], 16) % 60:02d}:{int(h[2], 16) % 60:02d}", "ipv6", 0),
                 ("", f"{h[0]}:{h[1]}:{h[2]}x", "ipv6", 0)]
     return out
@@ -396,16 +452,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rows: int = SAMP
     return trees
 
 
-def _outside_of(start: int, end: int, base: list[tuple]) -> list[tuple[int, int]]:
+def _outside_of(start: int, end: int, base: Taken | list[tuple[int, str, int]]) -> list[tuple[int, int]]:
     """What the base spans leave of start to end; nothing if they hold half of it."""
-    parts, at = [], start
-    for s, _, e in base:
-        if s < end and start < e:
-            if s > at:
-                parts.append((at, s))
-            at = max(at, e)
-    if at < end:
-        parts.append((at, end))
+    parts = (base if isinstance(base, Taken) else Taken((s, e) for s, _, e in base)).free(start, end)
     return parts if 2 * sum(e - s for s, e in parts) > end - start else []
 
 
@@ -416,11 +465,12 @@ def added_spans(texts: list[str], base: list[list[tuple]], trees: Trees) -> list
     if not trees.trees:
         return out
     owner, spans, rows = [], [], []
+    held, chosen = [Taken((s, e) for s, _, e in b) for b in base], [Taken() for _ in texts]
     for i, text in enumerate(texts):
         for start, end, kind in candidates(text):
-            if kind != "secret" and any(start < e and s < end for s, _, e in base[i]):
+            if kind != "secret" and held[i].meets(start, end):
                 continue
-            if kind == "secret" and not _outside_of(start, end, base[i]):
+            if kind == "secret" and not _outside_of(start, end, held[i]):
                 continue
             owner.append(i)
             spans.append((start, kind, end))
@@ -435,15 +485,18 @@ def added_spans(texts: list[str], base: list[list[tuple]], trees: Trees) -> list
         k = n - 1
         while k >= 0 and owner[secrets[k]] == owner[j] and spans[secrets[k]][0] == start:
             k -= 1
-        for i in secrets[k + 1:]:
+        for i in (secrets[m] for m in range(k + 1, len(secrets))):
             if owner[i] != owner[j] or spans[i][0] >= end:
                 break
             if i != j and spans[i][2] <= end and any(c.isalnum() for c in texts[owner[j]][start:spans[i][0]] + texts[owner[j]][spans[i][2]:end]):
                 likely[j], wider[j] = max(likely[j], p[i]), end - start
     for j in sorted(range(len(rows)), key=lambda j: (-likely[j], -wider[j], spans[j][0], -spans[j][2], ORDER[spans[j][1]])):
         start, kind, end = spans[j]
-        if p[j] >= trees.least[kind] and not any(start < e and s < end for s, _, e in out[owner[j]]):
-            out[owner[j]] += [(s, kind, e) for s, e in _outside_of(start, end, base[owner[j]])] if kind == "secret" else [spans[j]]
+        i = owner[j]
+        if p[j] >= trees.least[kind] and not chosen[i].meets(start, end):
+            for s, e in _outside_of(start, end, held[i]) if kind == "secret" else [(start, end)]:
+                out[i].append((s, kind, e))
+                chosen[i].add(s, e)
     return out
 
 
