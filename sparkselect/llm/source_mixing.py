@@ -5,8 +5,11 @@ words; what is cut off is shared again by weight among the others until no targe
 
 Documents: a source whose target holds its words q times takes each document q times. The
 rest of the budget is fitted on the counts of documents by exact length: each length gives its
-proportional share (rounded down), longer lengths then fill up to a small remainder, and a
-bounded-knapsack program over the remaining counts finds the subset sum nearest below it.
+proportional share (rounded down) and long documents fill up; then some documents of every length are
+given back, and a bounded-knapsack program over these and all that are left finds the subset sum nearest
+below the budget. If it misses the budget, more documents are given back, until it is met or the program
+holds all documents (or twice as many of each length as the longest length has words: two fillings of a budget
+that differ in more documents share a part of equal sum). So the sum is the best that any choice reaches.
 Only the number of documents per (source, length) is decided so; which ones are taken follows
 from a seeded hash, numbered by many tasks.
 
@@ -17,11 +20,14 @@ target 0; ties and repeated rows are separate documents; an empty table gives an
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkselect.functions.ranking import row_number_exact
@@ -32,10 +38,8 @@ from .common import frugal, ranked, written
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = 17
-#: Remainder, in words, that the knapsack program fits; what stands above is filled by length.
+#: Words (over the lengths' common divisor) that the knapsack program fits at first; eight times as many each time it misses.
 FIT_WORDS = 1 << 15
-#: So many documents of each length up to SHORT are left to the program at least.
-SPARE, SHORT = 4, 64
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,45 +74,61 @@ def targets(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_EPOCHS) -
     return table.select("source", "source_size", F.least("cap", F.lit(level) * F.col("w")).alias("target"))
 
 
+def _knapsack(items: list[tuple[int, int, int]], budget: int) -> list[int]:
+    """Of each (length, free, index) item how many to take for the largest sum up to ``budget``."""
+    reach, first = np.zeros(budget + 1, bool), np.full(budget + 1, -1, np.int32)
+    reach[0] = True
+    parts: list[tuple[int, int, int]] = []  # (item, documents, words)
+    for i, (length, free, _) in enumerate(items):
+        free, step = min(free, budget // length), 1
+        while free > 0 and not reach[budget]:
+            k = min(step, free)
+            words = length * k
+            new = np.flatnonzero(reach[:budget + 1 - words] & ~reach[words:]) + words
+            reach[new] = True
+            first[new] = len(parts)
+            parts.append((i, k, words))
+            free -= k
+            step *= 2
+    taken = [0] * len(items)
+    s = int(np.flatnonzero(reach)[-1])
+    while s:  # a sum is first reached by a part from a sum that was reached before it
+        i, k, words = parts[first[s]]
+        taken[i] += k
+        s -= words
+    return taken
+
+
 def fit_counts(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
-    """How many documents of each length to take for a sum of ``budget`` or the nearest below
-    that the last step can reach. ``counts``: (length > 0, documents); budget < their sum."""
+    """How many documents of each length to take for a sum of ``budget``, or the nearest below it that
+    any choice reaches. ``counts``: (length > 0, documents)."""
     counts = sorted(counts)
     whole = sum(length * n for length, n in counts)
     if budget <= 0 or not whole:
         return {}
     if budget >= whole:
         return dict(counts)
-    # a few short documents stay free for the last step, which can then reach more sums
-    take = {length: max(0, n * budget // whole - (SPARE if length <= SHORT else 0)) for length, n in counts}
-    left = budget - sum(length * n for length, n in take.items())
-    for length, n in reversed(counts):  # long documents fill what is more than the program fits
-        more = min(n - take[length], max(0, left - FIT_WORDS) // length)
-        take[length] += more
-        left -= more * length
-    # bounded knapsack: reach[i] has bit s set if the first i items can sum to s
-    items = []
-    for length, n in counts:
-        n = min(n - take[length], left // length)
-        step = 1
-        while n > 0:
-            k = min(step, n)
-            items.append((length, k))
-            n -= k
-            step *= 2
-    mask, reach, used = (1 << (left + 1)) - 1, [1], []
-    for length, k in items:
-        if reach[-1] >> left & 1:
+    unit = math.gcd(*(length for length, _ in counts))
+    lengths, free, goal = [length // unit for length, _ in counts], [n for _, n in counts], budget // unit
+    take = [n * budget // whole for n in free]
+    left = goal - sum(map(operator.mul, lengths, take))
+    for i in reversed(range(len(lengths))):
+        more = min(free[i] - take[i], left // lengths[i])
+        take[i] += more
+        left -= more * lengths[i]
+    window, spare = FIT_WORDS, 1
+    while left:
+        while spare < max(take) and sum(length * min(t, spare) for length, t in zip(lengths, take, strict=True)) < window:
+            spare *= 2
+        kept = [max(0, t - spare) for t in take]
+        rest = goal - sum(map(operator.mul, lengths, kept))
+        items = [(length, n - k, i) for i, (length, n, k) in enumerate(zip(lengths, free, kept, strict=True))]
+        got = _knapsack(items, rest)
+        if sum(map(operator.mul, lengths, got)) == rest or spare >= min(max(take), 2 * lengths[-1]):
+            take = [k + n for k, n in zip(kept, got, strict=True)]
             break
-        reach.append(reach[-1] | (reach[-1] << (length * k)) & mask)
-        used.append((length, k))
-    s = reach[-1].bit_length() - 1
-    for i in range(len(used) - 1, -1, -1):
-        if not reach[i] >> s & 1:
-            length, k = used[i]
-            take[length] += k
-            s -= length * k
-    return take
+        window *= 8
+    return {length * unit: n for length, n in zip(lengths, take, strict=True)}
 
 
 def _fit(hist: pd.DataFrame) -> pd.DataFrame:
@@ -137,15 +157,21 @@ def mix(rows: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
+    """The rows of ``docs`` as often as the mix takes them; equal rows share their copies."""
     key = F.xxhash64("doc_id", "source", "text")
-    total = mix(sized(docs), seed).groupBy("row_key").agg(F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_rows"))
-    joined = docs.withColumn("row_key", key).join(total.withColumnRenamed("row_key", "_key"), F.col("row_key") == F.col("_key"))
-    # equal rows share their copies; the join has already brought them together
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("_key"))
-    copies = F.floor(F.col("_total") / F.col("_rows")) + (F.col("_nth") <= F.col("_total") % F.col("_rows")).cast("long")
-    return (joined.withColumn("_nth", nth).withColumn("_copies", copies).where("_copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+    total = written(mix(sized(docs), seed).groupBy("row_key").agg(F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_rows")).withColumnRenamed("row_key", "_copy_key"), "mixed-copies")
+    joined = docs.withColumn("_row_key", key).join(total, F.col("_row_key") == F.col("_copy_key"))
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+    alone = repeated(joined.where("_rows = 1").withColumn("_copies", F.col("_total")))
+    if total.where("_rows > 1").isEmpty():
+        return alone
+    # equal rows are numbered by an id, in pieces: they may be many
+    same = written(joined.where("_rows > 1").select(*docs.columns, "_row_key", "_total", "_rows").withColumn("_id", F.monotonically_increasing_id()), "mixed-equal")
+    numbered = ranked(same, ["_row_key"], ["_id"], "_nth")
+    return alone.union(repeated(numbered.withColumn("_copies", F.floor(F.col("_total") / F.col("_rows")) + (F.col("_nth") < F.col("_total") % F.col("_rows")).cast("long"))))
 
 
 def op9_frame(docs: DataFrame) -> DataFrame:

@@ -214,3 +214,35 @@ def test_fit_counts_reaches_reachable_sums():
         assert all(0 <= take.get(a, 0) <= b for a, b in counts)
         assert budget - 60 <= sum(a * take.get(a, 0) for a, _ in counts) <= budget
     assert sum(a * b for a, b in source_mixing.fit_counts([(1, 50), (7, 10**6), (5000, 3)], 6_999_999).items()) == 6_999_999
+
+
+def best_sum(counts, budget):
+    """Largest sum up to budget, one document at a time."""
+    reach = 1
+    for length, n in counts:
+        for _ in range(n):
+            reach |= reach << length
+    return (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+
+def test_fit_counts_is_the_best_of_all_choices():
+    rnd = random.Random(41)
+    for round_ in range(300):
+        lengths = rnd.sample(range(70, 2000), rnd.randint(2, 12)) if round_ % 3 else [x * 30 for x in rnd.sample(range(2, 60), 4)]
+        counts = [(n, rnd.randint(1, 6)) for n in lengths]
+        whole = sum(a * b for a, b in counts)
+        budget = rnd.randrange(whole)
+        take = source_mixing.fit_counts(counts, budget)
+        assert all(0 <= take.get(a, 0) <= b for a, b in counts)
+        assert sum(a * take.get(a, 0) for a, _ in counts) == best_sum(counts, budget)
+    # many documents, and lengths that only reach some sums
+    assert sum(a * b for a, b in source_mixing.fit_counts([(1999, 900), (2000, 900)], 1_700_123).items()) == best_sum([(1999, 900), (2000, 900)], 1_700_123)
+    assert sum(a * b for a, b in source_mixing.fit_counts([(n, 10**6) for n in range(3, 4000)], 10**12 + 7).items()) == 10**12 + 7
+
+
+def test_equal_rows_share_their_copies(make_docs, spark):
+    docs = make_docs(["w " * 50] * 3 + ["x " * (10 + i) for i in range(30)], source=lambda i: "a" if i < 12 else "b")
+    same = docs.where("doc_id = 1")
+    docs = docs.where("doc_id > 3").union(same).union(same).union(same)
+    got = source_mixing.mix(source_mixing.sized(docs)).where("doc_id = 1").agg({"copies": "sum"}).first()[0]
+    assert source_mixing.mixed(docs).where("doc_id = 1").count() == got > 0
