@@ -42,6 +42,8 @@ from .common import Words, frugal, gram_hashes, mix, partitions, text_groups, wr
 WINDOW, GRAM = 35, 6
 #: Text of a group of documents that are packed together (a document is never cut).
 GROUP_BYTES = 8 << 20
+#: Super-k-mers of a bucket, about.
+BUCKET_ROWS = 200_000
 #: Keys of documents with repeats are broadcast up to so many rows of one long each.
 BROADCAST_ROWS = 2_000_000
 
@@ -132,17 +134,25 @@ def _frequent(window: int, share: float):
     return count
 
 
-def hot_buckets(texts: DataFrame, window: int, parts: int) -> dict[int, int]:
-    """Minimisers with more super-k-mers than half a partition's mean share, and into how
-    many pieces their windows are dealt. At most 4 * parts entries."""
+def _minimisers(texts: DataFrame, window: int, parts: int) -> tuple[DataFrame, int]:
+    """Counts of the frequent minimisers (bucket, n), and the number of all super-k-mers."""
     share = 1 / (4 * parts)
     counts = texts.mapInArrow(frugal(_frequent(window, share)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = written(counts, "super-kmer-counts")
-    all_of = total.where("bucket is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    rows = total.where(F.col("bucket").isNotNull() & (F.col("n") * 2 * parts > all_of)).orderBy(F.desc("n"), "bucket").limit(4 * parts).collect()
+    return total, total.where("bucket is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def _hot(counts: DataFrame, all_of: int, parts: int) -> dict[int, int]:
+    rows = counts.where(F.col("bucket").isNotNull() & (F.col("n") * 2 * parts > all_of)).orderBy(F.desc("n"), "bucket").limit(4 * parts).collect()
     return {r["bucket"]: min(parts, 1 + 4 * r["n"] * parts // all_of) for r in rows}
 
 
+def hot_buckets(texts: DataFrame, window: int, parts: int) -> dict[int, int]:
+    """Minimisers with more super-k-mers than half a partition's mean share, and into how
+    many pieces their windows are dealt. At most 4 * parts entries."""
+    return _hot(*_minimisers(texts, window, parts), parts)
+
+
 def _pack(window: int, parts: int, hot: dict[int, int]):
     hot_keys = np.array(sorted(hot), np.int64).view(np.uint64)
     hot_keys.sort()
@@ -317,7 +327,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     repeated windows; ranges may overlap. Keys are two hashes of (doc_id, text)."""
     parts = partitions(docs.sparkSession)
     texts = docs.select("text", *_keys())
-    hot = hot_buckets(texts.select("text"), window, parts)
+    counts, all_of = _minimisers(texts.select("text"), window, parts)
+    parts = max(parts, -(-all_of // BUCKET_ROWS))  # a bucket is held by one task: its size doesn't follow the session's setting
+    hot = _hot(counts, all_of, parts)
     blobs = texts.mapInArrow(frugal(_pack(window, parts, hot)), "part int, blob binary")
     return blobs.repartitionById(parts, F.col("part")).mapInArrow(frugal(_count(window, parts)), "k1 long, k2 long, lo long, hi long")
 
@@ -355,7 +367,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     are few enough to be sent to all tasks; else all are.
     """
     schema = "doc_id long, n_words long, n_removed long, kept string"
-    found = written(repeated_ranges(docs, window), "repeated-ranges")
+    found = written(repeated_ranges(docs, window).distinct(), "repeated-ranges")  # equal rows have the same ranges
     ranges = found.groupBy("k1", "k2").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     rows = docs.select(F.col("doc_id").cast("long"), "text", *_keys())
     touched = written(found.select("k1").distinct(), "repeated-keys")

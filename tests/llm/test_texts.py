@@ -54,6 +54,17 @@ def test_substring_dedup_hot_passage_and_repetition(make_docs, spark):
     assert got == removed([(i + 1, words_of(t)) for i, t in enumerate(texts)])
 
 
+def test_substring_dedup_of_many_equal_rows(spark, make_docs, monkeypatch):
+    """A few thousand equal rows are a list of a few ranges, and buckets follow the data."""
+    monkeypatch.setattr(substring_dedup, "BUCKET_ROWS", 6000)
+    text = " ".join(f"e{i}" for i in range(200))
+    docs = make_docs(["x y z"]).union(make_docs([text]).crossJoin(spark.range(4000)).drop("id"))
+    ranges = substring_dedup.repeated_ranges(docs).distinct()
+    assert ranges.count() < 50
+    got = substring_dedup.op1_frame(docs).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(3, 0, 1), (200, 200, 4000)]
+
+
 def test_windows_with_equal_hashes_are_compared_by_words():
     codes = np.arange(200, dtype=np.uint32)
     at = np.array([0, 50, 100])
