@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all():
     """Import every catalog module so that all queries are registered."""
-    from sparkselect.plans import catalog, catalog_curves, catalog_models, catalog_prep, catalog_profile, catalog_trees  # noqa: F401
+    from sparkselect.plans import catalog, catalog_curves, catalog_models, catalog_prep, catalog_profile, catalog_temporal, catalog_trees  # noqa: F401
     return QUERIES, ORACLE
