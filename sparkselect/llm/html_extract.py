@@ -21,7 +21,9 @@ each; an empty table gives an empty result; other columns are ignored. Pages are
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,16 +40,17 @@ SALTS = 64
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_END = re.compile(r"</([a-zA-Z][^\s/>]*)")
 _HOST = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 #: How HTML elements behave.
-_RAW = frozenset(("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "select", "head"))
+_RAW = frozenset(("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "canvas", "select", "head"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _CONTAINERS = frozenset(("body", "article", "main", "section", "div", "td", "center", "table", "tbody", "tr", "ul", "ol", "dl", "blockquote", "figure", "details", "fieldset", "header"))
 _BLOCKS = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "th", "figcaption", "summary", "caption", "address", "hr", "html", "nav", "footer", "aside", "form", "thead", "tfoot")) | _CONTAINERS
 #: Containers that are content, not page structure.
 _CONTENT = frozenset(("table", "ul", "ol", "dl", "blockquote", "figure", "details"))
-_SKIPPED = frozenset(("nav", "footer", "aside", "form", "button", "menu", "dialog", "label", "input"))
+_SKIPPED = frozenset(("nav", "footer", "aside", "form", "button", "menu", "dialog", "input"))
 #: Fixed value: words of a class, id or role that name a part outside the article.
 _OUTSIDE = frozenset((
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "adbox", "sponsor", "sponsored", "sponsors", "promo", "promotion", "banner",
@@ -117,6 +120,11 @@ def _outside(tag: str, names: list[tuple[str, list[str]]], in_article: bool) ->
     return True if not in_article and any(w in _OUTSIDE for key, x in names if key != "id" for w in x) else None
 
 
+def _child_key(parent: int, label: str) -> int:
+    """Number of a path in this process: equal paths have equal ones."""
+    return hash((parent, label))
+
+
 def _mostly_links(text: str, links: int) -> bool:
     return 1.5 * links >= len(text)
 
@@ -125,14 +133,24 @@ class Page:
     """Blocks and containers of one page."""
 
     def __init__(self, html: str):
-        self.parent, self.path, self.boost = [-1], ["body"], [1.0]
+        self.parent, self.label, self.key, self.boost = [-1], ["body"], [_child_key(0, "body")], [1.0]  # key: of the path from the body
         self.tag, self.framed = ["body"], [False]  # framed: a part that is never main text lies directly in it
         self.blocks: list[tuple[int, str, int, str]] = []  # container, text, characters in links, tag
         self._read(html)
 
+    def path(self, i: int) -> str:
+        """Generalised path of a container."""
+        labels = []
+        while i >= 0:
+            labels.append(self.label[i])
+            i = self.parent[i]
+        return ">".join(reversed(labels))
+
     def _read(self, html: str) -> None:
         # open elements: (tag, container, skipped, is block); the first stands for the body
         stack: list[tuple[str, int, bool, bool]] = [("body", 0, False, True)]
+        open_tags: Counter = Counter()  # how often each tag is open, so that an end without a start costs no search
+        last_end = {m.group(1).lower(): m.start() for m in _END.finditer(html)}
         text: list[str] = []
         links, kind, at, n, link_depth, fields = 0, "p", 0, len(html), 0, 0
         doubts: list[tuple[int, int, int, int]] = []  # open elements: depth, first block, fields before, container
@@ -151,7 +169,9 @@ class Page:
             if any(e[3] for e in stack[i:]):
                 flush(stack[-1][1])
             judge(i)
-            link_depth -= sum(e[0] == "a" for e in stack[i:])
+            for e in stack[i:]:
+                open_tags[e[0]] -= 1
+                link_depth -= e[0] == "a"
             del stack[i:]
 
         def judge(i: int) -> None:
@@ -164,6 +184,8 @@ class Page:
                     self.framed[container] = True
 
         def find(names, stop=()) -> int:
+            if not any(open_tags[x] for x in names):
+                return 0
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in names:
                     return i
@@ -202,15 +224,15 @@ class Page:
             fields += tag in ("input", "select", "textarea", "button")
             if tag in _RAW:
                 if tag != "head" and not m.group(3).endswith("/"):
-                    e = re.compile(f"</{tag}(?=[\\s/>])|</{tag}\\Z", re.I).search(html, at)
+                    e = re.compile(f"</{tag}(?=[\\s/>])|</{tag}\\Z", re.I).search(html, at) if last_end.get(tag, -1) >= at else None
                     if e:
                         g = html.find(">", e.start())
                         at = g + 1 if g >= 0 else n
-                    elif tag not in ("svg", "math", "noscript", "object", "canvas", "select"):
+                    elif tag not in ("svg", "noscript", "canvas", "select"):
                         at = n
                 elif tag == "head":
                     pass
-                if not stack[-1][2] and tag not in ("svg", "math", "canvas", "select"):
+                if not stack[-1][2] and tag not in ("svg", "canvas", "select"):
                     text.append(" ") if text else None
                 continue
             if tag in _VOID:
@@ -236,8 +258,8 @@ class Page:
                     i = find(("tr",), ("table",))
                 elif stack[-1][2] and (tag in ("article", "main") or any(w in _INSIDE for w in _words(_names(m.group(3))[1]))):
                     # an article within a menu or notice: that was never closed, or nests by mistake
-                    j = next(j for j in range(1, len(stack)) if stack[j][2])
-                    i = 0 if any(e[0] in ("article", "main") for e in stack) or re.search(f"</{stack[j][0]}[\\s>]", html[at:], re.I) and tag not in ("article", "main") else j
+                    j = bisect.bisect_left(stack, True, key=lambda e: e[2])  # all within a skipped element are skipped
+                    i = 0 if open_tags["article"] or open_tags["main"] or last_end.get(stack[j][0], -1) >= at and tag not in ("article", "main") else j
                 else:
                     i = 0
                 if i:
@@ -246,16 +268,17 @@ class Page:
             _, container, skipped, _ = stack[-1]
             if not skipped and (block or m.group(3)):
                 classes, names, hidden = _names(m.group(3)) if m.group(3) else ([], [], False)
-                in_article = any(e[0] in ("article", "main") for e in stack)
+                in_article = open_tags["article"] + open_tags["main"] > 0
                 outside = _outside(tag, names, in_article or tag != "header" and self.boost[container] > 1)
                 if outside is None and not hidden:
                     doubts.append((len(stack), len(self.blocks), fields, container))
                 skipped = hidden or bool(outside)
                 self.framed[container] |= skipped
                 if not skipped and tag in _CONTAINERS:
-                    label = ".".join([tag, *sorted({re.sub(r"[0-9]+", "", c).strip("-_").lower() for c in classes} - {""})])
+                    label = ".".join([tag, *sorted({re.sub(r"[0-9]+", "", c).strip("-_").lower() for c in classes} - {""})]).replace(">", "")
                     self.parent.append(container)
-                    self.path.append(f"{self.path[container]}>{label}")
+                    self.label.append(label)
+                    self.key.append(_child_key(self.key[container], label))
                     self.tag.append(tag)
                     self.framed.append(False)
                     good = tag in ("article", "main") or any(w in _INSIDE for w in _words(names))
@@ -270,6 +293,7 @@ class Page:
                 link_depth += 1
             if not m.group(3).endswith("/") or tag not in ("path",):
                 stack.append((tag, container, skipped, block))
+                open_tags[tag] += 1
         flush(stack[-1][1])
         judge(0)
 
@@ -329,7 +353,10 @@ class Page:
 
     def extract(self, path: str | None) -> str:
         """The text at ``path``, or of the page's own choice where that has none."""
-        own, chosen = self.choice(), {i for i, p in enumerate(self.path) if p == path}
+        key = 0
+        for label in (path or "").split(">"):
+            key = _child_key(key, label)
+        own, chosen = self.choice(), {i for i, k in enumerate(self.key) if k == key}
         return (self.text_of(chosen, own) if chosen and self.text_of(chosen) else "") or self.text_of({own})
 
 
@@ -346,7 +373,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = page.weights()
             if w[0] > 0:
                 i = page.choice()
-                s = sums.setdefault((host_of(url), page.path[i]), [0, 0.0])
+                s = sums.setdefault((host_of(url), page.path(i)), [0, 0.0])
                 s[0] += 1
                 s[1] += w[i]
         rows = [(h, p, v, s) for (h, p), (v, s) in sums.items()]
