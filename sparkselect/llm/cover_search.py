@@ -17,7 +17,8 @@ in doubles only if every sum stays below 2 ** 53, else in 64-bit integers.
 Defined results: rows with a null id or a null, empty or non-finite vector (or component) take
 no part; vectors of different lengths don't meet; a query's own row is left out once, so that a
 repeated row finds its copy; ties go to the smaller id; fewer than k candidates give all of
-them; an empty table gives an empty result. Components must stay within +-2 ** 31 once scaled.
+them; an empty table gives an empty result. Vectors whose lengths multiply to 2 ** 62 or more once scaled raise
+a ValueError, as their products may not fit a 64-bit integer.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ TOP = 20
 QUERY_EVERY = 20
 BLOCK, GROUP = 4096, 1024
 BASE, LEAF = 1.3, 48
-#: Below any score.
+#: Below any score; the product of the greatest lengths of two blocks must stay below MOST.
 NONE = -(1 << 62)
+MOST = 2.0 ** 62
 
 
 class CoverTree:
@@ -180,11 +182,17 @@ def _trees(with_ids: bool):
     return build
 
 
+def _longest(tree: CoverTree) -> float:
+    return float(np.sqrt((tree.points.astype(float) ** 2).sum(axis=1).max()))
+
+
 def _search(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for q_blob, d_blob, keys, floors in zip(*(batch.column(c) for c in ("q_blob", "blob", "known", "floors")), strict=True):
                 q, d = pickle.loads(q_blob.as_py()), pickle.loads(d_blob.as_py())
+                if _longest(q["tree"]) * _longest(d["tree"]) >= MOST:
+                    raise ValueError("inner products of these vectors may not fit a 64-bit integer")
                 floor = np.full(len(q["key"]), NONE)
                 if keys.as_py():
                     known = dict(zip(keys.as_py(), floors.as_py(), strict=True))

@@ -24,6 +24,16 @@ def search_truth(rows, k=20):
     return sorted(out)
 
 
+def test_search_refuses_products_beyond_64_bits(spark):
+    big = lambda top: spark.createDataFrame([(i, [float(top - i) / 64, float(top - 2 * i) / 64]) for i in range(40)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, cover_search.op2_frame(big(2 ** 30)).select("query_id", "rank", "vec_id", "score").collect()))
+    vectors = [(2 ** 30 - i, 2 ** 30 - 2 * i) for i in range(40)]
+    want = [(q, r + 1, i, -s) for q in (0, 20) for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(vectors[q], vectors[i], strict=True)), i) for i in range(40) if i != q)[:20])]
+    assert got == want
+    with pytest.raises(Exception, match="64-bit"):
+        cover_search.op2_frame(big(2 ** 31)).collect()
+
+
 def test_search_edges(spark):
     rnd = np.random.default_rng(6)
     base = rnd.normal(size=(5, 8))
