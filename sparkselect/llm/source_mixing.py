@@ -116,15 +116,18 @@ def fit_counts(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
         more = min(free[i] - take[i], left // lengths[i])
         take[i] += more
         left -= more * lengths[i]
-    window, spare = FIT_WORDS, 1
+    window, spare, most = FIT_WORDS, 1, min(max(take), 2 * lengths[-1])
     while left:
-        while spare < max(take) and sum(length * min(t, spare) for length, t in zip(lengths, take, strict=True)) < window:
+        while spare < most and sum(length * min(t, spare) for length, t in zip(lengths, take, strict=True)) < window:
             spare *= 2
-        kept = [max(0, t - spare) for t in take]
-        rest = goal - sum(map(operator.mul, lengths, kept))
+        kept, given = [], 0  # short documents are given back first, so that the mix of lengths hardly changes
+        for length, t in zip(lengths, take, strict=True):
+            kept.append(max(0, t - spare) if given < window else t)
+            given += length * (t - kept[-1])
+        rest = left + given
         items = [(length, n - k, i) for i, (length, n, k) in enumerate(zip(lengths, free, kept, strict=True))]
         got = _knapsack(items, rest)
-        if sum(map(operator.mul, lengths, got)) == rest or spare >= min(max(take), 2 * lengths[-1]):
+        if sum(map(operator.mul, lengths, got)) == rest or given < window and spare >= most:
             take = [k + n for k, n in zip(kept, got, strict=True)]
             break
         window *= 8
