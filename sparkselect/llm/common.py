@@ -140,6 +140,34 @@ def gram_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Rows from which a key's rows are joined where they lie, and keys that may then be broadcast.
+HOT_ROWS = 1000
+MOST_HOT_KEYS = 200_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner",
+                counts: DataFrame | None = None, like: DataFrame | None = None) -> DataFrame:
+    """``rows.join(facts, key, how)`` (inner or left) where one key may hold most of ``rows``.
+
+    ``facts`` has one row a key at most. Keys of at least ``HOT_ROWS`` rows meet their facts by a
+    broadcast, so their rows stay spread; all others by a shuffle. The floor rises with the table, so
+    that no more than ``MOST_HOT_KEYS`` keys can reach it. ``counts`` (key, c) saves the counting,
+    ``like`` is a written table with as many rows of each key. Null keys join nothing.
+    """
+    total = (like if like is not None else rows).count()
+    if total < HOT_ROWS:
+        return rows.join(facts, key, how)
+    floor = max(HOT_ROWS, total // MOST_HOT_KEYS + 1)
+    if counts is None:
+        counts = (like if like is not None else rows).groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+    hot = written(counts.where((F.col("c") >= floor) & F.col(key).isNotNull()).select(key), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(facts, key, how)
+    own = hot.join(facts.join(F.broadcast(hot), key), key, how)  # a left join keeps hot keys without facts
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(facts, key, how)
+    return rows.join(F.broadcast(own), key).unionByName(rest)
+
+
 #: Pieces that a group is numbered in; fixed, so that ranks don't depend on the cluster.
 RANK_BUCKETS = 512
 

@@ -3,7 +3,8 @@
 Each round hooks every node to its smallest neighbour, follows the hooks to their
 roots and contracts the edges onto the roots, so that the edge table shrinks by at
 least half of its nodes per round. Nothing is collected: a node with very many
-edges only takes part in minima (combined before the shuffle) and in joins.
+edges only takes part in minima (combined before the shuffle) and in joins
+that spread its rows.
 """
 
 from __future__ import annotations
@@ -11,14 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def _roots(parents: DataFrame) -> DataFrame:
     """(v, p) with p replaced by the root that its chain of parents ends in."""
     while True:
         up = parents.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        jumped = written(parents.join(up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "cc-jump")
+        jumped = written(spread_join(parents, up, "p").select("v", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "cc-jump")
         parents = jumped.select("v", "p")
         if jumped.where("moved").isEmpty():
             return parents
@@ -36,13 +37,13 @@ def components(edges: DataFrame) -> DataFrame:
         parents = both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("p"))
         roots = _roots(written(parents, "cc-hook"))
         ra, rb = roots.select(F.col("v").alias("a"), F.col("p").alias("pa")), roots.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        edges = written(edges.join(ra, "a").join(rb, "b").where("pa <> pb")
+        edges = written(spread_join(spread_join(edges, ra, "a"), rb, "b", like=edges).where("pa <> pb")
                         .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "cc-edges")
         if labels is None:
             labels = roots.select(F.col("v").alias("node"), F.col("p").alias("comp"))
         else:
             up = roots.select(F.col("v").alias("comp"), F.col("p").alias("root"))
-            labels = written(labels.join(up, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "cc-labels")
+            labels = written(spread_join(labels, up, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "cc-labels")
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     return labels

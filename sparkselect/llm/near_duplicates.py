@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, frugal, gram_hashes, mix, partitions, written, text_groups
+from .common import Words, frugal, gram_hashes, mix, partitions, spread_join, written, text_groups
 from .graph import components
 
 SHINGLE = 5
@@ -309,22 +309,23 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
             F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.max("n").alias("n"),
             F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-classes")
     slots = classes.select("cls", "n", "sig", F.explode("bands").alias("bucket"))
-    members = written(slots.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("c > 1"), "near-members")
+    shared = written(slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-buckets")
+    members = written(spread_join(slots, shared, "bucket", counts=shared), "near-members")
     near = _in_blocks(members, "bucket", "c").mapInArrow(frugal(_bucket_forests(percent)), "a long, b long")
     groups = components(near)
 
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("c"))
-    grouped = groups.join(sizes, "comp").select(F.col("node").alias("cls"), "comp", "c")
+    grouped = spread_join(groups, sizes, "comp", counts=sizes).select(F.col("node").alias("cls"), "comp", "c")
     sets = _shingle_sets_of(docs, classes, grouped)
     rows = written(grouped.join(classes.select("cls", "n", "sig"), "cls").join(sets, "cls"), "near-groups")
     links = _in_blocks(rows, "comp", "c").mapInArrow(frugal(_group_forests(percent)), "a long, b long")
     labels = components(links)
 
     named = labels.select(F.col("node").alias("cls"), "comp")
-    placed = classes.select("cls", "first_id").join(named, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    placed = written(classes.select("cls", "first_id").join(named, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-placed")
     names = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    of_class = written(placed.join(names, "comp").select("cls", "component_id", "comp"), "near-names")
-    joined = sketch.select("doc_id", "row_key", "cls", "n").join(of_class, "cls", "left")
+    of_class = written(spread_join(placed, names, "comp").select("cls", "component_id", "comp"), "near-names")
+    joined = spread_join(sketch.select("doc_id", "row_key", "cls", "n"), of_class, "cls", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                          F.col("doc_id").eqNullSafe(component).alias("kept"), "row_key", F.col("comp").alias("group"))
@@ -336,7 +337,7 @@ def without_copies(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
     found = written(near_duplicates(docs, percent).select("doc_id", "row_key", "group"), "near-found")
     mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     keepers = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(mine).alias("k")).select("group", F.col("k.row_key").alias("keep"))
-    gone = written(found.join(keepers, "group").where("row_key <> keep").select("row_key").distinct(), "near-gone")
+    gone = written(spread_join(found, keepers, "group").where("row_key <> keep").select("row_key").distinct(), "near-gone")
     twice = written(found.where(F.col("group").isNotNull()).groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key"), "near-twice")
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
