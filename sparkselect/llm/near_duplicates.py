@@ -310,7 +310,8 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
             F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-classes")
     slots = classes.select("cls", "n", "sig", F.explode("bands").alias("bucket"))
     shared = written(slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-buckets")
-    members = written(spread_join(slots, shared, "bucket", counts=shared), "near-members")
+    few = shared.count() <= BROADCAST_ROWS  # then the slots of one class alone are never shuffled
+    members = written(slots.join(F.broadcast(shared), "bucket") if few else spread_join(slots, shared, "bucket", counts=shared), "near-members")
     near = _in_blocks(members, "bucket", "c").mapInArrow(frugal(_bucket_forests(percent)), "a long, b long")
     groups = components(near)
 
