@@ -1,12 +1,13 @@
-"""Exact k nearest neighbours (F10) and SMOTE (E14) by blocked brute force.
+"""Exact k nearest neighbours (F10) and SMOTE (E14) by pivot partitions.
 
-Queries are cut into Q blocks and base rows into B blocks by a key hash;
-each query block meets each base block in one group of a cogrouped
+Base rows are cut into the cells of pivots and queries go only to the cells that
+can hold one of their neighbours (``pivots``); base rows that fit one block need no
+cells. Each block of queries meets a block of base rows in one group of a cogrouped
 ``applyInPandas`` (no cross join), NumPy computes the distances inside the
 task and only the k best base rows per query leave it. A final window per
-query keeps the k best of its k x B candidates. Block sizes are bounded, so
-no task holds more than one query block and one base block; the total work
-is the inherent n_query x n_base distance count of exact search.
+query keeps the k best of its candidates. Block sizes are bounded, so
+no task holds more than one query block and one base block. Where the data have
+no structure the bounds exclude little, and the work is n_query x n_base.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from sparkselect.functions.hashing import SESSION_SEED, hash_small, md5_order
 from sparkselect.functions.ranking import row_number_exact
 from sparkselect.operators.estimators import CustomEstimator, CustomModel, label_classes
 from sparkselect.operators.persist import CompositePersistence
+from sparkselect.operators.pivots import pivot_blocks
 
 BLOCK_ROWS = 50_000
 #: Classes whose counts are brought to the driver at most.
@@ -37,21 +39,24 @@ def knn_candidates(queries: DataFrame, base: DataFrame, k: int, qkey: str, bkey:
     """(qkey, bkey, dist2, [label], nb_rank) for the k nearest base rows of every query.
 
     Distances are squared Euclidean; ties go to the lower base key. With
-    ``exclude_self`` a base row never neighbours the query with the same key.
+    ``exclude_self`` a base row never neighbours the query with the same key (base keys
+    are unique then). Null vectors and those with NaN or infinite components take no part.
     """
-    nq, nb = queries.count(), base.count()
-    qblocks = max(1, math.ceil(nq / block_rows))
-    bblocks = max(1, math.ceil(nb / block_rows))
     qtype = queries.schema[qkey].dataType
     btype = base.schema[bkey].dataType
-    q = queries.select(F.col(qkey).alias("qk"), vector_to_array(F.col(qx), "float64").alias("x")) \
-        .withColumn("qb", (F.abs(F.xxhash64("qk")) % qblocks).cast("int")) \
-        .withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(bblocks - 1))))
+    q = queries.select(F.col(qkey).alias("qk"), vector_to_array(F.col(qx), "float64").alias("x"))
     bcols = [F.col(bkey).alias("bk"), vector_to_array(F.col(bx), "float64").alias("x")]
     if label:
         bcols.append(F.col(label).cast("double").alias("lab"))
-    b = base.select(*bcols).withColumn("bb", (F.abs(F.xxhash64("bk", "x")) % bblocks).cast("int")) \
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
+    finite = F.forall("x", lambda v: F.abs(v) < float("inf"))
+    q, b = q.where(finite), base.select(*bcols).where(finite)
+    nb = b.count()
+    if nb > block_rows:
+        q, b, _ = pivot_blocks(q, b, k + exclude_self, block_rows, nb)
+    else:
+        qblocks = max(1, math.ceil(q.count() / block_rows))
+        q = q.withColumn("qb", (F.abs(F.xxhash64("qk")) % qblocks).cast("int")).withColumn("bb", F.lit(0))
+        b = b.withColumn("bb", F.lit(0)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
     fields = [StructField("qk", qtype), StructField("bk", btype), StructField("dist2", DoubleType())]
     if label:
         fields.append(StructField("lab", DoubleType()))
