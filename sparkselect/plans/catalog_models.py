@@ -267,7 +267,7 @@ def i10_validation_curve(spark, sf):
 @query("i11_feature_importance")
 def i11_feature_importance(spark, sf):
     tr, _ = _t1_xy(spark, sf)
-    return finish(D.feature_importance(make_estimator("rf", numTrees=20).fit(tr), ["value", "k", "h"]))
+    return finish(D.feature_importance(make_estimator("rf").fit(tr), ["value", "k", "h"]))
 
 
 @query("i11_permutation_importance")
@@ -433,6 +433,24 @@ def f10_knn_ties(spark, sf):
     return finish(model.fit(tr).transform(te).select("vec_id", F.col("prediction").cast("bigint")))
 
 
+@query("f10_nearest_lines", """
+WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_extendedprice / 1000 AS p, l_quantity AS n, l_discount * 100 AS d FROM lineitem),
+q AS (SELECT l_suppkey, max(l_extendedprice / 1000) AS p, max(l_quantity) AS n, max(l_discount * 100) AS d FROM lineitem GROUP BY l_suppkey),
+r AS (SELECT q.l_suppkey, b.line, row_number() OVER (PARTITION BY q.l_suppkey ORDER BY
+        (b.p - q.p) * (b.p - q.p) + (b.n - q.n) * (b.n - q.n) + (b.d - q.d) * (b.d - q.d), b.line) AS nb_rank FROM q, b)
+SELECT l_suppkey, line, nb_rank FROM r WHERE nb_rank <= 5""")
+def f10_nearest_lines(spark, sf):
+    """The five order lines nearest to each supplier's greatest price, quantity and discount, over
+    all lines: more base rows than a block, so by pivot partitions."""
+    from sparkselect.operators.neighbors import knn_candidates
+    from sparkselect.sources.io import table
+    li = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"),
+                                             (F.col("l_extendedprice") / 1000).alias("p"), F.col("l_quantity").alias("n"), (F.col("l_discount") * 100).alias("d"))
+    top = li.groupBy("l_suppkey").agg(F.max("p").alias("p"), F.max("n").alias("n"), F.max("d").alias("d"))
+    near = knn_candidates(assemble(top, ["p", "n", "d"], "x"), assemble(li, ["p", "n", "d"], "x"), 5, "l_suppkey", "line", "x", "x")
+    return finish(near.select("l_suppkey", "line", "nb_rank"))
+
+
 @query("e14_smote_multiclass", """
 WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label), b AS (SELECT max(n) AS big FROM c)
 SELECT CAST(label AS BIGINT) AS label, CAST(big - n AS BIGINT) AS n_new FROM c, b WHERE n >= 2 AND n < big""")

@@ -345,7 +345,7 @@ def k1_regressor_menu(spark, sf):
     tr, te = S.holdout(li, "l_orderkey")
     outs = []
     for code in ("lr", "rf", "gbr"):
-        m = make_regressor(code, label="l_extendedprice", numTrees=20, maxIter=20).fit(tr)
+        m = make_regressor(code, label="l_extendedprice").fit(tr)
         outs.append(regression_metrics(m.transform(te), "l_extendedprice", "prediction").withColumn("model", F.lit(code)))
     out = outs[0]
     for o in outs[1:]:
