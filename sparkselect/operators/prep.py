@@ -13,14 +13,18 @@ import json
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkselect.functions.pairs import pair_correlations
+from sparkselect.functions.patterns import pattern_moments, present
 from sparkselect.functions.ranking import exact_quantiles, value_counts_long
+from sparkselect.operators import chained
 from sparkselect.operators.estimators import class_moments, quad_form
 
 RARE = "__rare__"
@@ -126,15 +130,23 @@ class SimpleImputerModel(_FittedModel):
 
 
 # ------------------------------------------------------------------ E1 iterative imputer
+#: Steps of the chain up to which new rows are filled by column expressions; longer chains in Arrow batches.
+MAX_STEP_EXPRESSIONS = 60
+
+
 class IterativeImputer(Estimator, _Stage):
     """Chained equations (van Buuren & Groothuis-Oudshoorn 2011). Start from the mean
     (numeric) or most frequent level (``categoricalCols``); then for ``rounds`` rounds, for
     each column with missing values (fewest missing first) fit, over its observed rows,
     least squares on all numeric columns (numeric target) or a decision tree on them
-    (categorical target), and refill its missing rows.
-
-    Each round's table is cut from its lineage with a reliable checkpoint. The
-    model keeps every round's coefficients and trees and replays the chain on new rows.
+    (categorical target), and refill its missing rows. Null and NaN are missing. A column
+    without any value is filled with 0 (or the level "missing") and takes no part.
+
+    The numeric chain needs the table's moments per pattern of missing values only
+    (``operators/chained.py``): one pass, whatever the number of rounds. Where the patterns are
+    too many for ``functions/patterns.py``, each step reads the rows. Levels are never
+    predictors, so the tree of the last round alone decides a categorical column and only
+    that one is fitted. The model keeps the coefficients and trees and replays them on new rows.
     """
 
     rounds = Param(Params._dummy(), "rounds", "rounds", TypeConverters.toInt)
@@ -148,55 +160,103 @@ class IterativeImputer(Estimator, _Stage):
     def _fit(self, df):
         from pyspark.ml.classification import DecisionTreeClassifier
         from pyspark.ml.feature import StringIndexer, VectorAssembler
-        from pyspark.ml.regression import LinearRegression
-        from sparkselect.session import cut_lineage
         cols = self._ins()
         cats = self.getOrDefault(self.categoricalCols)
+        rounds = self.getOrDefault(self.rounds)
+        found = pattern_moments(df, cols) if cols else None
+        if found is not None:
+            gone, mean = chained.start(*found)
+            n = found[1][:, 0, 0].sum()
+            miss, means = dict(zip(cols, gone)), dict(zip(cols, map(float, mean)))
+        else:
+            r = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(present(c)).alias(f"c{i}") for i, c in enumerate(cols)],
+                       *[F.coalesce(F.avg(present(c)), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+            n = r["n"]
+            miss = {c: n - r[f"c{i}"] for i, c in enumerate(cols)}
+            means = {c: r[f"m{i}"] for i, c in enumerate(cols)}
+        modes = {}
+        if cats:
+            r = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cats)]).first()
+            miss.update({c: n - r[f"c{i}"] for i, c in enumerate(cats)})
+            modes = SimpleImputer(cats, strategy="mode").fit(df)._state()["fill"]
         allc = cols + cats
-        n = df.count()
-        miss = df.agg(*[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(c) for c in allc]).first()
-        order = sorted([c for c in allc if miss[c] > 0], key=lambda c: (miss[c], allc.index(c)))
-        # a column without any value is filled with 0 (or the level "missing") and takes no part in the chain
-        empty = [c for c in order if miss[c] == n]
-        order = [c for c in order if miss[c] < n]
-        means = df.agg(*[F.coalesce(F.avg(F.col(f"`{c}`")), F.lit(0.0)).alias(c) for c in cols]).first() if cols else {}
-        modes = SimpleImputer(cats, strategy="mode").fit(df)._state()["fill"] if cats else {}
+        empty = [c for c in allc if miss[c] == n]
+        order = sorted([c for c in allc if 0 < miss[c] < n], key=lambda c: (miss[c], allc.index(c)))
         modes = {c: "missing" if c in empty else modes.get(c) for c in cats}
-        work = df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(means[c])).alias(c) for c in cols],
-                         *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(modes.get(c))).alias(c) for c in cats],
-                         *[F.col(f"`{c}`").isNull().alias(f"__m_{c}") for c in order])
-        chain, trees = [], []
-        for _ in range(self.getOrDefault(self.rounds) if order else 0):
-            for c in order:
+        nums = [c for c in order if c in cols]
+        if found is not None:
+            steps = chained.sweep(*found, [cols.index(c) for c in nums], [cols.index(c) for c in empty if c in cols], rounds)
+            chain = [{"col": cols[c], "kind": "num", "others": [cols[o] for o in others], "coef": [float(v) for v in coef], "icpt": icpt}
+                     for c, others, coef, icpt in steps]
+        else:
+            chain = self._row_chain(df, nums, means, empty, rounds)
+        others = [o for o in cols if o not in empty]
+        trees, levels = [], {}
+        for c in [c for c in order if c in cats] if others and rounds else []:
+            # the tree reads the numeric state of its place in the last round
+            later = sum(s["col"] in nums and order.index(s["col"]) > order.index(c) for s in chain[-len(nums):]) if nums else 0
+            at = len(chain) - later
+            upto = IterativeImputerModel.of(self, {"means": means, "modes": {}, "chain": chain[:at]})
+            upto._set(categoricalCols=[])
+            obs = upto._transform(df.where(F.col(f"`{c}`").isNotNull())
+                                  .select(*[F.col(f"`{o}`") for o in cols], F.col(f"`{c}`").cast("string").alias("__c")))
+            obs = VectorAssembler(inputCols=others, outputCol="__x").transform(obs)
+            si = StringIndexer(inputCol="__c", outputCol="__ci", stringOrderType="alphabetAsc").fit(obs)
+            dt = DecisionTreeClassifier(featuresCol="__x", labelCol="__ci", maxDepth=5, seed=123).fit(si.transform(obs)).copy()
+            dt._set(predictionCol="__cp", probabilityCol="__cpr", rawPredictionCol="__cr")
+            levels.setdefault(at, []).append({"col": c, "kind": "cat", "others": others, "labels": list(si.labels), "tree": len(trees)})
+            trees.append(dt)
+        chain = [s for i in range(len(chain) + 1) for s in levels.get(i, []) + chain[i:i + 1]]
+        m = IterativeImputerModel.of(self, {"means": means, "modes": modes, "chain": chain})
+        m.trees = trees
+        return m
+
+    def _row_chain(self, df, nums, means, empty, rounds):
+        """The numeric chain with a model fit a step, for tables with too many patterns."""
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.regression import LinearRegression
+        from sparkselect.session import cut_lineage
+        cols = self._ins()
+        work = df.select(*[F.coalesce(present(c), F.lit(means[c])).alias(c) for c in cols],
+                         *[present(c).isNull().alias(f"__m_{c}") for c in nums])
+        chain = []
+        for _ in range(rounds):
+            for c in nums:
                 others = [o for o in cols if o != c and o not in empty]
                 if not others:
                     continue
-                va = VectorAssembler(inputCols=others, outputCol="__x")
-                obs = va.transform(work.where(~F.col(f"__m_{c}")))
-                if c in cols:
-                    lr = LinearRegression(featuresCol="__x", labelCol=c, solver="normal", regParam=0.0).fit(obs)
-                    coef, icpt = [float(v) for v in lr.coefficients], float(lr.intercept)
-                    chain.append({"col": c, "kind": "num", "others": others, "coef": coef, "icpt": icpt})
-                    pred = F.lit(icpt) + sum((F.col(o) * F.lit(w) for o, w in zip(others, coef)), F.lit(0.0))
-                    work = work.withColumn(c, F.when(F.col(f"__m_{c}"), pred).otherwise(F.col(c)))
-                else:
-                    si = StringIndexer(inputCol=c, outputCol="__ci", stringOrderType="alphabetAsc").fit(obs)
-                    dt = DecisionTreeClassifier(featuresCol="__x", labelCol="__ci", maxDepth=5, seed=123) \
-                        .fit(si.transform(obs))
-                    dt = dt.copy()
-                    dt._set(predictionCol="__cp", probabilityCol="__cpr", rawPredictionCol="__cr")
-                    chain.append({"col": c, "kind": "cat", "others": others, "labels": list(si.labels),
-                                  "tree": len(trees)})
-                    trees.append(dt)
-                    labels = F.array(*[F.lit(x) for x in si.labels])
-                    scored = dt.transform(va.transform(work)).drop("__x", "__cpr", "__cr")
-                    work = scored.withColumn(c, F.when(F.col(f"__m_{c}"),
-                                                       F.element_at(labels, F.col("__cp").cast("int") + 1))
-                                             .otherwise(F.col(c))).drop("__cp")
+                obs = VectorAssembler(inputCols=others, outputCol="__x").transform(work.where(~F.col(f"`__m_{c}`")))
+                lr = LinearRegression(featuresCol="__x", labelCol=c, solver="normal", regParam=0.0).fit(obs)
+                chain.append({"col": c, "kind": "num", "others": others, "coef": [float(v) for v in lr.coefficients],
+                              "icpt": float(lr.intercept)})
+                work = work.withColumn(c, F.when(F.col(f"`__m_{c}`"), _affine(chain[-1])).otherwise(F.col(f"`{c}`")))
             work = cut_lineage(work)
-        m = IterativeImputerModel.of(self, {"means": {c: means[c] for c in cols}, "modes": modes, "chain": chain})
-        m.trees = trees
-        return m
+        return chain
+
+
+def _affine(step: dict) -> Column:
+    return F.lit(step["icpt"]) + sum((F.col(f"`{o}`") * F.lit(w) for o, w in zip(step["others"], step["coef"])), F.lit(0.0))
+
+
+def _fill_in_batches(cols: list[str], means: dict, chain: list[dict]) -> Column:
+    """All numeric columns after the chain as one array: one matrix product a pattern and batch."""
+    at = {c: i for i, c in enumerate(cols)}
+    mean = np.array([means[c] for c in cols])
+    steps = [(at[s["col"]], [at[o] for o in s["others"]], np.array(s["coef"]), s["icpt"]) for s in chain]
+
+    @F.pandas_udf("array<double>")
+    def fill(x: pd.DataFrame) -> pd.Series:
+        x = x.to_numpy(float)
+        gone = np.isnan(x)
+        z = np.hstack((np.ones((len(x), 1)), np.where(gone, 0.0, x)))
+        kinds, rows = np.unique(gone, axis=0, return_inverse=True)
+        out = np.empty_like(x)
+        for i, kind in enumerate(kinds):
+            here = rows.ravel() == i
+            out[here] = z[here] @ chained.pattern_map(kind, mean, steps).T
+        return pd.Series(list(out))
+
+    return fill(F.struct(*[present(c).alias(f"c{i}") for i, c in enumerate(cols)]))
 
 
 class IterativeImputerModel(_FittedModel):
@@ -220,22 +280,35 @@ class IterativeImputerModel(_FittedModel):
         cols = self._ins()
         cats = self.getOrDefault(self.categoricalCols)
         flags = {c: f"__m_{c}" for c in cols + cats}
-        cur = df.select("*", *[F.col(f"`{c}`").isNull().alias(flags[c]) for c in cols + cats])
-        cur = _replace(cur, {**{c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(st["means"][c])) for c in cols},
-                             **{c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(st["modes"].get(c)))
-                                for c in cats}})
-        for step in st["chain"]:
+        chain = st["chain"]
+        nums = [s for s in chain if s["kind"] == "num"]
+        batches = len(nums) > MAX_STEP_EXPRESSIONS  # an array a place in the chain at which a tree, or the result, reads it
+        cur = df.select("*", *[present(c).isNull().alias(flags[c]) for c in cols],
+                        *[F.col(f"`{c}`").isNull().alias(flags[c]) for c in cats])
+        if batches:
+            places = sorted({sum(t["kind"] == "num" for t in chain[:i]) for i, s in enumerate(chain) if s["kind"] == "cat"} | {len(nums)})
+            cur = cur.select("*", *[_fill_in_batches(cols, st["means"], nums[:k]).alias(f"__at_{k}") for k in places])
+        else:
+            cur = _replace(cur, {c: F.coalesce(present(c), F.lit(st["means"][c])) for c in cols})
+        cur = _replace(cur, {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(st["modes"].get(c))) for c in cats}) if cats else cur
+        done = 0
+        for step in chain:
             c = step["col"]
             if step["kind"] == "num":
-                pred = F.lit(step["icpt"]) + sum((F.col(f"`{o}`") * F.lit(w) for o, w in zip(step["others"], step["coef"])),
-                                                 F.lit(0.0))
-                cur = cur.withColumn(c, F.when(F.col(flags[c]), pred).otherwise(F.col(f"`{c}`")))
-            else:
-                va = VectorAssembler(inputCols=step["others"], outputCol="__x")
-                labels = F.array(*[F.lit(x) for x in step["labels"]])
-                scored = self.trees[step["tree"]].transform(va.transform(cur)).drop("__x", "__cpr", "__cr")
-                cur = scored.withColumn(c, F.when(F.col(flags[c]), F.element_at(labels, F.col("__cp").cast("int") + 1))
-                                        .otherwise(F.col(f"`{c}`"))).drop("__cp")
+                done += 1
+                if not batches:
+                    cur = cur.withColumn(c, F.when(F.col(f"`{flags[c]}`"), _affine(step)).otherwise(F.col(f"`{c}`")))
+                continue
+            state = cur.withColumn("__x", array_to_vector(F.array(*[F.col(f"__at_{done}")[cols.index(o)] for o in step["others"]]))) \
+                if batches else VectorAssembler(inputCols=step["others"], outputCol="__x").transform(cur)
+            labels = F.array(*[F.lit(x) for x in step["labels"]])
+            scored = self.trees[step["tree"]].transform(state).drop("__x", "__cpr", "__cr")
+            cur = scored.withColumn(c, F.when(F.col(f"`{flags[c]}`"), F.element_at(labels, F.col("__cp").cast("int") + 1))
+                                    .otherwise(F.col(f"`{c}`"))).drop("__cp")
+        if batches:
+            last = F.col(f"__at_{len(nums)}")
+            cur = _replace(cur, {c: F.when(F.col(f"`{flags[c]}`"), last[i]).otherwise(F.col(f"`{c}`").cast("double")) for i, c in enumerate(cols)})
+            cur = cur.drop(*[f"__at_{k}" for k in places])
         return cur.drop(*flags.values())
 
 

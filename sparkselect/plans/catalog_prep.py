@@ -123,6 +123,35 @@ def e1_iterative_impute(spark, sf):
     return finish(model.transform(t).select("event_id", F.round("value", 4).alias("value")))
 
 
+def _two_predictors(i: int, table: str, y: str, a: str, b: str, miss: str) -> str:
+    """CTEs that refill ``y`` of ``table`` by least squares on ``a`` and ``b`` over its observed rows."""
+    keep = [c for c in ("value", "k", "h") if c != y]
+    return f"""
+m{i} AS (SELECT avg({y}) AS my, avg({a}) AS ma, avg({b}) AS mb, covar_pop({a}, {a}) AS aa, covar_pop({b}, {b}) AS bb,
+  covar_pop({a}, {b}) AS ab, covar_pop({a}, {y}) AS ay, covar_pop({b}, {y}) AS byy FROM {table} WHERE NOT {miss}),
+w{i} AS (SELECT (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb, my, ma, mb FROM m{i}),
+s{i} AS (SELECT event_id, nv, nk, {", ".join(keep)}, CASE WHEN {miss} THEN my + wa * ({a} - ma) + wb * ({b} - mb) ELSE {y} END AS {y} FROM {table}, w{i})"""
+
+
+def _gaps(spark, sf):
+    """T1 with gaps by rule in ``value`` and ``k``, in some rows in both."""
+    gap = lambda c, m: F.when(F.col("event_id") % m != 0, F.col(c)).alias(c)
+    return t1_events(spark, sf).select("event_id", gap("value", 5), gap("k", 7), F.col("h").cast("double").alias("h"))
+
+
+@query("e1_moment_sweeps", f"""WITH {O.T1},
+g AS (SELECT event_id, event_id % 5 = 0 AS nv, event_id % 7 = 0 AS nk, value, k, CAST(h AS DOUBLE) AS h FROM t1),
+a0 AS (SELECT avg(CASE WHEN NOT nv THEN value END) AS mv, avg(CASE WHEN NOT nk THEN k END) AS mk FROM g),
+s0 AS (SELECT event_id, nv, nk, CASE WHEN nv THEN mv ELSE value END AS value, CASE WHEN nk THEN mk ELSE k END AS k, h FROM g, a0),
+{", ".join(_two_predictors(i + 1, f"s{i}", *(("k", "value", "h", "nk") if i % 2 == 0 else ("value", "k", "h", "nv"))) for i in range(6))}
+SELECT event_id, round(value, 4) AS value, round(k, 4) AS k FROM s6""")
+def e1_moment_sweeps(spark, sf):
+    """Three rounds over two columns with gaps and a whole one, from the moments of four patterns."""
+    t = _gaps(spark, sf)
+    out = E.IterativeImputer(["value", "k", "h"], rounds=3).fit(t).transform(t)
+    return finish(out.select("event_id", F.round("value", 4).alias("value"), F.round("k", 4).alias("k")))
+
+
 # ------------------------------------------------------------------ E2 / E3 / E4
 @query("e2_robust_scale", f"""WITH {O.T1},
 q AS (SELECT quantile_disc(value, 0.5) AS med, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3,
