@@ -17,6 +17,7 @@ from sparkselect.plans.catalog import NB_SQL, RULES, _RULES_SQL, _rules
 from sparkselect.plans.tasks import t1_events
 from sparkselect.functions.hashing import SESSION_SEED
 from sparkselect.operators import diagnose as D
+from sparkselect.operators.embedding import landmark_embedding
 from sparkselect.operators import prep as P
 from sparkselect.operators.roles import Roles
 from sparkselect.plans import auto as A
@@ -292,6 +293,24 @@ def i13_dimension_rows(spark, sf):
     return finish(rows)
 
 
+@query("i13_landmark_distances", f"""
+WITH {O.T1}, s AS (SELECT stddev_samp(value) AS sv, stddev_samp(k) AS sk, stddev_samp(h) AS sh FROM t1),
+o AS (SELECT value AS v0, k AS k0, h AS h0 FROM t1 WHERE event_id = (SELECT min(event_id) FROM t1))
+SELECT event_id, round(sqrt(pow((value - v0) / sv, 2) + pow((k - k0) / sk, 2) + pow((h - h0) / sh, 2)), 5) AS distance, CAST(y AS BIGINT) AS class FROM t1, s, o""")
+def i13_landmark_distances(spark, sf):
+    """Each event's distance to the first one in a three-dimensional landmark embedding, which keeps all distances."""
+    rows, _, _ = landmark_embedding(t1_events(spark, sf), ["value", "k", "h"], "y", "event_id", k=3)
+    first = rows.orderBy("event_id").first() or {"e1": 0.0, "e2": 0.0, "e3": 0.0}
+    d2 = sum((F.pow(F.col(c) - F.lit(first[c]), 2) for c in ("e1", "e2", "e3")), F.lit(0.0))
+    return finish(rows.select("event_id", F.sqrt(d2).alias("distance"), "class"), 5)
+
+
+@query("i13_landmark_paths")
+def i13_landmark_paths(spark, sf):
+    """Two dimensions of shortest paths over ten neighbours among 256 landmarks."""
+    return finish(landmark_embedding(t1_events(spark, sf), ["value", "k", "h"], "y", "event_id", neighbors=10)[0])
+
+
 @query("i14_boundaries")
 def i14_boundaries(spark, sf):
     tr, _ = _t1_xy(spark, sf)

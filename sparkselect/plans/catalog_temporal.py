@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from sparkselect.operators.fairness import fairness_cube
 from sparkselect.operators.temporal import as_of_join, interval_join, range_join
-from sparkselect.plans.catalog_curves import SCORED, scored_t1
-from sparkselect.plans.common import finish
+from sparkselect.plans.catalog_curves import NB_SQL, SCORED, _nb_model, scored_t1
+from sparkselect.plans import oracle_sql as O
+from sparkselect.plans.common import assemble, finish
 from sparkselect.plans.registry import query
+from sparkselect.plans.tasks import t1_events
 from sparkselect.sources.io import table
+from sparkselect.streaming.windows import WindowedMetrics, window_counts
 
 
 # ------------------------------------------------------------------ point-in-time features
@@ -80,3 +83,43 @@ def j1_fairness_cube(spark, sf):
     """Every combination of event type, half of the day and user part with at least 30 rows."""
     e = table(spark, sf, "events").select("event_id", F.when(F.hour("ts") < 12, "am").otherwise("pm").alias("half"), (F.col("user_id") % 7).cast("string").alias("part"))
     return finish(fairness_cube(scored_t1(spark, sf).join(e, "event_id"), "y", "yhat", ["event_type", "half", "part"], 30))
+
+
+# ------------------------------------------------------------------ event-time windows of a stream
+#: Seconds of a window, and of the watermark behind the latest event.
+_WIDTH, _DELAY = 12 * 3600, 6 * 3600
+_RATES = ("accuracy", "auc", "recall", "precision", "f1", "kappa", "mcc")
+
+
+@query("st_windowed_metrics", NB_SQL.replace(
+    f"te AS (SELECT * FROM t1 WHERE NOT {O.is_train('event_id')})", "te AS (SELECT * FROM t1)") + f""",
+tm AS (SELECT event_id, event_type, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS lo, max(epoch_us(ts)) OVER () AS hi FROM events),
+ev AS (SELECT event_id, event_type, us // 1000 AS ms, us // 1000 // {_WIDTH * 1000} * {_WIDTH * 1000} AS window_start,
+  least(3, 4 * (us - lo) // (hi - lo + 1) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS batch FROM tm),
+b AS (SELECT batch, max(ms) AS latest FROM ev GROUP BY 1),
+wm AS (SELECT i AS batch, (SELECT max(latest) FROM b WHERE b.batch < i) - {_DELAY * 1000} AS mark FROM range(0, 5) t(i)),
+seen AS (SELECT ev.event_type, ev.window_start, t1.y, nb.prediction AS yhat, coalesce(window_start + {_WIDTH * 1000} <= mark, FALSE) AS late
+  FROM ev JOIN wm USING (batch) JOIN nb USING (event_id) JOIN t1 USING (event_id) WHERE nb.r = 1),
+src AS (SELECT event_type || '|' || window_start AS grp, y, yhat FROM seen, wm
+  WHERE NOT late AND wm.batch = 4 AND window_start + {_WIDTH * 1000} <= mark),
+{O.metrics_from('src', by='grp')}
+SELECT 'window' AS kind, split_part(grp, '|', 1) AS grp, split_part(grp, '|', 2) AS window_start, n, {O.rounded(list(_RATES))} FROM met
+UNION ALL SELECT 'late', event_type, NULL, count(*), {", ".join(["NULL"] * len(_RATES))} FROM seen WHERE late GROUP BY event_type""")
+def st_windowed_metrics(spark, sf):
+    """Metrics of every closed twelve-hour window of the scored events, and late rows by group. The events
+    come in four drains of one query, by quarter of their time; every tenth is a quarter behind."""
+    e = table(spark, sf, "events")
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    lo, hi = e.agg(F.min(us), F.max(us)).first()
+    quarter = F.least(F.lit(3), F.floor(4 * (us - F.lit(lo or 0)) / F.lit((hi or 0) - (lo or 0) + 1)).cast("int") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0))
+    t = t1_events(spark, sf).drop("event_type").join(e.select("event_id", "ts", "event_type", quarter.alias("batch")), "event_id")
+    model = _nb_model(spark, sf)
+    run = WindowedMetrics(spark)
+    schema = t.drop("batch").schema
+    for i in range(4):
+        t.where(F.col("batch") == i).drop("batch").write.mode("append").parquet(f"{run.path}/in")
+        scored = model.transform(assemble(spark.readStream.schema(schema).parquet(f"{run.path}/in"), ["value", "k", "h"]))
+        run.drain(window_counts(scored, "ts", "event_type", "y", "prediction", _WIDTH, _DELAY, pieces=2))
+    late = run.late().select(F.lit("late").alias("kind"), "grp", F.lit(None).cast("string").alias("window_start"),
+                             F.col("late_rows").alias("n"), *[F.lit(None).cast("double").alias(m) for m in _RATES])
+    return finish(run.metrics().select(F.lit("window").alias("kind"), "grp", F.col("window_start").cast("string").alias("window_start"), "n", *_RATES).unionByName(late))
