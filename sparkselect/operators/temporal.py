@@ -8,15 +8,21 @@ carried to the next ones by a window over the slices. No key is sorted whole in
 Interval join: every interval gets a level by its length and lies in a few buckets of that level's
 width; on each higher level in use it lies in at most two. Two intervals meet on the higher of their levels, and a pair
 comes from the first bucket that they share, so that no pair is made twice and none is dropped afterwards.
+
+Range join with ``totals``: only counts and sums over the ranges that hold a point are asked for. A range adds its values
+where it starts and takes them back where it ends, and a running total over these places, cut into slices, gives the sums
+at every point: work grows with points and ranges, not with their pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from sparkselect.functions.ranking import running_totals
 from sparkselect.session import stored
 
 SLICE_ROWS = 1_000_000
@@ -101,20 +107,22 @@ def _bucketed(df: DataFrame, width: float, levels: list[int]) -> DataFrame:
     return rows.withColumn("__first", first).withColumn("__b", F.explode(F.sequence(first, last)))
 
 
+def _spans(df: DataFrame, span: tuple[str, str], keys: Sequence[str], suffix: str, *more: Column) -> DataFrame:
+    """Rows with numbered ``keys``, the finite ends ``__lo`` and ``__hi`` of spans that are not empty, the row itself and ``more``."""
+    kinds = dict(df.dtypes)
+    lo, hi = (_number(F.col(f"`{c}`"), kinds[c]) for c in span)
+    rows = df.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], lo.alias("__lo"), hi.alias("__hi"),
+                     F.struct(*[F.col(f"`{c}`").alias(f"{c}{suffix}") for c in df.columns]).alias("__row"), *more)
+    rows = rows.where(F.col("__lo") <= F.col("__hi") if span[0] == span[1] else F.col("__lo") < F.col("__hi"))
+    return rows.where(~F.isnan("__lo") & ~F.isnan("__hi") & (F.abs("__lo") < float("inf")) & (F.abs("__hi") < float("inf")))
+
+
 def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], on: Sequence[tuple[str, str]] = (), suffixes: tuple[str, str] = ("_l", "_r")) -> DataFrame:
     """All pairs of rows whose intervals [start, end) overlap, with equal keys ``on`` if given.
 
     A span whose two columns are the same name is a point: it overlaps the intervals with start <= point < end.
     Empty intervals (end <= start) and nulls overlap nothing. Columns get the suffixes."""
-    def prepared(df: DataFrame, span: tuple[str, str], side: int) -> DataFrame:
-        kinds = dict(df.dtypes)
-        lo, hi = (_number(F.col(f"`{c}`"), kinds[c]) for c in span)
-        keys = [F.col(f"`{pair[side]}`").alias(f"__k{i}") for i, pair in enumerate(on)]
-        rows = df.select(*keys, lo.alias("__lo"), hi.alias("__hi"), F.struct(*[F.col(f"`{c}`").alias(f"{c}{suffixes[side]}") for c in df.columns]).alias("__row"))
-        rows = rows.where(F.col("__lo") <= F.col("__hi") if span[0] == span[1] else F.col("__lo") < F.col("__hi"))
-        return rows.where(~F.isnan("__lo") & ~F.isnan("__hi") & (F.abs("__lo") < float("inf")) & (F.abs("__hi") < float("inf")))
-
-    a, b = prepared(left, left_span, 0), prepared(right, right_span, 1)
+    a, b = (_spans(df, span, [pair[side] for pair in on], suffixes[side]) for side, (df, span) in enumerate(((left, left_span), (right, right_span))))
     points = left_span[0] == left_span[1], right_span[0] == right_span[1]
     width = _level_width(a, b)
 
@@ -140,6 +148,31 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     return la.join(lb, meet & once & over).select("a.__row.*", "b.__row.*")
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, span: tuple[str, str], on: Sequence[tuple[str, str]] = (), suffixes: tuple[str, str] = ("_l", "_r")) -> DataFrame:
-    """Every point with every range [start, end) that holds it."""
-    return interval_join(points, ranges, (point, point), span, on, suffixes)
+def range_join(points: DataFrame, ranges: DataFrame, point: str, span: tuple[str, str], on: Sequence[tuple[str, str]] = (), suffixes: tuple[str, str] = ("_l", "_r"),
+               totals: Mapping[str, Column] | None = None) -> DataFrame:
+    """Every point with every range [start, end) that holds it.
+
+    With ``totals`` (name to a whole-number expression over ``ranges``) instead every point that a range holds, once, with
+    the sums over all of its ranges (nulls left out, null if there are only nulls; ``F.lit(1)`` counts them); no pair is made."""
+    if totals is None:
+        return interval_join(points, ranges, (point, point), span, on, suffixes)
+    values = ranges.select(*[v.alias(name) for name, v in totals.items()])
+    broken = [f.name for f in values.schema.fields if not isinstance(f.dataType, IntegralType)]
+    if broken:
+        raise ValueError(f"totals of whole numbers only, as sums are taken back at the ends of ranges: {broken}")
+    keys, n = [f"__k{i}" for i in range(len(on))], range(len(totals))
+    a = _spans(points, (point, point), [pair[0] for pair in on], suffixes[0])
+    b = _spans(ranges, span, [pair[1] for pair in on], "", *[v.cast("long").alias(f"__v{i}") for i, v in enumerate(totals.values())])
+
+    def changes(at: str, sign: int) -> DataFrame:
+        one = F.lit(sign).cast("long")
+        return b.select(*keys, F.col(at).alias("__at"), F.lit(False).alias("__asked"), one.alias("__n"), *[c for i in n for c in (
+            (one * F.coalesce(f"__v{i}", F.lit(0))).alias(f"__s{i}"), F.when(F.col(f"__v{i}").isNotNull(), one).otherwise(0).alias(f"__n{i}"))])
+
+    sums = ["__n", *[f"__{c}{i}" for i in n for c in "sn"]]
+    asked = a.select(*keys, F.col("__lo").alias("__at"), F.lit(True).alias("__asked"), *[F.lit(0).cast("long").alias(c) for c in sums]).distinct()
+    line = changes("__lo", 1).unionByName(changes("__hi", -1)).unionByName(asked).dropna(subset=keys or ["__at"])
+    line = stored(line.groupBy(*keys, "__at").agg(F.max("__asked").alias("__asked"), *[F.sum(c).alias(c) for c in sums]), "range-totals").frame
+    held = running_totals(line, [*keys, "__at"], {f"{c}_to": c for c in sums}, keys).where("__asked AND __n_to > 0")
+    held = held.select(*keys, F.col("__at").alias("__lo"), *[F.when(F.col(f"__n{i}_to") > 0, F.col(f"__s{i}_to")).alias(f"__t{i}") for i in n])
+    return a.join(held, [*keys, "__lo"]).select("__row.*", *[F.col(f"__t{i}").alias(name) for i, name in enumerate(totals)])

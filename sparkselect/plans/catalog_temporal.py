@@ -65,8 +65,8 @@ SELECT event_id AS event_id_l, count(*) AS open_orders, CAST(sum(o_orderkey % 10
 def range_open_orders(spark, sf):
     """How many orders are open at each event, over all customers."""
     e = table(spark, sf, "events").select("event_id", (F.col("ts") - F.expr("INTERVAL 9500 DAY")).alias("t"))
-    hits = range_join(e, _spans(spark, sf), "t", ("s", "e"))
-    return finish(hits.groupBy("event_id_l").agg(F.count(F.lit(1)).alias("open_orders"), F.sum(F.col("o_orderkey_r") % 1000).alias("keys")))
+    hits = range_join(e, _spans(spark, sf), "t", ("s", "e"), totals={"open_orders": F.lit(1), "keys": F.col("o_orderkey") % 1000})
+    return finish(hits.groupBy("event_id_l").agg(F.sum("open_orders").alias("open_orders"), F.sum("keys").alias("keys")))
 
 
 # ------------------------------------------------------------------ fairness over all combinations

@@ -67,6 +67,36 @@ def test_interval_join_equals_all_pairs(spark):
     assert interval_join(a.where("id < 0"), b, ("s", "e"), ("s", "e")).collect() == []
 
 
+@pytest.mark.parametrize("always_slice", [False, True])
+def test_range_totals_equal_sums_over_pairs(spark, always_slice):
+    rnd = random.Random(54)
+    key = lambda: rnd.choice(["a", "a", "b", None])
+    points = [(rnd.choice([None, *range(60)]), key(), rnd.choice([None, float("nan"), *[float(x) for x in range(-5, 30)]])) for _ in range(150)]
+    ranges = [(rnd.choice([None, i]), key(), s, s + rnd.choice([0.0, -1.0, 1.0, 4.0, 20.0, float("inf")])) for i in range(100) for s in [float(rnd.randint(-5, 25))]]
+    a = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "n int, id long, k string, t double")
+    b = spark.createDataFrame(ranges, "v long, k string, s double, e double")
+    totals = {"n": F.lit(1), "sum": F.col("v") % 7}
+    if always_slice:
+        spark.conf.set("sparkselect.singleSliceRows", "0")
+    try:
+        for on in ([], [("k", "k")]):
+            pairs = range_join(a, b, "t", ("s", "e"), on).groupBy("n_l", "id_l", "k_l", "t_l").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v_r") % 7).alias("sum"))
+            got = range_join(a, b, "t", ("s", "e"), on, totals=totals)
+            assert got.columns == pairs.columns and len(pairs.head(1)) == 1
+            assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, pairs.collect())))
+    finally:
+        spark.conf.unset("sparkselect.singleSliceRows")
+    assert range_join(a, b.where("v < 0"), "t", ("s", "e"), totals=totals).collect() == []
+    with pytest.raises(ValueError, match="whole numbers"):
+        range_join(a, b, "t", ("s", "e"), totals={"x": F.col("s")})
+
+
+def test_open_orders_makes_no_pairs(spark):
+    from sparkselect.plans.catalog_temporal import range_open_orders
+    plan = range_open_orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__first" not in plan and "Generate" not in plan
+
+
 def test_fairness_cube_and_its_pruning(spark):
     rnd = random.Random(53)
     rows = [(rnd.choice("xy"), rnd.choice(["p", "q", None]), rnd.choice("123"), rnd.randint(0, 1), rnd.choice([0, 1, 1, None])) for _ in range(300)]
