@@ -63,3 +63,53 @@ def test_best_split_matches_scan(spark):
     df = spark.createDataFrame(rows, "x double, y int")
     r = D.best_split_table(df, ["x"], "y").first()
     assert r["threshold"] == 3.0 and r["left_rows"] == 4
+
+
+def _passes(spark, run):
+    """How often Spark read the counted rows while ``run(df)`` ran."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    rows = [(i, float(i % 2), float(i % 7), float(i % 11), i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, label double, a double, b double, fold long").mapInPandas(count, "id long, label double, a double, b double, fold long")
+    run(df)
+    return seen.value / len(rows)
+
+
+def test_folds_read_their_rows_once(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from sparkselect.operators.ensembles import StackingClassifier
+    from sparkselect.operators.models import make_estimator
+    x = VectorAssembler(inputCols=["a", "b"], outputCol="features")
+    assert _passes(spark, lambda df: StackingClassifier(bases=[make_estimator("lda")], foldCol="fold").fit(x.transform(df))) == 1
+    table = []
+    assert _passes(spark, lambda df: table.extend(D.learning_table(make_estimator("lda"), x.transform(df), "id", steps=[0.5, 1.0]).collect())) == 1
+    assert [r["share"] for r in table] == [0.5, 1.0] and table[1]["train_rows"] == 50
+
+
+def test_preparation_reads_its_rows_once(spark):
+    from sparkselect.operators.roles import Roles
+    from sparkselect.plans.auto import AutoConfig, AutoPrep
+    cfg = AutoConfig(roles=Roles(target="y", numeric=["a", "b"], high_cardinality=["fold"]), flags={"imputation": "simple"})
+    models = []
+    # one more pass numbers the labels
+    assert _passes(spark, lambda df: models.append(AutoPrep(cfg).fit(df.withColumnRenamed("label", "y")))) <= 2
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 1), (0.0, 1.0, 2.0, 99)], "y double, a double, b double, fold long")
+    # the counts stay with the model after the rows that they were taken from are gone
+    assert sorted(r["fold__count"] for r in models[0].transform(df).select("fold__count").collect()) == [0, 50]
+
+
+def test_shapley_hashes_each_draw_once(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from sparkselect.operators.models import make_estimator
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 7), float(i % 11), float(i % 5)) for i in range(60)], "id long, label double, a double, b double, c double")
+    model = make_estimator("nb").fit(VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df))
+    plan = D.interpret_shapley(model, df, ["a", "b", "c"], "id")._jdf.queryExecution().optimizedPlan().toString()
+    # the features' ranks, the background row (also filtered on) and its choice; not each of them in every comparison
+    assert plan.count("md5(") <= 6
