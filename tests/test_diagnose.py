@@ -74,7 +74,7 @@ def _passes(spark, run):
             seen.add(len(part))
             yield part
 
-    rows = [(i, float(i % 2), float(i % 7), float(i % 11), i % 2) for i in range(100)]
+    rows = [(i, float(i % 2), float(i % 7), float(i % 11), i // 50) for i in range(100)]
     df = spark.createDataFrame(rows, "id long, label double, a double, b double, fold long").mapInPandas(count, "id long, label double, a double, b double, fold long")
     run(df)
     return seen.value / len(rows)
