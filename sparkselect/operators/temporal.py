@@ -5,7 +5,8 @@ forward. Equal (key, time) pairs are reduced to one row on both sides first, and
 ``slice_rows`` pairs are cut into slices of time, each with a window of its own; the last value of every slice is
 carried to the next ones by a window over the slices. No key is sorted whole in one task.
 
-Interval join: every interval gets a level by its length and lies in a few buckets of that level's
+Interval join: rows of a key of few rows meet each other directly, once shuffled by the key. Where a key's pairs are many
+for its rows, or no keys are given, every interval gets a level by its length and lies in a few buckets of that level's
 width; on each higher level in use it lies in at most two. Two intervals meet on the higher of their levels, and a pair
 comes from the first bucket that they share, so that no pair is made twice and none is dropped afterwards.
 
@@ -30,6 +31,9 @@ SLICE_ROWS = 1_000_000
 BROADCAST_ROWS = 100_000
 #: Widths of neighbouring levels differ by this factor; an interval spans at most FACTOR + 1 buckets of its own level.
 FACTOR = 8
+#: A key is joined directly while its pairs are at most PAIRS_A_ROW times its rows and those at most DIRECT_ROWS.
+PAIRS_A_ROW = 32
+DIRECT_ROWS = 10_000
 
 
 def _number(c: Column, kind: str) -> Column:
@@ -124,6 +128,38 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     Empty intervals (end <= start) and nulls overlap nothing. Columns get the suffixes."""
     a, b = (_spans(df, span, [pair[side] for pair in on], suffixes[side]) for side, (df, span) in enumerate(((left, left_span), (right, right_span))))
     points = left_span[0] == left_span[1], right_span[0] == right_span[1]
+    keys = [f"__k{i}" for i in range(len(on))]
+    if not keys or any(dict(a.dtypes)[k] != dict(b.dtypes)[k] for k in keys):
+        return _bucket_join(a, b, points, keys)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rows = a.select(*keys, one.alias("__a"), none.alias("__b")).unionByName(b.select(*keys, none.alias("__a"), one.alias("__b"))).dropna(subset=keys)
+    n, pairs = F.col("__a") + F.col("__b"), F.col("__a") * F.col("__b")
+    counts = rows.groupBy(*keys).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    busy = stored(counts.where((pairs > PAIRS_A_ROW * n) | (n > DIRECT_ROWS)).where(pairs > 0).select(*keys), "interval-keys").frame
+    found = busy.count()
+    if not found:
+        return _direct_join(a, b, points, keys)
+    small = F.broadcast(busy) if found <= BROADCAST_ROWS else busy
+    direct = _direct_join(a.join(small, keys, "left_anti"), b.join(small, keys, "left_anti"), points, keys)
+    return direct.unionByName(_bucket_join(a.join(small, keys, "left_semi"), b.join(small, keys, "left_semi"), points, keys))
+
+
+def _overlap(points: tuple[bool, bool]) -> Column:
+    if points[0]:
+        return (F.col("b.__lo") <= F.col("a.__lo")) & (F.col("a.__lo") < F.col("b.__hi"))
+    if points[1]:
+        return (F.col("a.__lo") <= F.col("b.__lo")) & (F.col("b.__lo") < F.col("a.__hi"))
+    return (F.col("a.__lo") < F.col("b.__hi")) & (F.col("b.__lo") < F.col("a.__hi"))
+
+
+def _direct_join(a: DataFrame, b: DataFrame, points: tuple[bool, bool], keys: list[str]) -> DataFrame:
+    meet = _overlap(points)
+    for k in keys:
+        meet = meet & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return a.alias("a").join(b.alias("b"), meet).select("a.__row.*", "b.__row.*")
+
+
+def _bucket_join(a: DataFrame, b: DataFrame, points: tuple[bool, bool], keys: list[str]) -> DataFrame:
     width = _level_width(a, b)
 
     def levelled(df: DataFrame, point: bool) -> DataFrame:
@@ -136,16 +172,10 @@ def interval_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     levels = sorted({r[0] for r in a.select("__level").distinct().union(b.select("__level").distinct()).distinct().collect()})
     la, lb = _bucketed(a, width, levels).alias("a"), _bucketed(b, width, levels).alias("b")
     meet = (F.col("a.__l") == F.col("b.__l")) & (F.col("a.__b") == F.col("b.__b"))
-    for i in range(len(on)):
-        meet = meet & (F.col(f"a.__k{i}") == F.col(f"b.__k{i}"))
+    for k in keys:
+        meet = meet & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     once = (F.col("a.__l") == F.greatest("a.__level", "b.__level")) & (F.col("a.__b") == F.greatest("a.__first", "b.__first"))
-    if points[0]:
-        over = (F.col("b.__lo") <= F.col("a.__lo")) & (F.col("a.__lo") < F.col("b.__hi"))
-    elif points[1]:
-        over = (F.col("a.__lo") <= F.col("b.__lo")) & (F.col("b.__lo") < F.col("a.__hi"))
-    else:
-        over = (F.col("a.__lo") < F.col("b.__hi")) & (F.col("b.__lo") < F.col("a.__hi"))
-    return la.join(lb, meet & once & over).select("a.__row.*", "b.__row.*")
+    return la.join(lb, meet & once & _overlap(points)).select("a.__row.*", "b.__row.*")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, span: tuple[str, str], on: Sequence[tuple[str, str]] = (), suffixes: tuple[str, str] = ("_l", "_r"),

@@ -117,3 +117,19 @@ def test_fairness_cube_and_its_pruning(spark):
             assert r.n == len(own) and r.selection_rate == pytest.approx(sum(x[4] for x in own) / len(own)) and r.gap == pytest.approx(r.selection_rate - overall)
             assert r.tpr == (pytest.approx(sum(x[4] for x in pos) / len(pos)) if pos else None)
     assert fairness_cube(df.where(F.lit(False)), "y", "p", ["a"]).collect() == []
+
+
+def test_keys_of_few_rows_are_joined_without_buckets(spark, monkeypatch):
+    from sparkselect.operators import temporal
+
+    rnd = random.Random(53)
+    rows = [(i, rnd.choice([None, *range(12)]), s, s + rnd.choice([-1, 0, 2, 40])) for i, s in enumerate(rnd.choices(range(60), k=90))]
+    df = spark.createDataFrame(rows, "id long, k int, s int, e int")
+    want = sorted((x[0], y[0]) for x, y in itertools.product(rows, rows) if x[1] is not None and x[1] == y[1] and x[2] < y[3] and y[2] < x[3] and x[2] < x[3] and y[2] < y[3])
+    pairs = lambda: sorted(tuple(r) for r in interval_join(df, df, ("s", "e"), ("s", "e"), [("k", "k")]).select("id_l", "id_r").collect())
+    with monkeypatch.context() as m:
+        m.setattr(temporal, "_bucketed", None)
+        assert pairs() == want
+    for most in (3, 0):  # some keys, then all keys in buckets
+        monkeypatch.setattr(temporal, "PAIRS_A_ROW", most)
+        assert pairs() == want
