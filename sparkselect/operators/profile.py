@@ -13,14 +13,15 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from sparkselect.functions.pairs import pair_correlations, pair_sums
-from sparkselect.functions.ranking import (average_ranks, double_rest, exact_quantiles, running_totals, top_k_per_group,
+from sparkselect.functions.ranking import (average_ranks, double_rest, exact_quantiles, range_slice, running_totals, top_k_per_group,
                                            value_counts_long)
-from sparkselect.session import materialize
+from sparkselect.session import materialize, stored
 
 
 def _counts(df: DataFrame, cols: list[str], counts: DataFrame | None) -> DataFrame:
@@ -294,43 +295,82 @@ def profile_spearman(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 
 # ------------------------------------------------------------------ D11
+#: Cells of a slice, which one task holds, and slices at most.
+KENDALL_CELLS = 100_000
+KENDALL_SLICES = 2_000
+
+
+def _inversions(rank: np.ndarray, n: np.ndarray) -> int:
+    """Sum of n_i n_j over all i < j with rank_i > rank_j, for ranks 0 to len - 1: bit by bit from
+    the highest, those that share the higher bits and differ in it, in their order."""
+    found = 0
+    for bit in range((len(rank) - 1).bit_length() - 1, -1, -1):
+        one = (rank >> bit) & 1 == 1
+        start = np.flatnonzero(np.append(True, np.diff(rank >> (bit + 1)) != 0))
+        ones = np.cumsum(np.where(one, n, 0))
+        before = (ones - np.where(one, n, 0))[start]
+        above = ones - np.repeat(before, np.diff(np.append(start, len(rank))))
+        found += int((n[~one] * above[~one]).sum())
+        at = np.argsort(rank >> bit, kind="stable")
+        rank, n = rank[at], n[at]
+    return found
+
+
+def _discordant(lead: tuple[str, ...]):
+    """Discordant pairs of a group's cells, whose order is ``lead``; cells equal in it must not be discordant."""
+    def count(cells: pa.Table) -> pa.Table:
+        col = {c: cells.column(c).to_numpy() for c in ("pair", "ia", "ib", "n", *lead)}
+        rank = np.empty(len(cells), np.int64)
+        rank[np.lexsort((col["ia"], col["ib"]))] = np.arange(len(cells))
+        order = np.lexsort((rank, *[col[c] for c in reversed(lead)]))
+        return pa.table({"pair": col["pair"][:1], "d": [float(_inversions(rank[order], col["n"][order]))]})
+
+    return count
+
+
 def profile_kendall(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Tau-b for every pair of numeric columns, exact for any number of distinct values.
 
-    Values become dense level numbers and rows become counted (level, level) cells. Two cells
-    with different levels of the second column agree above exactly one bit of that number and
-    differ in it, so for every bit the cells with equal higher bits are put in order of the
-    first column, and running counts of those with bit 0 and bit 1 below give the concordant
-    and discordant pairs: a sort per bit instead of a comparison of all pairs.
+    Values become dense level numbers and rows become counted (level, level) cells. A pair of
+    cells is discordant if it stands the other way round in the order by the second column. The
+    cells are cut into slices of the one order and into stripes of the other, of equal sizes
+    whatever values are frequent: discordant pairs lie in one slice (counted there), in one
+    stripe but two slices (counted there by slice numbers), or in neither (from the counts of
+    the grid of slices and stripes). The concordant pairs are those left without ties.
     """
     cols = list(columns or numeric_columns(df))
     pairs = list(combinations(cols, 2))
-    keys = ["column_a", "column_b"]
     base = df.select(*cols)
     levels = materialize(running_totals(value_counts_long(base, cols).select("column", "value", "rest"), ["value", "rest"],
                                         {"level": F.lit(1).cast("bigint")}, ["column"]))
-    top = levels.agg(F.max("level")).first()[0] or 1
     indexed = _with_looked_up(base, cols, levels, "level", "__level")
-    cells = materialize(indexed.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"`{a}__level`").alias("ia"), F.col(f"`{b}__level`").alias("ib"))
-        for a, b in pairs])).alias("s")).select("s.*").where("ia is not null and ib is not null")
-        .groupBy(*keys, "ia", "ib").agg(F.count("*").cast("double").alias("n")))
-    one = F.call_function("shiftright", F.col("ib"), F.col("bit")).bitwiseAND(F.lit(1).cast("bigint")).cast("double")
-    split = cells.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(int(top).bit_length() - 1)))) \
-        .withColumn("prefix", F.call_function("shiftright", F.col("ib"), F.col("bit") + 1))
-    sums = materialize(split.groupBy(*keys, "bit", "prefix", "ia").agg(
-        F.sum(F.col("n") * (1 - one)).alias("z"), F.sum(F.col("n") * one).alias("o")))
-    run = running_totals(sums, ["ia"], {"zb": "z", "ob": "o"}, [*keys, "bit", "prefix"], inclusive=False)
-    cd = run.groupBy(*keys).agg(F.sum(F.col("o") * F.col("zb")).alias("c"), F.sum(F.col("z") * F.col("ob")).alias("d"))
-    total = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
-    ta = cells.groupBy(*keys, "ia").agg(F.sum("n").alias("t")).groupBy(*keys).agg(
-        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n1"))
-    tb = cells.groupBy(*keys, "ib").agg(F.sum("n").alias("t")).groupBy(*keys).agg(
-        F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n2"))
-    m = cd.join(total, keys).join(ta, keys).join(tb, keys)
-    n0 = F.col("total") * (F.col("total") - 1) / 2
-    den = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
-    return m.select(*keys, F.when(den > 0, (F.col("c") - F.col("d")) / den).alias("tau_b"),
+    cells = stored(indexed.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(f"`{a}__level`").alias("ia"), F.col(f"`{b}__level`").alias("ib"))
+        for i, (a, b) in enumerate(pairs)])).alias("s")).select("s.*").where("ia is not null and ib is not null")
+        .groupBy("pair", "ia", "ib").agg(F.count("*").alias("n")), "kendall-cells").frame
+    slices = min(KENDALL_SLICES, -(-cells.count() // KENDALL_CELLS))
+    cut = lambda *order: range_slice(cells, [F.col(c) for c in ("pair", *order)], slices, 0)
+    slice_, stripe = (c if c is not None else F.lit(0) for c in (cut("ia", "ib"), cut("ib", "ia")))
+    placed = stored(cells.withColumn("slice", slice_).withColumn("stripe", stripe), "kendall-slices").frame
+    d = placed.groupBy("pair", "slice").applyInArrow(_discordant(("ia", "ib")), "pair int, d double")
+    d = d.unionByName(placed.groupBy("pair", "stripe").applyInArrow(_discordant(("slice",)), "pair int, d double"))
+    met = materialize(placed.groupBy("pair", "slice", "stripe").agg(F.sum("n").cast("double").alias("n")))
+    grid = met.select("pair", "slice").distinct().join(met.select("pair", "stripe").distinct(), "pair") \
+        .join(met, ["pair", "slice", "stripe"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    earlier = Window.partitionBy("pair", "stripe").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("pair", "slice").orderBy(F.col("stripe").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    far = grid.withColumn("before", F.sum("n").over(earlier)).withColumn("above", F.coalesce(F.sum("before").over(later), F.lit(0.0)))
+    d = d.unionByName(far.select("pair", (F.col("n") * F.col("above")).alias("d"))).groupBy("pair").agg(F.sum("d").alias("d"))
+
+    def ties(*keys: str) -> DataFrame:
+        t = cells.groupBy("pair", *keys).agg(F.sum("n").cast("double").alias("t"))
+        return t.groupBy("pair").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("n" + "".join(keys)))
+
+    m = d.join(ties(), "pair").join(ties("ia"), "pair").join(ties("ib"), "pair").join(ties("ia", "ib"), "pair")
+    den = F.sqrt((F.col("n") - F.col("nia")) * (F.col("n") - F.col("nib")))
+    net = F.col("n") - F.col("nia") - F.col("nib") + F.col("niaib") - 2 * F.col("d")
+    name = lambda side: F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair") + 1)
+    return m.select(name(0).alias("column_a"), name(1).alias("column_b"), F.when(den > 0, net / den).alias("tau_b"),
                     F.lit(1).cast("bigint").alias("exact"))
 
 

@@ -167,3 +167,21 @@ def test_held_rows_do_not_touch_the_fold_fits(spark):
     assert held == {r["k"] for r in folded.where(F.col("fold") == f).collect()}, "held rows are the fold's own, none synthetic"
     moved = folded.withColumn("a", F.when(F.col("fold") == f, F.col("a") * 1000).otherwise(F.col("a")))
     assert first(moved)[1] == train
+
+
+def test_kendall_in_slices_and_stripes(spark, monkeypatch):
+    from sparkselect.operators import profile as operators
+    rnd = np.random.default_rng(5)
+    rows = [(int(x) if x < 9 else None, int(y), float(z)) for x, y, z in zip(rnd.integers(0, 10, 200), rnd.integers(0, 200, 200), rnd.normal(size=200))]
+    rows += rows[:30] + [(3, 1, 0.5)] * 40
+    df = spark.createDataFrame(rows, "a int, b int, c double")
+    want = {}
+    for i, j in itertools.combinations(range(3), 2):
+        own = [(r[i], r[j]) for r in rows if r[i] is not None]
+        signs = [(np.sign(p[0] - q[0]), np.sign(p[1] - q[1])) for p, q in itertools.combinations(own, 2)]
+        x, y = np.array(signs).T
+        want["abc"[i], "abc"[j]] = (x * y).sum() / np.sqrt((x != 0).sum() * (y != 0).sum())
+    for cells in (7, 60, 100_000):
+        monkeypatch.setattr(operators, "KENDALL_CELLS", cells)
+        got = {(r["column_a"], r["column_b"]): r["tau_b"] for r in operators.profile_kendall(df, ["a", "b", "c"]).collect()}
+        assert got == {k: pytest.approx(v, abs=1e-12) for k, v in want.items()}
