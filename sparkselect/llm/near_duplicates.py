@@ -44,8 +44,10 @@ PERMUTATIONS = 128
 MISS_BANDS, MISS_EQUAL = 1e-6, 1e-7
 #: Members of a block; blocks grow with the square root of groups above BLOCK_ROWS ** 2 / 16 members.
 BLOCK_ROWS = 256
-#: Text that is worked on at a time.
-GROUP_BYTES = 8 << 20
+#: Text that is worked on at a time: sets and their hashes take some thirty times as much.
+GROUP_BYTES = 2 << 20
+#: Rows that a task of texts or whole sets gets at a time; a worker and its JVM hold two such batches each.
+BATCH_ROWS = 1_000
 #: A link needs 100 * intersection >= MIN_PERCENT * union, unless another percentage is asked for.
 MIN_PERCENT = 85
 #: A table is broadcast up to so many rows of one long each, and shuffled beyond.
@@ -303,7 +305,7 @@ def _shingle_sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> Dat
 def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, row_key (a hash of doc_id and
     text) and group (the same long for all documents of a component; null for an empty set)."""
-    sketch = written(sketches(docs, percent), "near-sketch")
+    sketch = written(sketches(docs, percent), "near-sketch", BATCH_ROWS)
     classes = written(
         sketch.where("n > 0").groupBy("cls").agg(
             F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.max("n").alias("n"),
@@ -318,9 +320,9 @@ def near_duplicates(docs: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("c"))
     grouped = spread_join(groups, sizes, "comp", counts=sizes).select(F.col("node").alias("cls"), "comp", "c")
     sets = _shingle_sets_of(docs, classes, grouped)
-    rows = written(grouped.join(classes.select("cls", "n", "sig"), "cls").join(sets, "cls"), "near-groups")
+    rows = written(grouped.join(classes.select("cls", "n", "sig"), "cls").join(sets, "cls"), "near-groups", BATCH_ROWS)
     links = _in_blocks(rows, "comp", "c").mapInArrow(frugal(_group_forests(percent)), "a long, b long")
-    labels = components(links)
+    labels = components(written(links, "near-links", BATCH_ROWS))
 
     named = labels.select(F.col("node").alias("cls"), "comp")
     placed = written(classes.select("cls", "first_id").join(named, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-placed")

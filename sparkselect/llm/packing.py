@@ -35,7 +35,9 @@ from .tokens import encoder, vocabulary
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 #: Text that is encoded at a time.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 2 << 20
+#: Rows that a task of texts gets at a time.
+BATCH_ROWS = 1_000
 VOCABULARY = "word_bpe_49k.json"
 #: The plan goes to the tasks whole up to so many rows of six longs, and is joined beyond.
 PLAN_ROWS = 500_000
@@ -177,7 +179,7 @@ def _placer(rows: np.ndarray):
 def pack(items: DataFrame, caps: Capacities | None = None, rule: str = "norm") -> DataFrame:
     """``items`` (doc_id, piece, start, length, ids_crc32) plus sequence_id and offset."""
     spark = items.sparkSession
-    items = written(items, "pieces")
+    items = written(items, "pieces", BATCH_ROWS)
     histogram = [(r["length"], r["n"]) for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()]
     rows, _ = plan(histogram, caps, rule)
     numbered = ranked(items, ["length"], ["doc_id", "piece", "ids_crc32"])
