@@ -10,11 +10,11 @@ Pieces that start a word carry the mark, so the distribution over piece sequence
 with the end token is proper, and segmentations never cross words. A character without a
 piece of its own is spelled by its byte pieces.
 
-How it runs: documents are read once, into chunks of whole documents; a chunk is stored as
-integer codes (words of each document with counts) and its list of words. Word counts are
-summed over all chunks, each distinct word is scored once, and the values go back to the
-chunks by (chunk, code), so that no text is shuffled and no vocabulary is broadcast. Only the
-vocabulary's pieces (a fixed number) reach the driver.
+How it runs: documents are read once, into chunks of whole documents; a chunk is stored as a
+row a document (integer codes of its words with counts) and a row a distinct word, so that no
+row or batch of rows grows with a chunk. Word counts are summed over all chunks, each distinct
+word is scored once, and the values go back to the chunks by (chunk, code), so that no text is
+shuffled and no vocabulary is broadcast. Only the vocabulary's pieces (a fixed number) reach the driver.
 
 Defined results: a null or blank text is the end token alone; a null doc_id counts as a
 training document; repeated rows count as often as they occur; other columns are ignored; an
@@ -44,7 +44,8 @@ FOLDS, HELD_OUT = 7, 2
 PRIOR = 32_000.0
 #: Expectation steps over the training words.
 STEPS = 2
-CHUNK_BYTES = 24 << 20
+#: Text of a chunk, and documents of a batch of the write that makes chunks.
+CHUNK_BYTES, BATCH_DOCS = 12 << 20, 1000
 MARK = "▁"
 
 
@@ -195,31 +196,38 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per chunk: its documents' distinct word codes with counts, and its words."""
-    part = TaskContext.get().partitionId()
-    for k, table in enumerate(text_groups(batches, 1, CHUNK_BYTES)):
-        yield _chunk(part << 24 | k, table)
+def _chunks(most: int):
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's documents, with their distinct word codes and counts, and its words."""
+        part = TaskContext.get().partitionId()
+        for k, table in enumerate(text_groups(batches, 1, most)):
+            yield from _chunk(part << 24 | k, table)
 
+    return chunks
 
-def _chunk(number: int, table: pa.Table) -> pa.RecordBatch:
-    texts = pc.ascii_lower(table.column(1).combine_chunks())
-    words = Words(texts)
-    n, v = len(texts), max(1, len(words.vocab))
-    row = np.repeat(np.arange(n), words.counts())
-    cell, count = np.unique(row * v + words.codes, return_counts=True)
+
+def _chunk(number: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+    words = Words(pc.ascii_lower(table.column(1).combine_chunks()))
+    n, v = len(table), max(1, len(words.vocab))
+    cell, count = np.unique(np.repeat(np.arange(n), words.counts()) * v + words.codes, return_counts=True)
     doc, code = cell // v, (cell % v).astype(np.int32)
-    ids = table.column(0).to_pylist()
-    train = np.array([not held_out(d) for d in ids], bool)
+    train = np.array([not held_out(d) for d in table.column(0).to_pylist()], bool)
     seen = np.bincount(code, np.where(train[doc], count, 0), minlength=len(words.vocab)).astype(np.int64)
-    one = lambda values, kind: pa.array([values], pa.list_(kind))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), one(ids, pa.int64()), one(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32), pa.int32()), one(code, pa.int32()), one(count.astype(np.int32), pa.int32()),
-         pa.array([words.vocab.cast(pa.string()).to_pylist()], pa.list_(pa.string())), one(seen, pa.int64()), pa.array([int(train.sum())], pa.int64())],
-        names=["chunk", "doc_ids", "starts", "codes", "counts", "words", "seen", "n_train"])
+    ends = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (code, count.astype(np.int32))]
+    yield _rows(n, number, doc_id=table.column(0).combine_chunks(), train=pa.array(train), codes=lists[0], counts=lists[1])
+    if len(words.vocab):
+        yield _rows(len(words.vocab), number, code=pa.array(np.arange(len(words.vocab), dtype=np.int32)), word=words.vocab.cast(pa.string()), seen=pa.array(seen))
+
+
+#: A document (``word`` null) or a distinct word of a chunk.
+_CHUNK = "chunk long, doc_id long, train boolean, codes array<int>, counts array<int>, code int, word string, seen long"
+_TYPES = {"doc_id": pa.int64(), "train": pa.bool_(), "codes": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "code": pa.int32(), "word": pa.string(), "seen": pa.int64()}
 
 
-_CHUNK = "chunk long, doc_ids array<long>, starts array<int>, codes array<int>, counts array<int>, words array<string>, seen array<long>, n_train long"
+def _rows(n: int, number: int, **known: pa.Array) -> pa.RecordBatch:
+    columns = [known[c] if c in known else pa.nulls(n, kind) for c, kind in _TYPES.items()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number, np.int64)), *columns], names=["chunk", *_TYPES])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], pa.RecordBatch]]:
@@ -256,23 +264,19 @@ def _sum_chunk(end_count: int, total: int, distinct: int, end_value: float):
     def base(c):
         return np.log10((c + 1.0) / (total + 1.0 * (distinct + 1)))
 
-    def sums(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(right))
-        code = got.column("code").to_numpy()
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        code = right.column("code").to_numpy()
         c, value = np.zeros(len(code)), np.zeros(len(code))
-        c[code], value[code] = got.column("c").to_numpy(), got.column("value").to_numpy()
+        c[code], value[code] = right.column("c").to_numpy(), right.column("value").to_numpy()
         logs = base(c)
-        for batch in left:
-            for i in range(batch.num_rows):
-                ids = batch.column("doc_ids")[i].as_py()
-                starts = batch.column("starts")[i].values.to_numpy().astype(np.int64)
-                codes, n = batch.column("codes")[i].values.to_numpy(), batch.column("counts")[i].values.to_numpy()
-                doc = np.repeat(np.arange(len(ids)), np.diff(starts))
-                add = lambda x: np.bincount(doc, x, minlength=len(ids))  # noqa: E731, B023
-                out = [pa.array(ids, pa.int64()), pa.array([held_out(d) for d in ids]),
-                       pa.array(add(n).astype(np.int64) + 1), pa.array(add(n * (c[codes] > 0)).astype(np.int64) + int(end_count > 0)),
-                       pa.array(np.full(len(ids), total)), pa.array(add(n * logs[codes]) + base(end_count)), pa.array(add(n * value[codes]) + end_value)]
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        ids, n_docs = left.column("doc_id"), len(left)
+        codes, n = (left.column(x).combine_chunks().flatten().to_numpy() for x in ("codes", "counts"))
+        doc = np.repeat(np.arange(n_docs), pc.list_value_length(left.column("codes")).to_numpy())
+        add = lambda x: np.bincount(doc, x, minlength=n_docs)
+        out = [ids, pa.array([held_out(d) for d in ids.to_pylist()], pa.bool_()),
+               pa.array(add(n).astype(np.int64) + 1), pa.array(add(n * (c[codes] > 0)).astype(np.int64) + int(end_count > 0)),
+               pa.array(np.full(n_docs, total)), pa.array(add(n * logs[codes]) + base(end_count)), pa.array(add(n * value[codes]) + end_value)]
+        return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return sums
 
@@ -281,12 +285,12 @@ def lattice_scores(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) per document."""
     path = vocabulary(name)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    chunks = written(rows.mapInArrow(frugal(_chunks), _CHUNK), "lm-chunks")
-    asked = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "seen")).alias("code", "x")).select("chunk", "code", F.col("x.words").alias("word"), F.col("x.seen").alias("seen"))
+    chunks = written(rows.mapInArrow(frugal(_chunks(CHUNK_BYTES)), _CHUNK), "lm-chunks", BATCH_DOCS)
+    asked = chunks.where(F.col("word").isNotNull()).select("chunk", "code", "word", "seen")
     counts = written(asked.groupBy("word").agg(F.sum("seen").alias("c")), "lm-words")
 
     pieces, first, byte, end = _first(path)
-    n_train = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()["n"]
+    n_train = chunks.where("train").count()
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = stats["n"] + n_train, stats["v"] + int(n_train > 0)
     probability = first
@@ -299,17 +303,9 @@ def lattice_scores(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
     values = counts.mapInArrow(frugal(_score(path, probability)), "word string, c long, value double")
     replies = asked.select("chunk", "code", "word").join(values, "word").select("chunk", "code", "c", "value")
-    left = chunks.select(F.col("chunk").alias("part"), "doc_ids", "starts", "codes", "counts")
+    left = chunks.where(F.col("word").isNull()).select(F.col("chunk").alias("part"), "doc_id", "codes", "counts")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return left.groupBy("part").cogroup(replies.groupBy("chunk")).applyInArrow(
-        _cogrouped(_sum_chunk(n_train, total, distinct, math.log10(probability[end]))), schema)
-
-
-def _cogrouped(sums):
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(sums(left.to_batches(), right.to_batches())))
-
-    return both
+    return left.groupBy("part").cogroup(replies.groupBy("chunk")).applyInArrow(_sum_chunk(n_train, total, distinct, math.log10(probability[end])), schema)
 
 
 def op7_frame(docs: DataFrame) -> DataFrame:
